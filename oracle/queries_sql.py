@@ -24,3 +24,149 @@ ORACLE: dict[str, str] = {}
 
 for _name, (_fams, _cols) in METRIC_COLUMNS.items():
     ORACLE[_name] = D.with_ctes(*D.gram_ctes(_fams), body=f"SELECT pair_id, family, {_cols} FROM met")
+
+
+# ------------------------------------------------------------------ helpers ----
+
+def side_rows(e1: str, e2: str, value: str, src: str = "pairs") -> str:
+    return (f"SELECT pair_id, side, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS {value} "
+            f"FROM (SELECT pair_id, 1 AS side, {e1} AS l FROM {src} "
+            f"UNION ALL SELECT pair_id, 2 AS side, {e2} AS l FROM {src})")
+
+
+def grams_with(families, body: str) -> str:
+    return D.with_ctes(*D.gram_ctes(families), body=body)
+
+
+def _q(*ctes, body):
+    return D.with_ctes(*ctes, body=body)
+
+
+# ---------------------------------------------------------------- text (T) ----
+
+ORACLE["tokenize"] = _q(D.PAIRS, body=side_rows(D.tok("raw_1"), D.tok("raw_2"), "token"))
+ORACLE["tokenize_alpha"] = _q(D.PAIRS, body=side_rows(D.alpha("raw_1"), D.alpha("raw_2"), "token"))
+ORACLE["tokens_stem"] = _q(D.PAIRS, body=side_rows(D.stems("raw_1"), D.stems("raw_2"), "token"))
+ORACLE["sentence_stem"] = _q(D.PAIRS, body=(
+    f"SELECT pair_id, array_to_string({D.stems('raw_1')}, ' ') AS stem_1, "
+    f"array_to_string({D.stems('raw_2')}, ' ') AS stem_2 FROM pairs"))
+ORACLE["stem_vocabulary"] = (
+    f"SELECT token, {D.stem_word('token')} AS stem FROM "
+    f"(SELECT DISTINCT unnest({D.alpha('text')}) AS token FROM conversations)")
+ORACLE["tweet_words"] = _q(D.PAIRS, body=side_rows(D.tweet_words("raw_1"), D.tweet_words("raw_2"), "word"))
+
+# ------------------------------------------------------------- n-grams (N) ----
+
+_GRAM_COLS = "SELECT pair_id, family, side, CAST(pos AS INTEGER) AS pos, gram FROM grams"
+ORACLE["word_ngrams"] = grams_with(("word1", "word2", "word3"), _GRAM_COLS)
+ORACLE["char_ngrams"] = grams_with(("char1", "char2", "char3"), _GRAM_COLS)
+ORACLE["tag_ngrams"] = grams_with(("pos2", "pos3", "ner2", "ner3", "event2", "event3"), _GRAM_COLS)
+ORACLE["skip_bigrams"] = _q(D.PAIRS, body=side_rows(
+    D.bigram(D.tok("sent_1"), skip=1), D.bigram(D.tok("sent_2"), skip=1), "gram"))
+ORACLE["skip_trigrams"] = _q(D.PAIRS, body=side_rows(
+    D.trigram(D.tok("sent_1"), skip=1), D.trigram(D.tok("sent_2"), skip=1), "gram"))
+
+
+def _char_set(a: str, n: int) -> str:
+    return f"list_distinct(flatten(list_transform({a}, lambda w: {D.chars('w', n)})))"
+
+
+def _word_set(a: str, n: int) -> str:
+    return f"list_distinct({D.windows(a, n)})"
+
+
+_SETS = " UNION ALL ".join(
+    f"SELECT pair_id, '{name}' AS feature, {gen('tw_1', n)} AS s1, {gen('tw_2', n)} AS s2 FROM tw"
+    for name, gen, n in (("C1", _char_set, 1), ("C2", _char_set, 2), ("V1", _word_set, 1), ("V2", _word_set, 2)))
+ORACLE["ngram_set_features"] = _q(
+    D.PAIRS,
+    f"tw AS (SELECT pair_id, {D.tweet_words('raw_1')} AS tw_1, {D.tweet_words('raw_2')} AS tw_2 FROM pairs)",
+    f"sets AS ({_SETS})",
+    "sw AS (SELECT pair_id, feature, CASE WHEN len(s1) > len(s2) THEN s2 ELSE s1 END AS sm, "
+    "CASE WHEN len(s1) > len(s2) THEN s1 ELSE s2 END AS lg FROM sets)",
+    body="SELECT pair_id, feature, CAST(len(sm) AS BIGINT) AS size_small, CAST(len(lg) AS BIGINT) AS size_large, "
+         "CAST(len(list_intersect(sm, lg)) AS BIGINT) AS n_inter, "
+         "CAST(len(list_distinct(list_concat(sm, lg))) AS BIGINT) AS n_union, "
+         "CAST(len(list_filter(sm, lambda x: NOT list_contains(lg, x))) AS BIGINT) AS n_small_only, "
+         "CAST(len(list_filter(lg, lambda x: NOT list_contains(sm, x))) AS BIGINT) AS n_large_only FROM sw")
+
+# ------------------------------------------------------ labels (P, S, J) ----
+
+_TEST_LABEL = "CASE WHEN vote IN (4, 5) THEN 1 WHEN vote = 3 THEN 2 ELSE 0 END"
+_JUDGE = "'(' || CAST(vote AS VARCHAR) || ', ' || CAST(5 - vote AS VARCHAR) || ')'"
+ORACLE["label_train"] = _q(D.PAIRS, D.VOTES, body=(
+    f"SELECT pair_id, judge, CASE WHEN f >= 3 THEN 1 WHEN f = 2 THEN 2 ELSE 0 END AS is_paraphrase FROM "
+    f"(SELECT pair_id, {_JUDGE} AS judge, CAST(regexp_extract({_JUDGE}, '^\\s*\\(\\s*(\\d+)', 1) AS INTEGER) AS f "
+    f"FROM votes)"))
+ORACLE["label_test"] = _q(D.PAIRS, D.VOTES, body=f"SELECT pair_id, vote, {_TEST_LABEL} AS is_paraphrase FROM votes")
+ORACLE["drop_ambiguous"] = _q(D.PAIRS, D.VOTES, body=(
+    f"SELECT p.pair_id, p.trend_id, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (pair_id) "
+    f"WHERE {_TEST_LABEL} <> 2"))
+ORACLE["numeric_projection"] = _q(D.PAIRS, D.VOTES, body=(
+    f"SELECT p.pair_id, p.trend_id, v.vote, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (pair_id)"))
+ORACLE["missing_flags"] = _q(D.PAIRS, body=(
+    f"SELECT pair_id, CAST(len({D.tok('sent_1')}) = 0 AS INTEGER) AS missing_1, "
+    f"CAST(len({D.tok('sent_2')}) = 0 AS INTEGER) AS missing_2 FROM pairs"))
+ORACLE["gold_join"] = _q(D.PAIRS, D.VOTES, body=(
+    "SELECT p.pair_id, p.trend_id, CASE WHEN vote >= 4 THEN 'true' WHEN vote = 3 THEN '----' ELSE 'false' END AS ans, "
+    f"{D.r6('vote / 5.0')} AS prob FROM pairs p JOIN votes v USING (pair_id)"))
+ORACLE["scan_pairs"] = _q(D.PAIRS, D.TAGGED, D.VOTES, body=(
+    "SELECT CAST(p.trend_id AS INTEGER) AS trendid, 'conv ' || CAST(p.trend_id AS VARCHAR) AS trendname, "
+    f"NULLIF(t.sent_1, '') AS origsent, NULLIF(t.sent_2, '') AS candsent, {_JUDGE} AS judge, "
+    "NULLIF(t.tags_1, '') AS origsenttag, NULLIF(t.tags_2, '') AS candsenttag "
+    "FROM pairs p JOIN tagged t USING (pair_id) JOIN votes v USING (pair_id)"))
+
+# -------------------------------------------------------- positions (D) ----
+
+_SHARED = [
+    "g2 AS (SELECT *, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, family, gram) AS on1, "
+    "max(CASE WHEN side = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, family, gram) AS on2 FROM grams)",
+    "g3 AS (SELECT *, CASE WHEN side = 1 THEN on2 = 1 ELSE on1 = 1 END AS shared FROM g2)",
+]
+ORACLE["gram_positions"] = D.with_ctes(*D.gram_ctes(WORD), *_SHARED, body=(
+    "SELECT pair_id, family, side, CAST(pos AS INTEGER) AS pos FROM g3 WHERE shared"))
+_h = "CASE WHEN shared THEN pos END"
+_ps = (f"ps AS (SELECT pair_id, family, side, CAST(count(*) AS BIGINT) AS n, "
+       f"CAST(min({_h}) AS DOUBLE) AS s_min, CAST(max({_h}) AS DOUBLE) AS s_max, avg({_h}) AS s_mean, "
+       f"CAST(median({_h}) AS DOUBLE) AS s_median, stddev_pop({_h}) AS s_std FROM g3 GROUP BY pair_id, family, side)")
+_pcols = ", ".join(
+    f"{D.r6(f'coalesce(s_{s}, 0.0)')} AS pos_{s}, {D.r6(D.sdiv(f'coalesce(s_{s}, 0.0)', 'n'))} AS norm_pos_{s}"
+    for s in ("min", "max", "mean", "median", "std"))
+ORACLE["position_stats"] = D.with_ctes(*D.gram_ctes(WORD), *_SHARED, _ps,
+                                       body=f"SELECT pair_id, family, side, {_pcols} FROM ps")
+
+# ------------------------------------------------------------- tags (G) ----
+
+ORACLE["parse_tags"] = _q(D.PAIRS, D.TAGGED, (
+    "tr AS (" + side_rows("list_filter(string_split(coalesce(tags_1, ''), ' '), lambda x: x <> '')",
+                          "list_filter(string_split(coalesce(tags_2, ''), ' '), lambda x: x <> '')",
+                          "t", src="tagged") + ")"),
+    body="SELECT pair_id, side, pos, string_split(lower(t), '/')[1] AS word, string_split(lower(t), '/')[2] AS ner, "
+         "string_split(lower(t), '/')[3] AS pos_tag, string_split(lower(t), '/')[4] AS chunk, "
+         "string_split(lower(t), '/')[5] AS event FROM tr")
+ORACLE["tag_context"] = _q(D.PAIRS, D.TAGGED, (
+    f"tt AS (SELECT pair_id, 1 AS side, {D.tok('sent_1')} AS toks, {D.tag_field('tags_1', 2)} AS tgs FROM tagged "
+    f"UNION ALL SELECT pair_id, 2, {D.tok('sent_2')}, {D.tag_field('tags_2', 2)} FROM tagged)"),
+    "ti AS (SELECT pair_id, side, toks, tgs, unnest(range(1, len(toks) + 1)) AS i FROM tt WHERE len(toks) = len(tgs))",
+    body="SELECT pair_id, side, CAST(i AS INTEGER) AS pos, toks[i] AS token, tgs[i] AS tag, "
+         "CASE WHEN i > 1 THEN tgs[i - 1] ELSE 'phi' END AS left_tag, "
+         "CASE WHEN i < len(tgs) THEN tgs[i + 1] ELSE 'phi' END AS right_tag FROM ti")
+ORACLE["tag_similarity"] = grams_with(POS, "SELECT pair_id, family, common, sorensen, cosine, precision, recall, f1 FROM met")
+ORACLE["common_event"] = grams_with(("event1",), "SELECT pair_id, common AS common_event FROM met")
+ORACLE["common_ner"] = grams_with(("ner1",), "SELECT pair_id, common AS common_ner FROM met")
+
+# ---------------------------------------------------------- metrics (M) ----
+
+ORACLE["binary_metrics"] = D.with_ctes(
+    *D.gram_ctes(("word1",)), D.VOTES,
+    f"lab AS (SELECT pair_id, {_TEST_LABEL} AS label FROM votes)",
+    "sc AS (SELECT l.label, CAST(coalesce(m.jaccard, 0.0) > 0.2 AS INTEGER) AS prediction "
+    "FROM lab l LEFT JOIN met m USING (pair_id) WHERE l.label <> 2)",
+    "ct AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp, "
+    "CAST(count_if(label <> 1 AND prediction = 1) AS BIGINT) AS fp, "
+    "CAST(count_if(label = 1 AND prediction <> 1) AS BIGINT) AS fn, "
+    "CAST(count_if(label <> 1 AND prediction <> 1) AS BIGINT) AS tn FROM sc)",
+    "pr AS (SELECT *, " + D.sdiv("tp", "tp + fp") + " AS p, " + D.sdiv("tp", "tp + fn") + " AS r FROM ct)",
+    body="SELECT tp, fp, fn, tn, " + D.r6("p") + " AS precision, " + D.r6("r") + " AS recall, "
+         + D.r6(D.sdiv("2 * p * r", "p + r")) + " AS f1, " + D.r6(D.sdiv("tp + tn", "tp + fp + fn + tn"))
+         + " AS accuracy FROM pr")

@@ -2,9 +2,271 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairgram.functions import ngrams as ng
+from pairgram.functions import text as tx
+from pairgram.functions.safe import r6
+from pairgram.operators import grams as G
+from pairgram.operators import labels as L
+from pairgram.operators import tags as T
+from pairgram.operators.distance import edit_distance
+from pairgram.operators.metrics import binary_metrics
+from pairgram.operators.overlap import ngram_set_features, overlap_metrics, pair_gram_stats
+from pairgram.operators.positions import gram_positions, position_stats
 from pairgram.plans import features as FP
+from pairgram.session import shared_dir
+from pairgram.sources import fixtures as fx
+from pairgram.sources import tsv
+
+QUERIES: dict = {}
+
+
+def query(fn):
+    QUERIES[fn.__name__] = fn
+    return fn
 
-QUERIES = {}
 
 for _group in FP.FAMILIES_FOR:
     QUERIES[_group] = FP.metric_query(_group)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FP.tagged_pairs(spark, sf_dir)
+
+
+def _side_rows(pairs: DataFrame, arr_1, arr_2, value: str) -> DataFrame:
+    """``pair_id, side, pos, <value>`` from one array per side (pos is 1-based)."""
+    sides = F.array(F.struct(F.lit(1).alias("side"), arr_1.alias("a")),
+                    F.struct(F.lit(2).alias("side"), arr_2.alias("a")))
+    return (pairs.select("pair_id", F.explode(sides).alias("s"))
+            .select("pair_id", "s.side", F.posexplode("s.a").alias("p0", value))
+            .select("pair_id", "side", (F.col("p0") + 1).alias("pos"), value))
+
+
+# ------------------------------------------------------------ text (T) ----
+
+@query
+def tokenize(spark, sf_dir):
+    """T1 on the raw turns (punctuation runs are tokens)."""
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, tx.word_punct_tokens("raw_1"), tx.word_punct_tokens("raw_2"), "token")
+
+
+@query
+def tokenize_alpha(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, tx.alpha_tokens("raw_1"), tx.alpha_tokens("raw_2"), "token")
+
+
+@query
+def tokens_stem(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, tx.stemmed_alpha_tokens("raw_1"), tx.stemmed_alpha_tokens("raw_2"), "token")
+
+
+@query
+def sentence_stem(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("pair_id", tx.stemmed_sentence("raw_1").alias("stem_1"),
+                    tx.stemmed_sentence("raw_2").alias("stem_2"))
+
+
+@query
+def stem_vocabulary(spark, sf_dir):
+    """T5 as a vocabulary job: distinct alphabetic tokens, stemmed once each."""
+    conv = fx.read_table(spark, sf_dir, "conversations", ["text"])
+    vocab = conv.select(F.explode(tx.alpha_tokens("text")).alias("token")).distinct()
+    return vocab.select("token", tx.s_stem(F.col("token")).alias("stem"))
+
+
+@query
+def tweet_words(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, tx.tweet_words("raw_1"), tx.tweet_words("raw_2"), "word")
+
+
+# --------------------------------------------------------- n-grams (N) ----
+
+def _gram_rows(families):
+    def run(spark, sf_dir):
+        return G.gram_table(_pairs(spark, sf_dir), families)
+    return run
+
+
+QUERIES["word_ngrams"] = _gram_rows(("word1", "word2", "word3"))
+QUERIES["char_ngrams"] = _gram_rows(("char1", "char2", "char3"))
+QUERIES["tag_ngrams"] = _gram_rows(("pos2", "pos3", "ner2", "ner3", "event2", "event3"))
+
+
+@query
+def skip_bigrams(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, ng.bigrams(tx.word_punct_tokens("sent_1"), skip=1),
+                      ng.bigrams(tx.word_punct_tokens("sent_2"), skip=1), "gram")
+
+
+@query
+def skip_trigrams(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, ng.trigrams(tx.word_punct_tokens("sent_1"), skip=1),
+                      ng.trigrams(tx.word_punct_tokens("sent_2"), skip=1), "gram")
+
+
+NGRAM_SET_GENERATORS = {
+    "C1": lambda s: ng.char_ngram_set(tx.tweet_words(s), 1),
+    "C2": lambda s: ng.char_ngram_set(tx.tweet_words(s), 2),
+    "V1": lambda s: ng.word_ngram_set(tx.tweet_words(s), 1),
+    "V2": lambda s: ng.word_ngram_set(tx.tweet_words(s), 2),
+}
+
+
+QUERIES["ngram_set_features"] = lambda spark, sf_dir: ngram_set_features(
+    _pairs(spark, sf_dir), NGRAM_SET_GENERATORS, text_cols=("raw_1", "raw_2"))
+
+
+# ------------------------------------------------------ labels (P, S, J) ----
+
+def _labelled(spark, sf_dir):
+    p = fx.conversation_pairs(spark, sf_dir)
+    return p.join(fx.votes(p), "pair_id")
+
+
+@query
+def label_train(spark, sf_dir):
+    v = _labelled(spark, sf_dir).withColumn("judge", fx.judge_string(F.col("vote")))
+    return v.select("pair_id", "judge", L.train_label(F.col("judge")).alias("is_paraphrase"))
+
+
+@query
+def label_test(spark, sf_dir):
+    v = _labelled(spark, sf_dir)
+    return v.select("pair_id", "vote", L.test_label(F.col("vote")).alias("is_paraphrase"))
+
+
+@query
+def drop_ambiguous(spark, sf_dir):
+    v = _labelled(spark, sf_dir).withColumn("is_paraphrase", L.test_label(F.col("vote")))
+    return L.drop_ambiguous(v).select("pair_id", "trend_id", "is_paraphrase")
+
+
+@query
+def numeric_projection(spark, sf_dir):
+    v = (_labelled(spark, sf_dir).withColumn("judge", fx.judge_string(F.col("vote")))
+         .withColumn("is_paraphrase", L.test_label(F.col("vote"))))
+    return L.numeric_projection(v)
+
+
+@query
+def missing_flags(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    return p.select("pair_id", *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
+
+
+@query
+def gold_join(spark, sf_dir):
+    p = fx.conversation_pairs(spark, sf_dir)
+    g = fx.gold(fx.votes(p))
+    return L.join_gold(p.select("pair_id", "trend_id"), g).select(
+        "pair_id", "trend_id", "ans", r6(F.col("prob")).alias("prob"))
+
+
+@query
+def scan_pairs(spark, sf_dir):
+    """Write the derived pairs in the reference's 7-column TSV layout to the
+    shared folder, then read them back with the explicit schema."""
+    p = _pairs(spark, sf_dir)
+    v = fx.votes(p)
+    rows = p.join(v, "pair_id").select(
+        F.col("trend_id").cast("int").alias("trendid"),
+        F.concat(F.lit("conv "), F.col("trend_id").cast("string")).alias("trendname"),
+        F.col("sent_1").alias("origsent"), F.col("sent_2").alias("candsent"),
+        fx.judge_string(F.col("vote")).alias("judge"),
+        F.col("tags_1").alias("origsenttag"), F.col("tags_2").alias("candsenttag"))
+    path = shared_dir(spark, "scan_pairs")
+    tsv.write_tsv(rows, path)
+    return tsv.read_train_pairs(spark, path)
+
+
+# -------------------------------------------------------- positions (D) ----
+
+@query
+def gram_positions_q(spark, sf_dir):
+    return gram_positions(G.gram_table(_pairs(spark, sf_dir), G.WORD_FAMILIES))
+
+
+QUERIES["gram_positions"] = QUERIES.pop("gram_positions_q")
+
+
+@query
+def position_stats_q(spark, sf_dir):
+    return position_stats(G.gram_table(_pairs(spark, sf_dir), G.WORD_FAMILIES))
+
+
+QUERIES["position_stats"] = QUERIES.pop("position_stats_q")
+
+
+# ---------------------------------------------------- edit distance (E) ----
+
+QUERIES["edit_distance_word"] = lambda spark, sf_dir: edit_distance(_pairs(spark, sf_dir), G.WORD_FAMILIES)
+QUERIES["edit_distance_char"] = lambda spark, sf_dir: edit_distance(_pairs(spark, sf_dir), G.CHAR_FAMILIES)
+QUERIES["edit_distance_tag"] = lambda spark, sf_dir: edit_distance(_pairs(spark, sf_dir), G.POS_FAMILIES)
+
+
+# ------------------------------------------------------------- tags (G) ----
+
+@query
+def parse_tags(spark, sf_dir):
+    return T.tag_rows(_pairs(spark, sf_dir))
+
+
+@query
+def tag_context(spark, sf_dir):
+    p = _pairs(spark, sf_dir).select("pair_id", "tags_1", "tags_2",
+                                     tx.word_punct_tokens("sent_1").alias("tok_1"),
+                                     tx.word_punct_tokens("sent_2").alias("tok_2"))
+    return T.tag_context(p)
+
+
+def _family_metrics(spark, sf_dir, families):
+    gc = G.gram_counts(G.gram_table(_pairs(spark, sf_dir), families))
+    return overlap_metrics(pair_gram_stats(gc))
+
+
+@query
+def tag_similarity(spark, sf_dir):
+    m = _family_metrics(spark, sf_dir, G.POS_FAMILIES)
+    return m.select("pair_id", "family", "common", "sorensen", "cosine", "precision", "recall", "f1")
+
+
+@query
+def common_event(spark, sf_dir):
+    m = _family_metrics(spark, sf_dir, ("event1",))
+    return m.select("pair_id", F.col("common").alias("common_event"))
+
+
+@query
+def common_ner(spark, sf_dir):
+    m = _family_metrics(spark, sf_dir, ("ner1",))
+    return m.select("pair_id", F.col("common").alias("common_ner"))
+
+
+# ---------------------------------------------------------- metrics (M) ----
+
+JACCARD_THRESHOLD = 0.2
+
+
+@query
+def binary_metrics_q(spark, sf_dir):
+    """M5/M6 on the test-label rule, predicting 1 when word-unigram Jaccard > 0.2."""
+    p = fx.conversation_pairs(spark, sf_dir)
+    lab = p.join(fx.votes(p), "pair_id").select("pair_id", L.test_label(F.col("vote")).alias("label"))
+    jac = _family_metrics(spark, sf_dir, ("word1",)).select("pair_id", "jaccard")
+    scored = (L.drop_ambiguous(lab, "label").join(jac, "pair_id", "left")
+              .select("label", (F.coalesce(F.col("jaccard"), F.lit(0.0)) > JACCARD_THRESHOLD)
+                      .cast("int").alias("prediction")))
+    return binary_metrics(scored)
+
+
+QUERIES["binary_metrics"] = QUERIES.pop("binary_metrics_q")
