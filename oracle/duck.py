@@ -165,8 +165,8 @@ LEMMAS = """lemmas AS (
   UNION ALL SELECT word, 'p3:' || substr(word, 1, 3), 2 FROM cwords)"""
 
 
-def with_ctes(*ctes: str, body: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + body
+def with_ctes(*ctes: str, body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
 
 
 # ---------------------------------------------------------- gram tables ----

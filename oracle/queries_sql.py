@@ -170,3 +170,93 @@ ORACLE["binary_metrics"] = D.with_ctes(
     body="SELECT tp, fp, fn, tn, " + D.r6("p") + " AS precision, " + D.r6("r") + " AS recall, "
          + D.r6(D.sdiv("2 * p * r", "p + r")) + " AS f1, " + D.r6(D.sdiv("tp + tn", "tp + fp + fn + tn"))
          + " AS accuracy FROM pr")
+
+# ----------------------------------------------------- corpus stats (F) ----
+
+_STOP = "[" + ", ".join(D.lit(w) for w in D.STOP_WORDS) + "]"
+_DOCS = ("docs AS (SELECT pair_id * 2 AS doc_id, array_to_string(" + D.stems("sent_1") + ", ' ') AS text FROM pairs "
+         "UNION ALL SELECT pair_id * 2 + 1, array_to_string(" + D.stems("sent_2") + ", ' ') FROM pairs)")
+
+
+def _terms(src: str, name: str) -> list[str]:
+    toks = (f"list_filter(regexp_extract_all({D.strip_accents('lower(coalesce(text, ' + chr(39) * 2 + '))')}, "
+            f"{D.lit(D.WORD)}), lambda t: NOT list_contains({_STOP}, t))")
+    return [
+        f"{name}_tok AS (SELECT doc_id, {toks} AS toks FROM {src})",
+        f"{name}_terms AS (SELECT doc_id, unnest(list_concat(toks, {D.windows('toks', 2)}, {D.windows('toks', 3)})) "
+        f"AS term FROM {name}_tok)",
+    ]
+
+
+_FIT = [D.PAIRS, _DOCS, *_terms("docs", "fit"),
+        "vocab AS (SELECT term, CAST(count(DISTINCT doc_id) AS BIGINT) AS df FROM fit_terms GROUP BY term "
+        "HAVING count(DISTINCT doc_id) >= 3)",
+        "ndocs AS (SELECT count(*) AS n FROM docs)",
+        "idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM vocab, ndocs)"]
+
+
+def _weights(terms: str) -> list[str]:
+    return [f"tf AS (SELECT doc_id, term, count(*) AS tf FROM {terms} GROUP BY doc_id, term)",
+            "tw AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JOIN idf USING (term))"]
+
+
+_WBODY = f"SELECT doc_id, term, {D.r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM tw"
+ORACLE["tfidf_vocab"] = D.with_ctes(*_FIT, body="SELECT term, df FROM vocab")
+ORACLE["tfidf_idf"] = D.with_ctes(*_FIT, body=f"SELECT term, {D.r6('idf')} AS idf FROM idf")
+ORACLE["tfidf_weights"] = D.with_ctes(*_FIT, *_weights("fit_terms"), body=_WBODY)
+ORACLE["tfidf_transform"] = D.with_ctes(
+    *_FIT,
+    "dd AS (SELECT doc_id, array_to_string(" + D.stems("text") + ", ' ') AS text FROM documents)",
+    *_terms("dd", "tr"), *_weights("tr_terms"), body=_WBODY)
+ORACLE["label_encode"] = D.with_ctes(D.PAIRS, body=(
+    "SELECT pair_id, CAST(dense_rank() OVER (ORDER BY sent_1) - 1 AS BIGINT) AS sent_1_code FROM pairs"))
+
+# ------------------------------------------------- lexical network (W) ----
+
+_FREQ = (f"freq AS (SELECT word, CAST(count(*) AS BIGINT) AS n FROM "
+         f"(SELECT unnest({D.tok('text')}) AS word FROM documents) GROUP BY word)")
+ORACLE["corpus_freq"] = D.with_ctes(_FREQ, body="SELECT word, n FROM freq")
+ORACLE["information_content"] = D.with_ctes(
+    _FREQ, "tot AS (SELECT sum(n) AS t FROM freq)",
+    f"cw AS (SELECT DISTINCT unnest({D.tok('text')}) AS word FROM conversations)",
+    body=f"SELECT cw.word, {D.r6('1.0 - ln(coalesce(f.n, 0) + 1) / ln(t + 1)')} AS ic "
+         "FROM cw LEFT JOIN freq f USING (word), tot")
+
+_CLOSURE = [
+    D.HYPERNYMS,
+    "nodes AS (SELECT child AS node FROM hypernyms UNION SELECT parent FROM hypernyms)",
+    "clos(node, ancestor, dist) AS (SELECT node, node, 0 FROM nodes UNION ALL "
+    "SELECT c.node, h.parent, c.dist + 1 FROM clos c JOIN hypernyms h ON c.ancestor = h.child WHERE c.dist < 64)",
+    "closure AS MATERIALIZED (SELECT node, ancestor, CAST(min(dist) AS INTEGER) AS dist FROM clos "
+    "GROUP BY node, ancestor)",
+]
+ORACLE["hypernym_closure"] = D.with_ctes(*_CLOSURE, body="SELECT node, ancestor, dist FROM closure", recursive=True)
+
+_WP = ("wp AS (SELECT DISTINCT w[i] AS word_1, w[i + 1] AS word_2 FROM "
+       f"(SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT {D.lower_words('text')} AS w FROM conversations)))")
+_SENSE = [
+    _WP, D.LEMMAS,
+    "sp AS MATERIALIZED (SELECT wp.word_1, wp.word_2, l1.synset AS s1, l1.rank AS r1, l2.synset AS s2, l2.rank AS r2 "
+    "FROM wp JOIN lemmas l1 ON l1.word = wp.word_1 JOIN lemmas l2 ON l2.word = wp.word_2)",
+    "x1 AS MATERIALIZED (SELECT x.s1, x.s2, c1.ancestor, c1.dist AS d1 FROM (SELECT DISTINCT s1, s2 FROM sp) x "
+    "JOIN closure c1 ON c1.node = x.s1)",
+    "paths AS MATERIALIZED (SELECT x1.s1, x1.s2, min(x1.d1 + c2.dist) AS path, max(greatest(x1.d1, c2.dist)) AS h "
+    "FROM x1 JOIN closure c2 ON c2.node = x1.s2 AND c2.ancestor = x1.ancestor GROUP BY x1.s1, x1.s2)",
+    "best AS (SELECT * FROM (SELECT sp.word_1, sp.word_2, sp.s1, sp.s2, p.path, p.h, row_number() OVER "
+    "(PARTITION BY sp.word_1, sp.word_2 ORDER BY p.path, sp.r1, sp.r2) AS rn FROM sp JOIN paths p "
+    "ON p.s1 = sp.s1 AND p.s2 = sp.s2) WHERE rn = 1)",
+]
+ORACLE["synset_path"] = D.with_ctes(*_CLOSURE, *_SENSE, recursive=True, body=(
+    f"SELECT s1, s2, path, {D.r6('1.0 / (1.0 + path)')} AS path_similarity FROM paths"))
+ORACLE["best_synset_pair"] = D.with_ctes(*_CLOSURE, *_SENSE, recursive=True, body=(
+    f"SELECT word_1, word_2, s1, s2, path, {D.r6('1.0 / (1.0 + path)')} AS path_similarity FROM best"))
+ORACLE["word_similarity"] = D.with_ctes(
+    *_CLOSURE, *_SENSE,
+    "lo AS (SELECT DISTINCT a.synset AS s1, b.synset AS s2 FROM lemmas a JOIN lemmas b ON a.word = b.word)",
+    "sc AS (SELECT b.word_1, b.word_2, exp(-0.2 * CASE WHEN b.s1 = b.s2 THEN 0.0 WHEN lo.s1 IS NOT NULL THEN 1.0 "
+    "ELSE CAST(b.path AS DOUBLE) END) AS lf, tanh(0.45 * b.h) AS df FROM best b "
+    "LEFT JOIN lo ON lo.s1 = b.s1 AND lo.s2 = b.s2)",
+    recursive=True,
+    body=(f"SELECT w.word_1, w.word_2, {D.r6('coalesce(lf, 0.0)')} AS length_factor, "
+          f"{D.r6('coalesce(df, 0.0)')} AS depth_factor, {D.r6('coalesce(lf, 0.0) * coalesce(df, 0.0)')} AS similarity "
+          "FROM wp w LEFT JOIN sc USING (word_1, word_2)"))

@@ -19,8 +19,8 @@ def edit_distance(pairs: DataFrame, families, text_cols=("sent_1", "sent_2"),
     """``pair_id, family, levenshtein`` for every family."""
     fams = list(families)
     base = G.with_base_arrays(pairs, fams, text_cols, tag_cols)
-    rows = F.explode(F.array(*[
+    rows = F.inline(F.array(*[
         F.struct(F.lit(f).alias("family"), G.family_array(f, 1).alias("a"), G.family_array(f, 2).alias("b"))
         for f in fams]))
-    per_family = base.select("pair_id", rows.alias("r")).select("pair_id", "r.family", "r.a", "r.b")
+    per_family = base.select("pair_id", rows)
     return per_family.select("pair_id", "family", r6(nlevenshtein(F.col("a"), F.col("b"))).alias("levenshtein"))

@@ -92,7 +92,11 @@ def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
     fams = list(families)
     base = with_base_arrays(pairs, fams, text_cols, tag_cols)
     items = [F.transform(family_array(fam, side), _labeller(fam, side)) for fam in fams for side in (1, 2)]
-    return (base.select("pair_id", F.explode(F.concat(*items)).alias("g"))
+    # explode_outer + a null filter: a plain explode makes the optimizer infer
+    # size(array) > 0 and push it below the projection, re-evaluating the
+    # tokenisers inside every n-gram lambda.
+    return (base.select("pair_id", F.explode_outer(F.concat(*items)).alias("g"))
+            .filter(F.col("g").isNotNull())
             .select("pair_id", "g.family", "g.side", "g.pos", "g.gram"))
 
 

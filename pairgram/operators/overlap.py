@@ -99,7 +99,7 @@ def ngram_set_features(pairs: DataFrame, generators: dict, text_cols=("sent_1",
         s1 = gen(F.col(text_cols[0]))
         s2 = gen(F.col(text_cols[1]))
         rows.append(F.struct(F.lit(name).alias("feature"), s1.alias("s1"), s2.alias("s2")))
-    exploded = pairs.select("pair_id", F.explode(F.array(*rows)).alias("r")).select("pair_id", "r.*")
+    exploded = pairs.select("pair_id", F.inline(F.array(*rows)))
     swap = F.size("s1") > F.size("s2")
     small = F.when(swap, F.col("s2")).otherwise(F.col("s1"))
     large = F.when(swap, F.col("s1")).otherwise(F.col("s2"))

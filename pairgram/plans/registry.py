@@ -40,8 +40,9 @@ def _side_rows(pairs: DataFrame, arr_1, arr_2, value: str) -> DataFrame:
     """``pair_id, side, pos, <value>`` from one array per side (pos is 1-based)."""
     sides = F.array(F.struct(F.lit(1).alias("side"), arr_1.alias("a")),
                     F.struct(F.lit(2).alias("side"), arr_2.alias("a")))
-    return (pairs.select("pair_id", F.explode(sides).alias("s"))
-            .select("pair_id", "s.side", F.posexplode("s.a").alias("p0", value))
+    return (pairs.select("pair_id", F.inline(sides))
+            .select("pair_id", "side", F.posexplode_outer("a").alias("p0", value))
+            .filter(F.col("p0").isNotNull())
             .select("pair_id", "side", (F.col("p0") + 1).alias("pos"), value))
 
 
@@ -77,7 +78,7 @@ def sentence_stem(spark, sf_dir):
 def stem_vocabulary(spark, sf_dir):
     """T5 as a vocabulary job: distinct alphabetic tokens, stemmed once each."""
     conv = fx.read_table(spark, sf_dir, "conversations", ["text"])
-    vocab = conv.select(F.explode(tx.alpha_tokens("text")).alias("token")).distinct()
+    vocab = conv.select(F.explode_outer(tx.alpha_tokens("text")).alias("token")).filter("token IS NOT NULL").distinct()
     return vocab.select("token", tx.s_stem(F.col("token")).alias("stem"))
 
 
@@ -270,3 +271,106 @@ def binary_metrics_q(spark, sf_dir):
 
 
 QUERIES["binary_metrics"] = QUERIES.pop("binary_metrics_q")
+
+
+# ----------------------------------------------------- corpus stats (F) ----
+
+from pairgram.operators import encode as ENC  # noqa: E402
+from pairgram.operators import lexnet as W  # noqa: E402
+from pairgram.operators import tfidf as TF  # noqa: E402
+
+
+def fit_documents(spark, sf_dir):
+    """Each side of each pair is one document: doc_id = 2 * pair_id + side - 1,
+    text = the stemmed sentence (T4)."""
+    p = fx.conversation_pairs(spark, sf_dir)
+    sides = F.array(F.struct((F.col("pair_id") * 2).alias("doc_id"), F.col("sent_1").alias("s")),
+                    F.struct((F.col("pair_id") * 2 + 1).alias("doc_id"), F.col("sent_2").alias("s")))
+    return p.select(F.inline(sides)).select("doc_id", tx.stemmed_sentence(F.col("s")).alias("text"))
+
+
+def fitted_tfidf(spark, sf_dir):
+    return TF.TfidfModel(fx.STOP_WORDS, min_df=3).fit(fit_documents(spark, sf_dir),
+                                                       num_partitions=fx.pair_partitions(spark))
+
+
+@query
+def tfidf_vocab(spark, sf_dir):
+    return fitted_tfidf(spark, sf_dir).vocab
+
+
+@query
+def tfidf_idf(spark, sf_dir):
+    return fitted_tfidf(spark, sf_dir).idf.select("term", r6(F.col("idf")).alias("idf"))
+
+
+@query
+def tfidf_weights(spark, sf_dir):
+    return fitted_tfidf(spark, sf_dir).transform(fit_documents(spark, sf_dir), num_partitions=fx.pair_partitions(spark))
+
+
+@query
+def tfidf_transform(spark, sf_dir):
+    """the vocabulary fitted on conversation pairs applied to the documents table."""
+    model = fitted_tfidf(spark, sf_dir)
+    docs = fx.read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
+        "doc_id", tx.stemmed_sentence(F.col("text")).alias("text"))
+    return model.transform(docs, num_partitions=fx.pair_partitions(spark))
+
+
+@query
+def label_encode(spark, sf_dir):
+    """0-based code of each sentence by sorted distinct value."""
+    p = fx.conversation_pairs(spark, sf_dir).select("pair_id", "sent_1")
+    return ENC.LabelEncoder("sent_1").fit(p).transform(p).select("pair_id", "sent_1_code")
+
+
+# ------------------------------------------------- lexical network (W) ----
+
+@query
+def corpus_freq(spark, sf_dir):
+    return W.corpus_freq(fx.read_table(spark, sf_dir, "documents", ["text"]))
+
+
+@query
+def information_content(spark, sf_dir):
+    freq = W.corpus_freq(fx.read_table(spark, sf_dir, "documents", ["text"]))
+    total = W.corpus_total(freq)
+    conv = fx.read_table(spark, sf_dir, "conversations", ["text"])
+    words = conv.select(F.explode_outer(tx.word_punct_tokens("text")).alias("word")).filter("word IS NOT NULL").distinct()
+    return W.information_content(words, freq, total).select("word", r6(F.col("ic")).alias("ic"))
+
+
+def _taxonomy(spark, sf_dir):
+    return fx.hypernyms(spark, sf_dir), fx.lemmas(spark, sf_dir)
+
+
+@query
+def hypernym_closure(spark, sf_dir):
+    edges, _ = _taxonomy(spark, sf_dir)
+    return W.hypernym_closure(edges)
+
+
+def _word_pairs(spark, sf_dir):
+    return W.adjacent_word_pairs(fx.read_table(spark, sf_dir, "conversations", ["text"]))
+
+
+@query
+def synset_path(spark, sf_dir):
+    edges, lemmas = _taxonomy(spark, sf_dir)
+    sp = W.sense_pairs(_word_pairs(spark, sf_dir), lemmas)
+    return W.synset_path(sp, W.hypernym_closure(edges)).select(
+        "s1", "s2", "path", r6(F.col("path_similarity")).alias("path_similarity"))
+
+
+@query
+def best_synset_pair(spark, sf_dir):
+    edges, lemmas = _taxonomy(spark, sf_dir)
+    best = W.best_synset_pair(_word_pairs(spark, sf_dir), lemmas, W.hypernym_closure(edges))
+    return best.select("word_1", "word_2", "s1", "s2", "path", r6(F.col("path_similarity")).alias("path_similarity"))
+
+
+@query
+def word_similarity(spark, sf_dir):
+    edges, lemmas = _taxonomy(spark, sf_dir)
+    return W.word_similarity(_word_pairs(spark, sf_dir), lemmas, W.hypernym_closure(edges))

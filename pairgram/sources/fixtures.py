@@ -106,7 +106,7 @@ def tagged(pairs: DataFrame) -> DataFrame:
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lower-case words of all conversation turns."""
     conv = read_table(spark, sf_dir, "conversations", ["text"])
-    return conv.select(F.explode(lower_words("text")).alias("word")).distinct()
+    return conv.select(F.explode_outer(lower_words("text")).alias("word")).filter("word IS NOT NULL").distinct()
 
 
 def hypernyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,23 +119,23 @@ def hypernyms(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("p2:"), F.substring(p3, 1, 2)).alias("p2"),
         F.concat(F.lit("p1:"), F.substring(p3, 1, 1)).alias("p1"),
     )
-    edges = F.explode(F.array(
+    edges = F.inline(F.array(
         F.struct(F.col("w").alias("child"), F.col("p3").alias("parent")),
         F.struct(F.col("p3").alias("child"), F.col("p2").alias("parent")),
         F.struct(F.col("p2").alias("child"), F.col("p1").alias("parent")),
         F.struct(F.col("p1").alias("child"), F.lit("root").alias("parent")),
     ))
-    return levels.select(edges.alias("e")).select("e.child", "e.parent").distinct()
+    return levels.select(edges).distinct()
 
 
 def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``word, synset, rank``: sense w:<word> (rank 1) and p3:<prefix> (rank 2)."""
     words = corpus_words(spark, sf_dir)
-    senses = F.explode(F.array(
+    senses = F.inline(F.array(
         F.struct(F.concat(F.lit("w:"), "word").alias("synset"), F.lit(1).alias("rank")),
         F.struct(F.concat(F.lit("p3:"), F.substring("word", 1, 3)).alias("synset"), F.lit(2).alias("rank")),
     ))
-    return words.select("word", senses.alias("s")).select("word", "s.synset", "s.rank")
+    return words.select("word", senses)
 
 
 def stop_words(spark: SparkSession) -> DataFrame:
