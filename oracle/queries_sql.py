@@ -260,3 +260,15 @@ ORACLE["word_similarity"] = D.with_ctes(
     body=(f"SELECT w.word_1, w.word_2, {D.r6('coalesce(lf, 0.0)')} AS length_factor, "
           f"{D.r6('coalesce(df, 0.0)')} AS depth_factor, {D.r6('coalesce(lf, 0.0) * coalesce(df, 0.0)')} AS similarity "
           "FROM wp w LEFT JOIN sc USING (word_1, word_2)"))
+
+# ------------------------------------------------- model and evaluation ----
+
+from pairgram.plans.model_plan import dense_feature_names  # noqa: E402  (names only: a fixed spec)
+
+_DENSE = "dense(j, name) AS (VALUES " + ", ".join(f"({i}, {D.lit(n)})" for i, n in enumerate(dense_feature_names())) + ")"
+ORACLE["feature_map"] = D.with_ctes(
+    *_FIT, "ix AS (SELECT term, dense_rank() OVER (ORDER BY term) - 1 AS i FROM vocab)",
+    "vs AS (SELECT count(*) AS v FROM vocab)", _DENSE,
+    body="SELECT CAST(i AS INTEGER) AS idx, 'tfidf_1:' || term AS name, 'q' AS q FROM ix "
+         "UNION ALL SELECT CAST(i + v AS INTEGER), 'tfidf_2:' || term, 'q' FROM ix, vs "
+         "UNION ALL SELECT CAST(2 * v + j AS INTEGER), name, 'q' FROM dense, vs")

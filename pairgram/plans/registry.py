@@ -374,3 +374,15 @@ def best_synset_pair(spark, sf_dir):
 def word_similarity(spark, sf_dir):
     edges, lemmas = _taxonomy(spark, sf_dir)
     return W.word_similarity(_word_pairs(spark, sf_dir), lemmas, W.hypernym_closure(edges))
+
+
+# ------------------------------------------------- model and evaluation ----
+
+from pairgram.plans import model_plan as MP  # noqa: E402
+
+QUERIES["features_wide"] = MP.q_features_wide
+QUERIES["assemble"] = MP.q_assemble
+QUERIES["feature_map"] = MP.q_feature_map
+QUERIES["gbt_predict"] = MP.q_gbt_predict
+QUERIES["gbt_regress"] = MP.q_gbt_regress
+QUERIES["split_importance"] = MP.q_split_importance
