@@ -272,3 +272,12 @@ ORACLE["feature_map"] = D.with_ctes(
     body="SELECT CAST(i AS INTEGER) AS idx, 'tfidf_1:' || term AS name, 'q' AS q FROM ix "
          "UNION ALL SELECT CAST(i + v AS INTEGER), 'tfidf_2:' || term, 'q' FROM ix, vs "
          "UNION ALL SELECT CAST(2 * v + j AS INTEGER), name, 'q' FROM dense, vs")
+
+# ------------------------------------------------------------- streaming ----
+
+ORACLE["stream_turn_features"] = (
+    f"SELECT conv_id, turn, CAST(len(t) AS BIGINT) AS n_tokens, "
+    f"CAST(len(list_filter(t, lambda x: regexp_full_match(x, '\\p{{L}}+'))) AS BIGINT) AS n_alpha, "
+    f"CAST(len(list_filter(t, lambda x: regexp_full_match(x, '[0-9]+'))) AS BIGINT) AS n_digit, "
+    f"CAST(len(list_distinct({D.chars('text', 3)})) AS BIGINT) AS n_char3 "
+    f"FROM (SELECT conv_id, turn, text, {D.tok('text')} AS t FROM conversations)")

@@ -386,3 +386,10 @@ QUERIES["feature_map"] = MP.q_feature_map
 QUERIES["gbt_predict"] = MP.q_gbt_predict
 QUERIES["gbt_regress"] = MP.q_gbt_regress
 QUERIES["split_importance"] = MP.q_split_importance
+
+
+# ------------------------------------------------------------- streaming ----
+
+from pairgram.streaming.turns import stream_turn_features  # noqa: E402
+
+QUERIES["stream_turn_features"] = stream_turn_features

@@ -1,7 +1,7 @@
 import __spark_entry__ as E
 
 NO_ORACLE = {"edit_distance_word", "edit_distance_char", "edit_distance_tag", "gbt_predict", "gbt_regress", "split_importance", "assemble",
-             "features_wide", "stream_turn_features", "grid_search"}
+             "features_wide", "grid_search"}
 
 
 def test_entry_runs(spark):
