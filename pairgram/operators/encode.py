@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairgram.session import checkpointed
+
 
 def dense_codes(values: DataFrame, col: str, code_col: str = "code", num_partitions: int | None = None) -> DataFrame:
     """``col, code``: code = number of distinct non-null values smaller than ``col``."""
     spark = values.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = values.select(col).filter(F.col(col).isNotNull()).distinct()
-    ranged = (distinct.repartitionByRange(n, col).sortWithinPartitions(col)
-              .withColumn("_pid", F.spark_partition_id())).checkpoint()
+    ranged = checkpointed(distinct.repartitionByRange(n, col).sortWithinPartitions(col)
+                          .withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
     w = Window.partitionBy("_pid").orderBy(col)
@@ -37,7 +39,7 @@ class LabelEncoder:
         self.size: int | None = None
 
     def fit(self, df: DataFrame) -> "LabelEncoder":
-        self.codes = dense_codes(df, self.col).checkpoint()
+        self.codes = checkpointed(dense_codes(df, self.col))
         self.size = self.codes.count()
         return self
 

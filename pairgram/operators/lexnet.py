@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairgram.functions import text as tx
 from pairgram.functions.safe import r6
-from pairgram.session import broadcast_if_small
+from pairgram.session import broadcast_if_small, checkpointed
 
 # The published parameters of the similarity measure.
 ALPHA = 0.2
@@ -57,19 +57,19 @@ def hypernym_closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
     is produced at its shortest distance and cycles end the loop. The result
     of each round is checkpointed to the shared folder to cut lineage.
     """
-    edges = edges.select("child", "parent").distinct().checkpoint()
+    edges = checkpointed(edges.select("child", "parent").distinct())
     small_edges = broadcast_if_small(edges, EDGE_BROADCAST_ROWS)
     nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
-    closure = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")).checkpoint()
+    closure = checkpointed(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")))
     frontier = closure
     for depth in range(1, max_depth + 1):
         step = (frontier.join(small_edges, frontier.ancestor == small_edges.child)
                 .select("node", F.col("parent").alias("ancestor")).distinct())
-        new = step.join(closure, ["node", "ancestor"], "left_anti").select(
-            "node", "ancestor", F.lit(depth).alias("dist")).checkpoint()
+        new = checkpointed(step.join(closure, ["node", "ancestor"], "left_anti").select(
+            "node", "ancestor", F.lit(depth).alias("dist")))
         if new.isEmpty():
             break
-        closure = closure.unionByName(new).checkpoint()
+        closure = checkpointed(closure.unionByName(new))
         frontier = new
     return closure
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairgram.operators.encode import dense_codes
-from pairgram.session import broadcast_if_small, shared_dir
+from pairgram.session import broadcast_if_small, checkpointed, shared_dir
 
 GBT_PARAMS = dict(maxDepth=4, stepSize=0.01, maxIter=100, seed=42)
 
@@ -49,7 +49,7 @@ def _sparse(size, idx, val):
 def tfidf_blocks(weights: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Index terms by sorted order (distributed dense codes) and gather each
     document's weights into one sparse vector. Returns (doc vectors, term index, size)."""
-    index = dense_codes(vocab, "term", "term_idx").checkpoint()
+    index = checkpointed(dense_codes(vocab, "term", "term_idx"))
     size = index.count()
     indexed = weights.join(broadcast_if_small(index), "term")
     per_doc = indexed.groupBy("doc_id").agg(F.collect_list("term_idx").alias("idx"),

@@ -16,7 +16,7 @@ from pairgram.operators.distance import edit_distance
 from pairgram.operators.overlap import overlap_metrics, pair_gram_stats
 from pairgram.operators.positions import STATS, position_stats
 from pairgram.plans.features import tagged_pairs
-from pairgram.session import shared_dir
+from pairgram.session import checkpointed, shared_dir
 from pairgram.sources import fixtures as fx
 from pairgram.sources import tsv
 
@@ -47,7 +47,7 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     once so the feature branches below do not recompute the pairing."""
     pairs = tagged_pairs(spark, sf_dir)
     lab = pairs.join(fx.votes(pairs), "pair_id").withColumn("label", L.test_label(F.col("vote")))
-    return L.drop_ambiguous(lab, "label").checkpoint()
+    return checkpointed(L.drop_ambiguous(lab, "label"))
 
 
 def features_wide(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
@@ -79,7 +79,7 @@ def assembled(spark: SparkSession, sf_dir: str):
     model = fitted_tfidf(spark, sf_dir)
     weights = model.transform(fit_documents(spark, sf_dir), num_partitions=fx.pair_partitions(spark))
     vectors, index, size = M.tfidf_blocks(weights, model.vocab)
-    out = M.assemble(wide, vectors, size).select("pair_id", "label", "features").checkpoint()
+    out = checkpointed(M.assemble(wide, vectors, size).select("pair_id", "label", "features"))
     return out, M.feature_names(index, size, dense_feature_names())
 
 
@@ -103,7 +103,7 @@ def q_feature_map(spark, sf_dir):
     ``idx \t name \t q`` and read back."""
     from pairgram.operators.encode import dense_codes
     from pairgram.plans.registry import fitted_tfidf
-    index = dense_codes(fitted_tfidf(spark, sf_dir).vocab, "term", "term_idx").checkpoint()
+    index = checkpointed(dense_codes(fitted_tfidf(spark, sf_dir).vocab, "term", "term_idx"))
     names = M.feature_names(index, index.count(), dense_feature_names())
     path = shared_dir(spark, "feature-map")
     M.write_feature_map(names, path)

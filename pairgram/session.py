@@ -66,3 +66,9 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the session's shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

@@ -53,7 +53,8 @@ def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
     row number inside each partition. Used to align positional files such as
     the gold labels, whose only key is the line number."""
     tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    tagged = tagged.checkpoint()
+    from pairgram.session import checkpointed
+    tagged = checkpointed(tagged)
     from pyspark.sql import Window
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
