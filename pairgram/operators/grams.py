@@ -79,25 +79,52 @@ def with_base_arrays(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
     return pairs.select("pair_id", *[c.alias(k) for k, c in cols.items()])
 
 
-def _labeller(family: str, side: int):
-    def label(g: Column, i: Column) -> Column:
-        return F.struct(F.lit(family).alias("family"), F.lit(side).alias("side"),
-                        (i + 1).alias("pos"), g.alias("gram"))
-    return label
+def _family_rows(fams: list[str]) -> Column:
+    """One struct per (family, side): the family's source list or text and its n."""
+    rows = []
+    for fam in fams:
+        kind, n = fam[:-1], int(fam[-1])
+        for side in (1, 2):
+            if kind in ("char", "cstem"):
+                src = F.col(f"txt_{side}") if kind == "char" else F.col(f"ssent_{side}")
+                arr, txt, size = F.lit(None).cast("array<string>"), src, CHAR_SIZES[str(n)]
+            else:
+                base = {"word": "tok", "stem": "stok", "pos": "pos", "ner": "ner", "event": "event"}[kind]
+                arr, txt, size = F.col(f"{base}_{side}"), F.lit(None).cast("string"), n
+            rows.append(F.struct(F.lit(fam).alias("family"), F.lit(side).alias("side"),
+                                 F.lit(kind in ("char", "cstem")).alias("is_char"),
+                                 arr.alias("arr"), txt.alias("txt"), F.lit(size).alias("n")))
+    return F.array(*rows)
 
 
 def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
                text_cols=("sent_1", "sent_2"), tag_cols=("tags_1", "tags_2")) -> DataFrame:
-    """``pair_id, family, side, pos, gram``: one row per gram occurrence (pos 1-based)."""
+    """``pair_id, family, side, pos, gram``: one row per gram occurrence (pos 1-based).
+
+    No per-element lambdas: each (pair, family, side) row explodes a native
+    ``sequence`` of start offsets, and the gram is a plain codegen'd expression
+    (``substring`` for characters, ``array_join(slice(...))`` for word lists).
+    Word n-grams keep the reference fallback: a list shorter than n yields its
+    (n-1)-grams, down to unigrams, i.e. the window is least(n, max(size, 1)).
+    """
     fams = list(families)
     base = with_base_arrays(pairs, fams, text_cols, tag_cols)
-    items = [F.transform(family_array(fam, side), _labeller(fam, side)) for fam in fams for side in (1, 2)]
+    rows = base.select("pair_id", F.inline(_family_rows(fams)))
+    length = F.length("txt")
+    size = F.size("arr")
+    n_eff = F.least(F.col("n"), F.greatest(size, F.lit(1)))
+    empty = F.array().cast("array<int>")
+    starts = (F.when(F.col("is_char"),
+                     F.when(length >= F.col("n"), F.sequence(F.lit(1), length - F.col("n") + 1)).otherwise(empty))
+              .otherwise(F.when(size >= 1, F.sequence(F.lit(1), size - n_eff + 1)).otherwise(empty)))
     # explode_outer + a null filter: a plain explode makes the optimizer infer
-    # size(array) > 0 and push it below the projection, re-evaluating the
-    # tokenisers inside every n-gram lambda.
-    return (base.select("pair_id", F.explode_outer(F.concat(*items)).alias("g"))
-            .filter(F.col("g").isNotNull())
-            .select("pair_id", "g.family", "g.side", "g.pos", "g.gram"))
+    # size(array) > 0 and push it below the projection.
+    exploded = (rows.select("pair_id", "family", "side", "is_char", "arr", "txt", "n",
+                            F.explode_outer(starts).alias("pos"))
+                .filter(F.col("pos").isNotNull()))
+    gram = F.when(F.col("is_char"), F.substring(F.col("txt"), F.col("pos"), F.col("n"))).otherwise(
+        F.array_join(F.slice(F.col("arr"), F.col("pos"), n_eff), "_"))
+    return exploded.select("pair_id", "family", "side", "pos", gram.alias("gram"))
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
