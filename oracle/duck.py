@@ -172,30 +172,28 @@ def with_ctes(*ctes: str, body: str, recursive: bool = False) -> str:
 # ---------------------------------------------------------- gram tables ----
 
 def family_list(fam: str, side: int) -> str:
+    """The family's list for one side, from the base lists of the ``base`` CTE."""
     kind, n = fam[:-1], int(fam[-1])
-    s = f"sent_{side}"
-    t = f"tags_{side}"
-    if kind == "word":
-        return ngram(tok(s), n)
-    if kind == "stem":
-        return ngram(stems(s), n)
     if kind == "char":
-        return chars(s, n)
+        return chars(f"sent_{side}", n)
     if kind == "cstem":
-        return chars(f"array_to_string({stems(s)}, ' ')", n)
-    if kind == "pos":
-        return ngram(tag_field(t, 2), n)
-    if kind == "ner":
-        return ngram(tag_field(t, 1, True), n)
-    if kind == "event":
-        return ngram(tag_field(t, 4, True), n)
-    raise ValueError(fam)
+        return chars(f"ssent_{side}", n)
+    col = {"word": "tok", "stem": "stok", "pos": "pos", "ner": "ner", "event": "ev"}[kind]
+    return ngram(f"{col}_{side}", n)
+
+
+BASE = ("base AS MATERIALIZED (SELECT pair_id, sent_1, sent_2, "
+        + ", ".join(f"{tok(f'sent_{i}')} AS tok_{i}, {stems(f'sent_{i}')} AS stok_{i}, "
+                    f"array_to_string({stems(f'sent_{i}')}, ' ') AS ssent_{i}, "
+                    f"{tag_field(f'tags_{i}', 2)} AS pos_{i}, {tag_field(f'tags_{i}', 1, True)} AS ner_{i}, "
+                    f"{tag_field(f'tags_{i}', 4, True)} AS ev_{i}" for i in (1, 2))
+        + " FROM tagged)")
 
 
 def gram_ctes(families) -> list[str]:
     """pairs -> tagged -> fl (family lists) -> grams -> gc -> st (sums) -> met (metrics)."""
     fl = "\n    UNION ALL ".join(
-        f"SELECT pair_id, '{f}' AS family, {side} AS side, {family_list(f, side)} AS lst FROM tagged"
+        f"SELECT pair_id, '{f}' AS family, {side} AS side, {family_list(f, side)} AS lst FROM base"
         for f in families for side in (1, 2))
     digit = "regexp_full_match(gram, '[0-9]+')"
     st = f"""st AS (
@@ -229,7 +227,7 @@ def gram_ctes(families) -> list[str]:
     {r6(sdiv(f'2 * {p} * {r}', f'{p} + {r}'))} AS f1
   FROM st)"""
     return [
-        PAIRS, TAGGED,
+        PAIRS, TAGGED, BASE,
         f"fl AS (\n    {fl})",
         "grams AS (SELECT pair_id, family, side, generate_subscripts(lst, 1) AS pos, unnest(lst) AS gram FROM fl)",
         "gc AS (SELECT pair_id, family, gram, count_if(side = 1) AS ca, count_if(side = 2) AS cb "

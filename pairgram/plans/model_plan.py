@@ -46,7 +46,7 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tagged pairs with the test-rule label, ambiguous rows dropped, checkpointed
     once so the feature branches below do not recompute the pairing."""
     pairs = tagged_pairs(spark, sf_dir)
-    lab = pairs.join(fx.votes(pairs), "pair_id").withColumn("label", L.test_label(F.col("vote")))
+    lab = fx.with_vote(pairs).withColumn("label", L.test_label(F.col("vote")))
     return checkpointed(L.drop_ambiguous(lab, "label"))
 
 

@@ -130,8 +130,7 @@ QUERIES["ngram_set_features"] = lambda spark, sf_dir: ngram_set_features(
 # ------------------------------------------------------ labels (P, S, J) ----
 
 def _labelled(spark, sf_dir):
-    p = fx.conversation_pairs(spark, sf_dir)
-    return p.join(fx.votes(p), "pair_id")
+    return fx.with_vote(fx.conversation_pairs(spark, sf_dir))
 
 
 @query
@@ -169,6 +168,8 @@ def missing_flags(spark, sf_dir):
 def gold_join(spark, sf_dir):
     p = fx.conversation_pairs(spark, sf_dir)
     g = fx.gold(fx.votes(p))
+    # J1 proper: the gold table is keyed by pair_id like the pairs; both sides
+    # come from the same pair-partitioned frame, so the join adds no exchange.
     return L.join_gold(p.select("pair_id", "trend_id"), g).select(
         "pair_id", "trend_id", "ans", r6(F.col("prob")).alias("prob"))
 
@@ -177,9 +178,7 @@ def gold_join(spark, sf_dir):
 def scan_pairs(spark, sf_dir):
     """Write the derived pairs in the reference's 7-column TSV layout to the
     shared folder, then read them back with the explicit schema."""
-    p = _pairs(spark, sf_dir)
-    v = fx.votes(p)
-    rows = p.join(v, "pair_id").select(
+    rows = fx.with_vote(_pairs(spark, sf_dir)).select(
         F.col("trend_id").cast("int").alias("trendid"),
         F.concat(F.lit("conv "), F.col("trend_id").cast("string")).alias("trendname"),
         F.col("sent_1").alias("origsent"), F.col("sent_2").alias("candsent"),
@@ -261,9 +260,9 @@ JACCARD_THRESHOLD = 0.2
 @query
 def binary_metrics_q(spark, sf_dir):
     """M5/M6 on the test-label rule, predicting 1 when word-unigram Jaccard > 0.2."""
-    p = fx.conversation_pairs(spark, sf_dir)
-    lab = p.join(fx.votes(p), "pair_id").select("pair_id", L.test_label(F.col("vote")).alias("label"))
-    jac = _family_metrics(spark, sf_dir, ("word1",)).select("pair_id", "jaccard")
+    p = _pairs(spark, sf_dir)
+    lab = p.select("pair_id", L.test_label(fx.vote_expr()).alias("label"))
+    jac = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(p, ("word1",))))).select("pair_id", "jaccard")
     scored = (L.drop_ambiguous(lab, "label").join(jac, "pair_id", "left")
               .select("label", (F.coalesce(F.col("jaccard"), F.lit(0.0)) > JACCARD_THRESHOLD)
                       .cast("int").alias("prediction")))

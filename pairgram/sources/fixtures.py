@@ -61,10 +61,20 @@ def lower_words(c) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(col, F.lit(""))), F.lit(WORD_RE), 0)
 
 
-def votes(pairs: DataFrame) -> DataFrame:
-    """``pair_id, vote``: vote = least(5, distinct common lower-case words)."""
+def vote_expr() -> Column:
+    """vote = least(5, distinct common lower-case words of the two sentences)."""
     common = F.size(F.array_intersect(lower_words("sent_1"), lower_words("sent_2")))
-    return pairs.select("pair_id", F.least(F.lit(5), common).cast("int").alias("vote"))
+    return F.least(F.lit(5), common).cast("int")
+
+
+def with_vote(pairs: DataFrame) -> DataFrame:
+    """The pairs plus their vote: a row-local column, no join back to the pairs."""
+    return pairs.withColumn("vote", vote_expr())
+
+
+def votes(pairs: DataFrame) -> DataFrame:
+    """``pair_id, vote``."""
+    return pairs.select("pair_id", vote_expr().alias("vote"))
 
 
 def judge_string(vote: Column) -> Column:
