@@ -61,10 +61,11 @@ _GRAM_COLS = "SELECT pair_id, family, side, CAST(pos AS INTEGER) AS pos, gram FR
 ORACLE["word_ngrams"] = grams_with(("word1", "word2", "word3"), _GRAM_COLS)
 ORACLE["char_ngrams"] = grams_with(("char1", "char2", "char3"), _GRAM_COLS)
 ORACLE["tag_ngrams"] = grams_with(("pos2", "pos3", "ner2", "ner3", "event2", "event3"), _GRAM_COLS)
-ORACLE["skip_bigrams"] = _q(D.PAIRS, body=side_rows(
-    D.bigram(D.tok("sent_1"), skip=1), D.bigram(D.tok("sent_2"), skip=1), "gram"))
-ORACLE["skip_trigrams"] = _q(D.PAIRS, body=side_rows(
-    D.trigram(D.tok("sent_1"), skip=1), D.trigram(D.tok("sent_2"), skip=1), "gram"))
+_TK = f"tk AS MATERIALIZED (SELECT pair_id, {D.tok('sent_1')} AS t1, {D.tok('sent_2')} AS t2 FROM pairs)"
+ORACLE["skip_bigrams"] = _q(D.PAIRS, _TK, body=side_rows(
+    D.bigram("t1", skip=1), D.bigram("t2", skip=1), "gram", src="tk"))
+ORACLE["skip_trigrams"] = _q(D.PAIRS, _TK, body=side_rows(
+    D.trigram("t1", skip=1), D.trigram("t2", skip=1), "gram", src="tk"))
 
 
 def _char_set(a: str, n: int) -> str:

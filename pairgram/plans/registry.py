@@ -101,30 +101,38 @@ QUERIES["char_ngrams"] = _gram_rows(("char1", "char2", "char3"))
 QUERIES["tag_ngrams"] = _gram_rows(("pos2", "pos3", "ner2", "ner3", "event2", "event3"))
 
 
+def _tokens(spark, sf_dir):
+    """Token lists materialised as columns, so n-gram lambdas read them instead of
+    re-running the tokeniser per element."""
+    return _pairs(spark, sf_dir).select("pair_id", tx.word_punct_tokens("sent_1").alias("t1"),
+                                        tx.word_punct_tokens("sent_2").alias("t2"))
+
+
 @query
 def skip_bigrams(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    return _side_rows(p, ng.bigrams(tx.word_punct_tokens("sent_1"), skip=1),
-                      ng.bigrams(tx.word_punct_tokens("sent_2"), skip=1), "gram")
+    p = _tokens(spark, sf_dir)
+    return _side_rows(p, ng.bigrams(F.col("t1"), skip=1), ng.bigrams(F.col("t2"), skip=1), "gram")
 
 
 @query
 def skip_trigrams(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    return _side_rows(p, ng.trigrams(tx.word_punct_tokens("sent_1"), skip=1),
-                      ng.trigrams(tx.word_punct_tokens("sent_2"), skip=1), "gram")
+    p = _tokens(spark, sf_dir)
+    return _side_rows(p, ng.trigrams(F.col("t1"), skip=1), ng.trigrams(F.col("t2"), skip=1), "gram")
 
 
+# Generators take a column of tweet words (materialised once per side).
 NGRAM_SET_GENERATORS = {
-    "C1": lambda s: ng.char_ngram_set(tx.tweet_words(s), 1),
-    "C2": lambda s: ng.char_ngram_set(tx.tweet_words(s), 2),
-    "V1": lambda s: ng.word_ngram_set(tx.tweet_words(s), 1),
-    "V2": lambda s: ng.word_ngram_set(tx.tweet_words(s), 2),
+    "C1": lambda w: ng.char_ngram_set(w, 1),
+    "C2": lambda w: ng.char_ngram_set(w, 2),
+    "V1": lambda w: ng.word_ngram_set(w, 1),
+    "V2": lambda w: ng.word_ngram_set(w, 2),
 }
 
 
 QUERIES["ngram_set_features"] = lambda spark, sf_dir: ngram_set_features(
-    _pairs(spark, sf_dir), NGRAM_SET_GENERATORS, text_cols=("raw_1", "raw_2"))
+    _pairs(spark, sf_dir).select("pair_id", tx.tweet_words("raw_1").alias("tw_1"),
+                                 tx.tweet_words("raw_2").alias("tw_2")),
+    NGRAM_SET_GENERATORS, text_cols=("tw_1", "tw_2"))
 
 
 # ------------------------------------------------------ labels (P, S, J) ----
