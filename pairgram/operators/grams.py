@@ -26,6 +26,8 @@ ALL_FAMILIES = WORD_FAMILIES + CHAR_FAMILIES + POS_FAMILIES + TAG_UNIGRAM_FAMILI
 
 # Char "bigram" uses size 2 (the reference used 3 by mistake).
 CHAR_SIZES = {"1": 1, "2": 2, "3": 3}
+# One character (code point), newlines included.
+CHAR_RE = "(?s)."
 
 
 def _base_columns(families: Iterable[str], side: int, text_col: str, tag_col: str | None) -> dict[str, Column]:
@@ -39,8 +41,10 @@ def _base_columns(families: Iterable[str], side: int, text_col: str, tag_col: st
         base[f"stok_{side}"] = tx.stemmed_alpha_tokens(text)
     if fams & set(CHAR_FAMILIES[3:]):
         base[f"ssent_{side}"] = tx.stemmed_sentence(text)
+        base[f"schars_{side}"] = F.regexp_extract_all(tx.stemmed_sentence(text), F.lit(CHAR_RE), 0)
     if fams & set(CHAR_FAMILIES[:3]):
         base[f"txt_{side}"] = F.coalesce(text, F.lit(""))
+        base[f"chars_{side}"] = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CHAR_RE), 0)
     if tag_col is not None:
         if fams & set(POS_FAMILIES):
             base[f"pos_{side}"] = parse_field(F.col(tag_col), 2)
@@ -80,20 +84,20 @@ def with_base_arrays(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
 
 
 def _family_rows(fams: list[str]) -> Column:
-    """One struct per (family, side): the family's source list or text and its n."""
+    """One struct per (family, side): the family's item list (tokens, tags or
+    characters) and its n."""
     rows = []
     for fam in fams:
         kind, n = fam[:-1], int(fam[-1])
         for side in (1, 2):
             if kind in ("char", "cstem"):
-                src = F.col(f"txt_{side}") if kind == "char" else F.col(f"ssent_{side}")
-                arr, txt, size = F.lit(None).cast("array<string>"), src, CHAR_SIZES[str(n)]
+                lst, size = F.col(f"chars_{side}" if kind == "char" else f"schars_{side}"), CHAR_SIZES[str(n)]
             else:
                 base = {"word": "tok", "stem": "stok", "pos": "pos", "ner": "ner", "event": "event"}[kind]
-                arr, txt, size = F.col(f"{base}_{side}"), F.lit(None).cast("string"), n
+                lst, size = F.col(f"{base}_{side}"), n
             rows.append(F.struct(F.lit(fam).alias("family"), F.lit(side).alias("side"),
                                  F.lit(kind in ("char", "cstem")).alias("is_char"),
-                                 arr.alias("arr"), txt.alias("txt"), F.lit(size).alias("n")))
+                                 lst.alias("lst"), F.lit(size).alias("n")))
     return F.array(*rows)
 
 
@@ -101,30 +105,33 @@ def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
                text_cols=("sent_1", "sent_2"), tag_cols=("tags_1", "tags_2")) -> DataFrame:
     """``pair_id, family, side, pos, gram``: one row per gram occurrence (pos 1-based).
 
-    No per-element lambdas: each (pair, family, side) row explodes a native
-    ``sequence`` of start offsets, and the gram is a plain codegen'd expression
-    (``substring`` for characters, ``array_join(slice(...))`` for word lists).
-    Word n-grams keep the reference fallback: a list shorter than n yields its
-    (n-1)-grams, down to unigrams, i.e. the window is least(n, max(size, 1)).
+    Windows come from native ``arrays_zip`` of shifted ``slice``s of the item
+    list, so each exploded row carries only its own n items (not the whole
+    text), and no lambda runs per item except a two/three-field concat.
+    Character grams concatenate characters; word grams join with ``_`` and keep
+    the reference fallback: a list shorter than n yields its (n-1)-grams, down
+    to unigrams, i.e. the window is least(n, max(size, 1)).
     """
     fams = list(families)
     base = with_base_arrays(pairs, fams, text_cols, tag_cols)
     rows = base.select("pair_id", F.inline(_family_rows(fams)))
-    length = F.length("txt")
-    size = F.size("arr")
-    n_eff = F.least(F.col("n"), F.greatest(size, F.lit(1)))
-    empty = F.array().cast("array<int>")
-    starts = (F.when(F.col("is_char"),
-                     F.when(length >= F.col("n"), F.sequence(F.lit(1), length - F.col("n") + 1)).otherwise(empty))
-              .otherwise(F.when(size >= 1, F.sequence(F.lit(1), size - n_eff + 1)).otherwise(empty)))
-    # explode_outer + a null filter: a plain explode makes the optimizer infer
+    size = F.size("lst")
+    n_eff = F.when(F.col("is_char"), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(size, F.lit(1))))
+    m = F.greatest(size - n_eff + 1, F.lit(0))
+    s1, s2, s3 = (F.slice("lst", k, m) for k in (1, 2, 3))
+    char = F.col("is_char")
+    two = F.arrays_zip(s1, s2).cast("array<struct<a:string,b:string>>")
+    three = F.arrays_zip(s1, s2, s3).cast("array<struct<a:string,b:string,c:string>>")
+    grams = (F.when(n_eff == 1, s1)
+             .when(n_eff == 2, F.transform(two, lambda z: F.when(char, F.concat(z["a"], z["b"]))
+                                           .otherwise(F.concat(z["a"], F.lit("_"), z["b"]))))
+             .otherwise(F.transform(three, lambda z: F.when(char, F.concat(z["a"], z["b"], z["c"]))
+                                    .otherwise(F.concat(z["a"], F.lit("_"), z["b"], F.lit("_"), z["c"])))))
+    # posexplode_outer + a null filter: a plain explode makes the optimizer infer
     # size(array) > 0 and push it below the projection.
-    exploded = (rows.select("pair_id", "family", "side", "is_char", "arr", "txt", "n",
-                            F.explode_outer(starts).alias("pos"))
-                .filter(F.col("pos").isNotNull()))
-    gram = F.when(F.col("is_char"), F.substring(F.col("txt"), F.col("pos"), F.col("n"))).otherwise(
-        F.array_join(F.slice(F.col("arr"), F.col("pos"), n_eff), "_"))
-    return exploded.select("pair_id", "family", "side", "pos", gram.alias("gram"))
+    return (rows.select("pair_id", "family", "side", F.posexplode_outer(grams).alias("p0", "gram"))
+            .filter(F.col("p0").isNotNull())
+            .select("pair_id", "family", "side", (F.col("p0") + 1).alias("pos"), "gram"))
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
