@@ -51,3 +51,13 @@ def test_gram_table_is_partition_local(spark, edge_pairs):
     plan = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(pairs, ["word1", "char2"], tag_cols=None))))
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1
+
+
+def test_six_number_set_vector_properties(spark):
+    from pairgram.plans.registry import QUERIES
+    rows = QUERIES["ngram_set_features"](spark, "/root/testdata/sf0.001").collect()
+    assert rows
+    for r in rows:
+        assert r.size_small <= r.size_large
+        assert r.n_union == r.n_inter + r.n_small_only + r.n_large_only
+        assert r.n_small_only == r.size_small - r.n_inter and r.n_large_only == r.size_large - r.n_inter
