@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgram.llm import chat, decontaminate, mixing, sharding, tokens
+from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens
 from pairgram.sources.tables import read_table
 
 
@@ -14,11 +14,21 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(read_table(spark, sf_dir, "documents", ["doc_id", "text"])).drop("text")
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint, component_id."""
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken."""
     return mixing.mix_plan(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept."""
+    return quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
+
+
 OWN_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -43,5 +53,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op3_mixing, op8_chat_formatting, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op5_quality_rules, op8_chat_formatting, op9_token_counts,
                                    op10_benchmark_decontamination)}
