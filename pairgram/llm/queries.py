@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens
+from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens, toxicity, warc
 from pairgram.sources.tables import read_table
 
 
@@ -24,11 +24,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"]))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    return toxicity.score_documents(read_table(spark, sf_dir, "documents", ["doc_id", "text"]),
+                                    read_table(spark, sf_dir, "labels", ["doc_id", "toxic"]))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept."""
     return quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, decoded from the archives written."""
+    index = warc.write_archives(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
+    return warc.read_records(index, with_payload=False).drop("url")
+
+
 OWN_CONVERSATION = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
@@ -53,5 +65,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op5_quality_rules, op8_chat_formatting, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op4_toxicity, op5_quality_rules, op7_warc, op8_chat_formatting, op9_token_counts,
                                    op10_benchmark_decontamination)}

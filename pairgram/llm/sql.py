@@ -27,6 +27,17 @@ def sharding_sql(limit: int = sharding.SHARD_BYTES) -> str:
     FROM f WHERE nr = 1"""
 
 
+def warc_sql() -> str:
+    return """
+    WITH p AS (
+      SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_page FROM p)
+    SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id <> first_page THEN first_page END AS refers_to
+    FROM f"""
+
+
 def _escaped(col: str) -> str:
     out = f"replace({col}, chr(92), chr(92) || chr(92))"
     for s in chat.CONTROL:
@@ -76,6 +87,7 @@ def decontaminate_sql(window: int = 10) -> str:
 
 ORACLE = {
     "op1_sharding": sharding_sql(),
+    "op7_warc": warc_sql(),
     "op8_chat_formatting": chat_sql(),
     "op10_benchmark_decontamination": decontaminate_sql(),
 }
