@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, tokens, toxicity, warc
+from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, suffixes, tokens, toxicity, warc
 from pairgram.sources.tables import read_table
 
 
@@ -35,6 +35,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    left = suffixes.remove_duplicates(read_table(spark, sf_dir, "documents", ["doc_id", "text"]))
+    return left.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, decoded from the archives written."""
     index = warc.write_archives(read_table(spark, sf_dir, "pages", ["page_id", "url", "html"]))
@@ -65,5 +71,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op4_toxicity, op5_quality_rules, op7_warc, op8_chat_formatting, op9_token_counts,
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op4_toxicity, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_chat_formatting, op9_token_counts,
                                    op10_benchmark_decontamination)}
