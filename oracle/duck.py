@@ -138,16 +138,16 @@ def tag_field(t: str, index: int, drop_o: bool = False) -> str:
 # ------------------------------------------------------------- fixtures ----
 
 PAIRS = f"""pairs AS (
-  SELECT a.conv_id * 100 + a.turn AS pair_id, a.conv_id AS trend_id, a.text AS raw_1, b.text AS raw_2,
+  SELECT b.conv_id, b.turn, a.conv_id AS trend_id, a.text AS raw_1, b.text AS raw_2,
          array_to_string({words('a.text')}, ' ') AS sent_1,
          array_to_string({words('b.text')}, ' ') AS sent_2
   FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""
 
 TAGGED = f"""tagged AS (
-  SELECT pair_id, sent_1, sent_2, {tag_sentence('sent_1')} AS tags_1, {tag_sentence('sent_2')} AS tags_2 FROM pairs)"""
+  SELECT conv_id, turn, sent_1, sent_2, {tag_sentence('sent_1')} AS tags_1, {tag_sentence('sent_2')} AS tags_2 FROM pairs)"""
 
 VOTES = f"""votes AS (
-  SELECT pair_id, CAST(least(5, len(list_intersect({lower_words('sent_1')}, {lower_words('sent_2')}))) AS INTEGER) AS vote
+  SELECT conv_id, turn, CAST(least(5, len(list_intersect({lower_words('sent_1')}, {lower_words('sent_2')}))) AS INTEGER) AS vote
   FROM pairs)"""
 
 WORDS = f"""cwords AS (SELECT DISTINCT unnest({lower_words('text')}) AS word FROM conversations)"""
@@ -182,7 +182,7 @@ def family_list(fam: str, side: int) -> str:
     return ngram(f"{col}_{side}", n)
 
 
-BASE = ("base AS MATERIALIZED (SELECT pair_id, sent_1, sent_2, "
+BASE = ("base AS MATERIALIZED (SELECT conv_id, turn, sent_1, sent_2, "
         + ", ".join(f"{tok(f'sent_{i}')} AS tok_{i}, {stems(f'sent_{i}')} AS stok_{i}, "
                     f"array_to_string({stems(f'sent_{i}')}, ' ') AS ssent_{i}, "
                     f"{tag_field(f'tags_{i}', 2)} AS pos_{i}, {tag_field(f'tags_{i}', 1, True)} AS ner_{i}, "
@@ -193,26 +193,28 @@ BASE = ("base AS MATERIALIZED (SELECT pair_id, sent_1, sent_2, "
 def gram_ctes(families) -> list[str]:
     """pairs -> tagged -> fl (family lists) -> grams -> gc -> st (sums) -> met (metrics)."""
     fl = "\n    UNION ALL ".join(
-        f"SELECT pair_id, '{f}' AS family, {side} AS side, {family_list(f, side)} AS lst FROM base"
+        f"SELECT conv_id, turn, '{f}' AS family, {side} AS side, {family_list(f, side)} AS lst FROM base"
         for f in families for side in (1, 2))
     digit = "regexp_full_match(gram, '[0-9]+')"
     st = f"""st AS (
-  SELECT pair_id, family,
-    CAST(sum(ca) AS BIGINT) AS count_1, CAST(sum(cb) AS BIGINT) AS count_2,
+  SELECT conv_id, turn, family,
+    CAST(coalesce(sum(ca), 0) AS BIGINT) AS count_1, CAST(coalesce(sum(cb), 0) AS BIGINT) AS count_2,
     CAST(count_if(ca > 0) AS BIGINT) AS unique_1, CAST(count_if(cb > 0) AS BIGINT) AS unique_2,
-    CAST(count_if(ca > 0 AND cb > 0) AS BIGINT) AS n_inter, CAST(count(*) AS BIGINT) AS n_union,
-    CAST(sum(least(ca, cb)) AS BIGINT) AS common,
+    CAST(count_if(ca > 0 AND cb > 0) AS BIGINT) AS n_inter, CAST(count(gram) AS BIGINT) AS n_union,
+    CAST(coalesce(sum(least(ca, cb)), 0) AS BIGINT) AS common,
     CAST(sum(CASE WHEN cb > 0 THEN ca ELSE 0 END) AS BIGINT) AS count_1_in_2,
     CAST(sum(CASE WHEN ca > 0 THEN cb ELSE 0 END) AS BIGINT) AS count_2_in_1,
     CAST(sum(CASE WHEN {digit} THEN ca ELSE 0 END) AS BIGINT) AS digit_count_1,
     CAST(sum(CASE WHEN {digit} THEN cb ELSE 0 END) AS BIGINT) AS digit_count_2,
-    CAST(sum(ca * cb) AS BIGINT) AS dot, CAST(sum(ca * ca) AS BIGINT) AS sq_1, CAST(sum(cb * cb) AS BIGINT) AS sq_2
-  FROM gc GROUP BY pair_id, family)"""
+    CAST(coalesce(sum(ca * cb), 0) AS BIGINT) AS dot, CAST(coalesce(sum(ca * ca), 0) AS BIGINT) AS sq_1,
+    CAST(coalesce(sum(cb * cb), 0) AS BIGINT) AS sq_2
+  FROM (SELECT DISTINCT conv_id, turn, family FROM fl) LEFT JOIN gc USING (conv_id, turn, family)
+  GROUP BY conv_id, turn, family)"""
     p = sdiv("n_inter", "unique_1")
     r = sdiv("n_inter", "unique_2")
     dice = sdiv("2 * n_inter", "unique_1 + unique_2")
     met = f"""met AS (
-  SELECT pair_id, family, count_1, count_2, unique_1, unique_2,
+  SELECT conv_id, turn, family, count_1, count_2, unique_1, unique_2,
     {r6(sdiv('unique_1', 'count_1'))} AS unique_ratio_1, {r6(sdiv('unique_2', 'count_2'))} AS unique_ratio_2,
     digit_count_1, digit_count_2,
     {r6(sdiv('digit_count_1', 'count_1'))} AS digit_ratio_1, {r6(sdiv('digit_count_2', 'count_2'))} AS digit_ratio_2,
@@ -229,8 +231,8 @@ def gram_ctes(families) -> list[str]:
     return [
         PAIRS, TAGGED, BASE,
         f"fl AS (\n    {fl})",
-        "grams AS (SELECT pair_id, family, side, generate_subscripts(lst, 1) AS pos, unnest(lst) AS gram FROM fl)",
-        "gc AS (SELECT pair_id, family, gram, count_if(side = 1) AS ca, count_if(side = 2) AS cb "
-        "FROM grams GROUP BY pair_id, family, gram)",
+        "grams AS (SELECT conv_id, turn, family, side, generate_subscripts(lst, 1) AS pos, unnest(lst) AS gram FROM fl)",
+        "gc AS (SELECT conv_id, turn, family, gram, count_if(side = 1) AS ca, count_if(side = 2) AS cb "
+        "FROM grams GROUP BY conv_id, turn, family, gram)",
         st, met,
     ]

@@ -23,15 +23,15 @@ METRIC_COLUMNS = {
 ORACLE: dict[str, str] = {}
 
 for _name, (_fams, _cols) in METRIC_COLUMNS.items():
-    ORACLE[_name] = D.with_ctes(*D.gram_ctes(_fams), body=f"SELECT pair_id, family, {_cols} FROM met")
+    ORACLE[_name] = D.with_ctes(*D.gram_ctes(_fams), body=f"SELECT conv_id, turn, family, {_cols} FROM met")
 
 
 # ------------------------------------------------------------------ helpers ----
 
 def side_rows(e1: str, e2: str, value: str, src: str = "pairs") -> str:
-    return (f"SELECT pair_id, side, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS {value} "
-            f"FROM (SELECT pair_id, 1 AS side, {e1} AS l FROM {src} "
-            f"UNION ALL SELECT pair_id, 2 AS side, {e2} AS l FROM {src})")
+    return (f"SELECT conv_id, turn, side, CAST(generate_subscripts(l, 1) AS INTEGER) AS pos, unnest(l) AS {value} "
+            f"FROM (SELECT conv_id, turn, 1 AS side, {e1} AS l FROM {src} "
+            f"UNION ALL SELECT conv_id, turn, 2 AS side, {e2} AS l FROM {src})")
 
 
 def grams_with(families, body: str) -> str:
@@ -48,7 +48,7 @@ ORACLE["tokenize"] = _q(D.PAIRS, body=side_rows(D.tok("raw_1"), D.tok("raw_2"),
 ORACLE["tokenize_alpha"] = _q(D.PAIRS, body=side_rows(D.alpha("raw_1"), D.alpha("raw_2"), "token"))
 ORACLE["tokens_stem"] = _q(D.PAIRS, body=side_rows(D.stems("raw_1"), D.stems("raw_2"), "token"))
 ORACLE["sentence_stem"] = _q(D.PAIRS, body=(
-    f"SELECT pair_id, array_to_string({D.stems('raw_1')}, ' ') AS stem_1, "
+    f"SELECT conv_id, turn, array_to_string({D.stems('raw_1')}, ' ') AS stem_1, "
     f"array_to_string({D.stems('raw_2')}, ' ') AS stem_2 FROM pairs"))
 ORACLE["stem_vocabulary"] = (
     f"SELECT token, {D.stem_word('token')} AS stem FROM "
@@ -57,11 +57,11 @@ ORACLE["tweet_words"] = _q(D.PAIRS, body=side_rows(D.tweet_words("raw_1"), D.twe
 
 # ------------------------------------------------------------- n-grams (N) ----
 
-_GRAM_COLS = "SELECT pair_id, family, side, CAST(pos AS INTEGER) AS pos, gram FROM grams"
+_GRAM_COLS = "SELECT conv_id, turn, family, side, CAST(pos AS INTEGER) AS pos, gram FROM grams"
 ORACLE["word_ngrams"] = grams_with(("word1", "word2", "word3"), _GRAM_COLS)
 ORACLE["char_ngrams"] = grams_with(("char1", "char2", "char3"), _GRAM_COLS)
 ORACLE["tag_ngrams"] = grams_with(("pos2", "pos3", "ner2", "ner3", "event2", "event3"), _GRAM_COLS)
-_TK = f"tk AS MATERIALIZED (SELECT pair_id, {D.tok('sent_1')} AS t1, {D.tok('sent_2')} AS t2 FROM pairs)"
+_TK = f"tk AS MATERIALIZED (SELECT conv_id, turn, {D.tok('sent_1')} AS t1, {D.tok('sent_2')} AS t2 FROM pairs)"
 ORACLE["skip_bigrams"] = _q(D.PAIRS, _TK, body=side_rows(
     D.bigram("t1", skip=1), D.bigram("t2", skip=1), "gram", src="tk"))
 ORACLE["skip_trigrams"] = _q(D.PAIRS, _TK, body=side_rows(
@@ -77,15 +77,15 @@ def _word_set(a: str, n: int) -> str:
 
 
 _SETS = " UNION ALL ".join(
-    f"SELECT pair_id, '{name}' AS feature, {gen('tw_1', n)} AS s1, {gen('tw_2', n)} AS s2 FROM tw"
+    f"SELECT conv_id, turn, '{name}' AS feature, {gen('tw_1', n)} AS s1, {gen('tw_2', n)} AS s2 FROM tw"
     for name, gen, n in (("C1", _char_set, 1), ("C2", _char_set, 2), ("V1", _word_set, 1), ("V2", _word_set, 2)))
 ORACLE["ngram_set_features"] = _q(
     D.PAIRS,
-    f"tw AS (SELECT pair_id, {D.tweet_words('raw_1')} AS tw_1, {D.tweet_words('raw_2')} AS tw_2 FROM pairs)",
+    f"tw AS (SELECT conv_id, turn, {D.tweet_words('raw_1')} AS tw_1, {D.tweet_words('raw_2')} AS tw_2 FROM pairs)",
     f"sets AS ({_SETS})",
-    "sw AS (SELECT pair_id, feature, CASE WHEN len(s1) > len(s2) THEN s2 ELSE s1 END AS sm, "
+    "sw AS (SELECT conv_id, turn, feature, CASE WHEN len(s1) > len(s2) THEN s2 ELSE s1 END AS sm, "
     "CASE WHEN len(s1) > len(s2) THEN s1 ELSE s2 END AS lg FROM sets)",
-    body="SELECT pair_id, feature, CAST(len(sm) AS BIGINT) AS size_small, CAST(len(lg) AS BIGINT) AS size_large, "
+    body="SELECT conv_id, turn, feature, CAST(len(sm) AS BIGINT) AS size_small, CAST(len(lg) AS BIGINT) AS size_large, "
          "CAST(len(list_intersect(sm, lg)) AS BIGINT) AS n_inter, "
          "CAST(len(list_distinct(list_concat(sm, lg))) AS BIGINT) AS n_union, "
          "CAST(len(list_filter(sm, lambda x: NOT list_contains(lg, x))) AS BIGINT) AS n_small_only, "
@@ -96,45 +96,47 @@ ORACLE["ngram_set_features"] = _q(
 _TEST_LABEL = "CASE WHEN vote IN (4, 5) THEN 1 WHEN vote = 3 THEN 2 ELSE 0 END"
 _JUDGE = "'(' || CAST(vote AS VARCHAR) || ', ' || CAST(5 - vote AS VARCHAR) || ')'"
 ORACLE["label_train"] = _q(D.PAIRS, D.VOTES, body=(
-    f"SELECT pair_id, judge, CASE WHEN f >= 3 THEN 1 WHEN f = 2 THEN 2 ELSE 0 END AS is_paraphrase FROM "
-    f"(SELECT pair_id, {_JUDGE} AS judge, CAST(regexp_extract({_JUDGE}, '^\\s*\\(\\s*(\\d+)', 1) AS INTEGER) AS f "
+    f"SELECT conv_id, turn, judge, CASE WHEN f >= 3 THEN 1 WHEN f = 2 THEN 2 ELSE 0 END AS is_paraphrase FROM "
+    f"(SELECT conv_id, turn, {_JUDGE} AS judge, CAST(regexp_extract({_JUDGE}, '^\\s*\\(\\s*(\\d+)', 1) AS INTEGER) AS f "
     f"FROM votes)"))
-ORACLE["label_test"] = _q(D.PAIRS, D.VOTES, body=f"SELECT pair_id, vote, {_TEST_LABEL} AS is_paraphrase FROM votes")
+ORACLE["label_test"] = _q(D.PAIRS, D.VOTES, body=f"SELECT conv_id, turn, vote, {_TEST_LABEL} AS is_paraphrase FROM votes")
 ORACLE["drop_ambiguous"] = _q(D.PAIRS, D.VOTES, body=(
-    f"SELECT p.pair_id, p.trend_id, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (pair_id) "
+    f"SELECT p.conv_id, p.turn, p.trend_id, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (conv_id, turn) "
     f"WHERE {_TEST_LABEL} <> 2"))
 ORACLE["numeric_projection"] = _q(D.PAIRS, D.VOTES, body=(
-    f"SELECT p.pair_id, p.trend_id, v.vote, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (pair_id)"))
+    f"SELECT p.conv_id, p.turn, p.trend_id, v.vote, {_TEST_LABEL} AS is_paraphrase FROM pairs p JOIN votes v USING (conv_id, turn)"))
 ORACLE["missing_flags"] = _q(D.PAIRS, body=(
-    f"SELECT pair_id, CAST(len({D.tok('sent_1')}) = 0 AS INTEGER) AS missing_1, "
+    f"SELECT conv_id, turn, CAST(len({D.tok('sent_1')}) = 0 AS INTEGER) AS missing_1, "
     f"CAST(len({D.tok('sent_2')}) = 0 AS INTEGER) AS missing_2 FROM pairs"))
 ORACLE["gold_join"] = _q(D.PAIRS, D.VOTES, body=(
-    "SELECT p.pair_id, p.trend_id, CASE WHEN vote >= 4 THEN 'true' WHEN vote = 3 THEN '----' ELSE 'false' END AS ans, "
-    f"{D.r6('vote / 5.0')} AS prob FROM pairs p JOIN votes v USING (pair_id)"))
+    "SELECT p.trend_id AS trendid, NULLIF(p.sent_1, '') AS origsent, NULLIF(p.sent_2, '') AS candsent, vote AS label, "
+    "CASE WHEN vote >= 4 THEN 'true' WHEN vote = 3 THEN '----' ELSE 'false' END AS ans, "
+    f"{D.r6('vote / 5.0')} AS prob FROM pairs p JOIN votes v USING (conv_id, turn)"))
 ORACLE["scan_pairs"] = _q(D.PAIRS, D.TAGGED, D.VOTES, body=(
-    "SELECT CAST(p.trend_id AS INTEGER) AS trendid, 'conv ' || CAST(p.trend_id AS VARCHAR) AS trendname, "
+    "SELECT p.trend_id AS trendid, 'conv ' || CAST(p.trend_id AS VARCHAR) AS trendname, "
     f"NULLIF(t.sent_1, '') AS origsent, NULLIF(t.sent_2, '') AS candsent, {_JUDGE} AS judge, "
     "NULLIF(t.tags_1, '') AS origsenttag, NULLIF(t.tags_2, '') AS candsenttag "
-    "FROM pairs p JOIN tagged t USING (pair_id) JOIN votes v USING (pair_id)"))
+    "FROM pairs p JOIN tagged t USING (conv_id, turn) JOIN votes v USING (conv_id, turn)"))
 
 # -------------------------------------------------------- positions (D) ----
 
 _SHARED = [
-    "g2 AS (SELECT *, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, family, gram) AS on1, "
-    "max(CASE WHEN side = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id, family, gram) AS on2 FROM grams)",
+    "g2 AS (SELECT *, max(CASE WHEN side = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, family, gram) AS on1, "
+    "max(CASE WHEN side = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn, family, gram) AS on2 FROM grams)",
     "g3 AS (SELECT *, CASE WHEN side = 1 THEN on2 = 1 ELSE on1 = 1 END AS shared FROM g2)",
 ]
 ORACLE["gram_positions"] = D.with_ctes(*D.gram_ctes(WORD), *_SHARED, body=(
-    "SELECT pair_id, family, side, CAST(pos AS INTEGER) AS pos FROM g3 WHERE shared"))
+    "SELECT conv_id, turn, family, side, CAST(pos AS INTEGER) AS pos FROM g3 WHERE shared"))
 _h = "CASE WHEN shared THEN pos END"
-_ps = (f"ps AS (SELECT pair_id, family, side, CAST(count(*) AS BIGINT) AS n, "
+_ps = (f"ps AS (SELECT conv_id, turn, family, side, CAST(count(gram) AS BIGINT) AS n, "
        f"CAST(min({_h}) AS DOUBLE) AS s_min, CAST(max({_h}) AS DOUBLE) AS s_max, avg({_h}) AS s_mean, "
-       f"CAST(median({_h}) AS DOUBLE) AS s_median, stddev_pop({_h}) AS s_std FROM g3 GROUP BY pair_id, family, side)")
+       f"CAST(median({_h}) AS DOUBLE) AS s_median, stddev_pop({_h}) AS s_std FROM (SELECT DISTINCT conv_id, turn, family, side FROM fl) "
+       "LEFT JOIN g3 USING (conv_id, turn, family, side) GROUP BY conv_id, turn, family, side)")
 _pcols = ", ".join(
     f"{D.r6(f'coalesce(s_{s}, 0.0)')} AS pos_{s}, {D.r6(D.sdiv(f'coalesce(s_{s}, 0.0)', 'n'))} AS norm_pos_{s}"
     for s in ("min", "max", "mean", "median", "std"))
 ORACLE["position_stats"] = D.with_ctes(*D.gram_ctes(WORD), *_SHARED, _ps,
-                                       body=f"SELECT pair_id, family, side, {_pcols} FROM ps")
+                                       body=f"SELECT conv_id, turn, family, side, {_pcols} FROM ps")
 
 # ------------------------------------------------------------- tags (G) ----
 
@@ -142,27 +144,27 @@ ORACLE["parse_tags"] = _q(D.PAIRS, D.TAGGED, (
     "tr AS (" + side_rows("list_filter(string_split(coalesce(tags_1, ''), ' '), lambda x: x <> '')",
                           "list_filter(string_split(coalesce(tags_2, ''), ' '), lambda x: x <> '')",
                           "t", src="tagged") + ")"),
-    body="SELECT pair_id, side, pos, string_split(lower(t), '/')[1] AS word, string_split(lower(t), '/')[2] AS ner, "
+    body="SELECT conv_id, turn, side, pos, string_split(lower(t), '/')[1] AS word, string_split(lower(t), '/')[2] AS ner, "
          "string_split(lower(t), '/')[3] AS pos_tag, string_split(lower(t), '/')[4] AS chunk, "
          "string_split(lower(t), '/')[5] AS event FROM tr")
 ORACLE["tag_context"] = _q(D.PAIRS, D.TAGGED, (
-    f"tt AS (SELECT pair_id, 1 AS side, {D.tok('sent_1')} AS toks, {D.tag_field('tags_1', 2)} AS tgs FROM tagged "
-    f"UNION ALL SELECT pair_id, 2, {D.tok('sent_2')}, {D.tag_field('tags_2', 2)} FROM tagged)"),
-    "ti AS (SELECT pair_id, side, toks, tgs, unnest(range(1, len(toks) + 1)) AS i FROM tt WHERE len(toks) = len(tgs))",
-    body="SELECT pair_id, side, CAST(i AS INTEGER) AS pos, toks[i] AS token, tgs[i] AS tag, "
+    f"tt AS (SELECT conv_id, turn, 1 AS side, {D.tok('sent_1')} AS toks, {D.tag_field('tags_1', 2)} AS tgs FROM tagged "
+    f"UNION ALL SELECT conv_id, turn, 2, {D.tok('sent_2')}, {D.tag_field('tags_2', 2)} FROM tagged)"),
+    "ti AS (SELECT conv_id, turn, side, toks, tgs, unnest(range(1, len(toks) + 1)) AS i FROM tt WHERE len(toks) = len(tgs))",
+    body="SELECT conv_id, turn, side, CAST(i AS INTEGER) AS pos, toks[i] AS token, tgs[i] AS tag, "
          "CASE WHEN i > 1 THEN tgs[i - 1] ELSE 'phi' END AS left_tag, "
          "CASE WHEN i < len(tgs) THEN tgs[i + 1] ELSE 'phi' END AS right_tag FROM ti")
-ORACLE["tag_similarity"] = grams_with(POS, "SELECT pair_id, family, common, sorensen, cosine, precision, recall, f1 FROM met")
-ORACLE["common_event"] = grams_with(("event1",), "SELECT pair_id, common AS common_event FROM met")
-ORACLE["common_ner"] = grams_with(("ner1",), "SELECT pair_id, common AS common_ner FROM met")
+ORACLE["tag_similarity"] = grams_with(POS, "SELECT conv_id, turn, family, common, sorensen, cosine, precision, recall, f1 FROM met")
+ORACLE["common_event"] = grams_with(("event1",), "SELECT conv_id, turn, common AS common_event FROM met")
+ORACLE["common_ner"] = grams_with(("ner1",), "SELECT conv_id, turn, common AS common_ner FROM met")
 
 # ---------------------------------------------------------- metrics (M) ----
 
 ORACLE["binary_metrics"] = D.with_ctes(
     *D.gram_ctes(("word1",)), D.VOTES,
-    f"lab AS (SELECT pair_id, {_TEST_LABEL} AS label FROM votes)",
+    f"lab AS (SELECT conv_id, turn, {_TEST_LABEL} AS label FROM votes)",
     "sc AS (SELECT l.label, CAST(coalesce(m.jaccard, 0.0) > 0.2 AS INTEGER) AS prediction "
-    "FROM lab l LEFT JOIN met m USING (pair_id) WHERE l.label <> 2)",
+    "FROM lab l LEFT JOIN met m USING (conv_id, turn) WHERE l.label <> 2)",
     "ct AS (SELECT CAST(count_if(label = 1 AND prediction = 1) AS BIGINT) AS tp, "
     "CAST(count_if(label <> 1 AND prediction = 1) AS BIGINT) AS fp, "
     "CAST(count_if(label = 1 AND prediction <> 1) AS BIGINT) AS fn, "
@@ -175,8 +177,8 @@ ORACLE["binary_metrics"] = D.with_ctes(
 # ----------------------------------------------------- corpus stats (F) ----
 
 _STOP = "[" + ", ".join(D.lit(w) for w in D.STOP_WORDS) + "]"
-_DOCS = ("docs AS (SELECT pair_id * 2 AS doc_id, array_to_string(" + D.stems("sent_1") + ", ' ') AS text FROM pairs "
-         "UNION ALL SELECT pair_id * 2 + 1, array_to_string(" + D.stems("sent_2") + ", ' ') FROM pairs)")
+_DOCS = ("docs AS (SELECT {conv_id: conv_id, turn: turn, side: 1} AS doc_id, array_to_string(" + D.stems("sent_1") + ", ' ') AS text FROM pairs "
+         "UNION ALL SELECT {conv_id: conv_id, turn: turn, side: 2}, array_to_string(" + D.stems("sent_2") + ", ' ') FROM pairs)")
 
 
 def _terms(src: str, name: str) -> list[str]:
@@ -204,13 +206,14 @@ def _weights(terms: str) -> list[str]:
 _WBODY = f"SELECT doc_id, term, {D.r6('w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))')} AS weight FROM tw"
 ORACLE["tfidf_vocab"] = D.with_ctes(*_FIT, body="SELECT term, df FROM vocab")
 ORACLE["tfidf_idf"] = D.with_ctes(*_FIT, body=f"SELECT term, {D.r6('idf')} AS idf FROM idf")
-ORACLE["tfidf_weights"] = D.with_ctes(*_FIT, *_weights("fit_terms"), body=_WBODY)
+ORACLE["tfidf_weights"] = D.with_ctes(*_FIT, *_weights("fit_terms"), body=(
+    f"SELECT doc_id.conv_id AS conv_id, doc_id.turn AS turn, doc_id.side AS side, term, weight FROM ({_WBODY})"))
 ORACLE["tfidf_transform"] = D.with_ctes(
     *_FIT,
     "dd AS (SELECT doc_id, array_to_string(" + D.stems("text") + ", ' ') AS text FROM documents)",
     *_terms("dd", "tr"), *_weights("tr_terms"), body=_WBODY)
 ORACLE["label_encode"] = D.with_ctes(D.PAIRS, body=(
-    "SELECT pair_id, CAST(dense_rank() OVER (ORDER BY sent_1) - 1 AS BIGINT) AS sent_1_code FROM pairs"))
+    "SELECT conv_id, turn, CAST(dense_rank() OVER (ORDER BY sent_1) - 1 AS BIGINT) AS sent_1_code FROM pairs"))
 
 # ------------------------------------------------- lexical network (W) ----
 
@@ -227,7 +230,7 @@ _CLOSURE = [
     D.HYPERNYMS,
     "nodes AS (SELECT child AS node FROM hypernyms UNION SELECT parent FROM hypernyms)",
     "clos(node, ancestor, dist) AS (SELECT node, node, 0 FROM nodes UNION ALL "
-    "SELECT c.node, h.parent, c.dist + 1 FROM clos c JOIN hypernyms h ON c.ancestor = h.child WHERE c.dist < 64)",
+    "SELECT c.node, h.parent, c.dist + 1 FROM clos c JOIN hypernyms h ON c.ancestor = h.child)",
     "closure AS MATERIALIZED (SELECT node, ancestor, CAST(min(dist) AS INTEGER) AS dist FROM clos "
     "GROUP BY node, ancestor)",
 ]
@@ -244,7 +247,7 @@ _SENSE = [
     "paths AS MATERIALIZED (SELECT x1.s1, x1.s2, min(x1.d1 + c2.dist) AS path, max(greatest(x1.d1, c2.dist)) AS h "
     "FROM x1 JOIN closure c2 ON c2.node = x1.s2 AND c2.ancestor = x1.ancestor GROUP BY x1.s1, x1.s2)",
     "best AS (SELECT * FROM (SELECT sp.word_1, sp.word_2, sp.s1, sp.s2, p.path, p.h, row_number() OVER "
-    "(PARTITION BY sp.word_1, sp.word_2 ORDER BY p.path, sp.r1, sp.r2) AS rn FROM sp JOIN paths p "
+    "(PARTITION BY sp.word_1, sp.word_2 ORDER BY p.path, sp.r1, sp.r2, sp.s1, sp.s2) AS rn FROM sp JOIN paths p "
     "ON p.s1 = sp.s1 AND p.s2 = sp.s2) WHERE rn = 1)",
 ]
 ORACLE["synset_path"] = D.with_ctes(*_CLOSURE, *_SENSE, recursive=True, body=(
@@ -270,9 +273,9 @@ _DENSE = "dense(j, name) AS (VALUES " + ", ".join(f"({i}, {D.lit(n)})" for i, n
 ORACLE["feature_map"] = D.with_ctes(
     *_FIT, "ix AS (SELECT term, dense_rank() OVER (ORDER BY term) - 1 AS i FROM vocab)",
     "vs AS (SELECT count(*) AS v FROM vocab)", _DENSE,
-    body="SELECT CAST(i AS INTEGER) AS idx, 'tfidf_1:' || term AS name, 'q' AS q FROM ix "
-         "UNION ALL SELECT CAST(i + v AS INTEGER), 'tfidf_2:' || term, 'q' FROM ix, vs "
-         "UNION ALL SELECT CAST(2 * v + j AS INTEGER), name, 'q' FROM dense, vs")
+    body="SELECT CAST(i AS BIGINT) AS idx, 'tfidf_1:' || term AS name, 'q' AS q FROM ix "
+         "UNION ALL SELECT CAST(i + v AS BIGINT), 'tfidf_2:' || term, 'q' FROM ix, vs "
+         "UNION ALL SELECT CAST(2 * v + j AS BIGINT), name, 'q' FROM dense, vs")
 
 # ------------------------------------------------------------- streaming ----
 

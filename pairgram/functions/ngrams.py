@@ -15,11 +15,6 @@ def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def unigrams(arr: Column) -> Column:
-    """The list itself."""
-    return arr
-
-
 def _pairs(arr: Column, join: str, skip: int) -> Column:
     n = F.size(arr)
     if skip == 0:
@@ -59,7 +54,7 @@ def trigrams(arr: Column, join: str = "_", skip: int = 0) -> Column:
 
 def word_ngrams(arr: Column, n: int, join: str = "_", skip: int = 0) -> Column:
     if n == 1:
-        return unigrams(arr)
+        return arr
     if n == 2:
         return bigrams(arr, join, skip)
     if n == 3:
@@ -69,11 +64,23 @@ def word_ngrams(arr: Column, n: int, join: str = "_", skip: int = 0) -> Column:
 
 def char_ngrams(text: Column, n: int) -> Column:
     """Every substring of ``n`` characters, spaces included; empty if shorter."""
+    return char_windows(characters(text), n)
+
+
+def characters(text: Column) -> Column:
+    """The code points of a text, in one pass."""
     s = F.coalesce(text, F.lit(""))
-    length = F.length(s)
-    return F.when(length >= n,
-                  F.transform(F.sequence(F.lit(1), length - n + 1), lambda i: F.substring(s, i, n))
-                  ).otherwise(empty_strings())
+    return F.when(s == "", empty_strings()).otherwise(F.split(s, ""))
+
+
+def char_windows(chars: Column, n: int) -> Column:
+    """Windows of ``n`` characters from shifted slices: linear in the text."""
+    if n == 1:
+        return chars
+    m = F.greatest(F.size(chars) - n + 1, F.lit(0))
+    fields = ", ".join(f"c{k}: string" for k in range(n))
+    zipped = F.arrays_zip(*[F.slice(chars, k + 1, m) for k in range(n)]).cast(f"array<struct<{fields}>>")
+    return F.transform(zipped, lambda z: F.concat(*[z[f"c{k}"] for k in range(n)]))
 
 
 def windows(arr: Column, n: int, join: str = " ") -> Column:

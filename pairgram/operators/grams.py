@@ -1,10 +1,10 @@
 """The long gram table and the per-pair gram-count table.
 
-``grams(pair_id, family, side, pos, gram)`` is built with ONE generator over
+``grams(conv_id, turn, family, side, pos, gram)`` is built with ONE generator over
 the concatenation of every family's array, so the pair rows are read once.
-``gram_counts(pair_id, family, gram, ca, cb)`` is one hash aggregate. When the
-input pairs are hash-partitioned on ``pair_id`` (see
-``sources.fixtures.conversation_pairs``), neither step adds an exchange.
+``gram_counts(conv_id, turn, family, gram, ca, cb)`` is one hash aggregate. Pairs that
+come from the join on the pair key (``sources.fixtures.conversation_pairs``) are
+partitioned by it, so neither step adds an exchange.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 from pairgram.functions import ngrams as ng
 from pairgram.functions import text as tx
 from pairgram.operators.tags import parse_field
@@ -26,8 +27,6 @@ ALL_FAMILIES = WORD_FAMILIES + CHAR_FAMILIES + POS_FAMILIES + TAG_UNIGRAM_FAMILI
 
 # Char "bigram" uses size 2 (the reference used 3 by mistake).
 CHAR_SIZES = {"1": 1, "2": 2, "3": 3}
-# One character (code point), newlines included.
-CHAR_RE = "(?s)."
 
 
 def _base_columns(families: Iterable[str], side: int, text_col: str, tag_col: str | None) -> dict[str, Column]:
@@ -40,11 +39,9 @@ def _base_columns(families: Iterable[str], side: int, text_col: str, tag_col: st
     if fams & {"stem1", "stem2", "stem3", "cstem1", "cstem2", "cstem3"}:
         base[f"stok_{side}"] = tx.stemmed_alpha_tokens(text)
     if fams & set(CHAR_FAMILIES[3:]):
-        base[f"ssent_{side}"] = tx.stemmed_sentence(text)
-        base[f"schars_{side}"] = F.regexp_extract_all(tx.stemmed_sentence(text), F.lit(CHAR_RE), 0)
+        base[f"schars_{side}"] = ng.characters(tx.stemmed_sentence(text))
     if fams & set(CHAR_FAMILIES[:3]):
-        base[f"txt_{side}"] = F.coalesce(text, F.lit(""))
-        base[f"chars_{side}"] = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CHAR_RE), 0)
+        base[f"chars_{side}"] = ng.characters(text)
     if tag_col is not None:
         if fams & set(POS_FAMILIES):
             base[f"pos_{side}"] = parse_field(F.col(tag_col), 2)
@@ -63,9 +60,9 @@ def family_array(family: str, side: int) -> Column:
     if kind == "stem":
         return ng.word_ngrams(F.col(f"stok_{side}"), n)
     if kind == "char":
-        return ng.char_ngrams(F.col(f"txt_{side}"), CHAR_SIZES[str(n)])
+        return ng.char_windows(F.col(f"chars_{side}"), CHAR_SIZES[str(n)])
     if kind == "cstem":
-        return ng.char_ngrams(F.col(f"ssent_{side}"), CHAR_SIZES[str(n)])
+        return ng.char_windows(F.col(f"schars_{side}"), CHAR_SIZES[str(n)])
     if kind == "pos":
         return ng.word_ngrams(F.col(f"pos_{side}"), n)
     if kind in ("ner", "event"):
@@ -80,7 +77,7 @@ def with_base_arrays(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
     for side in (1, 2):
         tag_col = tag_cols[side - 1] if tag_cols and tag_cols[side - 1] in pairs.columns else None
         cols.update(_base_columns(fams, side, text_cols[side - 1], tag_col))
-    return pairs.select("pair_id", *[c.alias(k) for k, c in cols.items()])
+    return pairs.select(*PAIR, *[c.alias(k) for k, c in cols.items()])
 
 
 def _family_rows(fams: list[str]) -> Column:
@@ -102,8 +99,10 @@ def _family_rows(fams: list[str]) -> Column:
 
 
 def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
-               text_cols=("sent_1", "sent_2"), tag_cols=("tags_1", "tags_2")) -> DataFrame:
-    """``pair_id, family, side, pos, gram``: one row per gram occurrence (pos 1-based).
+               text_cols=("sent_1", "sent_2"), tag_cols=("tags_1", "tags_2"), keep_empty: bool = False) -> DataFrame:
+    """Pair key, ``family, side, pos, gram``: one row per gram occurrence (pos 1-based).
+
+    ``keep_empty`` adds one row without a gram for a family and side that has none.
 
     Windows come from native ``arrays_zip`` of shifted ``slice``s of the item
     list, so each exploded row carries only its own n items (not the whole
@@ -114,7 +113,7 @@ def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
     """
     fams = list(families)
     base = with_base_arrays(pairs, fams, text_cols, tag_cols)
-    rows = base.select("pair_id", F.inline(_family_rows(fams)))
+    rows = base.select(*PAIR, F.inline(_family_rows(fams)))
     size = F.size("lst")
     n_eff = F.when(F.col("is_char"), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(size, F.lit(1))))
     m = F.greatest(size - n_eff + 1, F.lit(0))
@@ -129,14 +128,15 @@ def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
                                     .otherwise(F.concat(z["a"], F.lit("_"), z["b"], F.lit("_"), z["c"])))))
     # posexplode_outer + a null filter: a plain explode makes the optimizer infer
     # size(array) > 0 and push it below the projection.
-    return (rows.select("pair_id", "family", "side", F.posexplode_outer(grams).alias("p0", "gram"))
-            .filter(F.col("p0").isNotNull())
-            .select("pair_id", "family", "side", (F.col("p0") + 1).alias("pos"), "gram"))
+    out = rows.select(*PAIR, "family", "side", F.posexplode_outer(grams).alias("p0", "gram"))
+    if not keep_empty:
+        out = out.filter(F.col("p0").isNotNull())
+    return out.select(*PAIR, "family", "side", (F.col("p0") + 1).alias("pos"), "gram")
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
-    """``pair_id, family, gram, ca, cb``: occurrences of each gram on each side."""
-    return grams.groupBy("pair_id", "family", "gram").agg(
-        F.count_if(F.col("side") == 1).alias("ca"),
-        F.count_if(F.col("side") == 2).alias("cb"),
+    """``conv_id, turn, family, gram, ca, cb``: occurrences of each gram on each side."""
+    return grams.groupBy(*PAIR, "family", "gram").agg(
+        F.count_if((F.col("side") == 1) & F.col("gram").isNotNull()).alias("ca"),
+        F.count_if((F.col("side") == 2) & F.col("gram").isNotNull()).alias("cb"),
     )

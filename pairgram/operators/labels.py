@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 
+from pairgram.keys import PAIR
 def train_label(judge: Column) -> Column:
     """First number of the vote tuple: >= 3 -> 1, == 2 -> 2 (ambiguous), else 0."""
     first = F.regexp_extract(judge, r"^\s*\(\s*(\d+)", 1).cast("int")
@@ -34,7 +35,7 @@ def missing_flags(tokens_1: Column, tokens_2: Column) -> list[Column]:
             (F.size(tokens_2) == 0).cast("int").alias("missing_2")]
 
 
-def join_gold(pairs: DataFrame, gold: DataFrame) -> DataFrame:
-    """Equi-join of pairs and gold labels on ``pair_id`` (both sides keyed and
+def join_gold(pairs: DataFrame, gold: DataFrame, key=PAIR) -> DataFrame:
+    """Equi-join of pairs and gold labels on the pair key (both sides keyed and
     partitioned on it; AQE turns it into a broadcast when a side is small)."""
-    return pairs.join(gold, "pair_id", "inner")
+    return pairs.join(gold, list(key), "inner")

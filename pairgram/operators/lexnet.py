@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pairgram.functions import text as tx
 from pairgram.functions.safe import r6
-from pairgram.session import broadcast_if_small, checkpointed
+from pairgram.session import checkpointed
 
 # The published parameters of the similarity measure.
 ALPHA = 0.2
@@ -23,8 +23,6 @@ ETA = 0.4
 PHI = 0.2
 DELTA = 0.85
 
-EDGE_BROADCAST_ROWS = 5_000_000
-
 
 # ------------------------------------------------------------ corpus ----
 
@@ -49,27 +47,28 @@ def information_content(words: DataFrame, freq: DataFrame, total: int, word_col:
 
 # ---------------------------------------------------------- taxonomy ----
 
-def hypernym_closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def hypernym_closure(edges: DataFrame) -> DataFrame:
     """``node, ancestor, dist`` including (node, node, 0), minimum distance.
 
     Breadth-first: the frontier of distance d joins the edges once and keeps
     only (node, ancestor) pairs not reached before (an anti-join), so each pair
-    is produced at its shortest distance and cycles end the loop. The result
-    of each round is checkpointed to the shared folder to cut lineage.
+    is produced at its shortest distance and the loop ends when a round finds
+    nothing new, cycles or not. Each round writes its new pairs only; the closure
+    is the union of those parts.
     """
     edges = checkpointed(edges.select("child", "parent").distinct())
-    small_edges = broadcast_if_small(edges, EDGE_BROADCAST_ROWS)
     nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
     closure = checkpointed(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")))
-    frontier = closure
-    for depth in range(1, max_depth + 1):
-        step = (frontier.join(small_edges, frontier.ancestor == small_edges.child)
+    frontier, depth = closure, 0
+    while True:
+        depth += 1
+        step = (frontier.join(edges, frontier.ancestor == edges.child)
                 .select("node", F.col("parent").alias("ancestor")).distinct())
         new = checkpointed(step.join(closure, ["node", "ancestor"], "left_anti").select(
             "node", "ancestor", F.lit(depth).alias("dist")))
         if new.isEmpty():
             break
-        closure = checkpointed(closure.unionByName(new))
+        closure = closure.unionByName(new)
         frontier = new
     return closure
 
@@ -105,7 +104,7 @@ def best_synset_pair(word_pairs: DataFrame, lemmas: DataFrame, closure: DataFram
     sp = sense_pairs(word_pairs, lemmas)
     paths = synset_path(sp, closure)
     scored = sp.join(paths, ["s1", "s2"])
-    w = Window.partitionBy("word_1", "word_2").orderBy(F.col("path").asc(), "r1", "r2")
+    w = Window.partitionBy("word_1", "word_2").orderBy(F.col("path").asc(), "r1", "r2", "s1", "s2")
     return (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .select("word_1", "word_2", "s1", "s2", "path", "h", "path_similarity"))
 

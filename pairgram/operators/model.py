@@ -16,8 +16,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 from pairgram.operators.encode import dense_codes
-from pairgram.session import broadcast_if_small, checkpointed, shared_dir
+from pairgram.session import checkpointed, shared_dir
 
 GBT_PARAMS = dict(maxDepth=4, stepSize=0.01, maxIter=100, seed=42)
 
@@ -27,13 +28,13 @@ def pivot_wide(long_df: DataFrame, key_cols: list[str], value_cols: list[str], v
     so Spark does not scan for the distinct values first)."""
     pivot_col = "_pv"
     df = long_df.withColumn(pivot_col, F.concat_ws("_", *[F.col(c).cast("string") for c in key_cols]))
-    wide = df.groupBy("pair_id").pivot(pivot_col, values).agg(*[F.first(c).alias(c) for c in value_cols])
+    wide = df.groupBy(*PAIR).pivot(pivot_col, values).agg(*[F.first(c).alias(c) for c in value_cols])
     if len(value_cols) == 1:  # a single aggregate names the columns by value only
-        wide = wide.select("pair_id", *[F.col(f"`{v}`").alias(f"{v}_{value_cols[0]}") for v in values])
+        wide = wide.select(*PAIR, *[F.col(f"`{v}`").alias(f"{v}_{value_cols[0]}") for v in values])
     return wide
 
 
-def numeric_columns(df: DataFrame, exclude=("pair_id", "label")) -> list[str]:
+def numeric_columns(df: DataFrame, exclude=(*PAIR, "label")) -> list[str]:
     from pyspark.sql.types import NumericType
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
@@ -51,7 +52,7 @@ def tfidf_blocks(weights: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataF
     document's weights into one sparse vector. Returns (doc vectors, term index, size)."""
     index = checkpointed(dense_codes(vocab, "term", "term_idx"))
     size = index.count()
-    indexed = weights.join(broadcast_if_small(index), "term")
+    indexed = weights.join(index, "term")
     per_doc = indexed.groupBy("doc_id").agg(F.collect_list("term_idx").alias("idx"),
                                             F.collect_list("weight").alias("val"))
     return per_doc.select("doc_id", _sparse(F.lit(size), "idx", "val").alias("tfidf")), index, size
@@ -63,11 +64,10 @@ def assemble(wide: DataFrame, doc_vectors: DataFrame | None, size: int) -> DataF
     df = wide.fillna(0.0, subset=dense_cols)
     inputs = []
     if doc_vectors is not None:
-        v1 = doc_vectors.select((F.col("doc_id") / 2).cast("long").alias("pair_id"), F.col("tfidf").alias("tfidf_1")) \
-            .filter(F.col("doc_id") % 2 == 0)
-        v2 = doc_vectors.select(((F.col("doc_id") - 1) / 2).cast("long").alias("pair_id"), F.col("tfidf").alias("tfidf_2")) \
-            .filter(F.col("doc_id") % 2 == 1)
-        df = df.join(v1, "pair_id", "left").join(v2, "pair_id", "left")
+        for side in (1, 2):
+            own = doc_vectors.filter(F.col("doc_id.side") == side).select(
+                *[F.col(f"doc_id.{c}").alias(c) for c in PAIR], F.col("tfidf").alias(f"tfidf_{side}"))
+            df = df.join(own, list(PAIR), "left")
         fill = _sparse(F.lit(size), F.lit(None).cast("array<int>"), F.lit(None).cast("array<double>"))
         df = (df.withColumn("tfidf_1", F.coalesce(F.col("tfidf_1"), fill))
               .withColumn("tfidf_2", F.coalesce(F.col("tfidf_2"), fill)))
@@ -82,10 +82,10 @@ def feature_names(index: DataFrame | None, size: int, dense_cols: list[str]) ->
     parts = []
     if index is not None:
         for side, off in ((1, 0), (2, size)):
-            parts.append(index.select((F.col("term_idx") + off).cast("int").alias("idx"),
+            parts.append(index.select((F.col("term_idx") + off).alias("idx"),
                                       F.concat(F.lit(f"tfidf_{side}:"), "term").alias("name")))
     base = 2 * size if index is not None else 0
-    dense = spark.createDataFrame([(base + i, n) for i, n in enumerate(dense_cols)], "idx int, name string")
+    dense = spark.createDataFrame([(base + i, n) for i, n in enumerate(dense_cols)], "idx long, name string")
     out = dense
     for p in parts:
         out = p.unionByName(out)

@@ -1,7 +1,7 @@
 """Count, overlap, set and bag measures (C1-C18) as aggregates of the gram-count table.
 
 Every metric is a function of ``(ca, cb)`` per distinct gram, so one
-``groupBy(pair_id, family)`` over ``gram_counts`` yields all of them:
+``groupBy(conv_id, turn, family)`` over ``gram_counts`` yields all of them:
 
 * |A|, |B| (bag sizes) = sum(ca), sum(cb)
 * distinct sizes = count_if(ca>0), count_if(cb>0); |A n B| = count_if(ca>0 and cb>0);
@@ -14,21 +14,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 from pairgram.functions.safe import r6, safe_div
 from pairgram.functions.text import DIGIT_RE
 
 
 def pair_gram_stats(gc: DataFrame) -> DataFrame:
-    """Sufficient statistics per ``(pair_id, family)`` from ``gram_counts``."""
+    """Sufficient statistics per ``(conv_id, turn, family)`` from ``gram_counts``."""
     ca, cb = F.col("ca"), F.col("cb")
     digit = F.col("gram").rlike(DIGIT_RE)
-    return gc.groupBy("pair_id", "family").agg(
+    return gc.groupBy(*PAIR, "family").agg(
         F.sum(ca).cast("bigint").alias("count_1"),
         F.sum(cb).cast("bigint").alias("count_2"),
         F.count_if(ca > 0).cast("bigint").alias("unique_1"),
         F.count_if(cb > 0).cast("bigint").alias("unique_2"),
         F.count_if((ca > 0) & (cb > 0)).cast("bigint").alias("n_inter"),
-        F.count(F.lit(1)).cast("bigint").alias("n_union"),
+        F.count("gram").cast("bigint").alias("n_union"),
         F.sum(F.least(ca, cb)).cast("bigint").alias("common"),
         F.sum(F.when(cb > 0, ca).otherwise(0)).cast("bigint").alias("count_1_in_2"),
         F.sum(F.when(ca > 0, cb).otherwise(0)).cast("bigint").alias("count_2_in_1"),
@@ -48,7 +49,7 @@ def overlap_metrics(stats: DataFrame) -> DataFrame:
     dice = safe_div(2 * c("n_inter"), c("unique_1") + c("unique_2"))
     both_empty = (c("unique_1") + c("unique_2")) == 0
     return stats.select(
-        "pair_id", "family",
+        *PAIR, "family",
         "count_1", "count_2", "unique_1", "unique_2",
         r6(safe_div(c("unique_1"), c("count_1"))).alias("unique_ratio_1"),
         r6(safe_div(c("unique_2"), c("count_2"))).alias("unique_ratio_2"),
@@ -84,7 +85,7 @@ METRIC_GROUPS = {
 
 
 def metric_group(metrics: DataFrame, group: str) -> DataFrame:
-    return metrics.select("pair_id", "family", *METRIC_GROUPS[group])
+    return metrics.select(*PAIR, "family", *METRIC_GROUPS[group])
 
 
 def ngram_set_features(pairs: DataFrame, generators: dict, text_cols=("sent_1", "sent_2")) -> DataFrame:
@@ -99,12 +100,12 @@ def ngram_set_features(pairs: DataFrame, generators: dict, text_cols=("sent_1",
         s1 = gen(F.col(text_cols[0]))
         s2 = gen(F.col(text_cols[1]))
         rows.append(F.struct(F.lit(name).alias("feature"), s1.alias("s1"), s2.alias("s2")))
-    exploded = pairs.select("pair_id", F.inline(F.array(*rows)))
+    exploded = pairs.select(*PAIR, F.inline(F.array(*rows)))
     swap = F.size("s1") > F.size("s2")
     small = F.when(swap, F.col("s2")).otherwise(F.col("s1"))
     large = F.when(swap, F.col("s1")).otherwise(F.col("s2"))
     return exploded.select(
-        "pair_id", "feature",
+        *PAIR, "feature",
         F.size(small).cast("bigint").alias("size_small"),
         F.size(large).cast("bigint").alias("size_large"),
         F.size(F.array_intersect(small, large)).cast("bigint").alias("n_inter"),

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 FIELDS = ("word", "ner", "pos", "chunk", "event")
 
 
@@ -26,13 +27,13 @@ def parse_field(tag_col: Column, index: int, drop_o: bool = False) -> Column:
 
 
 def tag_rows(tagged: DataFrame, tag_cols=("tags_1", "tags_2")) -> DataFrame:
-    """``pair_id, side, pos, word, ner, pos_tag, chunk, event``: one row per tagged token."""
+    """``conv_id, turn, side, pos, word, ner, pos_tag, chunk, event``: one row per tagged token."""
     sides = F.array(*[F.struct(F.lit(i + 1).alias("side"), parse_tags(F.col(c)).alias("toks"))
                       for i, c in enumerate(tag_cols)])
-    return (tagged.select("pair_id", F.inline(sides))
-            .select("pair_id", "side", F.posexplode_outer("toks").alias("p0", "t"))
+    return (tagged.select(*PAIR, F.inline(sides))
+            .select(*PAIR, "side", F.posexplode_outer("toks").alias("p0", "t"))
             .filter(F.col("p0").isNotNull())
-            .select("pair_id", "side", (F.col("p0") + 1).alias("pos"), "t.word", "t.ner",
+            .select(*PAIR, "side", (F.col("p0") + 1).alias("pos"), "t.word", "t.ner",
                     F.col("t.pos").alias("pos_tag"), "t.chunk", "t.event"))
 
 
@@ -48,14 +49,14 @@ def tag_context(pairs: DataFrame, token_cols=("tok_1", "tok_2"), tag_cols=("tags
         F.struct(F.lit(i + 1).alias("side"), F.col(tc).alias("toks"),
                  parse_field(F.col(gc), 2).alias("tags"))
         for i, (tc, gc) in enumerate(zip(token_cols, tag_cols))])
-    rows = (pairs.select("pair_id", F.inline(sides))
+    rows = (pairs.select(*PAIR, F.inline(sides))
             .filter(F.size("toks") == F.size("tags"))
-            .select("pair_id", "side", F.posexplode_outer(F.transform(
+            .select(*PAIR, "side", F.posexplode_outer(F.transform(
                 "toks", lambda t, i: F.struct(t.alias("token"), F.get(F.col("tags"), i).alias("tag"))
             )).alias("p0", "z"))
             .filter(F.col("p0").isNotNull())
-            .select("pair_id", "side", (F.col("p0") + 1).alias("pos"),
+            .select(*PAIR, "side", (F.col("p0") + 1).alias("pos"),
                     F.col("z.token").alias("token"), F.col("z.tag").alias("tag")))
-    w = Window.partitionBy("pair_id", "side").orderBy("pos")
+    w = Window.partitionBy(*PAIR, "side").orderBy("pos")
     return (rows.withColumn("left_tag", F.lag("tag", 1, "phi").over(w))
             .withColumn("right_tag", F.lead("tag", 1, "phi").over(w)))

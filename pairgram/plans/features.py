@@ -1,6 +1,6 @@
 """Feature plans: compose the operators over the conversation-pair fixture.
 
-The pair frame is hash-partitioned on ``pair_id`` once; the gram table, the
+The pair frame is hash-partitioned on the pair key once; the gram table, the
 gram-count table, the per-pair aggregates, the position windows and the edit
 distances all run inside those partitions without another exchange.
 """
@@ -36,9 +36,9 @@ def tagged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def family_metrics(spark: SparkSession, sf_dir: str, families) -> DataFrame:
-    """All overlap metrics per ``(pair_id, family)`` for the given families."""
+    """All overlap metrics per ``(conv_id, turn, family)`` for the given families."""
     pairs = tagged_pairs(spark, sf_dir)
-    gc = G.gram_counts(G.gram_table(pairs, families))
+    gc = G.gram_counts(G.gram_table(pairs, families, keep_empty=True))
     return overlap_metrics(pair_gram_stats(gc))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from pairgram.keys import PAIR
 from pairgram.functions import text as tx
 from pairgram.operators import grams as G
 from pairgram.operators import labels as L
@@ -27,7 +28,7 @@ OVERLAP_METRICS = ["count_1", "count_2", "unique_1", "unique_2", "unique_ratio_1
 DIGIT_FAMILIES = ("word1", "stem1")
 DIGIT_METRICS = ["digit_count_1", "digit_count_2", "digit_ratio_1", "digit_ratio_2"]
 POSITION_METRICS = [f"{p}{s}" for s in STATS for p in ("pos_", "norm_pos_")]
-EDIT_FAMILIES = G.WORD_FAMILIES + G.POS_FAMILIES
+EDIT_FAMILIES = G.WORD_FAMILIES + G.CHAR_FAMILIES + G.POS_FAMILIES
 TAG_COMMON = ("event1", "ner1")
 
 
@@ -53,22 +54,22 @@ def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def features_wide(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
     pairs = pairs if pairs is not None else labelled_pairs(spark, sf_dir)
     fams = OVERLAP_FAMILIES + TAG_COMMON
-    met = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(pairs, fams))))
+    met = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(pairs, fams, keep_empty=True))))
     over = M.pivot_wide(met.filter(F.col("family").isin(*OVERLAP_FAMILIES)), ["family"], OVERLAP_METRICS,
                         list(OVERLAP_FAMILIES))
     digit = M.pivot_wide(met.filter(F.col("family").isin(*DIGIT_FAMILIES)), ["family"], DIGIT_METRICS,
                          list(DIGIT_FAMILIES))
     tagc = M.pivot_wide(met.filter(F.col("family").isin(*TAG_COMMON)), ["family"], ["common"], list(TAG_COMMON))
-    pos = M.pivot_wide(position_stats(G.gram_table(pairs, G.WORD_FAMILIES)), ["family", "side"], POSITION_METRICS,
+    pos = M.pivot_wide(position_stats(G.gram_table(pairs, G.WORD_FAMILIES, keep_empty=True)), ["family", "side"], POSITION_METRICS,
                        [f"{f}_{s}" for f in G.WORD_FAMILIES for s in (1, 2)])
     ed = M.pivot_wide(edit_distance(pairs, EDIT_FAMILIES), ["family"], ["levenshtein"], list(EDIT_FAMILIES))
-    base = pairs.select("pair_id", "label",
+    base = pairs.select(*PAIR, "label",
                         *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
     wide = base
     for part in (over, digit, tagc, pos, ed):
-        wide = wide.join(part, "pair_id", "left")
+        wide = wide.join(part, list(PAIR), "left")
     names = dense_feature_names()
-    return wide.select("pair_id", "label", *[F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in names])
+    return wide.select(*PAIR, "label", *[F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in names])
 
 
 def assembled(spark: SparkSession, sf_dir: str):
@@ -77,14 +78,16 @@ def assembled(spark: SparkSession, sf_dir: str):
     pairs = labelled_pairs(spark, sf_dir)
     wide = features_wide(spark, sf_dir, pairs)
     model = fitted_tfidf(spark, sf_dir)
-    weights = model.transform(fit_documents(spark, sf_dir), num_partitions=fx.pair_partitions(spark))
+    weights = model.transform(fit_documents(spark, sf_dir))
     vectors, index, size = M.tfidf_blocks(weights, model.vocab)
-    out = checkpointed(M.assemble(wide, vectors, size).select("pair_id", "label", "features"))
+    out = checkpointed(M.assemble(wide, vectors, size).select(*PAIR, "label", "features"))
     return out, M.feature_names(index, size, dense_feature_names())
 
 
 def _split(df: DataFrame):
-    return df.randomSplit([0.8, 0.2], seed=42)
+    """Four fifths and one fifth by the pair key, whatever the partitions."""
+    part = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 17, F.lit(5))
+    return df.filter(part != 0), df.filter(part == 0)
 
 
 def q_features_wide(spark, sf_dir):
@@ -94,7 +97,7 @@ def q_features_wide(spark, sf_dir):
 def q_assemble(spark, sf_dir):
     df, _ = assembled(spark, sf_dir)
     arr = vector_to_array("features")
-    return df.select("pair_id", "label", F.size(arr).alias("n_features"),
+    return df.select(*PAIR, "label", F.size(arr).alias("n_features"),
                      F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
 
 
@@ -107,7 +110,7 @@ def q_feature_map(spark, sf_dir):
     names = M.feature_names(index, index.count(), dense_feature_names())
     path = shared_dir(spark, "feature-map")
     M.write_feature_map(names, path)
-    return tsv.read_tsv(spark, path, StructType.fromDDL("idx int, name string, q string"))
+    return tsv.read_tsv(spark, path, StructType.fromDDL("idx long, name string, q string"))
 
 
 def q_gbt_predict(spark, sf_dir):
@@ -115,7 +118,7 @@ def q_gbt_predict(spark, sf_dir):
     train, test = _split(df)
     model = M.fit_classifier(train)
     p1 = vector_to_array("probability")[1]
-    return model.transform(test).select("pair_id", "label", F.col("prediction").cast("int").alias("prediction"),
+    return model.transform(test).select(*PAIR, "label", F.col("prediction").cast("int").alias("prediction"),
                                         p1.alias("probability_1"))
 
 
@@ -123,7 +126,7 @@ def q_gbt_regress(spark, sf_dir):
     df, _ = assembled(spark, sf_dir)
     train, test = _split(df)
     model = M.fit_regressor(train)
-    return model.transform(test).select("pair_id", "label", "prediction")
+    return model.transform(test).select(*PAIR, "label", "prediction")
 
 
 def q_split_importance(spark, sf_dir):

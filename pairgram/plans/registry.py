@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 from pairgram.functions import ngrams as ng
 from pairgram.functions import text as tx
 from pairgram.functions.safe import r6
@@ -16,7 +17,7 @@ from pairgram.operators.metrics import binary_metrics
 from pairgram.operators.overlap import ngram_set_features, overlap_metrics, pair_gram_stats
 from pairgram.operators.positions import gram_positions, position_stats
 from pairgram.plans import features as FP
-from pairgram.session import shared_dir
+from pairgram.session import checkpointed, shared_dir
 from pairgram.sources import fixtures as fx
 from pairgram.sources import tsv
 
@@ -37,13 +38,13 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _side_rows(pairs: DataFrame, arr_1, arr_2, value: str) -> DataFrame:
-    """``pair_id, side, pos, <value>`` from one array per side (pos is 1-based)."""
+    """``conv_id, turn, side, pos, <value>`` from one array per side (pos is 1-based)."""
     sides = F.array(F.struct(F.lit(1).alias("side"), arr_1.alias("a")),
                     F.struct(F.lit(2).alias("side"), arr_2.alias("a")))
-    return (pairs.select("pair_id", F.inline(sides))
-            .select("pair_id", "side", F.posexplode_outer("a").alias("p0", value))
+    return (pairs.select(*PAIR, F.inline(sides))
+            .select(*PAIR, "side", F.posexplode_outer("a").alias("p0", value))
             .filter(F.col("p0").isNotNull())
-            .select("pair_id", "side", (F.col("p0") + 1).alias("pos"), value))
+            .select(*PAIR, "side", (F.col("p0") + 1).alias("pos"), value))
 
 
 # ------------------------------------------------------------ text (T) ----
@@ -70,7 +71,7 @@ def tokens_stem(spark, sf_dir):
 @query
 def sentence_stem(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return p.select("pair_id", tx.stemmed_sentence("raw_1").alias("stem_1"),
+    return p.select(*PAIR, tx.stemmed_sentence("raw_1").alias("stem_1"),
                     tx.stemmed_sentence("raw_2").alias("stem_2"))
 
 
@@ -104,7 +105,7 @@ QUERIES["tag_ngrams"] = _gram_rows(("pos2", "pos3", "ner2", "ner3", "event2", "e
 def _tokens(spark, sf_dir):
     """Token lists materialised as columns, so n-gram lambdas read them instead of
     re-running the tokeniser per element."""
-    return _pairs(spark, sf_dir).select("pair_id", tx.word_punct_tokens("sent_1").alias("t1"),
+    return _pairs(spark, sf_dir).select(*PAIR, tx.word_punct_tokens("sent_1").alias("t1"),
                                         tx.word_punct_tokens("sent_2").alias("t2"))
 
 
@@ -130,7 +131,7 @@ NGRAM_SET_GENERATORS = {
 
 
 QUERIES["ngram_set_features"] = lambda spark, sf_dir: ngram_set_features(
-    _pairs(spark, sf_dir).select("pair_id", tx.tweet_words("raw_1").alias("tw_1"),
+    _pairs(spark, sf_dir).select(*PAIR, tx.tweet_words("raw_1").alias("tw_1"),
                                  tx.tweet_words("raw_2").alias("tw_2")),
     NGRAM_SET_GENERATORS, text_cols=("tw_1", "tw_2"))
 
@@ -144,19 +145,19 @@ def _labelled(spark, sf_dir):
 @query
 def label_train(spark, sf_dir):
     v = _labelled(spark, sf_dir).withColumn("judge", fx.judge_string(F.col("vote")))
-    return v.select("pair_id", "judge", L.train_label(F.col("judge")).alias("is_paraphrase"))
+    return v.select(*PAIR, "judge", L.train_label(F.col("judge")).alias("is_paraphrase"))
 
 
 @query
 def label_test(spark, sf_dir):
     v = _labelled(spark, sf_dir)
-    return v.select("pair_id", "vote", L.test_label(F.col("vote")).alias("is_paraphrase"))
+    return v.select(*PAIR, "vote", L.test_label(F.col("vote")).alias("is_paraphrase"))
 
 
 @query
 def drop_ambiguous(spark, sf_dir):
     v = _labelled(spark, sf_dir).withColumn("is_paraphrase", L.test_label(F.col("vote")))
-    return L.drop_ambiguous(v).select("pair_id", "trend_id", "is_paraphrase")
+    return L.drop_ambiguous(v).select(*PAIR, "trend_id", "is_paraphrase")
 
 
 @query
@@ -169,17 +170,30 @@ def numeric_projection(spark, sf_dir):
 @query
 def missing_flags(spark, sf_dir):
     p = _pairs(spark, sf_dir)
-    return p.select("pair_id", *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
+    return p.select(*PAIR, *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
+
+
+def _files(spark, sf_dir):
+    """The pairs as a test file and a gold file with the same line order; returns their paths."""
+    rows = fx.with_vote(_pairs(spark, sf_dir))
+    ordered = checkpointed(rows.repartitionByRange(*PAIR).sortWithinPartitions(*PAIR))
+    test, gold = shared_dir(spark, "test_pairs"), shared_dir(spark, "gold")
+    tsv.write_tsv(ordered.select(
+        F.col("trend_id").alias("trendid"), F.concat(F.lit("conv "), F.col("trend_id").cast("string")).alias("trendname"),
+        F.col("sent_1").alias("origsent"), F.col("sent_2").alias("candsent"), F.col("vote").alias("label"),
+        F.col("tags_1").alias("origsenttag"), F.col("tags_2").alias("candsenttag")), test)
+    tsv.write_tsv(fx.gold(ordered).select("ans", "prob"), gold)
+    return test, gold
 
 
 @query
 def gold_join(spark, sf_dir):
-    p = fx.conversation_pairs(spark, sf_dir)
-    g = fx.gold(fx.votes(p))
-    # J1 proper: the gold table is keyed by pair_id like the pairs; both sides
-    # come from the same pair-partitioned frame, so the join adds no exchange.
-    return L.join_gold(p.select("pair_id", "trend_id"), g).select(
-        "pair_id", "trend_id", "ans", r6(F.col("prob")).alias("prob"))
+    """J1 on files: the gold file has no key but its line number."""
+    test, gold = _files(spark, sf_dir)
+    pairs = tsv.read_indexed(spark, test, tsv.TEST_SCHEMA)
+    labels = tsv.read_indexed(spark, gold, tsv.GOLD_SCHEMA)
+    return L.join_gold(pairs, labels, ["row_idx"]).select(
+        "trendid", "origsent", "candsent", "label", "ans", r6(F.col("prob")).alias("prob"))
 
 
 @query
@@ -187,7 +201,7 @@ def scan_pairs(spark, sf_dir):
     """Write the derived pairs in the reference's 7-column TSV layout to the
     shared folder, then read them back with the explicit schema."""
     rows = fx.with_vote(_pairs(spark, sf_dir)).select(
-        F.col("trend_id").cast("int").alias("trendid"),
+        F.col("trend_id").alias("trendid"),
         F.concat(F.lit("conv "), F.col("trend_id").cast("string")).alias("trendname"),
         F.col("sent_1").alias("origsent"), F.col("sent_2").alias("candsent"),
         fx.judge_string(F.col("vote")).alias("judge"),
@@ -209,7 +223,7 @@ QUERIES["gram_positions"] = QUERIES.pop("gram_positions_q")
 
 @query
 def position_stats_q(spark, sf_dir):
-    return position_stats(G.gram_table(_pairs(spark, sf_dir), G.WORD_FAMILIES))
+    return position_stats(G.gram_table(_pairs(spark, sf_dir), G.WORD_FAMILIES, keep_empty=True))
 
 
 QUERIES["position_stats"] = QUERIES.pop("position_stats_q")
@@ -231,33 +245,33 @@ def parse_tags(spark, sf_dir):
 
 @query
 def tag_context(spark, sf_dir):
-    p = _pairs(spark, sf_dir).select("pair_id", "tags_1", "tags_2",
+    p = _pairs(spark, sf_dir).select(*PAIR, "tags_1", "tags_2",
                                      tx.word_punct_tokens("sent_1").alias("tok_1"),
                                      tx.word_punct_tokens("sent_2").alias("tok_2"))
     return T.tag_context(p)
 
 
 def _family_metrics(spark, sf_dir, families):
-    gc = G.gram_counts(G.gram_table(_pairs(spark, sf_dir), families))
+    gc = G.gram_counts(G.gram_table(_pairs(spark, sf_dir), families, keep_empty=True))
     return overlap_metrics(pair_gram_stats(gc))
 
 
 @query
 def tag_similarity(spark, sf_dir):
     m = _family_metrics(spark, sf_dir, G.POS_FAMILIES)
-    return m.select("pair_id", "family", "common", "sorensen", "cosine", "precision", "recall", "f1")
+    return m.select(*PAIR, "family", "common", "sorensen", "cosine", "precision", "recall", "f1")
 
 
 @query
 def common_event(spark, sf_dir):
     m = _family_metrics(spark, sf_dir, ("event1",))
-    return m.select("pair_id", F.col("common").alias("common_event"))
+    return m.select(*PAIR, F.col("common").alias("common_event"))
 
 
 @query
 def common_ner(spark, sf_dir):
     m = _family_metrics(spark, sf_dir, ("ner1",))
-    return m.select("pair_id", F.col("common").alias("common_ner"))
+    return m.select(*PAIR, F.col("common").alias("common_ner"))
 
 
 # ---------------------------------------------------------- metrics (M) ----
@@ -269,9 +283,9 @@ JACCARD_THRESHOLD = 0.2
 def binary_metrics_q(spark, sf_dir):
     """M5/M6 on the test-label rule, predicting 1 when word-unigram Jaccard > 0.2."""
     p = _pairs(spark, sf_dir)
-    lab = p.select("pair_id", L.test_label(fx.vote_expr()).alias("label"))
-    jac = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(p, ("word1",))))).select("pair_id", "jaccard")
-    scored = (L.drop_ambiguous(lab, "label").join(jac, "pair_id", "left")
+    lab = p.select(*PAIR, L.test_label(fx.vote_expr()).alias("label"))
+    jac = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(p, ("word1",))))).select(*PAIR, "jaccard")
+    scored = (L.drop_ambiguous(lab, "label").join(jac, list(PAIR), "left")
               .select("label", (F.coalesce(F.col("jaccard"), F.lit(0.0)) > JACCARD_THRESHOLD)
                       .cast("int").alias("prediction")))
     return binary_metrics(scored)
@@ -288,17 +302,15 @@ from pairgram.operators import tfidf as TF  # noqa: E402
 
 
 def fit_documents(spark, sf_dir):
-    """Each side of each pair is one document: doc_id = 2 * pair_id + side - 1,
+    """Each side of each pair is one document: doc_id = (conv_id, turn, side),
     text = the stemmed sentence (T4)."""
     p = fx.conversation_pairs(spark, sf_dir)
-    sides = F.array(F.struct((F.col("pair_id") * 2).alias("doc_id"), F.col("sent_1").alias("s")),
-                    F.struct((F.col("pair_id") * 2 + 1).alias("doc_id"), F.col("sent_2").alias("s")))
+    sides = F.array(*[F.struct(F.struct(*PAIR, F.lit(i).alias("side")).alias("doc_id"), F.col(f"sent_{i}").alias("s")) for i in (1, 2)])
     return p.select(F.inline(sides)).select("doc_id", tx.stemmed_sentence(F.col("s")).alias("text"))
 
 
 def fitted_tfidf(spark, sf_dir):
-    return TF.TfidfModel(fx.STOP_WORDS, min_df=3).fit(fit_documents(spark, sf_dir),
-                                                       num_partitions=fx.pair_partitions(spark))
+    return TF.TfidfModel(fx.STOP_WORDS, min_df=3).fit(fit_documents(spark, sf_dir))
 
 
 @query
@@ -313,7 +325,8 @@ def tfidf_idf(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
-    return fitted_tfidf(spark, sf_dir).transform(fit_documents(spark, sf_dir), num_partitions=fx.pair_partitions(spark))
+    w = fitted_tfidf(spark, sf_dir).transform(fit_documents(spark, sf_dir))
+    return w.select("doc_id.*", "term", "weight")
 
 
 @query
@@ -322,14 +335,14 @@ def tfidf_transform(spark, sf_dir):
     model = fitted_tfidf(spark, sf_dir)
     docs = fx.read_table(spark, sf_dir, "documents", ["doc_id", "text"]).select(
         "doc_id", tx.stemmed_sentence(F.col("text")).alias("text"))
-    return model.transform(docs, num_partitions=fx.pair_partitions(spark))
+    return model.transform(docs)
 
 
 @query
 def label_encode(spark, sf_dir):
     """0-based code of each sentence by sorted distinct value."""
-    p = fx.conversation_pairs(spark, sf_dir).select("pair_id", "sent_1")
-    return ENC.LabelEncoder("sent_1").fit(p).transform(p).select("pair_id", "sent_1_code")
+    p = fx.conversation_pairs(spark, sf_dir).select(*PAIR, "sent_1")
+    return ENC.LabelEncoder("sent_1").fit(p).transform(p).select(*PAIR, "sent_1_code")
 
 
 # ------------------------------------------------- lexical network (W) ----
@@ -341,7 +354,7 @@ def corpus_freq(spark, sf_dir):
 
 @query
 def information_content(spark, sf_dir):
-    freq = W.corpus_freq(fx.read_table(spark, sf_dir, "documents", ["text"]))
+    freq = checkpointed(W.corpus_freq(fx.read_table(spark, sf_dir, "documents", ["text"])))
     total = W.corpus_total(freq)
     conv = fx.read_table(spark, sf_dir, "conversations", ["text"])
     words = conv.select(F.explode_outer(tx.word_punct_tokens("text")).alias("word")).filter("word IS NOT NULL").distinct()

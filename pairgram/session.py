@@ -1,4 +1,4 @@
-"""Session helpers: configuration, the shared checkpoint folder, size checks."""
+"""Session helpers: configuration and the shared checkpoint folder."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def get_spark(app: str = "pairgram", cores: int | None = None,
@@ -22,6 +21,8 @@ def get_spark(app: str = "pairgram", cores: int | None = None,
         .config("spark.default.parallelism", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # small pair rows fan out into thousands of gram rows: do not merge them into few tasks
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
@@ -38,8 +39,8 @@ def get_spark(app: str = "pairgram", cores: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we create a folder of our own.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a local
+    session gets a folder of its own and any other is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +48,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="pairgram-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -58,16 +61,6 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Hint a broadcast only after checking the row count against a bound.
-
-    Above the bound the DataFrame is returned unchanged and the planner (with
-    AQE's runtime statistics) picks a shuffled join.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)

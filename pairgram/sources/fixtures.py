@@ -12,48 +12,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgram.keys import PAIR
 from pairgram.functions.text import WORD_RE, clean_sentence
 from pairgram.sources.tables import read_table
 
-# Pair key stride (pair_id = conv_id * stride + turn).
-TURN_STRIDE = 100
-
 # The short stop list written identically in both engines.
 STOP_WORDS = ["the", "and", "of", "in", "to", "is", "der", "die", "und", "le", "la", "de", "el"]
 
 
-def pair_partitions(spark: SparkSession) -> int:
-    """Partition count for pair-keyed work: the session's shuffle partitions.
-
-    Given explicitly, so AQE does not coalesce the small pair rows into a few
-    tasks: every pair row fans out into thousands of gram rows downstream.
-    """
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def conversation_pairs(spark: SparkSession, sf_dir: str, partition: bool = True) -> DataFrame:
-    """``pair_id, trend_id, raw_1, raw_2, sent_1, sent_2`` from consecutive turns.
+def conversation_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conv_id, turn, trend_id, raw_1, raw_2, sent_1, sent_2`` from turns turn - 1 and turn.
 
-    The pairing is an equi-join on ``(conv_id, turn + 1)``: rows hash-spread on
-    both keys, so one very long conversation does not land in one task. The
-    result is then hash-partitioned on ``pair_id`` once; every per-pair operator
-    downstream groups on ``pair_id`` (plus more keys) without a new exchange.
+    A pair is two turns of a conversation whose numbers follow each other; a gap in
+    the numbers parts them. The pairing joins on ``(conv_id, turn)``, the first
+    side shifted by one turn, so one very long conversation does not land in one
+    task. The merge hint keeps the join's partitioning by that key, which is the
+    pair key: every per-pair operator groups on it without a new exchange.
     """
     conv = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
-    a = conv.alias("a")
-    b = conv.alias("b")
-    pairs = (
-        a.join(b, (F.col("a.conv_id") == F.col("b.conv_id")) & (F.col("b.turn") == F.col("a.turn") + 1))
-        .select(
-            (F.col("a.conv_id") * TURN_STRIDE + F.col("a.turn")).alias("pair_id"),
-            F.col("a.conv_id").alias("trend_id"),
-            F.col("a.text").alias("raw_1"),
-            F.col("b.text").alias("raw_2"),
-        )
-        .withColumn("sent_1", clean_sentence("raw_1"))
-        .withColumn("sent_2", clean_sentence("raw_2"))
-    )
-    return pairs.repartition(pair_partitions(spark), "pair_id") if partition else pairs
+    first = conv.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("raw_1"))
+    second = conv.select("conv_id", "turn", F.col("text").alias("raw_2"))
+    return (first.hint("merge").join(second, list(PAIR))
+            .select(*PAIR, F.col("conv_id").alias("trend_id"), "raw_1", "raw_2",
+                    clean_sentence("raw_1").alias("sent_1"), clean_sentence("raw_2").alias("sent_2")))
 
 
 def lower_words(c) -> Column:
@@ -73,8 +54,8 @@ def with_vote(pairs: DataFrame) -> DataFrame:
 
 
 def votes(pairs: DataFrame) -> DataFrame:
-    """``pair_id, vote``."""
-    return pairs.select("pair_id", vote_expr().alias("vote"))
+    """``conv_id, turn, vote``."""
+    return pairs.select(*PAIR, vote_expr().alias("vote"))
 
 
 def judge_string(vote: Column) -> Column:
@@ -83,10 +64,10 @@ def judge_string(vote: Column) -> Column:
 
 
 def gold(votes_df: DataFrame) -> DataFrame:
-    """``pair_id, ans, prob``: prob = vote / 5; true for 4-5, ---- for 3, false below."""
+    """``conv_id, turn, ans, prob``: prob = vote / 5; true for 4-5, ---- for 3, false below."""
     v = F.col("vote")
     return votes_df.select(
-        "pair_id",
+        *PAIR,
         F.when(v >= 4, "true").when(v == 3, "----").otherwise("false").alias("ans"),
         (v / 5.0).alias("prob"),
     )
@@ -107,11 +88,6 @@ def tag_sentence(sent: Column) -> Column:
     return F.array_join(F.transform(words, _tag_word), " ")
 
 
-def tagged(pairs: DataFrame) -> DataFrame:
-    """``pair_id, tags_1, tags_2``: rule-tagged sentences (stand-in for a tagger)."""
-    return pairs.select("pair_id", tag_sentence(F.col("sent_1")).alias("tags_1"),
-                        tag_sentence(F.col("sent_2")).alias("tags_2"))
-
 
 def corpus_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct lower-case words of all conversation turns."""
@@ -147,6 +123,3 @@ def lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
     return words.select("word", senses)
 
-
-def stop_words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in STOP_WORDS], "word string")

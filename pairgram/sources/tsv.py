@@ -3,19 +3,21 @@ produce them from Spark-derived pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+from pairgram.session import checkpointed
 
 _TEXT = ["trendname", "origsent", "candsent"]
 
 TRAIN_SCHEMA = StructType(
-    [StructField("trendid", IntegerType())] + [StructField(c, StringType()) for c in _TEXT]
+    [StructField("trendid", LongType())] + [StructField(c, StringType()) for c in _TEXT]
     + [StructField("judge", StringType()), StructField("origsenttag", StringType()),
        StructField("candsenttag", StringType())])
 
 TEST_SCHEMA = StructType(
-    [StructField("trendid", IntegerType())] + [StructField(c, StringType()) for c in _TEXT]
+    [StructField("trendid", LongType())] + [StructField(c, StringType()) for c in _TEXT]
     + [StructField("label", IntegerType()), StructField("origsenttag", StringType()),
        StructField("candsenttag", StringType())])
 
@@ -47,18 +49,20 @@ def write_tsv(df: DataFrame, path: str) -> None:
      .csv(path))
 
 
-def with_row_index(df: DataFrame, name: str = "row_idx") -> DataFrame:
-    """0-based position of each row in scan order, computed distributedly:
-    per-partition counts (one small row per partition) give offsets, then a
-    row number inside each partition. Used to align positional files such as
-    the gold labels, whose only key is the line number."""
-    tagged = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    from pairgram.session import checkpointed
-    tagged = checkpointed(tagged)
-    from pyspark.sql import Window
-    counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_pid", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_off"))
-    w = Window.partitionBy("_pid").orderBy("_mid")
-    return (tagged.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + F.row_number().over(w) - 1)
-            .drop("_pid", "_mid", "_off"))
+def read_indexed(spark: SparkSession, path: str, schema: StructType, name: str = "row_idx") -> DataFrame:
+    """``read_tsv`` plus the 0-based line number over all files of the path.
+
+    Files are taken in the order of their names and their blocks in the order of
+    their offsets, however Spark packs them into tasks. Blocks are counted (one small
+    row each), the counts' running sum gives each block's first number, and a
+    row number inside the block does the rest. Aligns positional files such as the
+    gold labels, whose only key is the line number.
+    """
+    block = (F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"))
+    tagged = checkpointed(read_tsv(spark, path, schema).select("*", *block, F.monotonically_increasing_id().alias("_m")))
+    counts = tagged.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_f", "_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_f", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    place = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m"))
+    return (tagged.join(offsets, ["_f", "_b"]).withColumn(name, F.col("_off") + place - 1)
+            .drop("_f", "_b", "_m", "_off"))

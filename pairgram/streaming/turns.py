@@ -33,13 +33,16 @@ def turn_features(turns: DataFrame) -> DataFrame:
     )
 
 
-def stream_turn_features(spark: SparkSession, sf_dir: str, sink: str | None = None) -> DataFrame:
+def stream_turn_features(spark: SparkSession, sf_dir: str, sink: str | None = None, max_files: int | None = None) -> DataFrame:
     """Run the stream to completion over the files present; return the sink as a batch frame."""
     src = table_path(sf_dir, "conversations")
     schema = spark.read.parquet(src).schema
     # The file source watches a folder; a glob selects this table's file(s) in it.
     pattern = src[:-1] + "[" + src[-1] + "]"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(pattern)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(pattern)
     sink = sink or shared_dir(spark, "stream-turn-features")
     query = (turn_features(stream).writeStream.format("parquet").outputMode("append")
              .option("checkpointLocation", f"{sink}/_checkpoint").option("path", f"{sink}/data")

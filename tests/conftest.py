@@ -22,7 +22,7 @@ def spark():
 
 
 EDGE_PAIRS = [
-    # pair_id, sent_1, sent_2
+    # conv_id, sent_1, sent_2 (turn is 1)
     (1, "", ""),
     (2, "one", ""),
     (3, "a a a", "a a"),
@@ -38,4 +38,4 @@ EDGE_PAIRS = [
 
 @pytest.fixture(scope="session")
 def edge_pairs(spark):
-    return spark.createDataFrame(EDGE_PAIRS, "pair_id long, sent_1 string, sent_2 string")
+    return spark.createDataFrame([(i, 1, a, b) for i, a, b in EDGE_PAIRS], "conv_id long, turn long, sent_1 string, sent_2 string")

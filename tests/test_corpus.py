@@ -60,3 +60,10 @@ def test_binary_metrics(spark):
     r = binary_metrics(df).first()
     assert (r.tp, r.fp, r.fn, r.tn) == (2, 1, 1, 1)
     assert r.precision == round(2 / 3, 6) and r.recall == round(2 / 3, 6) and r.accuracy == 0.6
+
+
+def test_closure_follows_chains_and_cycles_to_their_end(spark):
+    chain = [(f"n{i}", f"n{i + 1}") for i in range(70)] + [("x", "y"), ("y", "x")]
+    got = {(r.node, r.ancestor): r.dist for r in W.hypernym_closure(spark.createDataFrame(chain, "child string, parent string")).collect()}
+    assert got[("n0", "n70")] == 70 and got[("x", "y")] == 1 and got[("x", "x")] == 0
+    assert len(got) == 71 * 72 // 2 + 4

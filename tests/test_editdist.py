@@ -55,13 +55,13 @@ def test_operator_on_fixture_matches_brute_force(spark):
 
     pairs = tagged_pairs(spark, "/root/testdata/sf0.001")
     fams = ["word1", "word2", "pos1", "char1"]
-    got = {(r.pair_id, r.family): r.levenshtein for r in edit_distance(pairs, fams).collect()}
+    got = {(r.conv_id, r.turn, r.family): r.levenshtein for r in edit_distance(pairs, fams).collect()}
     base = G.with_base_arrays(pairs, fams)
-    arrays = base.select("pair_id", *[G.family_array(f, s).alias(f"{f}_{s}") for f in fams for s in (1, 2)]).collect()
+    arrays = base.select("conv_id", "turn", *[G.family_array(f, s).alias(f"{f}_{s}") for f in fams for s in (1, 2)]).collect()
     assert len(got) == len(arrays) * len(fams)
     for r in arrays:
         for f in fams:
             a, b = r[f"{f}_1"], r[f"{f}_2"]
             if f == "char1" and len(a) * len(b) > 40000:
                 continue  # keep the pure-Python reference quick
-            assert abs(got[(r.pair_id, f)] - round(brute(a, b), 6)) < 1e-9
+            assert abs(got[(r.conv_id, r.turn, f)] - round(brute(a, b), 6)) < 1e-9

@@ -35,7 +35,7 @@ def test_tokenizers_match_python(spark, edge_pairs):
 
 
 def test_null_text_is_empty(spark, edge_pairs):
-    r = edge_pairs.filter("pair_id = 8").select(tx.word_punct_tokens("sent_1").alias("t")).first()
+    r = edge_pairs.filter("conv_id = 8").select(tx.word_punct_tokens("sent_1").alias("t")).first()
     assert r.t == []
 
 
