@@ -285,3 +285,40 @@ ORACLE["stream_turn_features"] = (
     f"CAST(len(list_filter(t, lambda x: regexp_full_match(x, '[0-9]+'))) AS BIGINT) AS n_digit, "
     f"CAST(len(list_distinct({D.chars('text', 3)})) AS BIGINT) AS n_char3 "
     f"FROM (SELECT conv_id, turn, text, {D.tok('text')} AS t FROM conversations)")
+
+# ------------------------------------------------------ edit distance (E) ----
+
+_BIG = 1 << 32
+
+
+def edit_distance_sql(families) -> str:
+    """Levenshtein over the longest optimal alignment, one row of the table per step.
+
+    A cell is v = distance * 2^32 - alignment length, so its minimum is the least
+    distance and then the longest alignment; an edit adds 2^32 - 1, a match -1. The
+    insert step along a row is a running minimum of v less its offset.
+    """
+    k = _BIG - 1
+    return D.with_ctes(
+        *D.gram_ctes(families)[:4],
+        """ab AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, x.conv_id, x.turn, x.family,
+    list_transform(CASE WHEN len(x.lst) <= len(y.lst) THEN x.lst ELSE y.lst END, lambda g: hash(g)) AS a,
+    list_transform(CASE WHEN len(x.lst) <= len(y.lst) THEN y.lst ELSE x.lst END, lambda g: hash(g)) AS b
+  FROM fl x JOIN fl y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.family = y.family AND x.side = 1 AND y.side = 2)""",
+        "open AS MATERIALIZED (SELECT id, a, b, len(a) AS n, len(b) AS m FROM ab WHERE a <> b AND len(a) > 0)",
+        f"""dp(id, i, j, v) AS (
+  SELECT id, 0, j, j * {k}::BIGINT FROM (SELECT id, unnest(range(0, m + 1)) AS j FROM open)
+  UNION ALL
+  SELECT id, i + 1, j, min(t - j * {k}) OVER (PARTITION BY id ORDER BY j) + j * {k} FROM (
+    SELECT d.id, d.i, d.j, CASE WHEN d.j = 0 THEN (d.i + 1) * {k}::BIGINT ELSE least(d.v + {k},
+      lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + CASE WHEN o.a[d.i + 1] = o.b[d.j] THEN -1 ELSE {k} END) END AS t
+    FROM dp d JOIN open o USING (id) WHERE d.i < o.n))""",
+        f"ends AS (SELECT id, v, (v + {k}) // {_BIG} AS d FROM dp JOIN open USING (id) WHERE i = n AND j = m)",
+        recursive=True,
+        body=("SELECT conv_id, turn, family, CASE WHEN a = b THEN 0.0 WHEN len(a) = 0 THEN 1.0 "
+              f"ELSE {D.r6(f'd / CAST(d * {_BIG} - v AS DOUBLE)')} END AS levenshtein FROM ab LEFT JOIN ends USING (id)"))
+
+
+ORACLE["edit_distance_word"] = edit_distance_sql(WORD)
+ORACLE["edit_distance_tag"] = edit_distance_sql(POS)

@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import GBTRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from pairgram.keys import PAIR
 from pairgram.operators.encode import dense_codes
@@ -39,12 +40,8 @@ def numeric_columns(df: DataFrame, exclude=(*PAIR, "label")) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, val):
-    if idx is None:
-        return SparseVector(size, [], [])
-    order = sorted(range(len(idx)), key=lambda k: idx[k])
-    return SparseVector(size, [idx[k] for k in order], [val[k] for k in order])
+#: How a vector column is stored: type 0 is sparse.
+SPARSE = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
 
 
 def tfidf_blocks(weights: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataFrame, int]:
@@ -53,27 +50,41 @@ def tfidf_blocks(weights: DataFrame, vocab: DataFrame) -> tuple[DataFrame, DataF
     index = checkpointed(dense_codes(vocab, "term", "term_idx"))
     size = index.count()
     indexed = weights.join(index, "term")
-    per_doc = indexed.groupBy("doc_id").agg(F.collect_list("term_idx").alias("idx"),
-                                            F.collect_list("weight").alias("val"))
-    return per_doc.select("doc_id", _sparse(F.lit(size), "idx", "val").alias("tfidf")), index, size
+    per_doc = indexed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_idx", "weight"))).alias("e"))
+    return per_doc.select("doc_id", sparse(size, F.col("e.term_idx"), F.col("e.weight")).alias("tfidf")), index, size
+
+
+def sparse(size: int, indices, values) -> Column:
+    """A sparse vector in its stored form, from arrays sorted by index."""
+    return F.struct(F.lit(0).alias("type"), F.lit(size).alias("size"), indices.alias("indices"), values.alias("values")).cast(SPARSE)
+
+
+def as_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Stored-form columns as vectors: written, and read back under the vector type."""
+    path = shared_dir(df.sparkSession, "vectors")
+    df.write.parquet(path)
+    schema = StructType([StructField(f.name, VectorUDT() if f.name in columns else f.dataType) for f in df.schema.fields])
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def assemble(wide: DataFrame, doc_vectors: DataFrame | None, size: int) -> DataFrame:
-    """[tfidf(side 1) | tfidf(side 2) | dense features] as one vector column."""
+    """[tfidf(side 1) | tfidf(side 2) | dense features] as one vector column,
+    with ``n_features`` and ``nnz`` (slots that are not zero)."""
     dense_cols = numeric_columns(wide)
     df = wide.fillna(0.0, subset=dense_cols)
+    filled = F.size(F.filter(F.array(*dense_cols), lambda v: v != 0))
     inputs = []
     if doc_vectors is not None:
+        nothing = sparse(size, F.array(), F.array())
         for side in (1, 2):
             own = doc_vectors.filter(F.col("doc_id.side") == side).select(
                 *[F.col(f"doc_id.{c}").alias(c) for c in PAIR], F.col("tfidf").alias(f"tfidf_{side}"))
-            df = df.join(own, list(PAIR), "left")
-        fill = _sparse(F.lit(size), F.lit(None).cast("array<int>"), F.lit(None).cast("array<double>"))
-        df = (df.withColumn("tfidf_1", F.coalesce(F.col("tfidf_1"), fill))
-              .withColumn("tfidf_2", F.coalesce(F.col("tfidf_2"), fill)))
+            df = df.join(own, list(PAIR), "left").withColumn(f"tfidf_{side}", F.coalesce(f"tfidf_{side}", nothing))
+            filled = filled + F.size(F.filter(F.col(f"tfidf_{side}.values"), lambda v: v != 0))
         inputs = ["tfidf_1", "tfidf_2"]
+    df = df.withColumn("n_features", F.lit(len(inputs) * size + len(dense_cols))).withColumn("nnz", filled)
     assembler = VectorAssembler(inputCols=inputs + dense_cols, outputCol="features")
-    return assembler.transform(df)
+    return assembler.transform(as_vectors(df, inputs) if inputs else df)
 
 
 def feature_names(index: DataFrame | None, size: int, dense_cols: list[str]) -> DataFrame:

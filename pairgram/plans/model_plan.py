@@ -80,7 +80,7 @@ def assembled(spark: SparkSession, sf_dir: str):
     model = fitted_tfidf(spark, sf_dir)
     weights = model.transform(fit_documents(spark, sf_dir))
     vectors, index, size = M.tfidf_blocks(weights, model.vocab)
-    out = checkpointed(M.assemble(wide, vectors, size).select(*PAIR, "label", "features"))
+    out = checkpointed(M.assemble(wide, vectors, size).select(*PAIR, "label", "features", "n_features", "nnz"))
     return out, M.feature_names(index, size, dense_feature_names())
 
 
@@ -96,9 +96,7 @@ def q_features_wide(spark, sf_dir):
 
 def q_assemble(spark, sf_dir):
     df, _ = assembled(spark, sf_dir)
-    arr = vector_to_array("features")
-    return df.select(*PAIR, "label", F.size(arr).alias("n_features"),
-                     F.size(F.filter(arr, lambda x: x != 0)).alias("nnz"))
+    return df.select(*PAIR, "label", "n_features", "nnz")
 
 
 def q_feature_map(spark, sf_dir):

@@ -1,7 +1,7 @@
 import __spark_entry__ as E
 from pairgram.plans import registry
 
-NO_ORACLE = {"edit_distance_word", "edit_distance_char", "edit_distance_tag", "gbt_predict", "gbt_regress", "split_importance", "assemble",
+NO_ORACLE = {"edit_distance_char", "gbt_predict", "gbt_regress", "split_importance", "assemble",
              "features_wide"}
 
 
