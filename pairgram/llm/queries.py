@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairgram.functions.safe import r6
 from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, suffixes, tokens, toxicity, warc
 from pairgram.sources.tables import read_table
 
@@ -32,7 +33,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance, word_distance, base_failed, kept."""
-    return quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
+    judged = quality.judge(read_table(spark, sf_dir, "documents", ["doc_id", "lang", "text"]))
+    return judged.withColumns({c: r6(F.col(c)) for c in ("class_distance", "word_distance")})
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,8 +85,56 @@ def decontaminate_sql(window: int = 10) -> str:
     FROM d LEFT JOIN c USING (r) LEFT JOIN m USING (r)"""
 
 
+def quality_sql() -> str:
+    """Base columns, references and distances from the definitions; every class by its own pattern."""
+    count = lambda p: f"length(t) - length(regexp_replace(t, '{p}', '', 'g'))"
+    named = {"lower": r"\p{Ll}", "space": r"[\x20\x09-\x0D]", "upper": r"\p{Lu}", "digit": r"\p{Nd}", "symbol": r"[#*$%&|<>]",
+             "punctuation": r"[.,;:!?''\"()\-]"}
+    classes = ", ".join(f"{count(p)} AS c_{c}" for c, p in named.items())
+    total = " + ".join(f"c_{c}" for c in named)
+    unpivoted = " UNION ALL ".join(
+        f"SELECT r, lang, base_failed, '{c}' AS k, {e} / greatest(length(t), 1) AS p FROM b"
+        for c, e in [*((c, f"c_{c}") for c in named), ("other", f"(length(t) - ({total}))")])
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) / 2 ELSE 0 END"
+    js = f"sqrt(greatest(sum({half('p', 'q')} + {half('q', 'p')}), 0))"
+    return rf"""
+    WITH d AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    g AS (
+      SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS n FROM (
+        SELECT r, i, list_slice(w, i, i + 4) AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5))),
+    rep AS (SELECT r, count(DISTINCT pos) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS pos FROM g WHERE n > 1) GROUP BY r),
+    l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+    b0 AS (
+      SELECT d.*, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, {classes}
+      FROM d JOIN l USING (r) LEFT JOIN rep USING (r)),
+    b AS MATERIALIZED (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b0),
+    cl AS MATERIALIZED ({unpivoted}),
+    cref AS (SELECT lang, k, avg(p) AS q FROM cl WHERE NOT base_failed GROUP BY lang, k),
+    cd AS (SELECT cl.r, {js} AS class_distance FROM cl JOIN cref ON cref.k = cl.k AND cref.lang IS NOT DISTINCT FROM cl.lang GROUP BY cl.r),
+    wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d) GROUP BY lang, word),
+    top AS MATERIALIZED (
+      SELECT lang, word, q FROM (
+        SELECT lang, word, n / sum(n) OVER (PARTITION BY lang) AS q, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS nr FROM wc)
+      WHERE nr <= 20),
+    dw AS (SELECT r, word, count(*) AS n FROM (SELECT r, unnest(w) AS word FROM d) GROUP BY r, word),
+    h0 AS MATERIALIZED (
+      SELECT d.r, d.lang, top.q, coalesce(dw.n, 0) / greatest(len(d.w), 1) AS p
+      FROM d JOIN top ON top.lang IS NOT DISTINCT FROM d.lang LEFT JOIN dw ON dw.r = d.r AND dw.word = top.word),
+    h AS (SELECT r, p, q FROM h0 UNION ALL SELECT r, greatest(1 - sum(p), 0), 1 - sum(q) FROM h0 GROUP BY r),
+    wd AS (SELECT r, {js} AS word_distance FROM h GROUP BY r)
+    SELECT doc_id, n_words, word_chars, CAST(c_symbol AS BIGINT) AS n_symbols, n_dup_lines, n_repeat_words,
+           round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance, base_failed,
+           NOT base_failed AND NOT (n_words >= 30 AND (coalesce(class_distance, 0) > 0.12 + 0.9 / sqrt(greatest(n_words, 1))
+             OR coalesce(word_distance, 0) > 0.26 + 0.8 / sqrt(greatest(n_words, 1)))) AS kept
+    FROM b LEFT JOIN cd USING (r) LEFT JOIN wd USING (r)"""
+
+
 ORACLE = {
     "op1_sharding": sharding_sql(),
+    "op5_quality_rules": quality_sql(),
     "op7_warc": warc_sql(),
     "op8_chat_formatting": chat_sql(),
     "op10_benchmark_decontamination": decontaminate_sql(),
