@@ -23,8 +23,8 @@ before the anchor are equal, which is read off for each d from the prefix length
 and hashes of the bytes before.
 
 Hot passages. An anchor with more than CROWD different runs (the rim of a passage
-that very many documents hold) is not sent to one task: the windows of its runs
-are counted by hash, with partial sums before the shuffle, and joined back.
+that very many documents hold) is not sent to one task: the windows of its runs, first
+in blocks, are counted by hash, with partial sums before the shuffle, and joined back.
 
 Hashes are 64 bits; runs must agree in two of them (anchor and whole).
 
@@ -52,6 +52,8 @@ GRAM = 32
 CROWD = 1000
 PIECE = 1 << 20
 POSITION_BITS = 21
+#: Windows of a block in which crowded runs are counted.
+STEP = 8
 #: Suffixes that a task sorts at a time, and, about, that a merging task gets.
 RUN = 50_000
 MERGE = 20_000
@@ -380,28 +382,60 @@ def merged(blocks: DataFrame, length: int = LENGTH) -> DataFrame:
     return blocks.groupBy("bucket").applyInPandas(merge, "_key long, doc_id long, first long, last long")
 
 
+def blocks_of_run(hasher: Hasher, part: np.ndarray, lead: int, n: int, length: int) -> Iterator[tuple]:
+    """(b, hash of all bytes or None, hash of the common bytes, first d, window hashes) of each block of STEP offsets.
+
+    Block b has the windows of offsets STEP * b to STEP * b + STEP - 1; the common bytes are those that all of them hold.
+    """
+    sums = hasher.sums(part)
+    one = lambda i, j: int(hasher.hash(sums, np.array([i]), np.array([j])).view(np.int64)[0])
+    windows = hasher.hash(sums, slice(0, n), slice(length, length + n)).view(np.int64)
+    least = lead - n + 1
+    for b in range(least // STEP, lead // STEP + 1):
+        low, high = STEP * b, STEP * b + STEP - 1
+        first, last = max(low, least), min(high, lead)
+        whole = one(lead - high, lead - low + length) if (first, last) == (low, high) else None
+        yield b, whole, one(lead - low, lead - high + length), first, windows[lead - last:lead - first + 1][::-1].tolist()
+
+
 def crowded(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``_key, doc_id, first, last`` of equal windows among the runs of crowded anchors, each window counted by hash."""
+    """``_key, doc_id, first, last`` of equal windows among the runs of crowded anchors, counted by hash.
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Blocks of STEP windows first: if the bytes that all windows of a block hold
+    occur once, none of its windows is equal to another; if all its bytes occur
+    twice, all are. Single windows are counted for the blocks in between, and for
+    one block of each kind that occurs twice, which stands for the others.
+    """
+    schema = ("anchor long, b int, whole long, core long, d0 int, hashes array<long>, _key long, doc_id long, at long, single boolean")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(2 * length)
         for batch in batches:
             for i in range(batch.num_rows):
-                data = batch.column("bytes")[i].as_py()
+                data, found = batch.column("bytes")[i].as_py(), []
+                key, doc = batch.column("_key")[i].as_py(), batch.column("doc_id")[i].as_py()
                 for r in batch.column("runs")[i].as_py():
                     part = np.frombuffer(data, dtype=np.uint8, offset=r["begin"], count=r["n"] - 1 + length)
-                    n = r["n"]
-                    found = hasher.hash(hasher.sums(part), slice(0, n), slice(length, length + n)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, r["anchor"])), pa.array(found), pa.array(r["lead"] - np.arange(n)),
-                         pa.array(np.full(n, batch.column("_key")[i].as_py())), pa.array([batch.column("doc_id")[i].as_py()] * n, pa.int64()),
-                         pa.array(r["begin"] + np.arange(n)), pa.array(np.full(n, r["single"]))],
-                        names=["anchor", "h", "d", "_key", "doc_id", "first", "single"])
-
-    table = saved(rows.mapInArrow(windows, "anchor long, h long, d long, _key long, doc_id long, first long, single boolean"), "windows")
-    twice = table.groupBy("anchor", "h", "d").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    found = table.filter("single").join(twice, ["anchor", "h", "d"], "left_semi")
-    return found.select("_key", "doc_id", "first", F.col("first").alias("last"))
+                    found += [(r["anchor"], *x, key, doc, r["begin"] + r["lead"], r["single"])
+                              for x in blocks_of_run(hasher, part, r["lead"], r["n"], length)]
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=[c.split()[0] for c in schema.split(", ")])
+
+    table = saved(rows.mapInArrow(cut, schema), "blocks")
+    cores = table.groupBy("anchor", "b", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    table = saved(table.join(cores, ["anchor", "b", "core"], "left_semi"), "cores")
+    twice = table.filter("whole IS NOT NULL").groupBy("anchor", "b", "whole").agg(
+        F.count(F.lit(1)).alias("c"), F.min(F.struct("_key", "doc_id", "at")).alias("one")).filter("c > 1").drop("c")
+    table = saved(table.join(twice, ["anchor", "b", "whole"], "left"), "wholes")
+    known = F.col("one").isNotNull()
+    spans = table.filter(known & F.col("single")).select(
+        "_key", "doc_id", (F.col("at") - STEP * F.col("b") - (STEP - 1)).alias("first"), (F.col("at") - STEP * F.col("b")).alias("last"))
+    open_ = table.filter(~known | (F.col("one") == F.struct("_key", "doc_id", "at")))
+    windows = saved(open_.select("anchor", "_key", "doc_id", "at", (F.col("single") & ~known).alias("asked"), "d0", F.posexplode("hashes").alias("i", "h"))
+                    .withColumn("d", F.col("d0") + F.col("i")), "windows")
+    same = windows.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    found = windows.filter("asked").join(same, ["anchor", "d", "h"], "left_semi")
+    return spans.unionByName(found.select("_key", "doc_id", (F.col("at") - F.col("d")).alias("first"), (F.col("at") - F.col("d")).alias("last")))
 
 
 def _released(spark) -> None:
@@ -419,8 +453,8 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """``_key, doc_id, first, last``: ranges of window starts whose windows also start elsewhere."""
-    if length < gram:
-        raise ValueError("windows must hold an anchor")
+    if length < gram or length <= STEP:
+        raise ValueError("a window must be longer than a block and hold an anchor")
     spark = docs.sparkSession
     texts = _texts(docs).drop("id")
     anchors = run_table(texts, length, gram).groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("anchor")
