@@ -132,9 +132,33 @@ def quality_sql() -> str:
     FROM b LEFT JOIN cd USING (r) LEFT JOIN wd USING (r)"""
 
 
+def suffix_sql(length: int = 200) -> str:
+    """All windows of the texts' bytes, in hexadecimal digits."""
+    return f"""
+    WITH d AS MATERIALIZED (
+      SELECT row_number() OVER () AS r, doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    w AS (
+      SELECT r, i, md5(substr(x, 2 * i - 1, {2 * length})) AS g
+      FROM (SELECT r, x, unnest(range(1, n - {length} + 2)) AS i FROM d WHERE n >= {length})),
+    twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY g) AS c FROM w) WHERE c > 1),
+    e AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {length} THEN 0 ELSE 1 END AS fresh FROM twice),
+    s AS (
+      SELECT r, min(i) AS a, max(i) + {length} AS b
+      FROM (SELECT r, i, sum(fresh) OVER (PARTITION BY r ORDER BY i) AS nr FROM e) GROUP BY r, nr),
+    k AS (
+      SELECT r, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 1) AS a, a AS b FROM s
+      UNION ALL SELECT r, max(b), max(n) + 1 FROM s JOIN d USING (r) GROUP BY r),
+    t AS (SELECT r, string_agg(substr(x, 2 * a - 1, 2 * (b - a)), '' ORDER BY a) AS kept FROM k JOIN d USING (r) GROUP BY r),
+    c AS (SELECT r, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed FROM s GROUP BY r)
+    SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+           sha256(unhex(coalesce(kept, x))) AS kept_sha256
+    FROM d LEFT JOIN t USING (r) LEFT JOIN c USING (r)"""
+
+
 ORACLE = {
     "op1_sharding": sharding_sql(),
     "op5_quality_rules": quality_sql(),
+    "op6_suffix_array_dedup": suffix_sql(),
     "op7_warc": warc_sql(),
     "op8_chat_formatting": chat_sql(),
     "op10_benchmark_decontamination": decontaminate_sql(),
