@@ -164,7 +164,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     rows = with_key(docs, "doc_id")
 
     def taken(plan):
-        return rows.join(plan, (rows["_key"] == F.col("_k")) & rows.doc_id.eqNullSafe(F.col("_d"))).select("_row", "_key", "_c")
+        # the plan has a row per document: a merge join at every size, never a broadcast of it
+        return rows.hint("merge").join(plan, (rows["_key"] == F.col("_k")) & rows.doc_id.eqNullSafe(F.col("_d"))).select("_row", "_key", "_c")
 
     out, many = taken(plan.filter("n = 1")), plan.filter("n > 1")
     if not is_empty(many):
