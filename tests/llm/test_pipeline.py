@@ -54,7 +54,7 @@ def test_awkward_tables(spark, tmp_path):
     for name, rows in (("some", awkward(2_000)), ("none", [])):
         folder = tmp_path / name
         documents(spark, rows).write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(1, 0), (2, 1), (None, 1)] if rows else [], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, 0), (2, 0), (None, 1)] if rows else [], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
         spark.createDataFrame([(1, None), (2, "another text")] if rows else [], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
         out = corpus_pipeline.run(spark, str(folder))
         assert "shard" in out.columns and (out.count() > 0) == bool(rows)
