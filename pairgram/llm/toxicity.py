@@ -1,29 +1,33 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of ORDER-grams of symbols, one of toxic and one of ordinary documents,
+Two models of ORDER-grams of code points, one of toxic and one of ordinary documents,
 score a text; the difference of their log-likelihoods per symbol is the evidence.
-Symbols are the letters a-z, a digit, a word boundary and four classes of other
-letters, so grams span words and catch inflected and compounded expressions.
+Symbols are the code points of the lower-cased text, runs of white space and control
+signs being one, so grams hold any script, span words and catch inflected and
+compounded expressions.
 
 Each class's model has its own counts at the highest order and its own continuation
 counts (how many symbols precede a gram) down to OWN symbols, each discounted and
-interpolated with the next shorter one. Below that both classes share the
-continuation counts of all documents, labelled or not. What neither class has
-seen thus gets the same probability from both, and says nothing.
+interpolated with the next one. The last of them is interpolated with the
+distribution of the corpus: continuation counts of all documents, labelled or not, of
+ORDER - 1 symbols down to one. What neither class has seen thus gets the same
+probability from both, and says nothing.
 
 Evidence: log P_toxic - log P_ordinary of each symbol, less MARGIN towards zero,
 summed and divided by the text's length. The margin keeps the many symbols that
 say next to nothing from drowning the few that say much.
 
-Size: SYMBOLS ** ORDER = 2 ** 25 possible grams bound the gram table whatever the
-input, so it is collected (12 bytes a gram) and the finished table, 4 bytes a gram, is
-sent to the tasks. Counting is a partial sum per task, then a sum per gram.
+Counting: a task sums up the grams of a block of rows; a groupBy adds the blocks.
+Counts, continuation counts, backoff and evidence are written tables of one row per
+gram that grow with the corpus, made by groupBy on contexts and joins. For scoring, the
+grams of each block are joined to the evidence and written by block; a task reads the
+rows of its own blocks only. No text is shuffled, no gram goes to the driver.
 
 Learning: a labelled document may be learned from if crc32(doc_id as text) mod 4
 is not HELD_OUT. Remainder CALIBRATE sets the two parameters of the logistic
-curve that turns evidence into a score, the others give counts. Labelled rows are
-a hash sample of at most LABELLED rows, so they can be sent to all tasks and no text
-is shuffled; corpus counts and scores cover every document.
+curve that turns evidence into a score, the others give counts.
+Labelled rows are a hash sample of at most LABELLED rows, so they can be sent to all
+tasks; corpus counts and scores cover every document.
 
 Defined cases: null and empty texts have no evidence and score as the curve says
 for none; rows without doc_id are scored, not learned from, and not held out; a
@@ -31,26 +35,33 @@ doc_id with several labels is toxic if one says so. Without labels of both
 classes all scores are the share of toxic labels (0 without any). Repeated rows get equal
 scores; long texts are read in pieces of PIECE characters. Input columns may
 have any name.
+
+continuation, backoff, evidence and Model give the same model in memory for an
+alphabet of 32 symbols; tests hold the tables against them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairgram.llm.common import saved, with_key
+from pairgram.session import shared_dir
 
-SYMBOL_BITS = 5
 ORDER = 5
+#: The alphabet of the model in memory.
+SYMBOL_BITS = 5
 GRAMS = 1 << (SYMBOL_BITS * ORDER)
 CONTEXTS = GRAMS >> SYMBOL_BITS
 DISCOUNT = 0.75
-#: Grams of fewer symbols are smoothed by counts that both classes share.
+#: Grams of fewer symbols have only counts that both classes share.
 OWN = 3
 MARGIN = 1.5
 #: Symbols that count as no evidence beside a text's own, so that a few symbols do not decide alone.
@@ -62,91 +73,205 @@ THRESHOLD = 0.3
 PIECE = 1 << 20
 #: Grams that a counting task holds before it sums them up.
 HOLD = 1 << 22
+#: Rows of a block: its distinct grams are counted together and joined to the evidence once.
+BLOCK = 20_000
+SPACE = 32
 
 
 def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
 
 
-def _symbol_table() -> np.ndarray:
-    """Code points below 0x250 -> symbol; 0 is the word boundary, 1-26 a-z, 27 digits, 28-31 other letters."""
-    out = np.zeros(0x250, dtype=np.int32)
-    out[ord("a"):ord("z") + 1] = np.arange(1, 27)
-    out[ord("0"):ord("9") + 1] = 27
-    for cp in range(0x80, 0x250):
-        if chr(cp).isalpha():
-            out[cp] = 28 + cp % 4
-    return out
+def _space_table() -> np.ndarray:
+    """Code points up to U+3000 -> themselves, white space and control signs -> SPACE. There is no white space above."""
+    return np.array([SPACE if chr(cp).isspace() or cp < 32 or 0x7F <= cp < 0xA0 else cp for cp in range(0x3001)], dtype=np.uint32)
 
 
-TABLE = _symbol_table()
+TABLE = _space_table()
+#: Odd multipliers of a gram's symbols in its 64-bit key.
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
-def symbols(text: str, last: int = 0) -> np.ndarray:
-    """Symbols of a text; runs of boundaries are one. ``last`` is the symbol before it."""
+def symbols(text: str, last: int = SPACE) -> np.ndarray:
+    """Symbols of a text; runs of SPACE are one. ``last`` is the symbol before it."""
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    known = cp < len(TABLE)
-    out = np.where(known, TABLE[np.where(known, cp, 0)], np.where((cp >= 0x2000) & (cp < 0x2C00), 0, 28 + cp % 4).astype(np.int32))
-    before = np.concatenate(([last], out[:-1]))
-    return out[(out != 0) | (before != 0)].astype(np.int32)
+    out = np.where(cp < len(TABLE), TABLE[np.minimum(cp, len(TABLE) - 1)], cp)
+    space = out == SPACE
+    twice = space.copy()
+    twice[1:] &= space[:-1]
+    twice[:1] &= last == SPACE
+    return out[~twice] if twice.any() else out
 
 
-def grams(text: str) -> Iterator[np.ndarray]:
-    """Gram numbers of a text that begins and ends with a boundary, piece by piece."""
-    tail = np.zeros(1, dtype=np.int32)
+def runs(text: str) -> Iterator[np.ndarray]:
+    """Symbols of a text that begins and ends with SPACE, piece by piece; each run begins with the last ORDER - 1 of the one before."""
+    tail = np.full(1, SPACE, dtype=np.uint32)
     for at in range(0, len(text), PIECE):
         end = at + PIECE >= len(text)
         got = np.concatenate((tail, symbols(text[at:at + PIECE] + (" " if end else ""), int(tail[-1]))))
-        n = len(got) - ORDER + 1
-        if n > 0:
-            out = got[:n].copy()
-            for k in range(1, ORDER):
-                out <<= SYMBOL_BITS
-                out |= got[k:k + n]
-            yield out
+        if len(got) >= ORDER:
+            yield got
         tail = got[1 - ORDER:]
 
 
+def keys_of(run: np.ndarray) -> np.ndarray:
+    """64-bit keys of the grams of a run."""
+    wide, n = run.astype(np.uint64), len(run) - ORDER + 1
+    out = wide[:n] * FACTORS[0]
+    for k in range(1, ORDER):
+        out += wide[k:k + n] * FACTORS[k]
+    out ^= out >> np.uint64(32)
+    out *= FACTORS[0]
+    out ^= out >> np.uint64(29)
+    return out.view(np.int64)
+
+
+def grams(text: str) -> Iterator[np.ndarray]:
+    """Keys of the grams of a text that begins and ends with SPACE, piece by piece."""
+    return map(keys_of, runs(text))
+
+
+def gram_strings(codes: np.ndarray) -> pa.Array:
+    """Rows of ORDER code points as strings."""
+    sizes = 1 + (codes >= 0x80).astype(np.int32) + (codes >= 0x800) + (codes >= 0x10000)
+    offsets = np.concatenate((np.zeros(1, np.int32), np.cumsum(sizes.sum(axis=1), dtype=np.int32)))
+    data = np.ascontiguousarray(codes, dtype="<u4").tobytes().decode("utf-32-le").encode()
+    return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(data))
+
+
+def string_keys(strings: list[str]) -> np.ndarray:
+    """Keys of grams given as strings."""
+    codes = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
+    return keys_of(codes)[::ORDER] if len(codes) else np.zeros(0, np.int64)
+
+
 class _Sums:
     """Sums per gram of one class, in memory that follows the number of distinct grams."""
 
     def __init__(self):
-        self.keys, self.sums = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int64)
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.sums = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.codes = np.zeros((0, ORDER), dtype=np.uint32)
         self.held: list[np.ndarray] = []
+        self.runs: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, part: np.ndarray) -> None:
+    def add(self, part: np.ndarray, run: np.ndarray | None = None) -> None:
+        """Keys, and the run that they are of."""
         self.held.append(part)
+        self.runs.append(np.zeros(len(part) + ORDER - 1, dtype=np.uint32) if run is None else run)
         self.size += len(part)
         if self.size >= HOLD:
             self.flush()
 
     def flush(self) -> None:
         if self.held:
-            keys, counts = np.unique(np.concatenate(self.held), return_counts=True)
-            self.held, self.size = [], 0
+            keys, first, counts = np.unique(np.concatenate(self.held), return_index=True, return_counts=True)
+            # a run is ORDER - 1 symbols longer than its keys
+            ends = np.cumsum([len(h) for h in self.held])
+            first = first + (ORDER - 1) * np.searchsorted(ends, first, side="right")
+            codes = np.concatenate(self.runs)[first[:, None] + np.arange(ORDER)]
+            self.held, self.runs, self.size = [], [], 0
             both = np.concatenate((self.keys, keys))
-            self.keys, where = np.unique(both, return_inverse=True)
+            self.keys, first, where = np.unique(both, return_index=True, return_inverse=True)
             self.sums = np.bincount(where, np.concatenate((self.sums, counts)), len(self.keys)).astype(np.int64)
+            self.codes = np.concatenate((self.codes, codes))[first]
+
+
+def block_grams(docs: DataFrame) -> DataFrame:
+    """``block, gram, toxic, ordinary`` over all rows of ``block, text, label`` (1, 0 or null for neither class), summed per task."""
+    schema = pa.schema([("block", pa.int64()), ("gram", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, block = {1: _Sums(), 0: _Sums(), -1: _Sums()}, None
+
+        def done(least: int) -> Iterator[pa.RecordBatch]:
+            for label, s in sums.items():
+                if len(s.keys) + s.size >= least:
+                    s.flush()
+                    for at in range(0, len(s.keys), 1 << 18):
+                        strings, own = gram_strings(s.codes[at:at + (1 << 18)]), pa.array(s.sums[at:at + (1 << 18)])
+                        zero = pa.array(np.zeros(len(strings), dtype=np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(strings), block)), strings, own if label == 1 else zero,
+                                                          own if label == 0 else zero], schema=schema)
+                    s.clear()
+
+        for batch in batches:
+            for b, label, text in zip(*(batch.column(c).to_pylist() for c in ("block", "label", "text"))):
+                if b != block:
+                    yield from done(1)
+                    block = b
+                for run in runs(text or ""):
+                    sums[label].add(keys_of(run), run)
+                yield from done(2 * HOLD)
+        yield from done(1)
+
+    rows = docs.select("block", "text", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    return rows.mapInArrow(count, "block long, gram string, toxic long, ordinary long")
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
     """``gram, toxic, ordinary`` over all rows of ``text, label`` (1, 0 or null for neither class)."""
+    return _added(block_grams(docs.select(F.lit(0).cast("long").alias("block"), "text", "label")))
+
+
+def _added(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+
+
+def _context(order: int) -> Column:
+    return F.substring("gram", 1, order - 1)
 
-    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = {1: _Sums(), 0: _Sums(), -1: _Sums()}
-        for part in parts:
-            for text, label in zip(part["text"], part["label"]):
-                for g in grams(text or ""):
-                    sums[label].add(g)
-        for label, s in sums.items():
-            s.flush()
-            zero = np.zeros(len(s.keys), dtype=np.int64)
-            yield pd.DataFrame({"gram": s.keys, "toxic": s.sums if label == 1 else zero, "ordinary": s.sums if label == 0 else zero})
 
-    rows = docs.select("text", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
-    return rows.mapInPandas(count, "gram int, toxic long, ordinary long").groupBy("gram").agg(
-        F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+def _suffix(order: int) -> Column:
+    return F.substring("gram", 2, order - 1)
+
+
+def discounted(table: DataFrame, order: int, names: tuple[str, ...]) -> DataFrame:
+    """``gram`` and, for each count c, ``m_c`` and ``g_c``: P(last symbol | the others) = m_c + g_c * P(last symbol | fewer)."""
+    of = table.groupBy(_context(order).alias("_c")).agg(*[x for c in names for x in (
+        F.sum(c).alias(f"total_{c}"), F.sum((F.col(c) > 0).cast("long")).alias(f"types_{c}"))])
+    columns = [x for c in names for x in (
+        (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total_{c}"), F.lit(1))).alias(f"m_{c}"),
+        F.when(F.col(f"total_{c}") > 0, DISCOUNT * F.col(f"types_{c}") / F.col(f"total_{c}")).otherwise(1.0).alias(f"g_{c}"))]
+    return table.join(of, _context(order) == F.col("_c")).select("gram", *columns)
+
+
+def continuations(counts: DataFrame) -> dict[int, DataFrame]:
+    """For ORDER - 1, ..., 1 symbols: ``gram`` and how many symbols precede it in each class (``toxic, ordinary``) and in all documents (``shared``)."""
+    out, seen = {}, counts
+    for order in range(ORDER - 1, 0, -1):
+        seen = saved(seen.groupBy(F.substring("gram", 2, order).alias("gram")).agg(
+            *[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in ("toxic", "ordinary")], F.count(F.lit(1)).alias("shared")), f"grams{order}")
+        out[order] = seen
+    return out
+
+
+def gram_evidence(counts: DataFrame) -> DataFrame:
+    """``gram, value``: the evidence of the grams of ``gram, toxic, ordinary`` that have some."""
+    tables = continuations(counts)
+    every = tables[1].count()
+    classes = ("toxic", "ordinary")
+    lower = discounted(tables[1], 1, ("shared",)).select("gram", (F.col("m_shared") + F.col("g_shared") / every).alias("corpus"))
+    kept: list[str] = []  # m and g of the classes' shorter grams
+    for order in range(2, ORDER):
+        names = (*classes, "shared") if order >= OWN else ("shared",)
+        below = lower.select(F.col("gram").alias("_s"), F.col("corpus").alias("_lower"), *kept)
+        at = discounted(tables[order], order, names).join(below, _suffix(order) == F.col("_s"))
+        own = [F.col(f"{x}_{c}").alias(f"{x}{order}_{c}") for x in "mg" for c in classes] if order >= OWN else []
+        lower = at.select("gram", (F.col("m_shared") + F.col("g_shared") * F.col("_lower")).alias("corpus"), *kept, *own)
+        kept += [f"{x}{order}_{c}" for x in "mg" for c in classes] if order >= OWN else []
+    p = {c: F.col("corpus") for c in classes}
+    for order in range(OWN, ORDER):
+        p = {c: F.col(f"m{order}_{c}") + F.col(f"g{order}_{c}") * p[c] for c in classes}
+    below = saved(lower.select(F.col("gram").alias("_s"), *[p[c].alias(f"p_{c}") for c in classes]), "backoff")
+    top = discounted(counts, ORDER, classes).join(below, _suffix(ORDER) == F.col("_s"))
+    log = {c: F.ln(F.col(f"m_{c}") + F.col(f"g_{c}") * F.col(f"p_{c}")) for c in classes}
+    value = log["toxic"] - log["ordinary"]
+    value = F.signum(value) * F.greatest(F.abs(value) - MARGIN, F.lit(0.0))
+    return top.select("gram", value.cast("float").alias("value")).filter("value != 0")
 
 
 def continuation(keys: np.ndarray) -> list[np.ndarray]:
@@ -163,12 +288,12 @@ def backoff(own: list[np.ndarray], shared: list[np.ndarray]) -> np.ndarray:
     """P(last symbol | the others) of all (ORDER - 1)-grams from a class's and the shared continuation counts."""
     n = 1 << SYMBOL_BITS
     p = np.full(n, 1.0 / n)
-    for order in range(1, ORDER):
-        table = (own if order >= OWN else shared)[ORDER - 1 - order].reshape(-1, n)
+    for order, counts in [(k, shared) for k in range(1, ORDER)] + [(k, own) for k in range(OWN, ORDER)]:
+        table = counts[ORDER - 1 - order].reshape(-1, n)
         total, types = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        lower = np.tile(p, table.size // len(p)).reshape(-1, n)
-        mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * types * lower) / np.maximum(total, 1)
-        p = np.where(total > 0, mixed, lower).reshape(-1)
+        p = (np.tile(p, n) if counts is shared and order > 1 else p).reshape(-1, *table.shape)
+        mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * types * p) / np.maximum(total, 1)
+        p = np.where(total > 0, mixed, p).reshape(-1)
     return p
 
 
@@ -180,10 +305,6 @@ class Model:
     #: evidence of other grams: by their context, and by their last ORDER - 1 symbols
     by_context: np.ndarray
     by_suffix: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
-    #: score of all texts when a class has no labels
-    constant: float | None = None
 
     def table(self) -> np.ndarray:
         """Evidence of every gram, less the margin."""
@@ -221,23 +342,77 @@ def sample_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     return own.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < int(0.95 * most / n * (1 << 20)))
 
 
-def raw_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id`` and ``z``, the evidence per symbol, of each row of ``doc_id, text`` (all other columns kept)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+class Lookup:
+    """Values of 64-bit keys, 0 for others: a table by some bits of the key, what finds no room there in a next one."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys, first = np.unique(keys, return_index=True)
+        values, self.levels = values[first], []
+        for shift in (0, 12, 24, 36):
+            size = 1 << max(8, (4 * len(keys)).bit_length() - 1)
+            at = (keys >> shift) & (size - 1)
+            own, out = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.float32)
+            own[at] = keys
+            there = own[at] == keys
+            out[at[there]] = values[there]
+            self.levels.append((shift, size - 1, own, out))
+            keys, values = keys[~there], values[~there]
+        self.keys, self.values = keys, values
+
+    def total(self, keys: np.ndarray) -> float:
+        total = 0.0
+        for shift, mask, own, out in self.levels:
+            at = (keys >> shift) & mask
+            there = own[at] == keys
+            total += float(out[at[there]].sum(dtype=np.float64))
+            keys = keys[~there]
+        if len(self.keys) and len(keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            total += float(self.values[at][self.keys[at] == keys].sum(dtype=np.float64))
+        return total
+
+
+@dataclass
+class Curve:
+    """Where the evidence by block is, and what turns a text's evidence into a score."""
+    uri: str = ""
+    slope: float = 1.0
+    offset: float = 0.0
+    #: score of all texts when a class has no labels
+    constant: float | None = None
+
+
+def block_evidence(uri: str, block: int) -> Lookup:
+    """The written evidence of the grams of a block; a block without any has no folder."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(f"{uri}/block={block}")
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.float32))
+    found = [pq.ParquetFile(store.open_input_file(f.path)).read() for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
+    table = pa.concat_tables(found)
+    return Lookup(string_keys(table["gram"].to_pylist()), table["value"].to_numpy())
+
+
+def raw_evidence(rows: DataFrame, uri: str) -> DataFrame:
+    """rows, which have ``text`` and ``block``, plus ``z``, the evidence per symbol."""
 
     @F.pandas_udf("double")
-    def z(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        table = shared.value.table()
-        for part in parts:
+    def z(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        block, table = None, None
+        for texts, blocks in parts:
             out = []
-            for text in part:
+            for text, b in zip(texts, blocks):
+                if b != block:
+                    block, table = b, block_evidence(uri, b)
                 total, n = 0.0, 0
                 for g in grams(text or ""):
-                    total, n = total + float(table[g].sum(dtype=np.float64)), n + len(g)
+                    total, n = total + table.total(g), n + len(g)
                 out.append(total / (n + PRIOR_LENGTH))
             yield pd.Series(out, dtype="float64")
 
-    return docs.withColumn("z", z("text"))
+    return rows.withColumn("z", z("text", "block"))
 
 
 def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
@@ -254,42 +429,51 @@ def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, flo
     return float(w[0] / scale), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> Model:
-    """Counts over all of docs, classes and the curve from the sampled labels. Labels alone say what is toxic."""
+def in_blocks(docs: DataFrame) -> DataFrame:
+    """docs, written once, plus ``block``: a row's file and place in it, the same in every later job."""
+    rows, at = saved(docs, "texts"), F.col("_metadata")
+    return rows.select("*", F.xxhash64(at["file_path"], F.floor(at["row_index"] / BLOCK)).alias("block"))
+
+
+def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
+    """Counts over all rows of ``doc_id, text, block``, classes and the curve from the sampled labels. Labels alone say what is toxic."""
     own = saved(sample_labels(labels.select("doc_id", "toxic"), most), "sample")
     small = F.broadcast(own.filter(F.col("part") != CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
-    found = docs.select("doc_id", "text").join(small, F.col("doc_id") == F.col("_d"), "left")
-    table = count_grams(found).select("gram", *[F.col(c).cast("float").alias(c) for c in ("toxic", "ordinary")])
-    table = saved(table, "grams").toPandas().sort_values("gram")  # at most GRAMS rows of 12 bytes
-    keys, toxic, ordinary = (table[c].to_numpy() for c in ("gram", "toxic", "ordinary"))
-    if not toxic.sum() or not ordinary.sum():
-        share = own.agg(F.avg("label")).first()[0]
-        none = np.zeros(0, dtype=np.float32)
-        return Model(keys[:0], none, none, none, constant=float(share or 0.0))
-    model = evidence(keys, toxic.astype(np.float64), ordinary.astype(np.float64))
+    found = rows.select("doc_id", "text", "block").join(small, F.col("doc_id") == F.col("_d"), "left")
+    parts = saved(block_grams(found), "parts")
+    counts = saved(_added(parts), "counts")
+    seen = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
+    if not seen[0] or not seen[1]:
+        return Curve(constant=float(own.agg(F.avg("label")).first()[0] or 0.0))
+    values = saved(gram_evidence(counts), "evidence")
+    path = shared_dir(rows.sparkSession, "by_block")
+    parts.select("block", "gram").join(values, "gram").repartition("block").write.partitionBy("block").parquet(path)
+    curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
-    z = raw_evidence(docs.select("doc_id", "text").join(check, F.col("doc_id") == F.col("_d")), model).select("z", "label").toPandas()
+    z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)
+    z = z.select("z", "label").toPandas()
     if z["label"].nunique() == 2:
-        model.slope, model.offset = logistic(z["z"].to_numpy(), z["label"].to_numpy(np.float64))
-    return model
+        curve.slope, curve.offset = logistic(z["z"].to_numpy(), z["label"].to_numpy(np.float64))
+    return curve
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs plus ``score`` (0 to 1). docs has ``text``."""
-    if model.constant is not None:
-        return docs.withColumn("score", F.lit(model.constant))
-    linear = F.col("z") * model.slope + model.offset
-    return raw_evidence(docs, model).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(30.0)), F.lit(-30.0))))).drop("z")
+def score(rows: DataFrame, curve: Curve) -> DataFrame:
+    """rows plus ``score`` (0 to 1). rows are those of in_blocks and have ``text``."""
+    if curve.constant is not None:
+        return rows.withColumn("score", F.lit(curve.constant))
+    linear = F.col("z") * curve.slope + curve.offset
+    return raw_evidence(rows, curve.uri).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(30.0)), F.lit(-30.0))))).drop("z")
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per document."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    rows = in_blocks(docs.select("doc_id", "text"))
+    scored = score(rows, fit(rows, labels))
     held = F.coalesce(remainder(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, with their columns as they are."""
-    rows = with_key(docs, "text").drop("_key")
-    return score(rows, fit(docs, labels)).filter(F.col("score") < threshold).select("_row.*")
+    rows = in_blocks(with_key(docs).select("_row")).select("_row", "_row.doc_id", "_row.text", "block")
+    return score(rows, fit(rows, labels)).filter(F.col("score") < threshold).select("_row.*")

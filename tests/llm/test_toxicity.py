@@ -96,3 +96,50 @@ def test_sample_is_bounded(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(8000)], "doc_id long, toxic int")
     n = toxicity.sample_labels(labels, 1000).count()
     assert 800 <= n <= 1000
+
+
+def test_tables_equal_the_model_in_memory(spark):
+    rng = np.random.default_rng(7)
+    codes = rng.integers(0, 32, (3000, toxicity.ORDER)) ** 2 // 32  # some symbols are frequent
+    codes = np.unique(np.concatenate((codes, np.arange(32)[:, None].repeat(toxicity.ORDER, 1))), axis=0)
+    toxic, ordinary = (rng.integers(0, 4, len(codes)) * rng.integers(0, 2, len(codes)) for _ in range(2))
+    keys = (codes * 32 ** np.arange(toxicity.ORDER)[::-1]).sum(axis=1).astype(np.int32)
+    want = toxicity.evidence(keys, toxic.astype(float), ordinary.astype(float)).table()
+    grams = ["".join(chr(0x4E00 + c) for c in row) for row in codes]
+    table = spark.createDataFrame(list(zip(grams, toxic.tolist(), ordinary.tolist())), "gram string, toxic long, ordinary long")
+    got = {r.gram: r.value for r in toxicity.gram_evidence(table).collect()}
+    assert len(got) > 100
+    assert np.allclose([got.get(g, 0.0) for g in grams], want[keys], atol=1e-4)
+
+
+def test_grams_are_code_points_of_any_script(spark):
+    texts = ["слово дело", "слива 漢字", "a, b. c!"]
+    got = {r.gram for r in toxicity.count_grams(spark.createDataFrame([(t, 1) for t in texts], "text string, label int")).collect()}
+    assert got == {f" {t} "[i:i + 5] for t in texts for i in range(len(t) - 2)}
+
+
+def test_what_is_kept_of_the_corpus_grows_with_it(spark):
+    random.seed(5)
+    text = lambda n: "".join(chr(0x4E00 + random.randrange(900)) for _ in range(n))
+    small, large = ([(text(400), None) for _ in range(n)] for n in (20, 80))
+    sizes = []
+    for rows in (small, large):
+        tables = toxicity.continuations(toxicity.count_grams(spark.createDataFrame(rows, "text string, label int")))
+        sizes.append([tables[k].filter("shared > 0").count() for k in (4, 3, 2)])
+    assert all(b > 3 * a for a, b in zip(*sizes))
+
+
+def test_words_of_other_scripts_are_told_apart(spark):
+    random.seed(11)
+    word = lambda: "".join(random.choice("лорнатимекс") for _ in range(random.randint(3, 8)))
+    rows, labels = [], []
+    for i in range(400):
+        words = [word() for _ in range(60)]
+        if i % 4 == 0:
+            for _ in range(4):
+                words.insert(random.randrange(60), random.choice(["гадюкин", "гадюкины"]))
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    out = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in out if r.held_out]
+    assert sum(p == t for p, t in held) >= 0.97 * len(held)
