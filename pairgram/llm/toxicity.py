@@ -25,7 +25,7 @@ rows of its own blocks only. No text is shuffled, no gram goes to the driver.
 
 Learning: a labelled document may be learned from if crc32(doc_id as text) mod 4
 is not HELD_OUT. Remainder CALIBRATE sets the two parameters of the logistic
-curve that turns evidence into a score, the others give counts.
+curve that turns evidence into a score, by one mean per doc_id; the others give counts.
 Labelled rows are a hash sample of at most LABELLED rows, so they can be sent to all
 tasks; corpus counts and scores cover every document.
 
@@ -451,8 +451,9 @@ def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
     curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)
-    z = z.select("z", "label").toPandas()
+    z = z.groupBy("_d").agg(F.avg("z").alias("z"), F.max("label").alias("label")).toPandas()  # at most one row a label
     if z["label"].nunique() == 2:
+        z = z.sort_values("_d")
         curve.slope, curve.offset = logistic(z["z"].to_numpy(), z["label"].to_numpy(np.float64))
     return curve
 

@@ -143,3 +143,13 @@ def test_words_of_other_scripts_are_told_apart(spark):
     out = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in out if r.held_out]
     assert sum(p == t for p, t in held) >= 0.97 * len(held)
+
+
+def test_one_doc_id_on_many_rows_calibrates_once(spark, monkeypatch):
+    rows, labels = corpus(200)
+    one = next(d for d, _ in labels if zlib.crc32(str(d).encode()) % 4 == toxicity.CALIBRATE)
+    sizes, real = [], toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda z, y: sizes.append(len(z)) or real(z, y))
+    docs = documents(spark, rows + [(one, f"{rows[one][1]} {k}") for k in range(300)])
+    toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).count()
+    assert sizes == [sum(zlib.crc32(str(d).encode()) % 4 == toxicity.CALIBRATE for d, _ in labels)]
