@@ -13,9 +13,10 @@ distribution of the corpus: continuation counts of all documents, labelled or no
 ORDER - 1 symbols down to one. What neither class has seen thus gets the same
 probability from both, and says nothing.
 
-Evidence: log P_toxic - log P_ordinary of each symbol, less MARGIN towards zero,
-summed and divided by the text's length. The margin keeps the many symbols that
-say next to nothing from drowning the few that say much.
+Evidence: log P_toxic - log P_ordinary of each symbol, summed and divided by the
+text's length, and beside it the same sum with each symbol's difference less MARGIN
+towards zero. The first counts every sign, the second the few that say much and
+that many small ones would drown; the fitted curve weighs the two, neither below 0.
 
 Counting: a task sums up the grams of a block of rows; a groupBy adds the blocks.
 Counts, continuation counts, backoff and evidence are written tables of one row per
@@ -24,7 +25,7 @@ grams of each block are joined to the evidence and written by block; a task read
 rows of its own blocks only. No text is shuffled, no gram goes to the driver.
 
 Learning: a labelled document may be learned from if crc32(doc_id as text) mod 4
-is not HELD_OUT. Remainder CALIBRATE sets the two parameters of the logistic
+is not HELD_OUT. Remainder CALIBRATE sets the parameters of the logistic
 curve that turns evidence into a score, by one mean per doc_id; the others give counts.
 Labelled rows are a hash sample of at most LABELLED rows, so they can be sent to all
 tasks; corpus counts and scores cover every document.
@@ -63,6 +64,7 @@ CONTEXTS = GRAMS >> SYMBOL_BITS
 DISCOUNT = 0.75
 #: Grams of fewer symbols have only counts that both classes share.
 OWN = 3
+#: What a symbol's evidence is above, in size, to count among the strong.
 MARGIN = 1.5
 #: Symbols that count as no evidence beside a text's own, so that a few symbols do not decide alone.
 PRIOR_LENGTH = 60
@@ -270,7 +272,6 @@ def gram_evidence(counts: DataFrame) -> DataFrame:
     top = discounted(counts, ORDER, classes).join(below, _suffix(ORDER) == F.col("_s"))
     log = {c: F.ln(F.col(f"m_{c}") + F.col(f"g_{c}") * F.col(f"p_{c}")) for c in classes}
     value = log["toxic"] - log["ordinary"]
-    value = F.signum(value) * F.greatest(F.abs(value) - MARGIN, F.lit(0.0))
     return top.select("gram", value.cast("float").alias("value")).filter("value != 0")
 
 
@@ -307,12 +308,10 @@ class Model:
     by_suffix: np.ndarray
 
     def table(self) -> np.ndarray:
-        """Evidence of every gram, less the margin."""
+        """Evidence of every gram."""
         out = np.repeat(self.by_context, 1 << SYMBOL_BITS)
         out.reshape(-1, CONTEXTS)[:] += self.by_suffix
         out[self.keys] = self.values
-        for part in out.reshape(-1, CONTEXTS):
-            part[:] = np.sign(part) * np.maximum(np.abs(part) - np.float32(MARGIN), 0)
         return out
 
 
@@ -359,24 +358,26 @@ class Lookup:
             keys, values = keys[~there], values[~there]
         self.keys, self.values = keys, values
 
-    def total(self, keys: np.ndarray) -> float:
-        total = 0.0
-        for shift, mask, own, out in self.levels:
+    def found(self, keys: np.ndarray) -> np.ndarray:
+        """The values of the keys that are there, in any order."""
+        out = []
+        for shift, mask, own, values in self.levels:
             at = (keys >> shift) & mask
             there = own[at] == keys
-            total += float(out[at[there]].sum(dtype=np.float64))
+            out.append(values[at[there]])
             keys = keys[~there]
         if len(self.keys) and len(keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            total += float(self.values[at][self.keys[at] == keys].sum(dtype=np.float64))
-        return total
+            out.append(self.values[at][self.keys[at] == keys])
+        return np.concatenate(out)
 
 
 @dataclass
 class Curve:
     """Where the evidence by block is, and what turns a text's evidence into a score."""
     uri: str = ""
-    slope: float = 1.0
+    #: of the evidence and of its strong part
+    slopes: tuple[float, float] = (1.0, 0.0)
     offset: float = 0.0
     #: score of all texts when a class has no labels
     constant: float | None = None
@@ -396,37 +397,47 @@ def block_evidence(uri: str, block: int) -> Lookup:
 
 
 def raw_evidence(rows: DataFrame, uri: str) -> DataFrame:
-    """rows, which have ``text`` and ``block``, plus ``z``, the evidence per symbol."""
+    """rows, which have ``text`` and ``block``, plus ``z``: the evidence per symbol, ``plain`` and its part above the margin, ``strong``."""
 
-    @F.pandas_udf("double")
-    def z(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.pandas_udf("plain double, strong double")
+    def z(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         block, table = None, None
         for texts, blocks in parts:
-            out = []
-            for text, b in zip(texts, blocks):
+            out = np.zeros((len(texts), 2))
+            for row, (text, b) in enumerate(zip(texts, blocks)):
                 if b != block:
                     block, table = b, block_evidence(uri, b)
-                total, n = 0.0, 0
+                n = 0
                 for g in grams(text or ""):
-                    total, n = total + table.total(g), n + len(g)
-                out.append(total / (n + PRIOR_LENGTH))
-            yield pd.Series(out, dtype="float64")
+                    found = table.found(g)
+                    strong = found[np.abs(found) > MARGIN]
+                    out[row] += found.sum(dtype=np.float64), (strong - np.copysign(np.float32(MARGIN), strong)).sum(dtype=np.float64)
+                    n += len(g)
+                out[row] /= n + PRIOR_LENGTH
+            yield pd.DataFrame(out, columns=["plain", "strong"])
 
     return rows.withColumn("z", z("text", "block"))
 
 
-def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of P(y = 1 | z) by Newton steps with a small ridge."""
-    scale = z.std() or 1.0
-    x = np.stack([z / scale, np.ones_like(z)], axis=1)
-    w = np.array([0.0, np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))])
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (y - p) - 1e-3 * w)
-        w = w + np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-6:
-            break
-    return float(w[0] / scale), float(w[1])
+def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple[float, ...], float]:
+    """Slopes, none below 0, and offset of P(y = 1 | z) by Newton steps with a small ridge. z has a row per y."""
+    kept = list(range(z.shape[1]))
+    while True:
+        scale = np.where(z[:, kept].std(axis=0) > 0, z[:, kept].std(axis=0), 1.0)
+        x = np.concatenate((z[:, kept] / scale, np.ones((len(z), 1))), axis=1)
+        w = np.zeros(len(kept) + 1)
+        w[-1] = np.log((y.mean() + 1e-9) / (1 - y.mean() + 1e-9))
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w)), x.T @ (y - p) - 1e-3 * w)
+            w = w + np.clip(step, -2, 2)
+            if np.abs(step).max() < 1e-6:
+                break
+        if len(kept) == 1 or w[:-1].min() >= 0:
+            slopes = np.zeros(z.shape[1])
+            slopes[kept] = w[:-1] / scale
+            return tuple(slopes.tolist()), float(w[-1])
+        del kept[int(w[:-1].argmin())]
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
@@ -451,10 +462,10 @@ def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
     curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)
-    z = z.groupBy("_d").agg(F.avg("z").alias("z"), F.max("label").alias("label")).toPandas()  # at most one row a label
+    z = z.groupBy("_d").agg(F.avg("z.plain").alias("plain"), F.avg("z.strong").alias("strong"), F.max("label").alias("label")).toPandas()  # at most one row a label
     if z["label"].nunique() == 2:
         z = z.sort_values("_d")
-        curve.slope, curve.offset = logistic(z["z"].to_numpy(), z["label"].to_numpy(np.float64))
+        curve.slopes, curve.offset = logistic(z[["plain", "strong"]].to_numpy(), z["label"].to_numpy(np.float64))
     return curve
 
 
@@ -462,7 +473,7 @@ def score(rows: DataFrame, curve: Curve) -> DataFrame:
     """rows plus ``score`` (0 to 1). rows are those of in_blocks and have ``text``."""
     if curve.constant is not None:
         return rows.withColumn("score", F.lit(curve.constant))
-    linear = F.col("z") * curve.slope + curve.offset
+    linear = F.col("z.plain") * curve.slopes[0] + F.col("z.strong") * curve.slopes[1] + curve.offset
     return raw_evidence(rows, curve.uri).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(linear, F.lit(30.0)), F.lit(-30.0))))).drop("z")
 
 

@@ -153,3 +153,16 @@ def test_one_doc_id_on_many_rows_calibrates_once(spark, monkeypatch):
     docs = documents(spark, rows + [(one, f"{rows[one][1]} {k}") for k in range(300)])
     toxicity.score_documents(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).count()
     assert sizes == [sum(zlib.crc32(str(d).encode()) % 4 == toxicity.CALIBRATE for d, _ in labels)]
+
+
+def test_many_moderate_signs_are_found(spark):
+    random.seed(13)
+    words = ["rela", "nosan", "taliro", "mose", "lisan", "torema", "sanoli", "merato"]
+    rows, labels = [], []
+    for i in range(400):
+        weights = [3, 1] * 4 if i % 4 == 0 else [1, 1] * 4  # no word is over 1.5 times likelier
+        rows.append((i, " ".join(random.choices(words, weights, k=250))))
+        labels.append((i, int(i % 4 == 0)))
+    out = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in out if r.held_out]
+    assert sum(p == t for p, t in held) >= 0.95 * len(held)
