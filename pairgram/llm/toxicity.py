@@ -18,7 +18,7 @@ text's length, and beside it the same sum with each symbol's difference less MAR
 towards zero. The first counts every sign, the second the few that say much and
 that many small ones would drown; the fitted curve weighs the two, neither below 0.
 
-Counting: a task sums up the grams of a block of rows; a groupBy adds the blocks.
+Counting: a task sums up the grams of a run of rows of one block; a groupBy adds them.
 Counts, continuation counts, backoff and evidence are written tables of one row per
 gram that grow with the corpus, made by groupBy on contexts and joins. For scoring, the
 grams of each block are joined to the evidence and written by block; a task reads the
@@ -50,10 +50,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgram.llm.common import saved, with_key
+from pairgram.llm.common import saved
 from pairgram.session import shared_dir
 
 ORDER = 5
@@ -75,7 +76,7 @@ THRESHOLD = 0.3
 PIECE = 1 << 20
 #: Grams that a counting task holds before it sums them up.
 HOLD = 1 << 22
-#: Rows of a block: its distinct grams are counted together and joined to the evidence once.
+#: Rows of a block, about: its distinct grams are joined to the evidence once.
 BLOCK = 20_000
 SPACE = 32
 
@@ -440,10 +441,19 @@ def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple[floa
         del kept[int(w[:-1].argmin())]
 
 
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """docs, written once, plus ``block``: a row's file and place in it, the same in every later job."""
-    rows, at = saved(docs, "texts"), F.col("_metadata")
-    return rows.select("*", F.xxhash64(at["file_path"], F.floor(at["row_index"] / BLOCK)).alias("block"))
+def in_blocks(docs: DataFrame, *columns: Column) -> DataFrame:
+    """The columns plus ``block``, the same for a row in every job: from its file and place there. Rows that are not read from Parquet are written once."""
+
+    def placed(df: DataFrame, *chosen: Column) -> DataFrame:
+        at = df.metadataColumn("_metadata")
+        blocks = max(1, df.count() // BLOCK)
+        return df.select(*chosen, F.pmod(F.xxhash64(at["file_path"], F.floor(at["row_index"] / BLOCK)), F.lit(blocks)).alias("block"))
+
+    try:
+        return placed(docs, *columns)
+    except AnalysisException:
+        rows = saved(docs.select(*columns), "texts")
+        return placed(rows, *[F.col(c) for c in rows.columns])
 
 
 def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
@@ -451,14 +461,14 @@ def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
     own = saved(sample_labels(labels.select("doc_id", "toxic"), most), "sample")
     small = F.broadcast(own.filter(F.col("part") != CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     found = rows.select("doc_id", "text", "block").join(small, F.col("doc_id") == F.col("_d"), "left")
-    parts = saved(block_grams(found), "parts")
-    counts = saved(_added(parts), "counts")
+    parts = block_grams(found).repartition("gram").groupBy("gram")
+    counts = saved(parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.collect_set("block").alias("blocks")), "counts")
     seen = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not seen[0] or not seen[1]:
         return Curve(constant=float(own.agg(F.avg("label")).first()[0] or 0.0))
-    values = saved(gram_evidence(counts), "evidence")
     path = shared_dir(rows.sparkSession, "by_block")
-    parts.select("block", "gram").join(values, "gram").repartition("block").write.partitionBy("block").parquet(path)
+    values = counts.select("gram", "blocks").join(gram_evidence(counts.drop("blocks")), "gram")
+    values.select("gram", "value", F.explode("blocks").alias("block")).repartition("block").write.partitionBy("block").parquet(path)
     curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)
@@ -479,7 +489,7 @@ def score(rows: DataFrame, curve: Curve) -> DataFrame:
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted``, one row per document."""
-    rows = in_blocks(docs.select("doc_id", "text"))
+    rows = in_blocks(docs, docs["doc_id"], docs["text"])
     scored = score(rows, fit(rows, labels))
     held = F.coalesce(remainder(F.col("doc_id")) == HELD_OUT, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -487,5 +497,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def remove_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score under the threshold, with their columns as they are."""
-    rows = in_blocks(with_key(docs).select("_row")).select("_row", "_row.doc_id", "_row.text", "block")
+    whole = F.struct(*[F.col(f"`{n}`") for n in docs.columns]).alias("_row")
+    rows = in_blocks(docs, whole).select("_row", "_row.doc_id", "_row.text", "block")
     return score(rows, fit(rows, labels)).filter(F.col("score") < threshold).select("_row.*")

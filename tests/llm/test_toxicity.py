@@ -166,3 +166,14 @@ def test_many_moderate_signs_are_found(spark):
     out = toxicity.score_documents(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     held = [(r.predicted, int(r.doc_id % 4 == 0)) for r in out if r.held_out]
     assert sum(p == t for p, t in held) >= 0.95 * len(held)
+
+
+def test_blocks_of_files_and_of_other_rows_score_alike(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    rows, labels = corpus(240)
+    docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    docs.repartition(3).write.parquet(str(tmp_path / "d"))
+    read = spark.read.parquet(str(tmp_path / "d"))
+    assert toxicity.in_blocks(read, read["text"]).select("block").distinct().count() > 1
+    a, b = ({r.doc_id: r.score for r in toxicity.score_documents(x, labels).collect()} for x in (docs, read))
+    assert all(abs(a[d] - b[d]) < 1e-6 for d in a)
