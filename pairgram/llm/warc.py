@@ -17,8 +17,8 @@ pages share a digest is settled by an aggregate with partial sums and a join tha
 Spark can split, so a payload that a third of the pages hold stays divisible.
 
 Defined cases: null html is an empty payload; a null page_id comes after all
-others; among equal page_ids one row of those with the payload is the response; a null url
-is empty, and line breaks in it are percent-encoded. An empty table writes
+others; among equal page_ids with the payload the smallest url is the response, and one of
+rows that agree in all; a null url is empty, and line breaks in it are percent-encoded. An empty table writes
 no records. Input columns may have any name.
 """
 
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgram.llm.common import saved
+from pairgram.llm.common import repeated, saved
 from pairgram.session import shared_dir
 
 MIN_REVISIT = 100
@@ -55,9 +55,9 @@ def page_of(uri: str) -> int | None:
     return None if name == "none" else int(name)
 
 
-def encode(page_id: int | None, url: str, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """One record. A revisit keeps the HTTP headers, Content-Length included, and drops the payload."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def encode(page_id: int | None, url: str, payload: bytes | None, n_bytes: int, digest: str, revisit: bool, refers_to: int | None) -> bytes:
+    """One record. A revisit keeps the HTTP headers, Content-Length (the payload's ``n_bytes``) included, and has no payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_uri(page_id)}",
             "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{digest}",
@@ -88,19 +88,35 @@ def decode(record: bytes) -> dict:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """``page_id, url, payload, payload_digest, revisit, refers_to``, one row per page."""
+    """``page_id, url, payload, payload_bytes, payload_digest, revisit, refers_to``, one row per page; revisits have no payload."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     safe = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), safe.alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("at", F.monotonically_increasing_id())
-    order = F.struct(F.col("page_id").isNull(), "page_id", "at")
-    long_ = rows.filter(F.octet_length("payload") >= MIN_REVISIT)
-    first = long_.groupBy(F.col("payload_digest").alias("_d")).agg(F.min(order).alias("f"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = saved(first.select("_d", F.col("f.page_id").alias("first_page"), F.col("f.at").alias("first_at")), "first")
-    out = rows.join(first, (F.col("payload_digest") == F.col("_d")) & (F.octet_length("payload") >= MIN_REVISIT), "left")
-    revisit = F.coalesce(F.col("first_at") != F.col("at"), F.lit(False))
-    return out.select("page_id", "url", "payload", "payload_digest", revisit.alias("revisit"),
-                      F.when(revisit, F.col("first_page")).alias("refers_to"))
+    rows = rows.withColumn("payload_digest", F.sha2("payload", 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    order = F.struct(F.col("page_id").isNull(), "page_id", "url")
+    long_ = rows.filter(F.col("payload_bytes") >= MIN_REVISIT).groupBy("payload_digest", "page_id", "url").agg(F.count(F.lit(1)).alias("copies"))
+    first = long_.groupBy(F.col("payload_digest").alias("_d")).agg(F.min(order).alias("f"), F.min_by("copies", order).alias("copies"), F.sum("copies").alias("n"))
+    first = saved(first.filter("n > 1").select("_d", F.col("f.page_id").alias("first_page"), F.col("f.url").alias("first_url"), "copies"), "first")
+    out = rows.join(first, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= MIN_REVISIT), "left")
+    # what a row is follows from its values alone, so no other job or attempt sees it otherwise
+    chosen = F.col("page_id").eqNullSafe(F.col("first_page")) & (F.col("url") == F.col("first_url"))
+    revisit = F.col("_d").isNotNull() & ~F.coalesce(chosen, F.lit(False))
+    out = out.withColumn("revisit", revisit)
+    columns = ["page_id", "url", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", "revisit",
+               F.when(F.col("revisit"), F.col("first_page")).alias("refers_to")]
+    most = first.agg(F.max("copies")).first()[0] or 1
+    if most == 1:
+        return out.select(*columns)
+    # rows that agree in all: one is kept with its payload, the others are made from their number
+    same = ~F.col("revisit") & (F.coalesce("copies", F.lit(1)) > 1)
+    tied = out.filter(same)
+    kept = tied.groupBy("page_id", "url", "payload_digest", "payload_bytes").agg(F.first("payload").alias("payload"))
+    kept = kept.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.lit(False).alias("revisit"), F.lit(None).cast("long").alias("refers_to"))
+    others = tied.groupBy("page_id", "url", "payload_digest", "payload_bytes").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    others = repeated(others.withColumn("_key", F.xxhash64("payload_digest")), "copies", "_nr", most)
+    others = others.select("page_id", "url", F.lit(None).cast("binary").alias("payload"), "payload_bytes", "payload_digest",
+                           F.lit(True).alias("revisit"), F.col("page_id").alias("refers_to"))
+    return out.filter(~same).select(*columns).unionByName(kept).unionByName(others)
 
 
 def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -122,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
                     if out is None:
                         store.create_dir(path, recursive=True)
                         out = store.open_output_stream(f"{path}/{name}")
-                    record = encode(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["revisit"], row["refers_to"])
+                    record = encode(row["page_id"], row["url"], row["payload"], row["payload_bytes"], row["payload_digest"], row["revisit"], row["refers_to"])
                     out.write(record)
                     index.append((row["page_id"], row["url"], name, offset, len(record), row["payload_digest"],
                                   "revisit" if row["revisit"] else "response"))

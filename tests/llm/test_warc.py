@@ -58,3 +58,25 @@ def test_ranges_coalesce_what_touches():
 
 def test_empty_table(spark):
     assert warc.read_records(warc.write_archives(table(spark, []))).count() == 0
+
+
+def test_every_payload_is_kept_when_splits_move_between_jobs(spark, tmp_path, monkeypatch):
+    rows = [(i, f"u{i}", "p" * 150 if i % 2 else "q" * 140) for i in range(60)] + [(None, "n", "z" * 130)] * 3 + [(90, "v", "s" * 130)] * 5
+    table(spark, rows).repartition(8).write.parquet(str(tmp_path / "pages"))
+    real = warc.saved
+
+    def moved(df, name):
+        out = real(df, name)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000" if name == "first" else "128m")
+        return out
+
+    monkeypatch.setattr(warc, "saved", moved)
+    try:
+        got = warc.read_records(warc.write_archives(spark.read.parquet(str(tmp_path / "pages")), str(tmp_path / "w"))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(got) == len(rows)
+    kept = sorted(bytes(r.payload).decode() for r in got if r.record_type == "response")
+    assert kept == sorted({h for _, _, h in rows})
+    assert all(r.payload is None and r.refers_to == min((p for p, _, h in rows if hashlib.sha256(h.encode()).hexdigest() == r.payload_digest and p is not None), default=None)
+               for r in got if r.record_type == "revisit")
