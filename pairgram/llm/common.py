@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import MapType, VariantType
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from pairgram.session import shared_dir
 
@@ -31,9 +31,16 @@ def settled(df: DataFrame, **exprs: Column) -> DataFrame:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """64-bit hash of a whole row. Rows that agree in all columns agree in it."""
-    names = [f.name for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
-    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
+    """64-bit hash of a whole row. Rows that agree in all columns agree in it.
+
+    The hash passes over nulls, so each column goes in behind its null flag, and nested ones as JSON, which names its fields.
+    """
+    parts = []
+    for field in df.schema.fields:
+        c = F.col(f"`{field.name}`")
+        nested = isinstance(field.dataType, (ArrayType, MapType, StructType, VariantType))
+        parts += [c.isNull(), F.to_json(F.struct(c)) if nested else c]
+    return F.xxhash64(*parts)
 
 
 def with_key(df: DataFrame, *needed: str) -> DataFrame:
@@ -76,3 +83,32 @@ def repeated(df: DataFrame, copies: str, index: str, most: int) -> DataFrame:
             .repartition("_chunk", "_key")
             .withColumn("_in", F.explode(F.expr(f"sequence(0L, least({CHUNK}L, `{copies}` - _chunk * {CHUNK}) - 1)")))
             .withColumn(index, F.expr(f"_chunk * {CHUNK} + _in")).drop("_chunk", "_in"))
+
+
+def join_unique(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", heavy: int = 1000) -> DataFrame:
+    """Join a stored table to one with a single row per key; a key that is hot in ``many`` is not one task's work.
+
+    Keys that hold more than a ``heavy``-th of the rows (so at most ``heavy`` keys) meet their rows by broadcast, the
+    others by the usual join. Keys are never null.
+    """
+    least = max(many.count() // heavy, 1000)
+    hot = saved(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys), "hot_keys")
+    if is_empty(hot):
+        return many.join(one, keys, how)
+    hot_one = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
+    spread = many.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how)
+    return spread.unionByName(many.join(F.broadcast(hot), keys, "left_semi").join(hot_one, keys, how))
+
+
+def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Number the rows from 1 in the given order, without sorting them in one task.
+
+    Rows are range partitioned and sorted; a row's place in its partition is written
+    with it, and each partition (one row) adds the rows of those before it.
+    """
+    placed = saved(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return (placed.withColumn("_part", part).join(F.broadcast(before), "_part")
+            .withColumn(out, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before"))

@@ -165,9 +165,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
 
     def taken(plan):
         # the plan has a row per document: a merge join at every size, never a broadcast of it
-        return rows.hint("merge").join(plan, (rows["_key"] == F.col("_k")) & rows.doc_id.eqNullSafe(F.col("_d"))).select("_row", "_key", "_c")
+        return rows.hint("merge").join(plan, (rows["_key"] == F.col("_k")) & rows.doc_id.eqNullSafe(F.col("_d"))).select("_row", "_key", "doc_id", "_c")
 
     out, many = taken(plan.filter("n = 1")), plan.filter("n > 1")
     if not is_empty(many):
-        out = out.unionByName(taken(many).distinct())
+        out = out.unionByName(taken(many).dropDuplicates(["_key", "doc_id"]))
     return repeated(out, "_c", "_i", most).select("_row.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgram.functions.safe import r6
-from pairgram.llm import chat, decontaminate, mixing, quality, sharding, simhash, suffixes, tokens, toxicity, warc
+from pairgram.llm import chat, decontaminate, mixing, quality, resample, sharding, simhash, suffixes, tokens, toxicity, trie, warc
 from pairgram.sources.tables import read_table
 
 
@@ -73,5 +73,17 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256: one row per node."""
+    nodes = trie.prefix_trie(read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "role", "text"]))
+    return nodes.drop("r1", "r2", "seed")
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score, rank."""
+    drawn = resample.resample(read_table(spark, sf_dir, "documents", ["doc_id", "text"]), read_table(spark, sf_dir, "benchmark", ["text"]), with_text=False)
+    return drawn.drop("n_words")
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op4_toxicity, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_chat_formatting, op9_token_counts,
-                                   op10_benchmark_decontamination)}
+                                   op10_benchmark_decontamination, op11_prefix_trie, op12_importance_resampling)}

@@ -239,4 +239,4 @@ def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bits: int = MAX_BITS) -
         return out.select("_row.*")
     same = (F.col("_key") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d2"))
     once = out.join(copies, same, "left_anti").select("_row")
-    return once.unionByName(out.join(copies, same, "left_semi").select("_row").distinct()).select("_row.*")
+    return once.unionByName(out.join(copies, same, "left_semi").dropDuplicates(["_key", "doc_id"]).select("_row")).select("_row.*")

@@ -155,6 +155,63 @@ def suffix_sql(length: int = 200) -> str:
     FROM d LEFT JOIN t USING (r) LEFT JOIN c USING (r)"""
 
 
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes, bit by bit."""
+    bits = (f"flatten(list_transform(range(1, strlen({text}) + 1), lambda i: list_transform(range(0, 8), "
+            f"lambda k: (CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT) >> k) & 1)))")
+    return f"xor(list_reduce({bits}, lambda c, b: xor(c >> 1, xor(c & 1, b) * 3988292384), 4294967295), 4294967295)"
+
+
+def resample_sql(buckets: int = 10_000) -> str:
+    words = (f"list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UP}', '{LOW}'), "
+             r"'[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')")
+    return f"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
+    x AS MATERIALIZED (SELECT r, unnest(w) AS word FROM d),
+    y AS MATERIALIZED (SELECT unnest({words}) AS word FROM benchmark),
+    v AS MATERIALIZED (SELECT word, {crc32_sql('word')} % {buckets} AS bucket FROM (SELECT word FROM x UNION SELECT word FROM y)),
+    s AS (SELECT bucket, count(*) AS n FROM x JOIN v USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS n FROM y JOIN v USING (word) GROUP BY bucket),
+    g AS MATERIALIZED (
+      SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM x) + {buckets}))
+                                  / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM y) + {buckets})))) AS BIGINT) AS gain
+      FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    c AS (SELECT r, CAST(sum(gain) AS BIGINT) AS weight FROM x JOIN v USING (word) JOIN g USING (bucket) GROUP BY r),
+    e AS (
+      SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+      FROM d LEFT JOIN c USING (r)),
+    f AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM e WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM e LEFT JOIN f USING (r)"""
+
+
+def trie_sql(group: int = 5, heads: int = 9) -> str:
+    """Rebuilt conversations as lists of turns; a subtree's nodes are those whose sequence begins with the node's."""
+    return f"""
+    WITH t AS (
+      SELECT conv_id AS c, list(struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) ORDER BY turn NULLS FIRST) AS own
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+    h AS (SELECT c, own, CAST({crc32_sql('CAST(c AS VARCHAR)')} % {heads} AS BIGINT) AS h FROM t),
+    b AS MATERIALIZED (
+      SELECT h.c, list_concat(coalesce(t.own[1:h], []), h.own[h + 1:]) AS s FROM h LEFT JOIN t ON t.c = h.c - h.c % {group}),
+    e AS MATERIALIZED (
+      SELECT c, d, md5(CAST(to_json(s[1:d]) AS VARCHAR)) AS k, CASE WHEN d > 0 THEN md5(CAST(to_json(s[1:d - 1]) AS VARCHAR)) END AS pk,
+             CASE WHEN d > 0 THEN strlen(s[d].text) ELSE 0 END AS bytes, d = len(s) AS is_end
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM b)),
+    n AS MATERIALIZED (
+      SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(pk) AS pk, any_value(bytes) AS bytes,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (is_end), '')) AS ends_sha256
+      FROM e GROUP BY k, d),
+    ch AS (SELECT pk AS k, d - 1 AS d, count(*) AS n_children FROM n WHERE d > 0 GROUP BY pk, d - 1),
+    x AS MATERIALIZED (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (k, d)),
+    sub AS (
+      SELECT e.k, e.d, sum(CASE WHEN x.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((x.n_convs - 1) * x.bytes) AS saved_tokens
+      FROM x JOIN e ON e.c = x.conv_id AND e.d <= x.d GROUP BY e.k, e.d)
+    SELECT x.conv_id, x.d AS depth, p.conv_id AS parent_conv_id, x.n_convs, x.n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+           CAST(saved_tokens AS BIGINT) AS saved_tokens, x.ends_sha256
+    FROM x JOIN sub USING (k, d) LEFT JOIN n p ON p.k = x.pk AND p.d = x.d - 1"""
+
+
 ORACLE = {
     "op1_sharding": sharding_sql(),
     "op5_quality_rules": quality_sql(),
@@ -162,4 +219,6 @@ ORACLE = {
     "op7_warc": warc_sql(),
     "op8_chat_formatting": chat_sql(),
     "op10_benchmark_decontamination": decontaminate_sql(),
+    "op11_prefix_trie": trie_sql(),
+    "op12_importance_resampling": resample_sql(),
 }
