@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairgram.functions.safe import r6
-from pairgram.llm import chat, decontaminate, mixing, quality, resample, sharding, simhash, suffixes, tokens, toxicity, trie, warc
+from pairgram.llm import chat, decontaminate, hnsw, mixing, quality, resample, sharding, simhash, suffixes, tokens, toxicity, trie, warc
 from pairgram.sources.tables import read_table
 
 
@@ -85,5 +85,11 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.drop("n_words")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest found of every row whose vec_id is divisible by 20."""
+    rows = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return hnsw.search(hnsw.build_index(rows), rows.filter("vec_id % 20 = 0"))
+
+
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_simhash_near_dedup, op3_mixing, op4_toxicity, op5_quality_rules, op6_suffix_array_dedup, op7_warc, op8_chat_formatting, op9_token_counts,
-                                   op10_benchmark_decontamination, op11_prefix_trie, op12_importance_resampling)}
+                                   op10_benchmark_decontamination, op11_prefix_trie, op12_importance_resampling, op13_nearest_neighbours)}
