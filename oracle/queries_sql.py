@@ -253,7 +253,7 @@ _SENSE = [
 ORACLE["synset_path"] = D.with_ctes(*_CLOSURE, *_SENSE, recursive=True, body=(
     f"SELECT s1, s2, path, {D.r6('1.0 / (1.0 + path)')} AS path_similarity FROM paths"))
 ORACLE["best_synset_pair"] = D.with_ctes(*_CLOSURE, *_SENSE, recursive=True, body=(
-    f"SELECT word_1, word_2, s1, s2, path, {D.r6('1.0 / (1.0 + path)')} AS path_similarity FROM best"))
+    f"SELECT word_1, word_2, s1, s2, path, {D.r6('1.0 / (1.0 + path)')} AS path_similarity FROM wp LEFT JOIN best USING (word_1, word_2)"))
 ORACLE["word_similarity"] = D.with_ctes(
     *_CLOSURE, *_SENSE,
     "lo AS (SELECT DISTINCT a.synset AS s1, b.synset AS s2 FROM lemmas a JOIN lemmas b ON a.word = b.word)",
@@ -265,6 +265,65 @@ ORACLE["word_similarity"] = D.with_ctes(
           f"{D.r6('coalesce(df, 0.0)')} AS depth_factor, {D.r6('coalesce(lf, 0.0) * coalesce(df, 0.0)')} AS similarity "
           "FROM wp w LEFT JOIN sc USING (word_1, word_2)"))
 
+# ------------------------------------------- sentence similarity (W10-W15) ----
+
+_JOINT = [
+    D.PAIRS,
+    f"sw AS (SELECT conv_id, turn, side, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM ("
+    f"SELECT conv_id, turn, 1 AS side, {D.lower_words('sent_1')} AS l FROM pairs UNION ALL "
+    f"SELECT conv_id, turn, 2, {D.lower_words('sent_2')} FROM pairs))",
+    "joint AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY at_1 NULLS LAST, at_2) AS INTEGER) AS idx "
+    "FROM (SELECT conv_id, turn, word, min(i) FILTER (side = 1) AS at_1, min(i) FILTER (side = 2) AS at_2 FROM sw GROUP BY conv_id, turn, word))",
+    "ew AS MATERIALIZED (SELECT conv_id, turn, word, idx, 1 AS side, at_1 IS NOT NULL AS has FROM joint "
+    "UNION ALL SELECT conv_id, turn, word, idx, 2, at_2 IS NOT NULL FROM joint)",
+    "ask AS MATERIALIZED (SELECT a.conv_id, a.turn, a.side, a.word, b.word AS v FROM ew a LEFT JOIN ew b "
+    "ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.side = a.side AND b.has WHERE NOT a.has)",
+    "wp AS MATERIALIZED (SELECT DISTINCT word AS word_1, v AS word_2 FROM ask WHERE v IS NOT NULL)",
+    *_CLOSURE, *_SENSE[1:],
+    "lo AS (SELECT DISTINCT a.synset AS s1, b.synset AS s2 FROM lemmas a JOIN lemmas b ON a.word = b.word)",
+    "ws AS MATERIALIZED (SELECT b.word_1, b.word_2, " + D.r6("exp(-0.2 * CASE WHEN b.s1 = b.s2 THEN 0.0 WHEN lo.s1 IS NOT NULL THEN 1.0 "
+    "ELSE CAST(b.path AS DOUBLE) END) * tanh(0.45 * b.h)") + " AS similarity FROM best b LEFT JOIN lo ON lo.s1 = b.s1 AND lo.s2 = b.s2)",
+    "ms AS MATERIALIZED (SELECT conv_id, turn, side, word, first(v ORDER BY s DESC, v) AS sim_word, max(s) AS similarity FROM ("
+    "SELECT a.*, coalesce(ws.similarity, 0.0) AS s FROM ask a LEFT JOIN ws ON ws.word_1 = a.word AND ws.word_2 = a.v WHERE a.v IS NOT NULL) "
+    "GROUP BY conv_id, turn, side, word UNION ALL SELECT conv_id, turn, side, word, '', -1.0 FROM ask WHERE v IS NULL)",
+]
+_VECTORS = [
+    _FREQ, "tot AS (SELECT sum(n) AS t FROM freq)",
+    "ic AS MATERIALIZED (SELECT word, 1.0 - ln(coalesce(n, 0) + 1) / ln(t + 1) AS ic FROM (SELECT DISTINCT word FROM joint) LEFT JOIN freq USING (word), tot)",
+    "sv AS MATERIALIZED (SELECT conv_id, turn, side, word, value, value * a.ic * coalesce(b.ic, 0.0) AS value_ic FROM ("
+    "SELECT e.*, CASE WHEN has THEN 1.0::DOUBLE WHEN similarity > 0.2 THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END AS value, CASE WHEN has THEN word ELSE sim_word END AS stands "
+    "FROM ew e LEFT JOIN ms USING (conv_id, turn, side, word)) x JOIN ic a USING (word) LEFT JOIN ic b ON b.word = x.stands)",
+    "ov AS MATERIALIZED (SELECT e.conv_id, e.turn, e.side, e.word, CASE WHEN has THEN e.idx WHEN similarity > 0.4 THEN j.idx ELSE 0 END AS value FROM ew e "
+    "LEFT JOIN ms m ON m.conv_id = e.conv_id AND m.turn = e.turn AND m.side = e.side AND m.word = e.word "
+    "LEFT JOIN joint j ON j.conv_id = e.conv_id AND j.turn = e.turn AND j.word = m.sim_word)",
+]
+
+
+def _cosine(v: str) -> str:
+    return D.sdiv(f"sum(a.{v} * b.{v})", f"sqrt(sum(a.{v} * a.{v})) * sqrt(sum(b.{v} * b.{v}))")
+
+
+_FACING = "FROM {0} a JOIN {0} b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.word = a.word AND a.side = 1 AND b.side = 2 GROUP BY a.conv_id, a.turn"
+_SEMANTIC = f"SELECT a.conv_id, a.turn, {_cosine('value')} AS semantic, {_cosine('value_ic')} AS semantic_ic " + _FACING.format("sv")
+_ORDER = ("SELECT a.conv_id, a.turn, 1.0 - " + D.sdiv("sqrt(sum((a.value - b.value) ** 2))", "sqrt(sum((a.value + b.value) ** 2))")
+          + " AS word_order " + _FACING.format("ov"))
+
+
+def _sentence(body: str) -> str:
+    return D.with_ctes(*_JOINT, *_VECTORS, body=body, recursive=True)
+
+
+ORACLE["most_similar_word"] = _sentence("SELECT conv_id, turn, side, word, sim_word, CAST(similarity AS DOUBLE) AS similarity FROM ms")
+ORACLE["semantic_vector"] = _sentence(f"SELECT conv_id, turn, side, word, value, {D.r6('value_ic')} AS value_ic FROM sv")
+ORACLE["semantic_similarity"] = _sentence(f"SELECT conv_id, turn, {D.r6('semantic')} AS semantic, {D.r6('semantic_ic')} AS semantic_ic FROM ({_SEMANTIC})")
+ORACLE["word_order_vector"] = _sentence("SELECT * FROM ov")
+ORACLE["word_order_similarity"] = _sentence(f"SELECT conv_id, turn, {D.r6('word_order')} AS word_order FROM ({_ORDER})")
+ORACLE["sentence_similarity"] = _sentence(
+    f"SELECT conv_id, turn, {D.r6('semantic')} AS semantic, {D.r6('semantic_ic')} AS semantic_ic, {D.r6('word_order')} AS word_order, "
+    f"{D.r6('0.85 * semantic + 0.15 * word_order')} AS similarity, {D.r6('0.85 * semantic_ic + 0.15 * word_order')} AS similarity_ic FROM ("
+    "SELECT conv_id, turn, coalesce(semantic, 0.0) AS semantic, coalesce(semantic_ic, 0.0) AS semantic_ic, coalesce(word_order, 1.0) AS word_order "
+    f"FROM pairs LEFT JOIN ({_SEMANTIC}) USING (conv_id, turn) LEFT JOIN ({_ORDER}) USING (conv_id, turn))")
+
 # ------------------------------------------------- model and evaluation ----
 
 from pairgram.plans.model_plan import dense_feature_names  # noqa: E402  (names only: a fixed spec)

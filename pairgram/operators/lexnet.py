@@ -100,13 +100,14 @@ def synset_path(pairs: DataFrame, closure: DataFrame) -> DataFrame:
 def best_synset_pair(word_pairs: DataFrame, lemmas: DataFrame, closure: DataFrame) -> DataFrame:
     """Per word pair the sense pair with the highest path similarity;
     ties go to the first pair in sense order (rank of word_1, then word_2).
-    Word pairs without any connected sense pair are absent."""
+    Word pairs without any connected sense pair have nulls."""
     sp = sense_pairs(word_pairs, lemmas)
     paths = synset_path(sp, closure)
     scored = sp.join(paths, ["s1", "s2"])
     w = Window.partitionBy("word_1", "word_2").orderBy(F.col("path").asc(), "r1", "r2", "s1", "s2")
-    return (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
+    best = (scored.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1")
             .select("word_1", "word_2", "s1", "s2", "path", "h", "path_similarity"))
+    return word_pairs.select("word_1", "word_2").distinct().join(best, ["word_1", "word_2"], "left")
 
 
 def lemma_overlap(lemmas: DataFrame) -> DataFrame:
@@ -129,11 +130,9 @@ def word_similarity(word_pairs: DataFrame, lemmas: DataFrame, closure: DataFrame
     flagged = best.join(overlap, ["s1", "s2"], "left")
     l = (F.when(F.col("s1") == F.col("s2"), F.lit(0.0))
          .when(F.col("_ov"), F.lit(1.0)).otherwise(F.col("path").cast("double")))
-    scored = flagged.select("word_1", "word_2", F.exp(-ALPHA * l).alias("lf"), F.tanh(BETA * F.col("h")).alias("df"))
-    out = word_pairs.select("word_1", "word_2").distinct().join(scored, ["word_1", "word_2"], "left")
-    lf = F.coalesce(F.col("lf"), F.lit(0.0))
-    dfc = F.coalesce(F.col("df"), F.lit(0.0))
-    return out.select("word_1", "word_2", r6(lf).alias("length_factor"), r6(dfc).alias("depth_factor"),
+    lf = F.coalesce(F.exp(-ALPHA * l), F.lit(0.0))
+    dfc = F.coalesce(F.tanh(BETA * F.col("h")), F.lit(0.0))
+    return flagged.select("word_1", "word_2", r6(lf).alias("length_factor"), r6(dfc).alias("depth_factor"),
                       r6(lf * dfc).alias("similarity"))
 
 

@@ -396,6 +396,66 @@ def word_similarity(spark, sf_dir):
     return W.word_similarity(_word_pairs(spark, sf_dir), lemmas, W.hypernym_closure(edges))
 
 
+# ------------------------------------------- sentence similarity (W10-W15) ----
+
+from pairgram.operators import sentsim as SS  # noqa: E402
+
+
+def _joint(spark, sf_dir):
+    """Joint words of the pairs, their most similar words, and the taxonomy behind them."""
+    edges, lemmas = _taxonomy(spark, sf_dir)
+    joint = checkpointed(SS.joint_words(_pairs(spark, sf_dir)))
+    return joint, SS.most_similar_word(joint, checkpointed(lemmas), W.hypernym_closure(edges))
+
+
+def _corpus(spark, sf_dir):
+    freq = checkpointed(W.corpus_freq(fx.read_table(spark, sf_dir, "documents", ["text"])))
+    return freq, W.corpus_total(freq)
+
+
+@query
+def most_similar_word(spark, sf_dir):
+    return _joint(spark, sf_dir)[1]
+
+
+def _semantic_vector(spark, sf_dir):
+    joint, similar = _joint(spark, sf_dir)
+    words = checkpointed(joint.select("word").distinct())
+    return SS.semantic_vector(joint, similar, W.information_content(words, *_corpus(spark, sf_dir)))
+
+
+@query
+def semantic_vector(spark, sf_dir):
+    return _semantic_vector(spark, sf_dir).withColumn("value_ic", r6(F.col("value_ic")))
+
+
+@query
+def semantic_similarity(spark, sf_dir):
+    return SS.semantic_similarity(_semantic_vector(spark, sf_dir)).select(*PAIR, *[r6(F.col(c)).alias(c) for c in ("semantic", "semantic_ic")])
+
+
+@query
+def word_order_vector(spark, sf_dir):
+    return SS.word_order_vector(*_joint(spark, sf_dir))
+
+
+@query
+def word_order_similarity(spark, sf_dir):
+    return SS.word_order_similarity(SS.word_order_vector(*_joint(spark, sf_dir))).withColumn("word_order", r6(F.col("word_order")))
+
+
+def similarity_table(spark, sf_dir):
+    """W15 of every pair."""
+    edges, lemmas = _taxonomy(spark, sf_dir)
+    return SS.sentence_similarity(_pairs(spark, sf_dir), checkpointed(lemmas), W.hypernym_closure(edges), *_corpus(spark, sf_dir))
+
+
+@query
+def sentence_similarity(spark, sf_dir):
+    found = similarity_table(spark, sf_dir)
+    return found.select(*PAIR, *[r6(F.col(c)).alias(c) for c in found.columns[2:]])
+
+
 # ------------------------------------------------- model and evaluation ----
 
 from pairgram.plans import model_plan as MP  # noqa: E402
