@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
+from pairgram.joins import join_unique  # noqa: F401  (for the operators)
 from pairgram.session import shared_dir
 
 #: ASCII white space, as the operators that count words define it.
@@ -13,6 +19,8 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 #: Rows that one copy-expanding row may produce in one task.
 CHUNK = 4096
+#: Bytes of text that a task's Arrow kernels work on at once.
+SLICE_BYTES = 4 << 20
 
 
 def words_of(text: str = "text") -> Column:
@@ -85,19 +93,14 @@ def repeated(df: DataFrame, copies: str, index: str, most: int) -> DataFrame:
             .withColumn(index, F.expr(f"_chunk * {CHUNK} + _in")).drop("_chunk", "_in"))
 
 
-def join_unique(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", heavy: int = 1000) -> DataFrame:
-    """Join a stored table to one with a single row per key; a key that is hot in ``many`` is not one task's work.
-
-    Keys that hold more than a ``heavy``-th of the rows (so at most ``heavy`` keys) meet their rows by broadcast, the
-    others by the usual join. Keys are never null.
-    """
-    least = max(many.count() // heavy, 1000)
-    hot = saved(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys), "hot_keys")
-    if is_empty(hot):
-        return many.join(one, keys, how)
-    hot_one = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
-    spread = many.join(F.broadcast(hot), keys, "left_anti").join(one, keys, how)
-    return spread.unionByName(many.join(F.broadcast(hot), keys, "left_semi").join(hot_one, keys, how))
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of at most ``most`` bytes of text or of one text."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < len(texts):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield texts.slice(at, upto - at)
+        at = upto
 
 
 def numbered(df: DataFrame, order: list[Column], out: str) -> DataFrame:

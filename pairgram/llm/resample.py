@@ -12,7 +12,7 @@ index and summed per document. Gumbel noise, a hash of seed and doc_id, is added
 the weight, so that the highest scores are a draw without replacement in
 proportion to the weights' exponentials.
 
-Batches are handled in slices of at most SLICE_BYTES of text (a longer text is a
+Batches are handled in slices of bounded bytes of text (a longer text is a
 slice of its own), so memory does not grow with a batch. The gain table has one
 number per bucket, a parameter, and is sent to the tasks. Ranks come from a range
 partitioning of the scores, not from one sorted task.
@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairgram.llm.common import numbered, saved
+from pairgram.llm.common import numbered, saved, slices
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BUCKETS = 10_000
@@ -44,20 +44,9 @@ LONGEST = 1
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
-SLICE_BYTES = 16 << 20
 RESULT = ("n_words", "n_features", "weight", "score", "rank")
 
 
-def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[pa.Array]:
-    """Consecutive slices of at most ``most`` bytes of text or of one text."""
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    ends, at = np.cumsum(sizes), 0
-    while at < len(texts):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield texts.slice(at, upto - at)
-        at = upto
-
-
 def features(texts: pa.Array, longest: int, buckets: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """Words per text, and for each n up to ``longest`` (bucket of each n-gram, text it is in), in text order."""
     split = pc.split_pattern_regex(pc.ascii_lower(texts), SEPARATOR)

@@ -38,6 +38,8 @@ from pairgram.session import shared_dir
 
 MIN_REVISIT = 100
 READ_BYTES = 4 << 20
+#: Bytes of records that one reading task fetches, in the mean.
+TASK_BYTES = 32 << 20
 #: Rows that a writing task holds as Python objects at once.
 SLICE = 64
 CRLF = b"\r\n"
@@ -202,5 +204,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
                         ("record_type", pa.string()), ("refers_to", pa.int64())] + [("payload", pa.binary())] * with_payload)
     columns = RECORD if with_payload else RECORD.rpartition(",")[0]
-    ordered = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    # as many tasks as the records' bytes ask for: the index itself is a small part of them
+    tasks = max(1, -(-(selected.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES))
+    ordered = selected.select("archive", "offset", "length").repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(read, columns)

@@ -5,6 +5,7 @@ import zlib
 
 import pyarrow as pa
 from pairgram.llm import resample
+from pairgram.llm.common import slices
 
 from helpers import awkward, documents
 from test_decontaminate import norm
@@ -65,9 +66,9 @@ def test_target_like_documents_are_drawn_more_often(spark):
 
 def test_slices_hold_whole_texts():
     texts = pa.array(["a" * 10, None, "", "b" * 100, "c", "d"])
-    parts = [p.to_pylist() for p in resample.slices(texts, 12)]
+    parts = [p.to_pylist() for p in slices(texts, 12)]
     assert parts == [["a" * 10, None, ""], ["b" * 100], ["c", "d"]]
-    assert sum(map(len, resample.slices(pa.array([], pa.string())))) == 0
+    assert sum(map(len, slices(pa.array([], pa.string())))) == 0
 
 
 def test_awkward_documents(spark):

@@ -7,17 +7,18 @@ from helpers import awkward, documents
 
 
 def reference(pieces, byte_fallback):
-    """The tokenizers library with the same vocabulary: no training, no merges."""
+    """The tokenizers library with the same vocabulary over uncut texts: no training, no merges."""
     from tokenizers import Tokenizer, models, pre_tokenizers
 
     low = min(s for _, s in pieces)
     extra = [(f"<0x{i:02X}>", low) for i in range(256)] if byte_fallback else []
     t = Tokenizer(models.Unigram([("<unk>", 0.0), *pieces, *extra], 0, byte_fallback))
-    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=tokens.SPACE_MARK, prepend_scheme="always", split=True)
+    t.pre_tokenizer = pre_tokenizers.Metaspace(replacement=tokens.SPACE_MARK, prepend_scheme="always", split=False)
     return lambda text: len(t.encode(text, add_special_tokens=False).ids) if text else 0
 
 
-TEXTS = ["", "a", " ", "  ", "hello world", " lead", "trail ", "tab\tnew\nline", "漢字 und Bär", "\U0001f600\U0001f600 x", "▁ mark▁", "aaaaaaaaaaaaaaaa", "a" * 5000 + " b"]
+TEXTS = ["", "a", " ", "  ", "hello world", " lead", "trail ", "tab\tnew\nline", "漢字 und Bär", "\U0001f600\U0001f600 x", "▁ mark▁", "aaaaaaaaaaaaaaaa", "a" * 5000 + " b",
+         "def f():\n    return 1", "a  b   c    d", "x" * 70 + "  " + "y" * 70, "   ", " ▁ a▁▁b", "one\n\n        two\t  three "]
 
 
 def test_counts_equal_the_tokenizer_on_the_public_vocabulary():
@@ -39,6 +40,34 @@ def test_ties_go_to_the_piece_that_starts_first(fallback):
         assert count.text(t) == want(t), t
 
 
+def test_runs_of_spaces_are_pieces():
+    pieces, fallback = tokens.load_vocabulary()
+    assert tokens.PieceCounter(pieces, fallback).text("def f():\n    return 1") == 9
+
+
+def test_arrow_batches_equal_single_texts():
+    import pyarrow as pa
+
+    pieces, fallback = tokens.load_vocabulary()
+    count = tokens.PieceCounter(pieces, fallback)
+    texts = [None, *TEXTS, *TEXTS]
+    assert count.texts(pa.array(texts)).tolist() == [count.text(t) for t in texts]
+    whole = tokens.PieceCounter([*pieces, ("a▁b", -1.0)], fallback)
+    assert not whole.cuts and count.cuts
+    assert whole.texts(pa.array(texts)).tolist() == list(map(reference([*pieces, ("a▁b", -1.0)], fallback), texts))
+
+
+def test_state_does_not_grow_with_a_part():
+    import tracemalloc
+
+    pieces, fallback = tokens.load_vocabulary()
+    count, text = tokens.PieceCounter(pieces, fallback), "漢字" * 100_000
+    tracemalloc.start()
+    assert count.text(text) > 0 and not count.seen
+    assert tracemalloc.get_traced_memory()[1] < 4 << 20
+    tracemalloc.stop()
+
+
 def test_cache_stays_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 10)
     c = tokens.PieceCounter([("a", -1.0), ("▁", -1.0)], True)

@@ -80,3 +80,10 @@ def test_every_payload_is_kept_when_splits_move_between_jobs(spark, tmp_path, mo
     assert kept == sorted({h for _, _, h in rows})
     assert all(r.payload is None and r.refers_to == min((p for p, _, h in rows if hashlib.sha256(h.encode()).hexdigest() == r.payload_digest and p is not None), default=None)
                for r in got if r.record_type == "revisit")
+
+
+def test_reading_tasks_follow_the_bytes_of_the_records(spark, monkeypatch):
+    monkeypatch.setattr(warc, "TASK_BYTES", 100_000)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i} " + "x" * 9_000) for i in range(100)], "page_id long, url string, html string")
+    read = warc.read_records(warc.write_archives(pages))
+    assert read.rdd.getNumPartitions() == 10 and read.count() == 100
