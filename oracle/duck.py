@@ -76,26 +76,26 @@ def strip_accents(s: str) -> str:
 
 # -------------------------------------------------------------- n-grams ----
 
-def bigram(a: str, join: str = "_", skip: int = 0) -> str:
-    if skip == 0:
-        core = f"list_transform(range(0, len({a}) - 1), lambda i: {a}[i + 1] || '{join}' || {a}[i + 2])"
-    else:
-        core = (f"flatten(list_transform(range(0, len({a}) - 1), lambda i: "
-                f"list_transform(list_filter(range(1, {skip + 2}), lambda k: i + k < len({a})), "
-                f"lambda k: {a}[i + 1] || '{join}' || {a}[i + k + 1])))")
-    return f"(CASE WHEN len({a}) > 1 THEN {core} ELSE {a} END)"
-
-
-def trigram(a: str, join: str = "_", skip: int = 0) -> str:
-    if skip == 0:
-        core = (f"list_transform(range(0, len({a}) - 2), lambda i: "
-                f"{a}[i + 1] || '{join}' || {a}[i + 2] || '{join}' || {a}[i + 3])")
-    else:
-        core = (f"flatten(list_transform(range(0, len({a}) - 2), lambda i: flatten("
-                f"list_transform(list_filter(range(1, {skip + 2}), lambda k1: i + k1 < len({a})), lambda k1: "
-                f"list_transform(list_filter(range(1, {skip + 2}), lambda k2: i + k1 + k2 < len({a})), "
-                f"lambda k2: {a}[i + 1] || '{join}' || {a}[i + k1 + 1] || '{join}' || {a}[i + k1 + k2 + 1])))))")
-    return f"(CASE WHEN len({a}) > 2 THEN {core} ELSE {bigram(a, join, skip)} END)"
+def bigram(a: str, join: str = "_") -> str:
+    return f"(CASE WHEN len({a}) < 2 THEN {a} ELSE {windows(a, 2, join)} END)"
+
+
+def trigram(a: str, join: str = "_") -> str:
+    return f"(CASE WHEN len({a}) < 3 THEN {bigram(a, join)} ELSE {windows(a, 3, join)} END)"
+
+
+def skip_grams(n: int, skip: int) -> str:
+    """Rows of the skip grams of ``items(conv_id, turn, side, i, x, size)`` by joining places; short lists have fewer items a gram."""
+    def rows(k: int, where: str) -> str:
+        gram = " || '_' || ".join(f"t{j}.x" for j in range(k))
+        joins = " ".join(f"JOIN items t{j} ON t{j}.conv_id = t0.conv_id AND t{j}.turn = t0.turn AND t{j}.side = t0.side "
+                         f"AND t{j}.i - t{j - 1}.i BETWEEN 1 AND {skip + 1}" for j in range(1, k))
+        order = ", ".join(f"t{j}.i" for j in range(k))
+        return (f"SELECT t0.conv_id, t0.turn, t0.side, CAST(row_number() OVER (PARTITION BY t0.conv_id, t0.turn, t0.side ORDER BY {order}) AS INTEGER) AS pos, "
+                f"{gram} AS gram FROM items t0 {joins} WHERE {where}")
+
+    parts = [rows(k, f"t0.size = {k}") for k in range(1, n)] + [rows(n, f"t0.size >= {n}")]
+    return " UNION ALL ".join(parts)
 
 
 def ngram(a: str, n: int) -> str:

@@ -45,6 +45,7 @@ def _q(*ctes, body):
 # ---------------------------------------------------------------- text (T) ----
 
 ORACLE["tokenize"] = _q(D.PAIRS, body=side_rows(D.tok("raw_1"), D.tok("raw_2"), "token"))
+ORACLE["tokenize_case"] = _q(D.PAIRS, body=side_rows(D.tok_case("raw_1"), D.tok_case("raw_2"), "token"))
 ORACLE["tokenize_alpha"] = _q(D.PAIRS, body=side_rows(D.alpha("raw_1"), D.alpha("raw_2"), "token"))
 ORACLE["tokens_stem"] = _q(D.PAIRS, body=side_rows(D.stems("raw_1"), D.stems("raw_2"), "token"))
 ORACLE["sentence_stem"] = _q(D.PAIRS, body=(
@@ -61,11 +62,10 @@ _GRAM_COLS = "SELECT conv_id, turn, family, side, CAST(pos AS INTEGER) AS pos, g
 ORACLE["word_ngrams"] = grams_with(("word1", "word2", "word3"), _GRAM_COLS)
 ORACLE["char_ngrams"] = grams_with(("char1", "char2", "char3"), _GRAM_COLS)
 ORACLE["tag_ngrams"] = grams_with(("pos2", "pos3", "ner2", "ner3", "event2", "event3"), _GRAM_COLS)
-_TK = f"tk AS MATERIALIZED (SELECT conv_id, turn, {D.tok('sent_1')} AS t1, {D.tok('sent_2')} AS t2 FROM pairs)"
-ORACLE["skip_bigrams"] = _q(D.PAIRS, _TK, body=side_rows(
-    D.bigram("t1", skip=1), D.bigram("t2", skip=1), "gram", src="tk"))
-ORACLE["skip_trigrams"] = _q(D.PAIRS, _TK, body=side_rows(
-    D.trigram("t1", skip=1), D.trigram("t2", skip=1), "gram", src="tk"))
+_ITEMS = ("items AS MATERIALIZED (SELECT conv_id, turn, side, generate_subscripts(l, 1) AS i, unnest(l) AS x, len(l) AS size FROM ("
+          f"SELECT conv_id, turn, 1 AS side, {D.tok('sent_1')} AS l FROM pairs UNION ALL SELECT conv_id, turn, 2, {D.tok('sent_2')} FROM pairs))")
+ORACLE["skip_bigrams"] = _q(D.PAIRS, _ITEMS, body=D.skip_grams(2, 1))
+ORACLE["skip_trigrams"] = _q(D.PAIRS, _ITEMS, body=D.skip_grams(3, 1))
 
 
 def _char_set(a: str, n: int) -> str:
@@ -215,6 +215,29 @@ ORACLE["tfidf_transform"] = D.with_ctes(
 ORACLE["label_encode"] = D.with_ctes(D.PAIRS, body=(
     "SELECT conv_id, turn, CAST(dense_rank() OVER (ORDER BY sent_1) - 1 AS BIGINT) AS sent_1_code FROM pairs"))
 
+_STOP_TABLE = f"stops AS (SELECT DISTINCT word FROM (SELECT unnest({D.lower_words('text')}) AS word FROM benchmark) WHERE length(word) <= 5)"
+ORACLE["tfidf_stop_table"] = D.with_ctes(
+    D.PAIRS, _DOCS, _STOP_TABLE,
+    f"each AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all({D.strip_accents('lower(text)')}, {D.lit(D.WORD)}) AS l FROM docs))",
+    "kept AS (SELECT doc_id, list(t ORDER BY i) AS toks FROM each WHERE t NOT IN (SELECT word FROM stops) GROUP BY doc_id)",
+    f"terms AS (SELECT DISTINCT doc_id, unnest(list_concat(toks, {D.windows('toks', 2)}, {D.windows('toks', 3)})) AS term FROM kept)",
+    body=f"SELECT term, {D.r6('ln((1 + (SELECT count(*) FROM docs)) / (1 + count(*))) + 1')} AS idf FROM terms GROUP BY term HAVING count(*) >= 3")
+
+
+def _text_columns() -> dict[str, str]:
+    out = {"trend": "'conv ' || trend_id"}
+    for i in (1, 2):
+        out |= {f"sent_{i}": f"sent_{i}", f"tags_{i}": f"tags_{i}", f"tag_{i}": f"array_to_string(pos_{i}, ' ')", f"stem_{i}": f"array_to_string(stok_{i}, ' ')"}
+        out |= {f"{f}_{i}": f"array_to_string({D.family_list(f, i)}, chr(31))" for f in WORD + CHAR + POS}
+    return out
+
+
+ORACLE["label_encode_frame"] = D.with_ctes(
+    D.PAIRS, D.TAGGED, D.BASE,
+    "frame AS MATERIALIZED (SELECT conv_id, turn, " + ", ".join(f"{e} AS {c}" for c, e in _text_columns().items())
+    + " FROM base JOIN (SELECT conv_id, turn, trend_id FROM pairs) USING (conv_id, turn) JOIN (SELECT conv_id, turn, tags_1, tags_2 FROM tagged) USING (conv_id, turn))",
+    body="SELECT conv_id, turn, " + ", ".join(f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS BIGINT) AS {c}_code" for c in _text_columns()) + " FROM frame")
+
 # ------------------------------------------------- lexical network (W) ----
 
 _FREQ = (f"freq AS (SELECT word, CAST(count(*) AS BIGINT) AS n FROM "
@@ -324,6 +347,11 @@ ORACLE["sentence_similarity"] = _sentence(
     "SELECT conv_id, turn, coalesce(semantic, 0.0) AS semantic, coalesce(semantic_ic, 0.0) AS semantic_ic, coalesce(word_order, 1.0) AS word_order "
     f"FROM pairs LEFT JOIN ({_SEMANTIC}) USING (conv_id, turn) LEFT JOIN ({_ORDER}) USING (conv_id, turn))")
 
+ORACLE["precomputed_similarity"] = f"SELECT conv_id, turn, similarity, similarity_ic FROM ({ORACLE['sentence_similarity']})"
+ORACLE["features_with_similarity"] = (
+    f"SELECT conv_id, turn, jaccard, cosine, f1, similarity, similarity_ic FROM ({grams_with(('word1',), 'SELECT conv_id, turn, jaccard, cosine, f1 FROM met')}) "
+    f"LEFT JOIN ({ORACLE['sentence_similarity']}) USING (conv_id, turn)")
+
 # ------------------------------------------------- model and evaluation ----
 
 from pairgram.plans.model_plan import dense_feature_names  # noqa: E402  (names only: a fixed spec)

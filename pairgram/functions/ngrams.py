@@ -6,50 +6,49 @@ window larger than the list must produce an empty array explicitly.
 
 from __future__ import annotations
 
+from itertools import accumulate, product
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def empty_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def _pairs(arr: Column, join: str, skip: int) -> Column:
-    n = F.size(arr)
-    if skip == 0:
-        return F.transform(F.sequence(F.lit(0), n - 2),
-                           lambda i: F.concat_ws(join, F.get(arr, i), F.get(arr, i + 1)))
-    steps = F.sequence(F.lit(1), F.lit(skip + 1))
-    return F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 2),
-        lambda i: F.transform(F.filter(steps, lambda k: i + k < n),
-                              lambda k: F.concat_ws(join, F.get(arr, i), F.get(arr, i + k)))))
-
-
-def _triples(arr: Column, join: str, skip: int) -> Column:
-    n = F.size(arr)
-    if skip == 0:
-        return F.transform(F.sequence(F.lit(0), n - 3),
-                           lambda i: F.concat_ws(join, F.get(arr, i), F.get(arr, i + 1), F.get(arr, i + 2)))
-    steps = F.sequence(F.lit(1), F.lit(skip + 1))
-    return F.flatten(F.transform(
-        F.sequence(F.lit(0), n - 3),
-        lambda i: F.flatten(F.transform(
-            F.filter(steps, lambda k1: i + k1 < n),
-            lambda k1: F.transform(
-                F.filter(steps, lambda k2: i + k1 + k2 < n),
-                lambda k2: F.concat_ws(join, F.get(arr, i), F.get(arr, i + k1), F.get(arr, i + k1 + k2)))))))
+def patterns(n: int, skip: int) -> list[tuple[int, ...]]:
+    """Places of a gram's n items from its first: neighbouring items are 1 to skip + 1 apart."""
+    return [tuple(accumulate((0, *steps))) for steps in product(range(1, skip + 2), repeat=n - 1)]
+
+
+def _laid(arr: Column, places: tuple[int, ...], join: str) -> Column:
+    """The grams of one pattern at each place where it fits: slices shifted by the pattern, side by side."""
+    fits = F.greatest(F.size(arr) - places[-1], F.lit(0))
+    names = [f"x{k}" for k in range(len(places))]
+    shifted = F.arrays_zip(*[F.slice(arr, F.lit(at + 1), fits) for at in places])
+    shifted = shifted.cast("array<struct<" + ", ".join(f"{x}: string" for x in names) + ">>")
+    return F.transform(shifted, lambda z: F.concat_ws(join, *[z[x] for x in names]))
+
+
+def spread_grams(arr: Column, n: int, join: str = "_", skip: int = 0) -> Column:
+    """All patterns of n items, in order of the first item, then of the pattern."""
+    laid = [_laid(arr, places, join) for places in patterns(n, skip)]
+    if len(laid) == 1:
+        return laid[0]
+    names = [f"p{k}" for k in range(len(laid))]
+    # a wider pattern fits in fewer places and leaves nulls at the end
+    side_by_side = F.arrays_zip(*laid).cast("array<struct<" + ", ".join(f"{x}: string" for x in names) + ">>")
+    return F.array_compact(F.flatten(F.transform(side_by_side, lambda z: F.array(*[z[x] for x in names]))))
 
 
 def bigrams(arr: Column, join: str = "_", skip: int = 0) -> Column:
-    """Pairs (i, i+k), k in 1..skip+1; a list shorter than 2 falls back to itself."""
-    return F.when(F.size(arr) > 1, _pairs(arr, join, skip)).otherwise(arr)
+    """Pairs up to skip + 1 apart; a list shorter than 2 falls back to itself."""
+    return F.when(F.size(arr) < 2, arr).otherwise(spread_grams(arr, 2, join, skip))
 
 
 def trigrams(arr: Column, join: str = "_", skip: int = 0) -> Column:
     """Triples with skips; a list shorter than 3 falls back to ``bigrams``."""
-    return F.when(F.size(arr) > 2, _triples(arr, join, skip)).otherwise(bigrams(arr, join, skip))
+    return F.when(F.size(arr) < 3, bigrams(arr, join, skip)).otherwise(spread_grams(arr, 3, join, skip))
 
 
 def word_ngrams(arr: Column, n: int, join: str = "_", skip: int = 0) -> Column:

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairgram.joins import join_unique
 from pairgram.session import checkpointed
 
 
@@ -47,3 +48,42 @@ class LabelEncoder:
         out_col = out_col or f"{self.col}_code"
         joined = df.join(self.codes.withColumnRenamed("code", out_col), self.col, "left")
         return joined.withColumn(out_col, F.coalesce(F.col(out_col), F.lit(self.size).cast("bigint")))
+
+
+class FrameEncoder:
+    """F7 over many text columns at once: one range partitioning of (column, value), not a sort per column.
+
+    fit numbers the distinct (column, value) rows in order; a column's codes are those numbers
+    less its first one, so they are 0-based by sorted distinct value. Null values have no code (null); values that
+    fit has not seen get the size of their column's vocabulary.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = list(columns)
+        self.codes: DataFrame | None = None
+
+    def melted(self, df: DataFrame, *keys: str) -> DataFrame:
+        """``keys, column, value``, one row per cell that is not null."""
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("value")) for c in self.columns])
+        return df.select(*keys, F.inline(cells)).filter("value IS NOT NULL")
+
+    def fit(self, df: DataFrame) -> "FrameEncoder":
+        order = ["column", "value"]
+        placed = checkpointed(self.melted(df).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+                              .withColumn("_at", F.monotonically_increasing_id()))
+        # one row per partition and column: how many values of the column the partition holds, and its first place
+        parts = placed.groupBy("column", F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+        before = F.sum("_n").over(Window.partitionBy("column").orderBy("_part")) - F.col("_n")
+        parts = parts.select("column", "_part", "_first", before.alias("_before"), F.sum("_n").over(Window.partitionBy("column")).alias("size"))
+        placed = placed.withColumn("_part", F.shiftright("_at", 33)).join(F.broadcast(parts), ["column", "_part"])
+        self.codes = checkpointed(placed.select("column", "value", (F.col("_before") + F.col("_at") - F.col("_first")).alias("code"), "size"))
+        return self
+
+    def transform(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """``keys`` and a column ``<column>_code`` for each column; keys name one row each."""
+        sizes = F.broadcast(self.codes.groupBy("column").agg(F.max("size").alias("size")))  # a row per column
+        cells = checkpointed(self.melted(df, *keys))
+        found = join_unique(cells, self.codes.drop("size"), ["column", "value"], "left").join(sizes, "column", "left")
+        code = F.coalesce("code", "size", F.lit(0))
+        wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("column") == c, code)).alias(f"{c}_code") for c in self.columns])
+        return df.select(*keys).join(wide, keys, "left")

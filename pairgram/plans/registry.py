@@ -19,6 +19,7 @@ from pairgram.operators.positions import gram_positions, position_stats
 from pairgram.plans import features as FP
 from pairgram.session import checkpointed, shared_dir
 from pairgram.sources import fixtures as fx
+from pairgram.sources import precomputed as PC
 from pairgram.sources import tsv
 
 QUERIES: dict = {}
@@ -56,6 +57,13 @@ def tokenize(spark, sf_dir):
     return _side_rows(p, tx.word_punct_tokens("raw_1"), tx.word_punct_tokens("raw_2"), "token")
 
 
+@query
+def tokenize_case(spark, sf_dir):
+    """Tokens with their case kept."""
+    p = _pairs(spark, sf_dir)
+    return _side_rows(p, tx.word_punct_tokens("raw_1", lower=False), tx.word_punct_tokens("raw_2", lower=False), "token")
+
+
 @query
 def tokenize_alpha(spark, sf_dir):
     p = _pairs(spark, sf_dir)
@@ -345,6 +353,41 @@ def label_encode(spark, sf_dir):
     return ENC.LabelEncoder("sent_1").fit(p).transform(p).select(*PAIR, "sent_1_code")
 
 
+def _stop_table(spark, sf_dir):
+    """A stop table derived from the corpus: the words of the benchmark texts with at most five letters."""
+    items = fx.read_table(spark, sf_dir, "benchmark", ["text"])
+    return items.select(F.explode_outer(fx.lower_words("text")).alias("word")).filter("length(word) <= 5").distinct()
+
+
+@query
+def tfidf_stop_table(spark, sf_dir):
+    """The idf table fitted without the words of a stop table."""
+    model = TF.TfidfModel(_stop_table(spark, sf_dir), min_df=3).fit(fit_documents(spark, sf_dir))
+    return model.idf.select("term", r6(F.col("idf")).alias("idf"))
+
+
+def text_frame(spark, sf_dir):
+    """The text columns of the feature frame by name: sentences, tags and every gram list as text."""
+    pairs = _pairs(spark, sf_dir)
+    base = G.with_base_arrays(pairs, G.WORD_FAMILIES + G.CHAR_FAMILIES + G.POS_FAMILIES)
+    both = pairs.join(base, list(PAIR))
+    families = [f for f in G.WORD_FAMILIES + G.CHAR_FAMILIES + G.POS_FAMILIES]
+    columns = {"trend": F.concat(F.lit("conv "), F.col("trend_id").cast("string"))}
+    for side in (1, 2):
+        columns |= {f"sent_{side}": F.col(f"sent_{side}"), f"tags_{side}": F.col(f"tags_{side}"),
+                    f"tag_{side}": F.array_join(f"pos_{side}", " "), f"stem_{side}": F.array_join(f"stok_{side}", " ")}
+        columns |= {f"{f}_{side}": F.array_join(G.family_array(f, side), "\x1f") for f in families}
+    return both.select(*PAIR, *[c.alias(n) for n, c in columns.items()]), list(columns)
+
+
+@query
+def label_encode_frame(spark, sf_dir):
+    """the codes of all 39 text columns."""
+    frame, columns = text_frame(spark, sf_dir)
+    frame = checkpointed(frame)
+    return ENC.FrameEncoder(columns).fit(frame).transform(frame, list(PAIR))
+
+
 # ------------------------------------------------- lexical network (W) ----
 
 @query
@@ -456,6 +499,23 @@ def sentence_similarity(spark, sf_dir):
     return found.select(*PAIR, *[r6(F.col(c)).alias(c) for c in found.columns[2:]])
 
 
+@query
+def precomputed_similarity(spark, sf_dir):
+    """Sentence similarities written as a file and read back."""
+    found = similarity_table(spark, sf_dir)
+    path = shared_dir(spark, "similarity")
+    PC.write_similarity(found.select(*PAIR, *[r6(F.col(c)).alias(c) for c in ("similarity", "similarity_ic")]), path)
+    return PC.read_similarity(spark, path)
+
+
+@query
+def features_with_similarity(spark, sf_dir):
+    """Word overlap features with the precomputed similarities beside them."""
+    table = PC.bucketed(precomputed_similarity(spark, sf_dir), "pair_similarity")
+    features = _family_metrics(spark, sf_dir, ("word1",)).select(*PAIR, "jaccard", "cosine", "f1")
+    return PC.attach_similarity(features, table)
+
+
 # ------------------------------------------------- model and evaluation ----
 
 from pairgram.plans import model_plan as MP  # noqa: E402

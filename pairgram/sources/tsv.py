@@ -66,3 +66,9 @@ def read_indexed(spark: SparkSession, path: str, schema: StructType, name: str =
     place = F.row_number().over(Window.partitionBy("_f", "_b").orderBy("_m"))
     return (tagged.join(offsets, ["_f", "_b"]).withColumn(name, F.col("_off") + place - 1)
             .drop("_f", "_b", "_m", "_off"))
+
+
+def read_stop_words(spark: SparkSession, path: str) -> DataFrame:
+    """A stop list with one word per line as a table ``word``: trimmed, lower-cased, distinct, blank lines left out."""
+    word = F.lower(F.trim("value")).alias("word")
+    return spark.read.text(path).select(word).filter("word != ''").distinct()
