@@ -364,6 +364,51 @@ ORACLE["feature_map"] = D.with_ctes(
          "UNION ALL SELECT CAST(i + v AS BIGINT), 'tfidf_2:' || term, 'q' FROM ix, vs "
          "UNION ALL SELECT CAST(2 * v + j AS BIGINT), name, 'q' FROM dense, vs")
 
+from pairgram.plans import model_plan as MP  # noqa: E402  (feature names only)
+
+
+def _cells(src: str, prefix: str, metrics, where: str = "true") -> str:
+    """``conv_id, turn, name, value`` rows of metric columns."""
+    cells = ", ".join(f"{{n: {prefix} || '{m}', v: CAST({m} AS DOUBLE)}}" for m in metrics)
+    return f"SELECT conv_id, turn, c.n AS name, c.v AS value FROM (SELECT conv_id, turn, unnest([{cells}]) AS c FROM {src} WHERE {where})"
+
+
+def _in(families) -> str:
+    return "family IN (" + ", ".join(D.lit(f) for f in families) + ")"
+
+
+_MATRIX = [
+    *D.gram_ctes(MP.OVERLAP_FAMILIES + MP.TAG_COMMON),
+    "wf AS (SELECT * FROM grams WHERE " + _in(WORD) + ")",
+    *[c.replace("FROM grams", "FROM wf") for c in _SHARED],
+    _ps.replace("FROM fl)", "FROM fl WHERE " + _in(WORD) + ")"),
+    f"pst AS (SELECT conv_id, turn, family, side, {_pcols} FROM ps)",
+    "lab AS MATERIALIZED (SELECT doc_id AS conv_id, max(quality) AS label FROM labels WHERE quality IS NOT NULL GROUP BY doc_id)",
+    f"mf AS (SELECT conv_id, turn, len({D.tok('sent_1')}) = 0 AS missing_1, len({D.tok('sent_2')}) = 0 AS missing_2 FROM pairs)",
+    *_FIT[1:], *_weights("fit_terms"), f"wt AS (SELECT doc_id, term, weight FROM ({_WBODY}))",
+    "ix AS MATERIALIZED (SELECT term, dense_rank() OVER (ORDER BY term) - 1 AS i FROM vocab)",
+    "vs AS (SELECT count(*) AS v FROM vocab)", _DENSE,
+    "dc AS MATERIALIZED (" + " UNION ALL ".join([
+        _cells("met", "family || '_'", MP.OVERLAP_METRICS, _in(MP.OVERLAP_FAMILIES)),
+        _cells("met", "family || '_'", MP.DIGIT_METRICS, _in(MP.DIGIT_FAMILIES)),
+        _cells("met", "family || '_'", ["common"], _in(MP.TAG_COMMON)),
+        _cells("pst", "family || '_' || side || '_'", MP.POSITION_METRICS),
+        _cells("mf", "''", ["missing_1", "missing_2"])]) + ")",
+    "mx AS MATERIALIZED (SELECT e.* FROM ("
+    "SELECT conv_id, turn, CAST(2 * v + j AS BIGINT) AS idx, value FROM dc JOIN dense USING (name), vs "
+    "UNION ALL SELECT doc_id.conv_id, doc_id.turn, CAST(i + (doc_id.side - 1) * v AS BIGINT), weight FROM wt JOIN ix USING (term), vs) e "
+    "JOIN lab USING (conv_id) WHERE value <> 0)",
+]
+ORACLE["feature_matrix"] = D.with_ctes(*_MATRIX, body="SELECT conv_id, turn, idx, value FROM mx")
+# an edit distance is zero where both lists are equal, and only there
+ORACLE["assemble"] = D.with_ctes(
+    *_MATRIX, "eq AS (SELECT x.conv_id, x.turn, count(*) AS n FROM fl x JOIN fl y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.family = y.family "
+    f"AND x.side = 1 AND y.side = 2 WHERE x.lst <> y.lst AND x.{_in(MP.EDIT_FAMILIES)} GROUP BY x.conv_id, x.turn)",
+    "nz AS (SELECT conv_id, turn, count(*) AS n FROM mx GROUP BY conv_id, turn)",
+    body="SELECT p.conv_id, p.turn, CAST(l.label AS INTEGER) AS label, CAST(2 * v + (SELECT count(*) FROM dense) AS INTEGER) AS n_features, "
+         "CAST(coalesce(nz.n, 0) + coalesce(eq.n, 0) AS INTEGER) AS nnz FROM pairs p JOIN lab l USING (conv_id) "
+         "LEFT JOIN nz USING (conv_id, turn) LEFT JOIN eq USING (conv_id, turn), vs")
+
 # ------------------------------------------------------------- streaming ----
 
 ORACLE["stream_turn_features"] = (

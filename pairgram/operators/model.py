@@ -24,17 +24,6 @@ from pairgram.session import checkpointed, shared_dir
 GBT_PARAMS = dict(maxDepth=4, stepSize=0.01, maxIter=100, seed=42)
 
 
-def pivot_wide(long_df: DataFrame, key_cols: list[str], value_cols: list[str], values: list) -> DataFrame:
-    """One row per pair: ``{family}_{metric}`` columns (pivot on a known value list,
-    so Spark does not scan for the distinct values first)."""
-    pivot_col = "_pv"
-    df = long_df.withColumn(pivot_col, F.concat_ws("_", *[F.col(c).cast("string") for c in key_cols]))
-    wide = df.groupBy(*PAIR).pivot(pivot_col, values).agg(*[F.first(c).alias(c) for c in value_cols])
-    if len(value_cols) == 1:  # a single aggregate names the columns by value only
-        wide = wide.select(*PAIR, *[F.col(f"`{v}`").alias(f"{v}_{value_cols[0]}") for v in values])
-    return wide
-
-
 def numeric_columns(df: DataFrame, exclude=(*PAIR, "label")) -> list[str]:
     from pyspark.sql.types import NumericType
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
@@ -60,13 +49,29 @@ def sparse(size: int, indices, values) -> Column:
 
 
 def as_vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Stored-form columns as vectors: written, and read back under the vector type."""
+    """Stored-form columns as vectors: written, and read back under the vector type.
+
+    The stored form is the vector type's own SQL type (SPARSE); a test holds it against the type, on a full and an empty row.
+    """
     path = shared_dir(df.sparkSession, "vectors")
     df.write.parquet(path)
     schema = StructType([StructField(f.name, VectorUDT() if f.name in columns else f.dataType) for f in df.schema.fields])
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def matrix_entries(df: DataFrame, column: str = "features") -> DataFrame:
+    """``conv_id, turn, idx, value``: the slots of a vector column that are not zero, one row each.
+
+    Vectors are read in their stored form: a sparse one (type 0) lists its slots, a dense one (type 1) its values.
+    """
+    path = shared_dir(df.sparkSession, "stored")
+    df.select(*PAIR, F.col(column).alias("v")).write.parquet(path)
+    stored = df.sparkSession.read.schema(StructType.fromDDL(f"conv_id long, turn long, v {SPARSE}")).parquet(path)
+    places = F.when(F.col("v.type") == 0, F.col("v.indices")).otherwise(F.sequence(F.lit(0), F.size("v.values") - 1))
+    slots = stored.select(*PAIR, F.explode_outer(F.arrays_zip(places.alias("idx"), F.col("v.values").alias("value"))).alias("s"))
+    return slots.select(*PAIR, F.col("s.idx").cast("long").alias("idx"), F.col("s.value").alias("value")).filter("value != 0")
+
+
 def assemble(wide: DataFrame, doc_vectors: DataFrame | None, size: int) -> DataFrame:
     """[tfidf(side 1) | tfidf(side 2) | dense features] as one vector column,
     with ``n_features`` and ``nnz`` (slots that are not zero)."""

@@ -3,6 +3,8 @@ evaluation and split-count importance (reference sections 3.1/3.2)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +20,8 @@ from pairgram.operators.overlap import overlap_metrics, pair_gram_stats
 from pairgram.operators.positions import STATS, position_stats
 from pairgram.plans.features import tagged_pairs
 from pairgram.session import checkpointed, shared_dir
-from pairgram.sources import fixtures as fx
 from pairgram.sources import tsv
+from pairgram.sources.tables import read_table
 
 OVERLAP_FAMILIES = G.WORD_FAMILIES + G.CHAR_FAMILIES + G.POS_FAMILIES
 OVERLAP_METRICS = ["count_1", "count_2", "unique_1", "unique_2", "unique_ratio_1", "unique_ratio_2",
@@ -44,32 +46,36 @@ def dense_feature_names() -> list[str]:
 
 
 def labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged pairs with the test-rule label, ambiguous rows dropped, checkpointed
-    once so the feature branches below do not recompute the pairing."""
-    pairs = tagged_pairs(spark, sf_dir)
-    lab = fx.with_vote(pairs).withColumn("label", L.test_label(F.col("vote")))
-    return checkpointed(L.drop_ambiguous(lab, "label"))
+    """Tagged pairs whose conversation has a row in ``labels``: the target is its quality, which no feature
+    is made from. Checkpointed once so the feature branches below do not recompute the pairing."""
+    labels = read_table(spark, sf_dir, "labels", ["doc_id", "quality"]).filter("quality IS NOT NULL")
+    labels = labels.groupBy(F.col("doc_id").alias("conv_id")).agg(F.max("quality").cast("int").alias("label"))
+    return checkpointed(tagged_pairs(spark, sf_dir).join(labels, "conv_id"))
+
+
+def _cells(df: DataFrame, prefix: list[str], metrics: list[str]) -> DataFrame:
+    """``conv_id, turn, name, value``: one row per metric, named as the wide frame's column."""
+    name = lambda m: F.concat_ws("_", *[F.col(c).cast("string") for c in prefix], F.lit(m))
+    return df.select(*PAIR, F.inline(F.array(*[F.struct(name(m).alias("name"), F.col(m).cast("double").alias("value")) for m in metrics])))
 
 
 def features_wide(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = None) -> DataFrame:
+    """One gram table feeds the overlap and the position features; all features are rows until one pivot."""
     pairs = pairs if pairs is not None else labelled_pairs(spark, sf_dir)
-    fams = OVERLAP_FAMILIES + TAG_COMMON
-    met = overlap_metrics(pair_gram_stats(G.gram_counts(G.gram_table(pairs, fams, keep_empty=True))))
-    over = M.pivot_wide(met.filter(F.col("family").isin(*OVERLAP_FAMILIES)), ["family"], OVERLAP_METRICS,
-                        list(OVERLAP_FAMILIES))
-    digit = M.pivot_wide(met.filter(F.col("family").isin(*DIGIT_FAMILIES)), ["family"], DIGIT_METRICS,
-                         list(DIGIT_FAMILIES))
-    tagc = M.pivot_wide(met.filter(F.col("family").isin(*TAG_COMMON)), ["family"], ["common"], list(TAG_COMMON))
-    pos = M.pivot_wide(position_stats(G.gram_table(pairs, G.WORD_FAMILIES, keep_empty=True)), ["family", "side"], POSITION_METRICS,
-                       [f"{f}_{s}" for f in G.WORD_FAMILIES for s in (1, 2)])
-    ed = M.pivot_wide(edit_distance(pairs, EDIT_FAMILIES), ["family"], ["levenshtein"], list(EDIT_FAMILIES))
-    base = pairs.select(*PAIR, "label",
-                        *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
-    wide = base
-    for part in (over, digit, tagc, pos, ed):
-        wide = wide.join(part, list(PAIR), "left")
+    grams = checkpointed(G.gram_table(pairs, OVERLAP_FAMILIES + TAG_COMMON, keep_empty=True))
+    met = overlap_metrics(pair_gram_stats(G.gram_counts(grams)))
+    of = lambda families: F.col("family").isin(*families)
+    missing = pairs.select(*PAIR, *L.missing_flags(tx.word_punct_tokens("sent_1"), tx.word_punct_tokens("sent_2")))
+    cells = [_cells(met.filter(of(OVERLAP_FAMILIES)), ["family"], OVERLAP_METRICS),
+             _cells(met.filter(of(DIGIT_FAMILIES)), ["family"], DIGIT_METRICS),
+             _cells(met.filter(of(TAG_COMMON)), ["family"], ["common"]),
+             _cells(position_stats(grams.filter(of(G.WORD_FAMILIES))), ["family", "side"], POSITION_METRICS),
+             _cells(edit_distance(pairs, EDIT_FAMILIES), ["family"], ["levenshtein"]),
+             _cells(missing, [], ["missing_1", "missing_2"])]
     names = dense_feature_names()
-    return wide.select(*PAIR, "label", *[F.coalesce(F.col(n), F.lit(0)).cast("double").alias(n) for n in names])
+    wide = reduce(DataFrame.unionByName, cells).groupBy(*PAIR).pivot("name", names).agg(F.first("value"))
+    return pairs.select(*PAIR, "label").join(wide, list(PAIR), "left").select(
+        *PAIR, "label", *[F.coalesce(F.col(n), F.lit(0.0)).alias(n) for n in names])
 
 
 def assembled(spark: SparkSession, sf_dir: str):
@@ -85,7 +91,7 @@ def assembled(spark: SparkSession, sf_dir: str):
 
 
 def _split(df: DataFrame):
-    """Four fifths and one fifth by the pair key, whatever the partitions."""
+    """Four fifths and one fifth by the pair key, whatever the partitions (the dense slots of the vectors are row-local)."""
     part = F.pmod(F.col("conv_id") * 31 + F.col("turn") * 17, F.lit(5))
     return df.filter(part != 0), df.filter(part == 0)
 
@@ -99,6 +105,14 @@ def q_assemble(spark, sf_dir):
     return df.select(*PAIR, "label", "n_features", "nnz")
 
 
+def q_feature_matrix(spark, sf_dir):
+    """The sparse matrix read from the assembled vectors: ``conv_id, turn, idx, value`` of every slot
+    that is not zero, but for the edit distances (queries of their own; characters are beyond SQL)."""
+    df, names = assembled(spark, sf_dir)
+    kept = names.filter(~F.col("name").endswith("_levenshtein")).select("idx")
+    return M.matrix_entries(df).join(kept, "idx").select(*PAIR, "idx", "value")
+
+
 def q_feature_map(spark, sf_dir):
     """The offset-correct feature map, written to the shared folder as
     ``idx \t name \t q`` and read back."""

@@ -522,6 +522,7 @@ from pairgram.plans import model_plan as MP  # noqa: E402
 
 QUERIES["features_wide"] = MP.q_features_wide
 QUERIES["assemble"] = MP.q_assemble
+QUERIES["feature_matrix"] = MP.q_feature_matrix
 QUERIES["feature_map"] = MP.q_feature_map
 QUERIES["gbt_predict"] = MP.q_gbt_predict
 QUERIES["gbt_regress"] = MP.q_gbt_regress
