@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from pairgram.keys import PAIR
 from pairgram.functions import ngrams as ng
+from pairgram.functions import porter2
 from pairgram.functions import text as tx
 from pairgram.functions.safe import r6
+from pairgram.joins import join_unique
 from pairgram.operators import grams as G
 from pairgram.operators import labels as L
 from pairgram.operators import tags as T
@@ -91,6 +93,13 @@ def stem_vocabulary(spark, sf_dir):
     return vocab.select("token", tx.s_stem(F.col("token")).alias("stem"))
 
 
+@query
+def tokens_porter2(spark, sf_dir):
+    """T5 with the Porter2 stemmer: the vocabulary is stemmed once and joined back to the tokens."""
+    rows = checkpointed(tokenize_alpha(spark, sf_dir))
+    return join_unique(rows, checkpointed(porter2.stem_table(rows)), ["token"]).select(*PAIR, "side", "pos", F.col("stem").alias("token"))
+
+
 @query
 def tweet_words(spark, sf_dir):
     p = _pairs(spark, sf_dir)

@@ -1,7 +1,7 @@
 import __spark_entry__ as E
 from pairgram.plans import registry
 
-NO_ORACLE = {"edit_distance_char", "gbt_predict", "gbt_regress", "split_importance", "features_wide"}
+NO_ORACLE = {"edit_distance_char", "gbt_predict", "gbt_regress", "split_importance", "features_wide", "tokens_porter2"}
 
 
 def test_entry_runs(spark):
