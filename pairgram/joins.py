@@ -8,14 +8,20 @@ from pyspark.sql import functions as F
 from pairgram.session import checkpointed
 
 
-def join_unique(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", heavy: int = 1000) -> DataFrame:
+def join_unique(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", heavy: int = 1000,
+                counts: DataFrame | None = None) -> DataFrame:
     """Join a stored table to one with a single row per key; a key that is hot in ``many`` is not one task's work.
 
     Keys that hold more than a ``heavy``-th of the rows (so at most ``heavy`` keys) meet their rows by broadcast, the
-    others by the usual join. Keys are never null.
+    others by the usual join. Keys are never null. ``counts`` (keys and ``_n``, stored) saves the counting of rows per key.
     """
-    least = max(many.count() // heavy, 1000)
-    hot = checkpointed(many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > least).select(*keys))
+    rows = many.count()
+    least = max(rows // heavy, 1000)
+    if rows <= least:
+        return many.join(one, keys, how)
+    if counts is None:
+        counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = checkpointed(counts.filter(F.col("_n") > least).select(*keys))
     if hot.isEmpty():
         return many.join(one, keys, how)
     hot_one = F.broadcast(one.join(F.broadcast(hot), keys, "left_semi"))
