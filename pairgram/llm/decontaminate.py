@@ -16,7 +16,8 @@ by equality and a hash collision is never a hit.
 The texts are read once; only candidates leave the scan: a passage that a third
 of the documents hold costs its hits, spread by document.
 
-Defined cases: null and wordless texts have no words and no hits, and a wordless
+Defined cases: a very long text is one row of the scan, and only words around half-window hits leave it;
+null and wordless texts have no words and no hits, and a wordless
 item has no window; repeated items and windows count once; an item with a null
 item_id marks words but is not listed. Repeated documents get equal results.
 An empty benchmark leaves all documents clean. Extra columns are not touched.
@@ -60,8 +61,9 @@ def step_of(length: int) -> int:
     return (length + 1) // 2
 
 
-def _bounded(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_BYTES else df
+def _bounded(df: DataFrame, size: int) -> DataFrame:
+    """df for a join, broadcast if its measured bytes allow it."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -70,8 +72,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
     lengths = sorted(r[0] for r in grams.select("len").distinct().collect())  # window values at most
     size = grams.agg(F.sum(F.length("gram") * 4 + 8 * F.size("items") + 64)).first()[0] or 0
     step = F.expr("(len + 1) div 2")
-    halves = grams.select("len", F.split("gram", " ").alias("w"), step.alias("step")).select(
-        "len", F.explode(F.expr(_grams("w", "step"))).alias("half")).distinct()
+    halves = saved(grams.select("len", F.split("gram", " ").alias("w"), step.alias("step")).select(
+        "len", F.explode(F.expr(_grams("w", "step"))).alias("half")).distinct(), "halves")
+    half_size = halves.agg(F.sum(F.length("half") * 4 + 64)).first()[0] or 0
     words = settled(keyed(docs, "doc_id", "text"), w=tokens()).select("_key", "doc_id", "w")
 
     def looked_up(n: int) -> Column:
@@ -82,7 +85,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFra
 
     empty = F.array().cast("array<struct<len:int,half:string,from:int,around:array<string>>>")
     scanned = words.select("_key", "doc_id", F.inline(F.concat(*[looked_up(n) for n in lengths]) if lengths else empty))
-    near = scanned.join(_bounded(halves, size), ["len", "half"], "left_semi")
+    near = scanned.join(_bounded(halves, half_size), ["len", "half"], "left_semi")
     near = near.select("_key", "doc_id", "len", "from", F.posexplode(F.expr(
         "CASE WHEN size(around) >= len THEN " + _grams("around", "len") + " ELSE array() END")).alias("i", "gram"))
     found = near.join(_bounded(grams, size), ["len", "gram"]).select(

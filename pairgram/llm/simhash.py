@@ -13,8 +13,10 @@ others share an index. So each pair within the limit meets under a key made of o
 whole segment and an index of the next one.
 
 Join: distinct fingerprints only, so exact copies never meet. A key with at most
-BUCKET fingerprints joins its pairs and verifies the bit distance. Fingerprints of a fuller
-key are linked exactly without pairs: two fingerprints differ in at most two bits
+BUCKET fingerprints joins its pairs and verifies the bit distance. A fuller key is refined
+by the index of the third segment, which a pair within the limit shares as well: keys of
+42 to 47 bits, that fill up only where fingerprints truly crowd. Fingerprints of a refined key that is still
+full are linked exactly without pairs: two fingerprints differ in at most two bits
 if and only if both are within one bit of a third word, so each emits itself and
 its 64 one-bit neighbours, and all that meet in a word are linked to the smallest of them. A
 pair all of whose keys are full has both ends among those, so no link is lost.
@@ -25,7 +27,7 @@ distinct fingerprints, each written to the shared folder, until nothing changes.
 Defined cases: null, empty and wordless texts have fingerprint zero and are linked
 like any other. Texts with fewer words than a shingle have one shingle. Repeated
 rows each get a row. A component's id is its smallest doc_id; null doc_ids are
-passed over unless there are no others. Input columns may have any name. An empty
+passed over unless there are no others. A very long text is hashed in one pass, its shingles in parts. Input columns may have any name. An empty
 table gives no rows.
 """
 
@@ -38,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgram.llm.common import is_empty, keyed, saved, with_key
+from pairgram.llm.common import is_empty, join_unique, keyed, saved, with_key
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -150,6 +152,39 @@ def fuzzy_keys(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInPandas(keys, "key long, fp long")
 
 
+def refined_keys(keys: DataFrame) -> DataFrame:
+    """``key, fp``: rows of fuzzy_keys under their key and each index of the segment that it does not hold."""
+
+    def finer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        golay = Golay()
+        for part in parts:
+            key, fp = part["key"].to_numpy(), part["fp"].to_numpy()
+            for s in range(3):
+                own = key & 3 == s
+                if own.any():
+                    at, n = SEGMENTS[(s + 2) % 3]
+                    third = golay.indices(((fp[own].view(np.uint64) >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64))
+                    many = [len(x) for x in third]
+                    yield pd.DataFrame({"key": np.repeat(key[own], many) | np.concatenate(third) << 37, "fp": np.repeat(fp[own], many)})
+
+    return keys.mapInPandas(finer, "key long, fp long")
+
+
+def _near_pairs(keys: DataFrame, sizes: DataFrame, bits: int) -> DataFrame:
+    """``a, b`` of keys with at most BUCKET fingerprints, verified."""
+    few = keys.join(sizes.filter(F.col("n") <= BUCKET).select("key"), "key")
+    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
+    return left.join(right, "key").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
+
+
+def _full(keys: DataFrame, sizes: DataFrame) -> DataFrame:
+    return join_unique(keys, sizes.filter(F.col("n") > BUCKET).select("key"), ["key"], "left_semi", counts=sizes.withColumnRenamed("n", "_n"))
+
+
+def _sizes(keys: DataFrame) -> DataFrame:
+    return saved(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+
+
 def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     """``a, b`` (a < b): links that connect all distinct fingerprints ``fp`` at most ``bits`` (0 to 2) apart.
 
@@ -159,22 +194,23 @@ def links(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
     if not 0 <= bits <= MAX_BITS:
         raise ValueError("the keys hold for at most two differing bits")
     keys = saved(fuzzy_keys(fps), "keys")
-    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    sizes = saved(sizes, "buckets")
-    few = keys.join(sizes.filter(F.col("n") <= BUCKET).select("key"), "key")
-    left, right = few.select("key", F.col("fp").alias("a")), few.select("key", F.col("fp").alias("b"))
-    pairs = left.join(right, "key").filter("a < b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits).select("a", "b").distinct()
-    full = sizes.filter(F.col("n") > BUCKET).select("key")
-    if bits < 1 or is_empty(full):
+    sizes = _sizes(keys)
+    pairs = _near_pairs(keys, sizes, bits)
+    if bits < 1 or is_empty(sizes.filter(F.col("n") > BUCKET)):
         return saved(pairs, "links")
-    crowd = keys.join(full, "key", "left_semi").select("fp").distinct()
+    keys = saved(refined_keys(_full(keys, sizes)), "refined")
+    sizes = _sizes(keys)
+    pairs = pairs.union(_near_pairs(keys, sizes, bits))
+    if is_empty(sizes.filter(F.col("n") > BUCKET)):
+        return saved(pairs.distinct(), "links")
+    crowd = saved(_full(keys, sizes).select("fp").distinct(), "crowd")
     ones = F.array(*[F.lit(0), *[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]]).cast("array<bigint>")
     words = crowd.select("fp", F.explode(ones).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("word"))
     if bits == 1:  # one bit apart: only a word that is itself a fingerprint links
         words = words.join(crowd.select(F.col("fp").alias("word")), "word", "left_semi")
     words = saved(words, "neighbours")
     least = words.groupBy("word").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    stars = words.join(least, "word").filter("a < fp").select("a", F.col("fp").alias("b"))
+    stars = join_unique(words, saved(least, "centres"), ["word"]).filter("a < fp").select("a", F.col("fp").alias("b"))
     return saved(pairs.union(stars).distinct(), "links")
 
 
@@ -183,8 +219,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     def star(pairs: DataFrame) -> DataFrame:
         """For each node u: its neighbours v, linked to the least m of u and them, where v may be linked."""
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return pairs.join(least, "u")
+        least = saved(pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("_n")), "least")
+        return join_unique(pairs, least.drop("_n"), ["u"], counts=least.select("u", "_n"))  # a centre may have all links
 
     def sign(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.xxhash64("b", "a") % 1_000_033)).first())

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairgram.llm.common import is_empty, keyed, saved
+from pairgram.llm.common import is_empty, join_unique, keyed, saved
 
 LENGTH = 200
 GRAM = 32
@@ -422,19 +422,27 @@ def crowded(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=[c.split()[0] for c in schema.split(", ")])
 
     table = saved(rows.mapInArrow(cut, schema), "blocks")
-    cores = table.groupBy("anchor", "b", "core").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    table = saved(table.join(cores, ["anchor", "b", "core"], "left_semi"), "cores")
-    twice = table.filter("whole IS NOT NULL").groupBy("anchor", "b", "whole").agg(
-        F.count(F.lit(1)).alias("c"), F.min(F.struct("_key", "doc_id", "at")).alias("one")).filter("c > 1").drop("c")
-    table = saved(table.join(twice, ["anchor", "b", "whole"], "left"), "wholes")
+    def counted(rows: DataFrame, keys: list[str], *more) -> DataFrame:
+        """The keys that several rows share, with their number ``_n``."""
+        return saved(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *more).filter("_n > 1"), "counted")
+
+    # a passage that many documents hold is one key: such keys meet their rows by broadcast
+    key = ["anchor", "b", "core"]
+    cores = counted(table, key)
+    table = saved(join_unique(table, cores.select(*key), key, "left_semi", counts=cores), "cores")
+    key = ["anchor", "b", "whole"]
+    twice = counted(table.filter("whole IS NOT NULL"), key, F.min(F.struct("_key", "doc_id", "at")).alias("one"))
+    full = join_unique(table.filter("whole IS NOT NULL"), twice.drop("_n"), key, "left", counts=twice)
+    table = saved(full.unionByName(table.filter("whole IS NULL").withColumn("one", F.lit(None).cast(twice.schema["one"].dataType))), "wholes")
     known = F.col("one").isNotNull()
     spans = table.filter(known & F.col("single")).select(
         "_key", "doc_id", (F.col("at") - STEP * F.col("b") - (STEP - 1)).alias("first"), (F.col("at") - STEP * F.col("b")).alias("last"))
     open_ = table.filter(~known | (F.col("one") == F.struct("_key", "doc_id", "at")))
     windows = saved(open_.select("anchor", "_key", "doc_id", "at", (F.col("single") & ~known).alias("asked"), "d0", F.posexplode("hashes").alias("i", "h"))
                     .withColumn("d", F.col("d0") + F.col("i")), "windows")
-    same = windows.groupBy("anchor", "d", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
-    found = windows.filter("asked").join(same, ["anchor", "d", "h"], "left_semi")
+    key = ["anchor", "d", "h"]
+    same = counted(windows, key)
+    found = join_unique(windows.filter("asked"), same.select(*key), key, "left_semi", counts=same)
     return spans.unionByName(found.select("_key", "doc_id", (F.col("at") - F.col("d")).alias("first"), (F.col("at") - F.col("d")).alias("last")))
 
 
@@ -463,7 +471,8 @@ def duplicate_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, cro
     _released(spark)
     kinds = saved(found.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("_key", "doc_id", "begin")).alias("one")), "kinds")
     per_anchor = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-    all_equal = found.join(kinds.filter("c > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select(
+    equal = kinds.filter("c > 1").select("anchor", "whole", F.col("c").alias("_n"))
+    all_equal = join_unique(found, equal.drop("_n"), ["anchor", "whole"], "left_semi", counts=equal).select(
         "_key", "doc_id", F.col("begin").alias("first"), (F.col("begin") + F.col("n") - 1).alias("last"))
     # one run of each kind stands for it where anchors have several kinds
     some = kinds.join(per_anchor, "anchor").select("anchor", "whole", "one", (F.col("c") == 1).alias("single"), (F.col("kinds") > crowd).alias("hot"))

@@ -36,9 +36,6 @@ doc_id with several labels is toxic if one says so. Without labels of both
 classes all scores are the share of toxic labels (0 without any). Repeated rows get equal
 scores; long texts are read in pieces of PIECE characters. Input columns may
 have any name.
-
-continuation, backoff, evidence and Model give the same model in memory for an
-alphabet of 32 symbols; tests hold the tables against them.
 """
 
 from __future__ import annotations
@@ -58,10 +55,6 @@ from pairgram.llm.common import saved
 from pairgram.session import shared_dir
 
 ORDER = 5
-#: The alphabet of the model in memory.
-SYMBOL_BITS = 5
-GRAMS = 1 << (SYMBOL_BITS * ORDER)
-CONTEXTS = GRAMS >> SYMBOL_BITS
 DISCOUNT = 0.75
 #: Grams of fewer symbols have only counts that both classes share.
 OWN = 3
@@ -76,8 +69,8 @@ THRESHOLD = 0.3
 PIECE = 1 << 20
 #: Grams that a counting task holds before it sums them up.
 HOLD = 1 << 22
-#: Rows of a block, about: its distinct grams are joined to the evidence once.
-BLOCK = 20_000
+#: Bytes of text of a block, about: its distinct grams are joined to the evidence once, and held by the task that scores it.
+BLOCK = 40 << 20
 SPACE = 32
 
 
@@ -276,62 +269,6 @@ def gram_evidence(counts: DataFrame) -> DataFrame:
     return top.select("gram", value.cast("float").alias("value")).filter("value != 0")
 
 
-def continuation(keys: np.ndarray) -> list[np.ndarray]:
-    """For ORDER - 1, ..., 1 symbols: how many symbols precede each gram, from the distinct grams ``keys``."""
-    out, seen, size = [], keys, GRAMS
-    while size > 1 << SYMBOL_BITS:
-        size >>= SYMBOL_BITS
-        out.append(np.bincount(seen & (size - 1), minlength=size).astype(np.float64))
-        seen = np.nonzero(out[-1])[0]
-    return out
-
-
-def backoff(own: list[np.ndarray], shared: list[np.ndarray]) -> np.ndarray:
-    """P(last symbol | the others) of all (ORDER - 1)-grams from a class's and the shared continuation counts."""
-    n = 1 << SYMBOL_BITS
-    p = np.full(n, 1.0 / n)
-    for order, counts in [(k, shared) for k in range(1, ORDER)] + [(k, own) for k in range(OWN, ORDER)]:
-        table = counts[ORDER - 1 - order].reshape(-1, n)
-        total, types = table.sum(axis=1, keepdims=True), (table > 0).sum(axis=1, keepdims=True)
-        p = (np.tile(p, n) if counts is shared and order > 1 else p).reshape(-1, *table.shape)
-        mixed = (np.maximum(table - DISCOUNT, 0) + DISCOUNT * types * p) / np.maximum(total, 1)
-        p = np.where(total > 0, mixed, p).reshape(-1)
-    return p
-
-
-@dataclass
-class Model:
-    #: grams that a class has seen, and their evidence
-    keys: np.ndarray
-    values: np.ndarray
-    #: evidence of other grams: by their context, and by their last ORDER - 1 symbols
-    by_context: np.ndarray
-    by_suffix: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """Evidence of every gram."""
-        out = np.repeat(self.by_context, 1 << SYMBOL_BITS)
-        out.reshape(-1, CONTEXTS)[:] += self.by_suffix
-        out[self.keys] = self.values
-        return out
-
-
-def evidence(keys: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> Model:
-    """The model of all distinct grams and their counts in the two classes."""
-    shared, seen = continuation(keys), (toxic > 0) | (ordinary > 0)
-    k = keys[seen]
-    logs, contexts, suffixes = [], [], []
-    for c in (toxic[seen], ordinary[seen]):
-        lower = backoff(continuation(k[c > 0]), shared)
-        at = k >> SYMBOL_BITS
-        total, types = np.bincount(at, c, CONTEXTS), np.bincount(at, c > 0, CONTEXTS)
-        rest = np.where(total > 0, DISCOUNT * types / np.maximum(total, 1), 1.0)
-        logs.append(np.log(np.maximum(c - DISCOUNT, 0) / np.maximum(total[at], 1) + rest[at] * lower[k & (CONTEXTS - 1)]))
-        contexts.append(np.log(rest))
-        suffixes.append(np.log(lower))
-    return Model(k, *((x - y).astype(np.float32) for x, y in (logs, contexts, suffixes)))
-
-
 def sample_labels(labels: DataFrame, most: int = LABELLED) -> DataFrame:
     """``doc_id, label, part``: labelled documents that may be learned from, at most about ``most`` by hash."""
     own = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("label"))
@@ -442,18 +379,22 @@ def logistic(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[tuple[floa
 
 
 def in_blocks(docs: DataFrame, *columns: Column) -> DataFrame:
-    """The columns plus ``block``, the same for a row in every job: from its file and place there. Rows that are not read from Parquet are written once."""
+    """The columns plus ``block``, the same for a row in every job: from its file and place there. Rows that are not read from Parquet are written once.
+
+    The columns are ``text``, or ``_row`` that holds it, and any others. Blocks have as many rows as BLOCK bytes of text hold in the mean.
+    """
 
-    def placed(df: DataFrame, *chosen: Column) -> DataFrame:
+    def placed(df: DataFrame, text: Column, *chosen: Column) -> DataFrame:
         at = df.metadataColumn("_metadata")
-        blocks = max(1, df.count() // BLOCK)
-        return df.select(*chosen, F.pmod(F.xxhash64(at["file_path"], F.floor(at["row_index"] / BLOCK)), F.lit(blocks)).alias("block"))
+        size, rows = df.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count(F.lit(1))).first()
+        blocks, run = max(1, size // BLOCK), max(1, min(rows, rows * BLOCK // max(size, 1)))
+        return df.select(*chosen, F.pmod(F.xxhash64(at["file_path"], F.floor(at["row_index"] / run)), F.lit(blocks)).alias("block"))
 
     try:
-        return placed(docs, *columns)
+        return placed(docs, docs["text"], *columns)
     except AnalysisException:
         rows = saved(docs.select(*columns), "texts")
-        return placed(rows, *[F.col(c) for c in rows.columns])
+        return placed(rows, F.col("text") if "text" in rows.columns else F.col("_row.text"), *[F.col(c) for c in rows.columns])
 
 
 def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:

@@ -89,6 +89,24 @@ def test_classes_from_full_buckets(spark, monkeypatch):
     check_classes(spark, 1)
 
 
+def test_refined_keys_lose_no_pair(spark, monkeypatch):
+    random.seed(12)
+    # all equal in the first segment: its keys fill up, the refined ones hardly do
+    tops = [random.getrandbits(40) << 23 for _ in range(60)]
+    prints = [(i, random.choice(tops) ^ (1 << random.randrange(23, 63)) ^ random.choice((0, 1 << random.randrange(23, 63)))) for i in range(300)]
+    df = spark.createDataFrame(prints, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    found = {r.fp: r.component_id for r in simhash.classes(df).collect()}
+    assert [found[f] for _, f in prints] == classes(prints)
+    keys = simhash.refined_keys(simhash.fuzzy_keys(df.select("fp").distinct()))
+    held = {}
+    for r in keys.collect():
+        held.setdefault(r.key, set()).add(r.fp)
+    together = {(a, b) for fps in held.values() for a in fps for b in fps if a < b}
+    fps = sorted({f for _, f in prints})
+    assert all((a, b) in together for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2)
+
+
 def test_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}

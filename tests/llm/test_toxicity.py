@@ -5,6 +5,8 @@ import numpy as np
 import pytest
 from pairgram.llm import toxicity
 
+import memory_model
+
 from helpers import awkward, documents
 
 
@@ -51,10 +53,10 @@ def test_pieces_make_the_same_grams(monkeypatch):
 
 def test_models_are_distributions():
     rng = np.random.default_rng(1)
-    keys = np.unique(rng.integers(0, toxicity.GRAMS, 4000)).astype(np.int32)
-    p = toxicity.backoff(toxicity.continuation(keys[:300]), toxicity.continuation(keys))
+    keys = np.unique(rng.integers(0, memory_model.GRAMS, 4000)).astype(np.int32)
+    p = memory_model.backoff(memory_model.continuation(keys[:300]), memory_model.continuation(keys))
     assert np.allclose(p.reshape(-1, 32).sum(axis=1), 1)
-    model = toxicity.evidence(keys, (keys % 3 == 0) * 2.0, (keys % 3 == 1) * 1.0)
+    model = memory_model.evidence(keys, (keys % 3 == 0) * 2.0, (keys % 3 == 1) * 1.0)
     free = keys[keys % 3 == 2]
     assert np.isfinite(model.table()).all() and len(model.keys) == len(keys) - len(free)
 
@@ -104,7 +106,7 @@ def test_tables_equal_the_model_in_memory(spark):
     codes = np.unique(np.concatenate((codes, np.arange(32)[:, None].repeat(toxicity.ORDER, 1))), axis=0)
     toxic, ordinary = (rng.integers(0, 4, len(codes)) * rng.integers(0, 2, len(codes)) for _ in range(2))
     keys = (codes * 32 ** np.arange(toxicity.ORDER)[::-1]).sum(axis=1).astype(np.int32)
-    want = toxicity.evidence(keys, toxic.astype(float), ordinary.astype(float)).table()
+    want = memory_model.evidence(keys, toxic.astype(float), ordinary.astype(float)).table()
     grams = ["".join(chr(0x4E00 + c) for c in row) for row in codes]
     table = spark.createDataFrame(list(zip(grams, toxic.tolist(), ordinary.tolist())), "gram string, toxic long, ordinary long")
     got = {r.gram: r.value for r in toxicity.gram_evidence(table).collect()}
@@ -169,7 +171,7 @@ def test_many_moderate_signs_are_found(spark):
 
 
 def test_blocks_of_files_and_of_other_rows_score_alike(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(toxicity, "BLOCK", 40)
+    monkeypatch.setattr(toxicity, "BLOCK", 4000)
     rows, labels = corpus(240)
     docs, labels = documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
     docs.repartition(3).write.parquet(str(tmp_path / "d"))
@@ -177,3 +179,14 @@ def test_blocks_of_files_and_of_other_rows_score_alike(spark, tmp_path, monkeypa
     assert toxicity.in_blocks(read, read["text"]).select("block").distinct().count() > 1
     a, b = ({r.doc_id: r.score for r in toxicity.score_documents(x, labels).collect()} for x in (docs, read))
     assert all(abs(a[d] - b[d]) < 1e-6 for d in a)
+
+
+def test_blocks_hold_as_many_bytes_whatever_the_length_of_the_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 100_000)
+    for name, words in (("short", 30), ("long", 300)):
+        spark.createDataFrame([(i, "word " * words) for i in range(2000)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / name))
+        read = spark.read.parquet(str(tmp_path / name))
+        blocks = toxicity.in_blocks(read, read["text"]).groupBy("block").count().collect()
+        size = 2000 * words * 5
+        assert size // 100_000 // 3 <= len(blocks) <= size // 100_000
+        assert max(r["count"] for r in blocks) * words * 5 <= 8 * 100_000
