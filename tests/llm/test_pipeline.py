@@ -61,6 +61,6 @@ def test_awkward_tables(spark, tmp_path):
 
 
 def test_registered_queries():
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES) == list(range(1, 14))
     assert len(corpus_pipeline.STAGES) == 5 and corpus_pipeline.ORACLE_SQL is None
     assert chat.CONTROL and mixing.WEIGHTS == (5, 2, 1)
