@@ -80,58 +80,63 @@ def with_base_arrays(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
     return pairs.select(*PAIR, *[c.alias(k) for k, c in cols.items()])
 
 
-def _family_rows(fams: list[str]) -> Column:
-    """One struct per (family, side): the family's item list (tokens, tags or
-    characters) and its n."""
+#: Kind of a family -> its item list, from the base columns.
+LISTS = {"word": "tok", "stem": "stok", "char": "chars", "cstem": "schars", "pos": "pos", "ner": "ner", "event": "event"}
+
+
+def _item_lists(fams: list[str], sizes: list[int]) -> Column:
+    """One struct per (kind, side): its items and the family of each gram size, null for a size that is not asked for."""
     rows = []
-    for fam in fams:
-        kind, n = fam[:-1], int(fam[-1])
-        for side in (1, 2):
-            if kind in ("char", "cstem"):
-                lst, size = F.col(f"chars_{side}" if kind == "char" else f"schars_{side}"), CHAR_SIZES[str(n)]
-            else:
-                base = {"word": "tok", "stem": "stok", "pos": "pos", "ner": "ner", "event": "event"}[kind]
-                lst, size = F.col(f"{base}_{side}"), n
-            rows.append(F.struct(F.lit(fam).alias("family"), F.lit(side).alias("side"),
-                                 F.lit(kind in ("char", "cstem")).alias("is_char"),
-                                 lst.alias("lst"), F.lit(size).alias("n")))
+    for kind in dict.fromkeys(f[:-1] for f in fams):
+        named = [(F.lit(f"{kind}{n}") if f"{kind}{n}" in fams else F.lit(None).cast("string")).alias(f"family{n}") for n in sizes]
+        rows += [F.struct(F.lit(side).alias("side"), F.lit(kind in ("char", "cstem")).alias("is_char"),
+                          F.col(f"{LISTS[kind]}_{side}").alias("lst"), *named) for side in (1, 2)]
     return F.array(*rows)
 
 
+def _under(items: list[Column]) -> Column:
+    """Items joined by ``_``."""
+    return F.concat(items[0], *[c for item in items[1:] for c in (F.lit("_"), item)])
+
+
 def gram_table(pairs: DataFrame, families: Iterable[str] = ALL_FAMILIES,
                text_cols=("sent_1", "sent_2"), tag_cols=("tags_1", "tags_2"), keep_empty: bool = False) -> DataFrame:
     """Pair key, ``family, side, pos, gram``: one row per gram occurrence (pos 1-based).
 
     ``keep_empty`` adds one row without a gram for a family and side that has none.
 
-    Windows come from native ``arrays_zip`` of shifted ``slice``s of the item
-    list, so each exploded row carries only its own n items (not the whole
-    text), and no lambda runs per item except a two/three-field concat.
-    Character grams concatenate characters; word grams join with ``_`` and keep
-    the reference fallback: a list shorter than n yields its (n-1)-grams, down
-    to unigrams, i.e. the window is least(n, max(size, 1)).
+    An item list is exploded once for all its families: each row carries an item with
+    the next ones (not the whole text), and a second generator gives the grams that
+    begin there, without a lambda. Character grams concatenate characters; word grams
+    join with ``_`` and keep the reference fallback: a list shorter than n yields its
+    (n-1)-grams, down to unigrams, i.e. the window is least(n, max(size, 1)).
     """
     fams = list(families)
+    sizes = sorted({int(f[-1]) for f in fams})
     base = with_base_arrays(pairs, fams, text_cols, tag_cols)
-    rows = base.select(*PAIR, F.inline(_family_rows(fams)))
-    size = F.size("lst")
-    n_eff = F.when(F.col("is_char"), F.col("n")).otherwise(F.least(F.col("n"), F.greatest(size, F.lit(1))))
-    m = F.greatest(size - n_eff + 1, F.lit(0))
-    s1, s2, s3 = (F.slice("lst", k, m) for k in (1, 2, 3))
-    char = F.col("is_char")
-    two = F.arrays_zip(s1, s2).cast("array<struct<a:string,b:string>>")
-    three = F.arrays_zip(s1, s2, s3).cast("array<struct<a:string,b:string,c:string>>")
-    grams = (F.when(n_eff == 1, s1)
-             .when(n_eff == 2, F.transform(two, lambda z: F.when(char, F.concat(z["a"], z["b"]))
-                                           .otherwise(F.concat(z["a"], F.lit("_"), z["b"]))))
-             .otherwise(F.transform(three, lambda z: F.when(char, F.concat(z["a"], z["b"], z["c"]))
-                                    .otherwise(F.concat(z["a"], F.lit("_"), z["b"], F.lit("_"), z["c"])))))
-    # posexplode_outer + a null filter: a plain explode makes the optimizer infer
-    # size(array) > 0 and push it below the projection.
-    out = rows.select(*PAIR, "family", "side", F.posexplode_outer(grams).alias("p0", "gram"))
-    if not keep_empty:
-        out = out.filter(F.col("p0").isNotNull())
-    return out.select(*PAIR, "family", "side", (F.col("p0") + 1).alias("pos"), "gram")
+    rows = base.select(*PAIR, F.inline(_item_lists(fams, sizes)))
+    size = F.coalesce(F.size("lst"), F.lit(0))
+    fields = "abc"[:sizes[-1]]
+    ahead = F.arrays_zip(*[F.slice("lst", k, F.greatest(size, F.lit(0))) for k in range(1, len(fields) + 1)])
+    ahead = ahead.cast("array<struct<" + ",".join(f"{c}:string" for c in fields) + ">>")
+    # posexplode_outer: a plain explode makes the optimizer infer size(array) > 0 and push it below the projection
+    items = rows.select(*PAIR, "side", "is_char", *[f"family{n}" for n in sizes], size.alias("size"),
+                        F.posexplode_outer(ahead).alias("p0", "x"))
+    at = F.coalesce("p0", F.lit(0))
+    grams = []
+    for n in sizes:
+        window = F.when(F.col("is_char"), F.lit(n)).otherwise(F.least(F.lit(n), F.greatest("size", F.lit(1))))
+        there = at + window <= F.col("size")
+        first = [F.col(f"x.{c}") for c in fields[:n]]
+        gram = F.when(F.col("is_char"), F.concat(*first))
+        for m in range(1, n):
+            gram = gram.when(window == m, _under(first[:m]))
+        gram = gram.otherwise(_under(first))
+        none = (at == 0) & (F.col("size") < window) if keep_empty else F.lit(False)
+        grams.append(F.struct(F.col(f"family{n}").alias("family"), F.when(there, at + 1).alias("pos"),
+                              F.when(there, gram).alias("gram"), (there | none).alias("kept")))
+    out = items.select(*PAIR, "side", F.inline(F.array(*grams))).filter("kept AND family IS NOT NULL")
+    return out.select(*PAIR, "family", "side", "pos", "gram")
 
 
 def gram_counts(grams: DataFrame) -> DataFrame:
