@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from pairgram.functions import text as tx
 from pairgram.functions.safe import r6
-from pairgram.session import checkpointed
+from pairgram.joins import hot_keys, join_hot
+from pairgram.session import checkpointed, stored
 
 # The published parameters of the similarity measure.
 ALPHA = 0.2
@@ -54,16 +55,18 @@ def hypernym_closure(edges: DataFrame) -> DataFrame:
     only (node, ancestor) pairs not reached before (an anti-join), so each pair
     is produced at its shortest distance and the loop ends when a round finds
     nothing new, cycles or not. Each round writes its new pairs only; the closure
-    is the union of those parts.
+    is the union of those parts. The rows of an ancestor that very many nodes have are
+    divided (``join_hot``).
     """
     edges = checkpointed(edges.select("child", "parent").distinct())
+    up = edges.select(F.col("child").alias("ancestor"), "parent")
     nodes = edges.select(F.col("child").alias("node")).union(edges.select(F.col("parent").alias("node"))).distinct()
     closure = checkpointed(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("dist")))
     frontier, depth = closure, 0
     while True:
         depth += 1
-        step = (frontier.join(edges, frontier.ancestor == edges.child)
-                .select("node", F.col("parent").alias("ancestor")).distinct())
+        hot = hot_keys(frontier, "ancestor") if depth > 1 else None
+        step = join_hot(frontier.select("node", "ancestor"), up, "ancestor", hot).select("node", F.col("parent").alias("ancestor")).distinct()
         new = checkpointed(step.join(closure, ["node", "ancestor"], "left_anti").select(
             "node", "ancestor", F.lit(depth).alias("dist")))
         if new.isEmpty():
@@ -85,12 +88,13 @@ def synset_path(pairs: DataFrame, closure: DataFrame) -> DataFrame:
 
     path = min over shared ancestors of d1 + d2; h = max over shared ancestors
     of max(d1, d2). The second join matches (synset, ancestor) together, so a
-    root shared by everything is not a hot key.
+    root shared by everything is not a hot key; the pairs of a first synset that is
+    in very many of them are divided (``join_hot``).
     """
-    distinct = pairs.select("s1", "s2").distinct()
+    distinct = stored(pairs.select("s1", "s2").distinct(), "synset_pairs")
     c1 = closure.select(F.col("node").alias("s1"), F.col("ancestor").alias("a"), F.col("dist").alias("d1"))
     c2 = closure.select(F.col("node").alias("s2"), F.col("ancestor").alias("a"), F.col("dist").alias("d2"))
-    shared = distinct.join(c1, "s1").join(c2, ["s2", "a"])
+    shared = join_hot(distinct, c1, "s1", hot_keys(distinct, "s1")).join(c2, ["s2", "a"])
     return (shared.groupBy("s1", "s2").agg(
         F.min(F.col("d1") + F.col("d2")).alias("path"),
         F.max(F.greatest("d1", "d2")).alias("h"))

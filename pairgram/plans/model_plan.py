@@ -80,11 +80,11 @@ def features_wide(spark: SparkSession, sf_dir: str, pairs: DataFrame | None = No
 
 def assembled(spark: SparkSession, sf_dir: str):
     """Returns (assembled frame, feature-name table)."""
-    from pairgram.plans.registry import fit_documents, fitted_tfidf
+    from pairgram.plans.registry import fit_documents, tfidf_model
     pairs = labelled_pairs(spark, sf_dir)
     wide = features_wide(spark, sf_dir, pairs)
-    model = fitted_tfidf(spark, sf_dir)
-    weights = model.transform(fit_documents(spark, sf_dir))
+    model = tfidf_model()
+    weights = model.fit_transform(fit_documents(spark, sf_dir))
     vectors, index, size = M.tfidf_blocks(weights, model.vocab)
     out = checkpointed(M.assemble(wide, vectors, size).select(*PAIR, "label", "features", "n_features", "nnz"))
     return out, M.feature_names(index, size, dense_feature_names())
@@ -141,6 +141,12 @@ def q_gbt_regress(spark, sf_dir):
     return model.transform(test).select(*PAIR, "label", "prediction")
 
 
+def q_grid_search(spark, sf_dir):
+    """M7: mean area under the ROC of each point of the grid over three folds of the training pairs."""
+    df, _ = assembled(spark, sf_dir)
+    return M.grid_search(_split(df)[0])
+
+
 def q_split_importance(spark, sf_dir):
     df, names = assembled(spark, sf_dir)
     train, _ = _split(df)

@@ -326,8 +326,12 @@ def fit_documents(spark, sf_dir):
     return p.select(F.inline(sides)).select("doc_id", tx.stemmed_sentence(F.col("s")).alias("text"))
 
 
+def tfidf_model():
+    return TF.TfidfModel(fx.STOP_WORDS, min_df=3)
+
+
 def fitted_tfidf(spark, sf_dir):
-    return TF.TfidfModel(fx.STOP_WORDS, min_df=3).fit(fit_documents(spark, sf_dir))
+    return tfidf_model().fit(fit_documents(spark, sf_dir))
 
 
 @query
@@ -342,7 +346,7 @@ def tfidf_idf(spark, sf_dir):
 
 @query
 def tfidf_weights(spark, sf_dir):
-    w = fitted_tfidf(spark, sf_dir).transform(fit_documents(spark, sf_dir))
+    w = tfidf_model().fit_transform(fit_documents(spark, sf_dir))
     return w.select("doc_id.*", "term", "weight")
 
 
@@ -535,6 +539,7 @@ QUERIES["feature_matrix"] = MP.q_feature_matrix
 QUERIES["feature_map"] = MP.q_feature_map
 QUERIES["gbt_predict"] = MP.q_gbt_predict
 QUERIES["gbt_regress"] = MP.q_gbt_regress
+QUERIES["grid_search"] = MP.q_grid_search
 QUERIES["split_importance"] = MP.q_split_importance
 
 

@@ -65,3 +65,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the session's shared checkpoint folder."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """A table written to the session's shared folder and read back: computed once, unlike a checkpoint, but its partitioning is gone."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from pairgram.joins import hot_keys, join_hot
 from pairgram.operators import encode as ENC
 from pairgram.operators import lexnet as W
 from pairgram.operators import tfidf as TF
@@ -67,3 +68,25 @@ def test_closure_follows_chains_and_cycles_to_their_end(spark):
     got = {(r.node, r.ancestor): r.dist for r in W.hypernym_closure(spark.createDataFrame(chain, "child string, parent string")).collect()}
     assert got[("n0", "n70")] == 70 and got[("x", "y")] == 1 and got[("x", "x")] == 0
     assert len(got) == 71 * 72 // 2 + 4
+
+
+def test_hot_keys_are_divided_without_loss(spark):
+    many = spark.range(4000).selectExpr("id", "if(id % 2 = 0, 'hot', concat('k', id % 700)) AS k")
+    few = spark.createDataFrame([("hot", 1), ("hot", 2), ("k1", 3), ("none", 4)], "k string, v int")
+    want = sorted((r.k, r.id, r.v) for r in many.join(few, "k").collect())
+    hot = hot_keys(many, "k", harmless=100)
+    assert [r.k for r in hot.collect()] == ["hot"]
+    assert hot_keys(many, "k") is None
+    for most in (10, 1):  # by broadcast, by salts
+        assert sorted((r.k, r.id, r.v) for r in join_hot(many, few, "k", hot, most).collect()) == want
+    assert sorted((r.k, r.id, r.v) for r in join_hot(many, few, "k", None).collect()) == want
+
+
+def test_fit_transform_reads_the_documents_as_fit_and_transform_do(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "a c"), (3, None), (4, "the the")], "doc_id long, text string")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    one = TF.TfidfModel(["the"], min_df=1, max_n=2)
+    two = TF.TfidfModel(["the"], min_df=1, max_n=2).fit(docs)
+    assert rows(one.fit_transform(docs)) == rows(two.transform(docs))
+    stop = spark.createDataFrame([("the",)], "word string")
+    assert rows(TF.TfidfModel(stop, min_df=1, max_n=2).fit_transform(docs)) == rows(two.transform(docs))
