@@ -539,7 +539,6 @@ QUERIES["feature_matrix"] = MP.q_feature_matrix
 QUERIES["feature_map"] = MP.q_feature_map
 QUERIES["gbt_predict"] = MP.q_gbt_predict
 QUERIES["gbt_regress"] = MP.q_gbt_regress
-QUERIES["grid_search"] = MP.q_grid_search
 QUERIES["split_importance"] = MP.q_split_importance
 
 
