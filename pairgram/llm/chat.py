@@ -123,13 +123,14 @@ def _joined(turns: DataFrame) -> DataFrame:
     placed = parts.withColumn("_from", F.sum(whole).over(order.rowsBetween(Window.unboundedPreceding, 0)) - whole + F.length("head"))
     placed = placed.withColumn("_nr", F.row_number().over(order))
     got = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct(
-        "_nr", "role", "text", "level", F.concat("head", "body", F.lit(TURN_END)).alias("piece"), "_from",
-        F.length("body").alias("_len")))).alias("t"))
+        "_nr", "role", "text", F.concat("head", "body", F.lit(TURN_END)).alias("piece"), "_from",
+        F.length("head").alias("_at"), F.length("body").alias("_len")))).alias("t"))
     return got.select(
         "conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("source"),
         F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"),
         F.transform(F.filter("t", lambda x: x["role"].isin(*LOSS)),
-                    lambda x: F.struct(x["_from"].alias("start"), (x["_from"] + x["_len"]).alias("end"))).alias("loss_mask"))
+                    lambda x: F.struct(x["_from"].alias("start"), (x["_from"] + x["_len"]).alias("end"),
+                                       (x["_nr"] - 1).alias("turn"), x["_at"].alias("at"))).alias("loss_mask"))
 
 
 def _checked(joined: DataFrame) -> DataFrame:
@@ -140,7 +141,8 @@ def _checked(joined: DataFrame) -> DataFrame:
 def format_conversations(conversations: DataFrame) -> DataFrame:
     """``conv_id, formatted, loss_mask, roundtrip_ok``, one row per conversation.
 
-    loss_mask: code point ranges [start, end) of the bodies of LOSS roles, in order.
+    loss_mask: code point ranges [start, end) of the bodies of LOSS roles, in order, each
+    with its turn (from 0) and the place ``at`` in that turn where it starts.
     """
     return _checked(_joined(turn_rows(conversations))).drop("source")
 
@@ -148,15 +150,11 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what a trainer reads from ``formatted`` and ``loss_mask`` alone."""
     rows = settled(formatted, pieces=pieces(F.col("formatted")))
-    rows = settled(rows, turns=F.transform("pieces", parse_turn),
-                   starts=F.expr(f"""aggregate(transform(pieces, x -> length(x)), named_struct('at', 0L, 'out', cast(array() as array<bigint>)),
-                       (s, n) -> named_struct('at', s.at + n + {len(TURN_END)}, 'out', concat(s.out, array(s.at))), s -> s.out)"""))
-    masked = F.filter(F.arrays_zip("pieces", "turns", "starts"), lambda x: x["turns"]["role"].isin(*LOSS))
-    rows = settled(rows, masked=masked)
+    rows = settled(rows, turns=F.transform("pieces", parse_turn))
     # a range is cut out of its turn, so that each turn is scanned once
-    rows = settled(rows, under=F.zip_with("masked", "loss_mask", lambda b, m: F.struct(
-        F.substring(b["pieces"], (m["start"] - b["starts"] + 1).cast("int"), (m["end"] - m["start"]).cast("int")).alias("shown"),
-        b["turns"]["level"].alias("level"))))
+    rows = settled(rows, under=F.transform("loss_mask", lambda m: F.struct(
+        F.substring(F.get("pieces", m["turn"]), m["at"] + 1, (m["end"] - m["start"]).cast("int")).alias("shown"),
+        F.get("turns", m["turn"])["level"].alias("level"))))
     loss = F.array_join(F.transform("under", lambda u: F.when(u["level"] == "1", unescape(u["shown"])).otherwise(u["shown"])), "")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     rows = settled(rows, loss=loss, said=said)

@@ -29,6 +29,9 @@ def test_round_trip_of_hostile_texts(spark):
         for t in range(random.randint(1, 5)):
             rows.append((c, t, random.choice(["user", "assistant", "system", "assistant", text(4), None]), random.choice([text(8), text(3), "plain", None])))
     formatted = chat.format_conversations(table(spark, rows))
+    for r in formatted.collect():
+        turns = r.formatted.split("</s>")
+        assert [r.formatted[m.start:m.end] for m in r.loss_mask] == [turns[m.turn][m.at:] for m in r.loss_mask]
     got = {r.conv_id: r for r in chat.read_back(formatted).collect()}
     want = brute(rows)
     assert set(got) == set(want)
@@ -54,6 +57,6 @@ def test_ties_nulls_repeats_and_empty(spark):
 
 
 def test_long_conversation(spark):
-    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} </s>" * (t % 3)) for t in range(1200)]
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", f"turn {t} </s>" * (t % 3)) for t in range(30_000)]
     r = chat.read_back(chat.format_conversations(table(spark, rows))).first()
     assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == brute(rows)[1] and r.roundtrip_ok
