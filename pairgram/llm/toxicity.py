@@ -18,7 +18,8 @@ text's length, and beside it the same sum with each symbol's difference less MAR
 towards zero. The first counts every sign, the second the few that say much and
 that many small ones would drown; the fitted curve weighs the two, neither below 0.
 
-Counting: a task sums up the grams of a run of rows of one block; a groupBy adds them.
+Counting: a task sums up the grams of a run of rows of one block and writes them; a groupBy adds them
+with partial sums, so that a common gram is one row a task.
 Counts, continuation counts, backoff and evidence are written tables of one row per
 gram that grow with the corpus, made by groupBy on contexts and joins. For scoring, the
 grams of each block are joined to the evidence and written by block; a task reads the
@@ -68,7 +69,9 @@ LABELLED = 200_000
 THRESHOLD = 0.3
 PIECE = 1 << 20
 #: Grams that a counting task holds before it sums them up.
-HOLD = 1 << 22
+HOLD = 1 << 21
+#: Grams of a block up to which they are looked up by table; more are searched in order, in a fifth of the memory.
+TABLED = 1 << 22
 #: Bytes of text of a block, about: its distinct grams are joined to the evidence once, and held by the task that scores it.
 BLOCK = 40 << 20
 SPACE = 32
@@ -135,10 +138,14 @@ def gram_strings(codes: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(len(codes), pa.py_buffer(offsets), pa.py_buffer(data))
 
 
-def string_keys(strings: list[str]) -> np.ndarray:
-    """Keys of grams given as strings."""
-    codes = np.frombuffer("".join(strings).encode("utf-32-le"), dtype=np.uint32)
-    return keys_of(codes)[::ORDER] if len(codes) else np.zeros(0, np.int64)
+def string_keys(strings: pa.StringArray) -> np.ndarray:
+    """Keys of grams given as strings without nulls; their characters are read at once, no string is made of each."""
+    if not len(strings):
+        return np.zeros(0, np.int64)
+    _, offsets, data = strings.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[strings.offset:strings.offset + len(strings) + 1]
+    codes = data[int(ends[0]):int(ends[-1])].to_pybytes().decode().encode("utf-32-le")
+    return keys_of(np.frombuffer(codes, dtype=np.uint32))[::ORDER]
 
 
 class _Sums:
@@ -285,7 +292,7 @@ class Lookup:
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         keys, first = np.unique(keys, return_index=True)
         values, self.levels = values[first], []
-        for shift in (0, 12, 24, 36):
+        for shift in (0, 12, 24, 36) if len(keys) <= TABLED else ():
             size = 1 << max(8, (4 * len(keys)).bit_length() - 1)
             at = (keys >> shift) & (size - 1)
             own, out = np.zeros(size, dtype=np.int64), np.zeros(size, dtype=np.float32)
@@ -307,7 +314,7 @@ class Lookup:
         if len(self.keys) and len(keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             out.append(self.values[at][self.keys[at] == keys])
-        return np.concatenate(out)
+        return np.concatenate(out) if out else np.zeros(0, dtype=np.float32)
 
 
 @dataclass
@@ -327,11 +334,13 @@ def block_evidence(uri: str, block: int) -> Lookup:
     from pyarrow import fs
 
     store, path = fs.FileSystem.from_uri(f"{uri}/block={block}")
-    if store.get_file_info(path).type == fs.FileType.NotFound:
-        return Lookup(np.zeros(0, np.int64), np.zeros(0, np.float32))
-    found = [pq.ParquetFile(store.open_input_file(f.path)).read() for f in store.get_file_info(fs.FileSelector(path)) if f.path.endswith(".parquet")]
-    table = pa.concat_tables(found)
-    return Lookup(string_keys(table["gram"].to_pylist()), table["value"].to_numpy())
+    keys, values = [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
+    for f in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            for batch in pq.ParquetFile(store.open_input_file(f.path)).iter_batches(1 << 18):
+                keys.append(string_keys(batch["gram"]))
+                values.append(batch["value"].to_numpy())
+    return Lookup(np.concatenate(keys), np.concatenate(values))
 
 
 def raw_evidence(rows: DataFrame, uri: str) -> DataFrame:
@@ -402,14 +411,15 @@ def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
     own = saved(sample_labels(labels.select("doc_id", "toxic"), most), "sample")
     small = F.broadcast(own.filter(F.col("part") != CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     found = rows.select("doc_id", "text", "block").join(small, F.col("doc_id") == F.col("_d"), "left")
-    parts = block_grams(found).repartition("gram").groupBy("gram")
-    counts = saved(parts.agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.collect_set("block").alias("blocks")), "counts")
+    parts = saved(block_grams(found), "block_grams")
+    counts = saved(_added(parts), "counts")
     seen = counts.agg(F.sum("toxic"), F.sum("ordinary")).first()
     if not seen[0] or not seen[1]:
         return Curve(constant=float(own.agg(F.avg("label")).first()[0] or 0.0))
     path = shared_dir(rows.sparkSession, "by_block")
-    values = counts.select("gram", "blocks").join(gram_evidence(counts.drop("blocks")), "gram")
-    values.select("gram", "value", F.explode("blocks").alias("block")).repartition("block").write.partitionBy("block").parquet(path)
+    # a gram is in a block once or, where tasks share the block, a few times: no key is hot
+    values = parts.select("gram", "block").join(saved(gram_evidence(counts), "evidence"), "gram")
+    values.select("gram", "value", "block").repartition("block").write.partitionBy("block").parquet(path)
     curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)

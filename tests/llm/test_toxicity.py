@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pairgram.llm import toxicity
 
@@ -190,3 +191,40 @@ def test_blocks_hold_as_many_bytes_whatever_the_length_of_the_texts(spark, tmp_p
         size = 2000 * words * 5
         assert size // 100_000 // 3 <= len(blocks) <= size // 100_000
         assert max(r["count"] for r in blocks) * words * 5 <= 8 * 100_000
+
+
+def test_lookups_by_table_and_in_order_find_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    keys = np.repeat(rng.integers(-(1 << 62), 1 << 62, 5000) * 4096, 2)  # alike in their low bits, and each twice
+    values = (keys % 97 + 1).astype(np.float32)
+    asked = np.concatenate((keys[::3], rng.integers(-(1 << 62), 1 << 62, 3000), keys[:10]))
+    want = sorted(float(k % 97 + 1) for k in asked if k in set(keys.tolist()))
+    for most in (toxicity.TABLED, 10):
+        monkeypatch.setattr(toxicity, "TABLED", most)
+        assert sorted(toxicity.Lookup(keys, values).found(asked).tolist()) == want
+        none = toxicity.Lookup(keys[:0], values[:0])
+        assert not len(none.found(asked)) and not len(none.found(asked[:0]))
+
+
+def test_keys_of_strings_are_those_of_their_texts():
+    text = " aé漢 \U0001f600bc\u0301 "
+    strings = pa.array([text[i:i + toxicity.ORDER] for i in range(len(text) - toxicity.ORDER + 1)])
+    want = toxicity.keys_of(np.array([ord(c) for c in text], dtype=np.uint32))
+    assert np.array_equal(toxicity.string_keys(strings), want)
+    assert np.array_equal(toxicity.string_keys(strings.slice(2, 3)), want[2:5])
+    assert not len(toxicity.string_keys(strings.slice(1, 0)))
+
+
+def test_sums_do_not_depend_on_how_often_they_are_added_up(monkeypatch):
+    texts, found = [r[1] for r in corpus(40)[0]], []
+    for hold in (1 << 21, 300, 1):
+        monkeypatch.setattr(toxicity, "HOLD", hold)
+        sums = toxicity._Sums()
+        for text in texts:
+            for run in toxicity.runs(text):
+                sums.add(toxicity.keys_of(run), run)
+        sums.flush()
+        found.append(dict(zip(toxicity.gram_strings(sums.codes).to_pylist(), sums.sums.tolist())))
+    assert found[0] == found[1] == found[2]
+    padded = [f" {' '.join(t.lower().split())} " for t in texts]
+    assert sum(found[0].values()) == sum(len(t) - toxicity.ORDER + 1 for t in padded)
