@@ -417,9 +417,9 @@ def fit(rows: DataFrame, labels: DataFrame, most: int = LABELLED) -> Curve:
     if not seen[0] or not seen[1]:
         return Curve(constant=float(own.agg(F.avg("label")).first()[0] or 0.0))
     path = shared_dir(rows.sparkSession, "by_block")
-    # a gram is in a block once or, where tasks share the block, a few times: no key is hot
-    values = parts.select("gram", "block").join(saved(gram_evidence(counts), "evidence"), "gram")
-    values.select("gram", "value", "block").repartition("block").write.partitionBy("block").parquet(path)
+    # tasks that share a block each have its grams: one row of them stays, in the partition of the block
+    values = parts.select("gram", "block").join(saved(gram_evidence(counts), "evidence"), "gram").repartition("block")
+    values.groupBy("block", "gram").agg(F.first("value").alias("value")).write.partitionBy("block").parquet(path)
     curve = Curve(path if re.match(r"\w+:", path) else f"file://{path}")
     check = F.broadcast(own.filter(F.col("part") == CALIBRATE).select(F.col("doc_id").alias("_d"), "label"))
     z = raw_evidence(rows.select("doc_id", "text", "block").join(check, F.col("doc_id") == F.col("_d")), curve.uri)
