@@ -24,6 +24,25 @@ def test_codes_of_many_columns(spark):
     assert (r.a_code, r.d_code) == (len(code[0]), len(code[2])) and r.b_code == code[1]["v0"]
 
 
+def test_codes_of_long_values_without_keeping_them(spark, monkeypatch):
+    """Values that share their beginning are ordered by all of it, and neither table of the encoder has other whole values."""
+    draw = random.Random(2)
+    texts = ["x" * n for n in (0, 1, ENC.HEAD - 1, ENC.HEAD, ENC.HEAD + 1, 500)] + ["x" * ENC.HEAD + t for t in ("é", "a", "ab", "ÿ")]
+    texts += ["".join(draw.choices("abc", k=2000)) for _ in range(30)]
+    df = spark.createDataFrame([(i, draw.choice(texts), t) for i, t in enumerate(texts * 2)], "id long, a string, b string")
+    for most in (ENC.SHARED_ROWS, 0):  # by broadcast, by shuffling
+        monkeypatch.setattr(ENC, "SHARED_ROWS", most)
+        kept = []
+        for name in ("stored", "checkpointed"):
+            monkeypatch.setattr(ENC, name, lambda d, *rest, f=getattr(ENC, name): (kept.append(f(d, *rest)), kept[-1])[1])
+        enc = ENC.FrameEncoder(["a", "b"]).fit(df)
+        got = {r.id: (r.a_code, r.b_code) for r in enc.transform(df, ["id"]).collect()}
+        code = [{v: i for i, v in enumerate(sorted({r[k] for r in df.collect()}, key=lambda v: v.encode()))} for k in (1, 2)]
+        assert got == {r.id: (code[0][r.a], code[1][r.b]) for r in df.collect()}
+        assert all(len(c) < 1500 for d in kept for r in d.collect() for c in r if isinstance(c, (str, bytes, bytearray)))
+        monkeypatch.undo()
+
+
 def test_stop_table_of_thousands_of_words(spark, tmp_path):
     (tmp_path / "stop.txt").write_text("\n".join([" The ", "", "the", *(f"s{i}" for i in range(5000))]))
     stop = tsv.read_stop_words(spark, str(tmp_path / "stop.txt"))
