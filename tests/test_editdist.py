@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pairgram.functions import editdist
 from pairgram.functions.editdist import nlevenshtein, nlevenshtein_many
 
 
@@ -65,3 +66,16 @@ def test_operator_on_fixture_matches_brute_force(spark):
             if f == "char1" and len(a) * len(b) > 40000:
                 continue  # keep the pure-Python reference quick
             assert abs(got[(r.conv_id, r.turn, f)] - round(brute(a, b), 6)) < 1e-9
+
+
+def test_stacks_do_not_pad_to_the_longest(monkeypatch):
+    """The cells that are swept stay near those asked for, whatever lengths share a batch; nulls, ties and long lists included."""
+    draw = random.Random(5)
+    swept = []
+    plain = editdist._sweep
+    monkeypatch.setattr(editdist, "_sweep", lambda g: (swept.append(len(g) * max(len(a) for a, _ in g) * max(len(b) for _, b in g)), plain(g))[1])
+    pairs = [(draw.choices("abcd", k=draw.choice((3, 40, 400))), draw.choices("abcd", k=draw.choice((5, 60, 900)))) for _ in range(300)]
+    got = nlevenshtein_many(*map(list, zip(*pairs)))
+    assert sum(swept) <= 2 * sum(len(a) * len(b) for a, b in pairs)
+    assert all(abs(g - brute(a, b)) < 1e-12 for g, (a, b) in list(zip(got, pairs))[:25])
+    assert list(nlevenshtein_many([None, [], None, ["a", None]], [None, ["x"], ["y"], ["a", None]])) == [0.0, 1.0, 1.0, 0.0]
