@@ -25,7 +25,7 @@ from pairgram.functions.safe import r6, safe_div
 from pairgram.joins import join_unique
 from pairgram.keys import PAIR
 from pairgram.operators import lexnet as W
-from pairgram.session import checkpointed
+from pairgram.session import stored
 from pairgram.sources.fixtures import lower_words
 
 ASK = [*PAIR, "side", "word"]
@@ -45,12 +45,12 @@ def joint_words(pairs: DataFrame) -> DataFrame:
 def sense_rows(lemmas: DataFrame, closure: DataFrame) -> DataFrame:
     """``word, a, d, reach``: each ancestor of a word's senses, and the meeting points of synsets that share a lemma."""
     reach = closure.groupBy(F.col("node").alias("synset")).agg(F.max("dist").alias("reach"))
-    senses = checkpointed(lemmas.select("word", "synset", "rank").join(reach, "synset"))
+    senses = stored(lemmas.select("word", "synset", "rank").join(reach, "synset"), "senses")
     up = senses.join(closure.select(F.col("node").alias("synset"), F.col("ancestor").alias("a"), F.col("dist").alias("d")), "synset")
     own = up.groupBy("word", "a").agg(F.min(F.struct("d", "rank", "synset", "reach")).alias("m")).select("word", "a", "m.d", "m.reach")
     # an edge of two synsets with a shared lemma is expanded from its end with fewer edges only
     edges = W.lemma_overlap(lemmas).filter("s1 != s2")
-    degree = checkpointed(edges.groupBy("s1").agg(F.count(F.lit(1)).alias("n")))
+    degree = stored(edges.groupBy("s1").agg(F.count(F.lit(1)).alias("n")), "degree")
     ends = edges.join(degree, "s1").join(degree.select(F.col("s1").alias("s2"), F.col("n").alias("n2")), "s2")
     ends = ends.filter((F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("s1") < F.col("s2"))))
     low = senses.join(ends.select(F.col("s1").alias("synset"), "s2"), "synset").select("word", F.col("s2").alias("hub"), F.lit(1).alias("d"), "reach")
@@ -69,30 +69,29 @@ def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -
 
     A side without words gives '' and -1; a word similar to none gives the side's first word by spelling and 0.
     """
-    joint = checkpointed(joint)
-    rows = checkpointed(sense_rows(lemmas, closure))
+    rows = stored(sense_rows(lemmas, closure), "sense_rows")
     sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has")) for k in (1, 2)])
-    each = checkpointed(joint.select(*PAIR, "word", F.inline(sides)))
+    each = stored(joint.select(*PAIR, "word", F.inline(sides)), "each")
     # a word's rows as one array: a single row per word to join, however often the word occurs
-    packed = checkpointed(rows.groupBy("word").agg(F.collect_list(F.struct("a", "d", "reach")).alias("rows")))
-    under = checkpointed(join_unique(each, packed, ["word"]).select(*ASK, "has", F.inline("rows")))
+    packed = stored(rows.groupBy("word").agg(F.collect_list(F.struct("a", "d", "reach")).alias("rows")), "packed")
+    under = stored(join_unique(each, packed, ["word"]).select(*ASK, "has", F.inline("rows")), "under")
     asked = under.filter(~F.col("has")).drop("has").withColumnsRenamed({"d": "d1", "reach": "reach1"})
-    members = checkpointed(under.filter("has").select(*PAIR, "side", "a", "d", "reach", F.col("word").alias("v")).withColumn(
-        "rank", F.row_number().over(Window.partitionBy(*PAIR, "side", "a", "d", "reach").orderBy("v"))))
+    members = stored(under.filter("has").select(*PAIR, "side", "a", "d", "reach", F.col("word").alias("v")).withColumn(
+        "rank", F.row_number().over(Window.partitionBy(*PAIR, "side", "a", "d", "reach").orderBy("v"))), "members")
     group = [*PAIR, "side", "a"]
     bound = _bound(F.col("d1"), F.col("d"), F.col("reach1"), F.col("reach")).alias("bound")
 
     def verified(candidates: DataFrame) -> DataFrame:
         """``ask, v, similarity`` of distinct candidates, W9 on the distinct word pairs."""
-        candidates = checkpointed(candidates.select(*ASK, "v").distinct())
+        candidates = stored(candidates.select(*ASK, "v").distinct(), "candidates")
         pairs = candidates.select(F.col("word").alias("word_1"), F.col("v").alias("word_2")).distinct()
-        known = checkpointed(W.word_similarity(pairs, lemmas, closure).select(F.col("word_1").alias("word"), F.col("word_2").alias("v"), "similarity"))
+        known = stored(W.word_similarity(pairs, lemmas, closure).select(F.col("word_1").alias("word"), F.col("word_2").alias("v"), "similarity"), "known")
         return join_unique(candidates, known, ["word", "v"])
 
     def better(best: DataFrame, new: DataFrame) -> DataFrame:
         both = best.unionByName(new.select(*ASK, F.col("v").alias("sim_word"), "similarity"))
         top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("sim_word").alias("v"))).alias("m")
-        return checkpointed(both.groupBy(*ASK).agg(top).select(*ASK, F.col("m.v").alias("sim_word"), (-F.col("m.s")).alias("similarity")))
+        return stored(both.groupBy(*ASK).agg(top).select(*ASK, F.col("m.v").alias("sim_word"), (-F.col("m.s")).alias("similarity")), "best")
 
     first = each.groupBy(*PAIR, "side").agg(F.min(F.when(F.col("has"), F.col("word"))).alias("sim_word"))
     best = each.filter(~F.col("has")).join(first, [*PAIR, "side"]).select(
@@ -105,7 +104,7 @@ def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -
     while True:
         can_win = (F.col("bound") > F.col("similarity")) | ((F.col("bound") == F.col("similarity")) & (F.col("v") < F.col("sim_word")))
         ahead = asked.join(members.filter(F.col("rank") == low).drop("rank"), group).select(*asked.columns, "d", "reach", "v", bound)
-        ahead = checkpointed(ahead.join(best, ASK).filter(can_win).select(*asked.columns, "d", "reach", "similarity", "sim_word", "bound"))
+        ahead = stored(ahead.join(best, ASK).filter(can_win).select(*asked.columns, "d", "reach", "similarity", "sim_word", "bound"), "ahead")
         if ahead.isEmpty():
             return best
         more = members.filter(F.col("rank").between(low, 2 * low - 1)).drop("rank")
@@ -125,12 +124,12 @@ def semantic_vector(joint: DataFrame, similar: DataFrame, ic: DataFrame) -> Data
     1 for a word of the side, PHI for one whose most similar word is above PHI, else 0; value_ic is
     times the information content of the word and of the word that stands for it.
     """
-    rows = checkpointed(_aligned(joint, similar).select(
+    rows = stored(_aligned(joint, similar).select(
         *ASK, F.when(F.col("has"), F.lit(1.0)).when(F.col("similarity") > W.PHI, F.lit(W.PHI)).otherwise(0.0).alias("value"),
-        F.when(F.col("has"), F.col("word")).otherwise(F.col("sim_word")).alias("stands")))
-    ic = checkpointed(ic)
+        F.when(F.col("has"), F.col("word")).otherwise(F.col("sim_word")).alias("stands")), "rows")
+    ic = stored(ic, "ic")
     rows = join_unique(rows, ic, ["word"]).withColumnRenamed("ic", "ic_word")
-    rows = join_unique(checkpointed(rows), ic.withColumnsRenamed({"word": "stands", "ic": "ic_stands"}), ["stands"], "left")
+    rows = join_unique(stored(rows, "vectors"), ic.withColumnsRenamed({"word": "stands", "ic": "ic_stands"}), ["stands"], "left")
     weight = F.col("ic_word") * F.coalesce("ic_stands", F.lit(0.0))  # the empty side's '' stands for nothing, and its value is 0
     return rows.select(*ASK, "value", (F.col("value") * weight).alias("value_ic"))
 
@@ -172,9 +171,9 @@ def sentence_similarity(pairs: DataFrame, lemmas: DataFrame, closure: DataFrame,
 
     The joint words are made and searched once for all of it. Pairs without words have no vectors: 0 and 1, as for zero vectors.
     """
-    joint = checkpointed(joint_words(pairs))
-    similar = checkpointed(most_similar_word(joint, lemmas, closure))
-    words = checkpointed(joint.select("word").distinct())
+    joint = stored(joint_words(pairs), "joint")
+    similar = stored(most_similar_word(joint, lemmas, closure), "similar")
+    words = stored(joint.select("word").distinct(), "words")
     ic = W.information_content(words, freq, total)
     both = semantic_similarity(semantic_vector(joint, similar, ic)).join(word_order_similarity(word_order_vector(joint, similar)), list(PAIR))
     both = pairs.select(*PAIR).join(both, list(PAIR), "left")
