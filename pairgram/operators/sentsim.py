@@ -64,16 +64,74 @@ def _bound(d1: Column, d2: Column, reach1: Column, reach2: Column) -> Column:
     return r6(F.exp(-W.ALPHA * (d1 + d2).cast("double")) * F.tanh(W.BETA * F.greatest(reach1, reach2).cast("double")))
 
 
+def _sides() -> Column:
+    return F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has"), F.col(f"first_{k}").alias("first")) for k in (1, 2)])
+
+
+#: Joint words in a partition of pairs. A joint word makes a row per side and ancestor of its senses.
+PART_WORDS = 50_000
+
+
+def _leads(joint: DataFrame, packed: DataFrame) -> DataFrame:
+    """``conv_id, turn, side, word, first, v, bound`` of every joint word that a side lacks: the first word of the group with the best bound
+    (null if none meets), and the side's first word by spelling.
+
+    A joint word meets its sense rows as one row, which is brought to its pair; groups and bounds are windows over what a partition of
+    pairs holds, so that no row of a word and an ancestor is exchanged or written.
+    """
+    words = joint.select(*PAIR, "word", "at_1", "at_2")
+    n = words.count()
+    met = join_unique(words, packed, ["word"], "left", rows=n).repartition(max(joint.sparkSession.sparkContext.defaultParallelism, -(-n // PART_WORDS)), *PAIR)
+    own = Window.partitionBy(*PAIR)
+    met = met.select("*", *[F.min(F.when(F.col(f"at_{k}").isNotNull(), F.col("word"))).over(own).alias(f"first_{k}") for k in (1, 2)])
+    under = met.select(*PAIR, "word", "rows", F.inline(_sides())).select(*ASK, "has", "first", F.inline_outer("rows"))
+    head = F.min(F.when(F.col("has") & F.col("a").isNotNull(), F.col("word"))).over(Window.partitionBy(*PAIR, "side", "a", "d", "reach"))
+    heads = F.collect_set(F.when(F.col("v").isNotNull(), F.struct("d", "reach", "v"))).over(Window.partitionBy(*PAIR, "side", "a"))
+    asked = under.withColumn("v", head).withColumn("heads", heads).filter(~F.col("has"))
+    lead = F.array_min(F.transform("heads", lambda h: F.struct((-_bound(F.col("d"), h["d"], F.col("reach"), h["reach"])).alias("b"), h["v"].alias("v"))))
+    best = asked.select(*ASK, "first", lead.alias("m")).groupBy(*ASK).agg(F.min("first").alias("first"), F.min("m").alias("m"))
+    return best.select(*ASK, "first", F.col("m.v").alias("v"), (-F.col("m.b")).alias("bound"))
+
+
 def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -> DataFrame:
     """``conv_id, turn, side, word, sim_word, similarity`` of every joint word that a side lacks.
 
     A side without words gives '' and -1; a word similar to none gives the side's first word by spelling and 0.
+    Where W9 of the lead reaches its bound, no other word can win; only the other askers are searched on (``_searched``).
     """
-    rows = stored(sense_rows(lemmas, closure), "sense_rows")
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has")) for k in (1, 2)])
-    each = stored(joint.select(*PAIR, "word", F.inline(sides)), "each")
+    # an ancestor is known by its hash: two of one hash would only loosen a bound, and what a bound proposes is verified
+    rows = sense_rows(lemmas, closure).select("word", F.xxhash64("a").alias("a"), "d", "reach")
     # a word's rows as one array: a single row per word to join, however often the word occurs
     packed = stored(rows.groupBy("word").agg(F.collect_list(F.struct("a", "d", "reach")).alias("rows")), "packed")
+    leads = stored(_leads(joint, packed), "leads")
+    led, none = leads.filter("v IS NOT NULL"), leads.filter("v IS NULL")
+    pairs = stored(led.groupBy("word", "v").agg(F.count(F.lit(1)).alias("_n")), "pairs")
+    known = stored(_known(pairs.select("word", "v"), lemmas, closure), "known")
+    met = join_unique(led, known, ["word", "v"], counts=pairs, rows=led.count())
+    like = F.col("similarity") > 0
+    best = met.select(*ASK, F.when(like, F.col("v")).otherwise(F.col("first")).alias("sim_word"), F.when(like, F.col("similarity")).otherwise(0.0).alias("similarity"),
+                      (F.col("similarity") < F.col("bound")).alias("open"))
+    best = stored(best.unionByName(none.select(
+        *ASK, F.coalesce("first", F.lit("")).alias("sim_word"), F.when(F.col("first").isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)).alias("similarity"),
+        F.lit(False).alias("open"))), "best")
+    contested = best.filter("open").drop("open")
+    if contested.isEmpty():
+        return best.drop("open")
+    return best.filter("NOT open").drop("open").unionByName(_searched(joint, packed, contested, lemmas, closure))
+
+
+def _known(pairs: DataFrame, lemmas: DataFrame, closure: DataFrame) -> DataFrame:
+    """``word, v, similarity``: W9 of distinct pairs ``word, v``."""
+    asked = pairs.select(F.col("word").alias("word_1"), F.col("v").alias("word_2"))
+    return W.word_similarity(asked, lemmas, closure).select(F.col("word_1").alias("word"), F.col("word_2").alias("v"), "similarity")
+
+
+def _searched(joint: DataFrame, packed: DataFrame, best: DataFrame, lemmas: DataFrame, closure: DataFrame) -> DataFrame:
+    """``best`` (one row per asker) improved until no group's bound is above it."""
+    sides = best.select(*PAIR, "side").distinct()
+    has = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has")) for k in (1, 2)])
+    each = joint.select(*PAIR, "word", F.inline(has)).join(sides, [*PAIR, "side"], "left_semi")
+    each = stored(each.filter("has").unionByName(best.select(*PAIR, "word", "side", F.lit(False).alias("has"))), "each")
     under = stored(join_unique(each, packed, ["word"]).select(*ASK, "has", F.inline("rows")), "under")
     asked = under.filter(~F.col("has")).drop("has").withColumnsRenamed({"d": "d1", "reach": "reach1"})
     members = stored(under.filter("has").select(*PAIR, "side", "a", "d", "reach", F.col("word").alias("v")).withColumn(
@@ -84,22 +142,13 @@ def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -
     def verified(candidates: DataFrame) -> DataFrame:
         """``ask, v, similarity`` of distinct candidates, W9 on the distinct word pairs."""
         candidates = stored(candidates.select(*ASK, "v").distinct(), "candidates")
-        pairs = candidates.select(F.col("word").alias("word_1"), F.col("v").alias("word_2")).distinct()
-        known = stored(W.word_similarity(pairs, lemmas, closure).select(F.col("word_1").alias("word"), F.col("word_2").alias("v"), "similarity"), "known")
-        return join_unique(candidates, known, ["word", "v"])
+        return join_unique(candidates, stored(_known(candidates.select("word", "v").distinct(), lemmas, closure), "known"), ["word", "v"])
 
     def better(best: DataFrame, new: DataFrame) -> DataFrame:
         both = best.unionByName(new.select(*ASK, F.col("v").alias("sim_word"), "similarity"))
         top = F.min(F.struct((-F.col("similarity")).alias("s"), F.col("sim_word").alias("v"))).alias("m")
         return stored(both.groupBy(*ASK).agg(top).select(*ASK, F.col("m.v").alias("sim_word"), (-F.col("m.s")).alias("similarity")), "best")
 
-    first = each.groupBy(*PAIR, "side").agg(F.min(F.when(F.col("has"), F.col("word"))).alias("sim_word"))
-    best = each.filter(~F.col("has")).join(first, [*PAIR, "side"]).select(
-        *ASK, F.coalesce("sim_word", F.lit("")).alias("sim_word"),
-        F.when(F.col("sim_word").isNull(), F.lit(-1.0)).otherwise(F.lit(0.0)).alias("similarity"))
-    heads = asked.join(members.filter("rank = 1").drop("rank"), group).select(*ASK, "v", bound)
-    lead = heads.groupBy(*ASK).agg(F.min(F.struct((-F.col("bound")).alias("b"), "v")).alias("m")).select(*ASK, F.col("m.v").alias("v"))
-    best = better(best, verified(lead))
     low = 1
     while True:
         can_win = (F.col("bound") > F.col("similarity")) | ((F.col("bound") == F.col("similarity")) & (F.col("v") < F.col("sim_word")))
@@ -113,9 +162,14 @@ def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -
 
 
 def _aligned(joint: DataFrame, similar: DataFrame) -> DataFrame:
-    """Both sides of every joint word: ``conv_id, turn, side, word, idx, has, sim_word, similarity``."""
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has")) for k in (1, 2)])
-    return joint.select(*PAIR, "word", "idx", F.inline(sides)).join(similar, ASK, "left")
+    """One row per joint word, ``conv_id, turn, word, at_1, at_2, idx, sim_word, similarity``: it lacks one side at most, and has an answer there."""
+    return joint.join(similar.drop("side"), [*PAIR, "word"], "left")
+
+
+def _both_sides(*values: tuple[str, Column, Column]) -> Column:
+    """Rows ``side, <name>...`` of a joint word: of a value's two columns the first holds where the side has the word."""
+    return F.inline(F.array(*[F.struct(F.lit(k).alias("side"), *[F.when(F.col(f"at_{k}").isNotNull(), own).otherwise(other).alias(name) for name, own, other in values])
+                              for k in (1, 2)]))
 
 
 def semantic_vector(joint: DataFrame, similar: DataFrame, ic: DataFrame) -> DataFrame:
@@ -124,23 +178,23 @@ def semantic_vector(joint: DataFrame, similar: DataFrame, ic: DataFrame) -> Data
     1 for a word of the side, PHI for one whose most similar word is above PHI, else 0; value_ic is
     times the information content of the word and of the word that stands for it.
     """
-    rows = stored(_aligned(joint, similar).select(
-        *ASK, F.when(F.col("has"), F.lit(1.0)).when(F.col("similarity") > W.PHI, F.lit(W.PHI)).otherwise(0.0).alias("value"),
-        F.when(F.col("has"), F.col("word")).otherwise(F.col("sim_word")).alias("stands")), "rows")
+    other = F.when(F.col("similarity") > W.PHI, F.lit(W.PHI)).otherwise(0.0)
+    rows = stored(_aligned(joint, similar).select(*PAIR, "word", "at_1", "at_2", other.alias("other"), F.coalesce("sim_word", "word").alias("stands")), "rows")
     ic = stored(ic, "ic")
-    rows = join_unique(rows, ic, ["word"]).withColumnRenamed("ic", "ic_word")
-    rows = join_unique(stored(rows, "vectors"), ic.withColumnsRenamed({"word": "stands", "ic": "ic_stands"}), ["stands"], "left")
-    weight = F.col("ic_word") * F.coalesce("ic_stands", F.lit(0.0))  # the empty side's '' stands for nothing, and its value is 0
-    return rows.select(*ASK, "value", (F.col("value") * weight).alias("value_ic"))
+    n = rows.count()
+    rows = stored(join_unique(rows, ic, ["word"], rows=n).withColumnRenamed("ic", "ic_word"), "vectors")
+    rows = join_unique(rows, ic.withColumnsRenamed({"word": "stands", "ic": "ic_stands"}), ["stands"], "left", rows=n)
+    own, weight = F.lit(1.0), F.col("ic_word") * F.coalesce("ic_stands", F.lit(0.0))  # the empty side's '' stands for nothing, and its value is 0
+    return rows.select(*PAIR, "word", _both_sides(
+        ("value", own, F.col("other")), ("value_ic", F.col("ic_word") * F.coalesce("ic_word", F.lit(0.0)), F.col("other") * weight))).select(*ASK, "value", "value_ic")
 
 
 def word_order_vector(joint: DataFrame, similar: DataFrame) -> DataFrame:
     """``conv_id, turn, side, word, value``: the word's index, or that of its most similar word above ETA, or 0."""
-    rows = _aligned(joint, similar)
     index = joint.select(*PAIR, F.col("word").alias("sim_word"), F.col("idx").alias("sim_idx"))
-    other = F.when(F.col("similarity") > W.ETA, F.col("sim_idx")).otherwise(0)
-    return rows.join(index, [*PAIR, "sim_word"], "left").select(
-        *ASK, F.when(F.col("has"), F.col("idx")).otherwise(F.coalesce(other, F.lit(0))).cast("int").alias("value"))
+    rows = _aligned(joint, similar).join(index, [*PAIR, "sim_word"], "left")
+    other = F.coalesce(F.when(F.col("similarity") > W.ETA, F.col("sim_idx")), F.lit(0))
+    return rows.select(*PAIR, "word", _both_sides(("value", F.col("idx"), other))).select(*ASK, F.col("value").cast("int").alias("value"))
 
 
 def _facing(vectors: DataFrame, *values: str) -> DataFrame:

@@ -147,3 +147,17 @@ def test_no_group_pairs_all_words(spark, monkeypatch):
     joint = SS.joint_words(sentences(spark, [(1, 1, " ".join(words[:200]), " ".join(words[200:]))]))
     assert SS.most_similar_word(joint, *tables(spark, edges, lemmas)).count() == 400
     assert sum(seen) <= 2 * 400
+
+
+def test_no_row_of_a_word_and_an_ancestor_is_written(spark, monkeypatch):
+    """Deep chains above every word: the tables of the pairs have a row per joint word and side at most, however many ancestors there are."""
+    chain = [f"up{i:02d}" for i in range(30)]
+    words = [f"w{i:02d}" for i in range(20)]
+    edges = list(zip(chain, chain[1:])) + [(w, "up00") for w in words]
+    written = []
+    plain = SS.stored
+    monkeypatch.setattr(SS, "stored", lambda df, name: (written.append((name, df.count())) if "conv_id" in df.columns else None, plain(df, name))[1])
+    joint = SS.joint_words(sentences(spark, [(1, 1, " ".join(words[:10]), " ".join(words[10:]))]))
+    found = SS.most_similar_word(joint, *tables(spark, edges, [(w, w, 1) for w in words])).collect()
+    assert len(found) == 20 and {r.sim_word for r in found if r.side == 1} == {"w00"}
+    assert written and max(n for _, n in written) <= 2 * len(words), written
