@@ -70,6 +70,27 @@ def _sides() -> Column:
 
 #: Joint words in a partition of pairs. A joint word makes a row per side and ancestor of its senses.
 PART_WORDS = 50_000
+#: Largest distance and reach that a packed row holds: beyond it exp(-ALPHA d) rounds to 0 and tanh(BETA reach) is 1, so no bound changes.
+FAR = 255
+
+
+def _pair_partitions(joint: DataFrame, rows: int) -> int:
+    return max(joint.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_WORDS))
+
+
+def packed_rows(rows: DataFrame) -> DataFrame:
+    """``word, rows``: the sense rows of a word as one array of numbers, 48 bits of the ancestor's hash, 8 of d and 8 of the reach: a single row
+    per word to join, however often the word occurs, and a fifth of the bytes of structs where it is brought to the pairs."""
+    far = lambda c: F.least(F.col(c), F.lit(FAR)).cast("long")
+    code = F.shiftleft(F.xxhash64("a"), 16).bitwiseOR(F.shiftleft(far("d"), 8)).bitwiseOR(far("reach"))
+    return rows.groupBy("word").agg(F.collect_list(code).alias("rows"))
+
+
+def _unpacked(rows: DataFrame, *names: str) -> DataFrame:
+    """The columns ``names`` and ``a, d, reach`` of rows that have a number ``code``; nulls for a null."""
+    code = F.col("code")
+    low = lambda by: F.shiftright(code, by).bitwiseAND(F.lit(FAR)).cast("int")
+    return rows.select(*names, F.shiftright(code, 16).alias("a"), low(8).alias("d"), low(0).alias("reach"))
 
 
 def _leads(joint: DataFrame, packed: DataFrame) -> DataFrame:
@@ -81,10 +102,11 @@ def _leads(joint: DataFrame, packed: DataFrame) -> DataFrame:
     """
     words = joint.select(*PAIR, "word", "at_1", "at_2")
     n = words.count()
-    met = join_unique(words, packed, ["word"], "left", rows=n).repartition(max(joint.sparkSession.sparkContext.defaultParallelism, -(-n // PART_WORDS)), *PAIR)
+    met = join_unique(words, packed, ["word"], "left", rows=n).repartition(_pair_partitions(joint, n), *PAIR)
     own = Window.partitionBy(*PAIR)
     met = met.select("*", *[F.min(F.when(F.col(f"at_{k}").isNotNull(), F.col("word"))).over(own).alias(f"first_{k}") for k in (1, 2)])
-    under = met.select(*PAIR, "word", "rows", F.inline(_sides())).select(*ASK, "has", "first", F.inline_outer("rows"))
+    under = met.select(*PAIR, "word", "rows", F.inline(_sides())).select(*ASK, "has", "first", F.explode_outer("rows").alias("code"))
+    under = _unpacked(under, *ASK, "has", "first")
     head = F.min(F.when(F.col("has") & F.col("a").isNotNull(), F.col("word"))).over(Window.partitionBy(*PAIR, "side", "a", "d", "reach"))
     heads = F.collect_set(F.when(F.col("v").isNotNull(), F.struct("d", "reach", "v"))).over(Window.partitionBy(*PAIR, "side", "a"))
     asked = under.withColumn("v", head).withColumn("heads", heads).filter(~F.col("has"))
@@ -100,9 +122,7 @@ def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -
     Where W9 of the lead reaches its bound, no other word can win; only the other askers are searched on (``_searched``).
     """
     # an ancestor is known by its hash: two of one hash would only loosen a bound, and what a bound proposes is verified
-    rows = sense_rows(lemmas, closure).select("word", F.xxhash64("a").alias("a"), "d", "reach")
-    # a word's rows as one array: a single row per word to join, however often the word occurs
-    packed = stored(rows.groupBy("word").agg(F.collect_list(F.struct("a", "d", "reach")).alias("rows")), "packed")
+    packed = stored(packed_rows(sense_rows(lemmas, closure)), "packed")
     leads = stored(_leads(joint, packed), "leads")
     led, none = leads.filter("v IS NOT NULL"), leads.filter("v IS NULL")
     pairs = stored(led.groupBy("word", "v").agg(F.count(F.lit(1)).alias("_n")), "pairs")
@@ -132,7 +152,7 @@ def _searched(joint: DataFrame, packed: DataFrame, best: DataFrame, lemmas: Data
     has = F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has")) for k in (1, 2)])
     each = joint.select(*PAIR, "word", F.inline(has)).join(sides, [*PAIR, "side"], "left_semi")
     each = stored(each.filter("has").unionByName(best.select(*PAIR, "word", "side", F.lit(False).alias("has"))), "each")
-    under = stored(join_unique(each, packed, ["word"]).select(*ASK, "has", F.inline("rows")), "under")
+    under = stored(_unpacked(join_unique(each, packed, ["word"]).select(*ASK, "has", F.explode("rows").alias("code")), *ASK, "has"), "under")
     asked = under.filter(~F.col("has")).drop("has").withColumnsRenamed({"d": "d1", "reach": "reach1"})
     members = stored(under.filter("has").select(*PAIR, "side", "a", "d", "reach", F.col("word").alias("v")).withColumn(
         "rank", F.row_number().over(Window.partitionBy(*PAIR, "side", "a", "d", "reach").orderBy("v"))), "members")
@@ -161,9 +181,27 @@ def _searched(joint: DataFrame, packed: DataFrame, best: DataFrame, lemmas: Data
         low *= 2
 
 
-def _aligned(joint: DataFrame, similar: DataFrame) -> DataFrame:
-    """One row per joint word, ``conv_id, turn, word, at_1, at_2, idx, sim_word, similarity``: it lacks one side at most, and has an answer there."""
-    return joint.join(similar.drop("side"), [*PAIR, "word"], "left")
+def _aligned(joint: DataFrame, similar: DataFrame, ic: DataFrame | None = None) -> DataFrame:
+    """One row per joint word, ``conv_id, turn, word, at_1, at_2, idx, sim_word, similarity, sim_idx`` and with ``ic`` (``word, ic`` for every
+    joint word) ``ic, sim_ic``. It lacks one side at most, and has an answer there: a joint word of the same pair, or '' for an empty side.
+
+    Words and answers are brought to their pair together, once; both lookups and all that is grouped by the pair stay in that partition. Each
+    kind goes as one struct, so that plans that need some of its fields only share the exchange.
+    """
+    n = joint.count()
+    looked_up = ["idx"] if ic is None else ["idx", "ic"]
+    words = joint if ic is None else join_unique(joint, stored(ic, "ic"), ["word"], rows=n)
+    own = words.select(*PAIR, "word", F.struct("at_1", "at_2", *looked_up).alias("own"))
+    answers = similar.select(*PAIR, "word", F.struct("sim_word", "similarity").alias("answer"))
+    rows = own.unionByName(answers, allowMissingColumns=True).repartition(_pair_partitions(joint, n), *PAIR)
+    rows = rows.groupBy(*PAIR, "word").agg(F.max("own").alias("own"), F.max("answer").alias("answer"))
+    # a row is known under its word and, if it has an answer, asks under its similar word
+    sim = F.col("answer.sim_word")
+    keys = F.filter(F.array(F.struct(F.col("word").alias("key"), F.lit(False).alias("asks")), F.struct(sim.alias("key"), F.lit(True).alias("asks"))),
+                    lambda k: k["key"].isNotNull())
+    found = [F.max(F.when(~F.col("asks"), F.col(f"own.{c}"))).over(Window.partitionBy(*PAIR, "key")).alias(f"sim_{c}") for c in looked_up]
+    rows = rows.select(*PAIR, "word", "own", "answer", F.inline(keys)).select(*PAIR, "word", "own", "answer", "asks", *found)
+    return rows.filter(F.col("asks") | F.col("answer.sim_word").isNull()).select(*PAIR, "word", "own.*", "answer.*", *[f"sim_{c}" for c in looked_up])
 
 
 def _both_sides(*values: tuple[str, Column, Column]) -> Column:
@@ -172,28 +210,22 @@ def _both_sides(*values: tuple[str, Column, Column]) -> Column:
                               for k in (1, 2)]))
 
 
-def semantic_vector(joint: DataFrame, similar: DataFrame, ic: DataFrame) -> DataFrame:
-    """``conv_id, turn, side, word, value, value_ic``; ic has ``word, ic`` for every joint word.
+def semantic_vector(joint: DataFrame, similar: DataFrame, ic: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
+    """``conv_id, turn, side, word, value, value_ic``; ic has ``word, ic`` for every joint word; ``aligned`` if made of them before.
 
     1 for a word of the side, PHI for one whose most similar word is above PHI, else 0; value_ic is
     times the information content of the word and of the word that stands for it.
     """
+    rows = _aligned(joint, similar, ic) if aligned is None else aligned
     other = F.when(F.col("similarity") > W.PHI, F.lit(W.PHI)).otherwise(0.0)
-    rows = stored(_aligned(joint, similar).select(*PAIR, "word", "at_1", "at_2", other.alias("other"), F.coalesce("sim_word", "word").alias("stands")), "rows")
-    ic = stored(ic, "ic")
-    n = rows.count()
-    rows = stored(join_unique(rows, ic, ["word"], rows=n).withColumnRenamed("ic", "ic_word"), "vectors")
-    rows = join_unique(rows, ic.withColumnsRenamed({"word": "stands", "ic": "ic_stands"}), ["stands"], "left", rows=n)
-    own, weight = F.lit(1.0), F.col("ic_word") * F.coalesce("ic_stands", F.lit(0.0))  # the empty side's '' stands for nothing, and its value is 0
-    return rows.select(*PAIR, "word", _both_sides(
-        ("value", own, F.col("other")), ("value_ic", F.col("ic_word") * F.coalesce("ic_word", F.lit(0.0)), F.col("other") * weight))).select(*ASK, "value", "value_ic")
+    weight = F.col("ic") * F.coalesce("sim_ic", F.lit(0.0))  # the empty side's '' stands for nothing, and its value is 0
+    return rows.select(*PAIR, "word", _both_sides(("value", F.lit(1.0), other), ("value_ic", F.col("ic") * F.col("ic"), other * weight))).select(*ASK, "value", "value_ic")
 
 
-def word_order_vector(joint: DataFrame, similar: DataFrame) -> DataFrame:
+def word_order_vector(joint: DataFrame, similar: DataFrame, aligned: DataFrame | None = None) -> DataFrame:
     """``conv_id, turn, side, word, value``: the word's index, or that of its most similar word above ETA, or 0."""
-    index = joint.select(*PAIR, F.col("word").alias("sim_word"), F.col("idx").alias("sim_idx"))
-    rows = _aligned(joint, similar).join(index, [*PAIR, "sim_word"], "left")
     other = F.coalesce(F.when(F.col("similarity") > W.ETA, F.col("sim_idx")), F.lit(0))
+    rows = _aligned(joint, similar) if aligned is None else aligned
     return rows.select(*PAIR, "word", _both_sides(("value", F.col("idx"), other))).select(*ASK, F.col("value").cast("int").alias("value"))
 
 
@@ -229,7 +261,8 @@ def sentence_similarity(pairs: DataFrame, lemmas: DataFrame, closure: DataFrame,
     similar = stored(most_similar_word(joint, lemmas, closure), "similar")
     words = stored(joint.select("word").distinct(), "words")
     ic = W.information_content(words, freq, total)
-    both = semantic_similarity(semantic_vector(joint, similar, ic)).join(word_order_similarity(word_order_vector(joint, similar)), list(PAIR))
+    rows = _aligned(joint, similar, ic)  # for both vectors, so that they share its exchange
+    both = semantic_similarity(semantic_vector(joint, similar, ic, rows)).join(word_order_similarity(word_order_vector(joint, similar, rows)), list(PAIR))
     both = pairs.select(*PAIR).join(both, list(PAIR), "left")
     semantic, semantic_ic, order = F.coalesce("semantic", F.lit(0.0)), F.coalesce("semantic_ic", F.lit(0.0)), F.coalesce("word_order", F.lit(1.0))
     return both.select(*PAIR, semantic.alias("semantic"), semantic_ic.alias("semantic_ic"), order.alias("word_order"),

@@ -161,3 +161,36 @@ def test_no_row_of_a_word_and_an_ancestor_is_written(spark, monkeypatch):
     found = SS.most_similar_word(joint, *tables(spark, edges, [(w, w, 1) for w in words])).collect()
     assert len(found) == 20 and {r.sim_word for r in found if r.side == 1} == {"w00"}
     assert written and max(n for _, n in written) <= 2 * len(words), written
+
+
+def _exchanges(df):
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    return [line for line in plan.splitlines() if "Exchange hash" in line and "Reused" not in line]
+
+
+def test_words_and_answers_are_brought_to_their_pair_once(spark):
+    """Everything after the search is grouped by the pair: one exchange of joint words and answers, none of vectors or of words facing each other."""
+    joint = SS.stored(spark.createDataFrame([(1, 1, "cat", 0, None, 1), (1, 1, "dog", None, 0, 2), (1, 1, "sat", 1, 1, 3)],
+                                            "conv_id long, turn long, word string, at_1 int, at_2 int, idx int"), "joint")
+    similar = SS.stored(spark.createDataFrame([(1, 1, 2, "cat", "dog", 0.9), (1, 1, 1, "dog", "cat", 0.9)],
+                                              "conv_id long, turn long, side int, word string, sim_word string, similarity double"), "similar")
+    ic = spark.createDataFrame([("cat", 0.5), ("dog", 0.25), ("sat", 1.0)], "word string, ic double")
+    rows = SS._aligned(joint, similar, ic)
+    vectors, order = SS.semantic_vector(joint, similar, ic, rows), SS.word_order_vector(joint, similar, rows)
+    assert {(r.side, r.word): (r.value, r.value_ic) for r in vectors.collect()} == {
+        (1, "cat"): (1.0, 0.25), (2, "cat"): (0.2, 0.025), (1, "dog"): (0.2, 0.025), (2, "dog"): (1.0, 0.0625), (1, "sat"): (1.0, 1.0), (2, "sat"): (1.0, 1.0)}
+    assert {(r.side, r.word): r.value for r in order.collect()} == {
+        (1, "cat"): 1, (2, "cat"): 2, (1, "dog"): 1, (2, "dog"): 2, (1, "sat"): 3, (2, "sat"): 3}
+    a, b = SS.semantic_similarity(vectors), SS.word_order_similarity(order)
+    assert [len(_exchanges(found)) for found in (a, b, a.join(b, ["conv_id", "turn"]))] == [1, 1, 1]
+
+
+def test_far_ancestors_pack_to_the_same_bounds(spark):
+    """Distances and reaches beyond what a packed row holds leave every bound as it is; nulls stay null."""
+    rows = spark.createDataFrame([("w", "a", d, reach) for d, reach in ((0, 0), (3, 7), (255, 255), (256, 300), (5000, 70000))], "word string, a string, d int, reach int")
+    got = SS._unpacked(SS.packed_rows(rows).selectExpr("explode(rows) AS code"))
+    assert {tuple(r) for r in got.select("d", "reach").collect()} == {(0, 0), (3, 7), (255, 255)} and got.select("a").distinct().count() == 1
+    bound = lambda t: sorted(r[0] for r in t.selectExpr("d AS d1", "d AS d2", "reach AS r").select(SS._bound(*[SS.F.col(c) for c in ("d1", "d2", "r", "r")])).collect())
+    assert bound(rows) == bound(got)
+    assert [tuple(r) for r in SS._unpacked(spark.sql("SELECT CAST(NULL AS bigint) AS code")).collect()] == [(None, None, None)]
