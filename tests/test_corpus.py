@@ -90,3 +90,29 @@ def test_fit_transform_reads_the_documents_as_fit_and_transform_do(spark):
     assert rows(one.fit_transform(docs)) == rows(two.transform(docs))
     stop = spark.createDataFrame([("the",)], "word string")
     assert rows(TF.TfidfModel(stop, min_df=1, max_n=2).fit_transform(docs)) == rows(two.transform(docs))
+
+
+def test_terms_that_the_vocabulary_lacks_are_sifted_out(spark):
+    """All terms of the vocabulary pass, and few of the others, before anything is counted or exchanged."""
+    vocab = spark.range(3000).selectExpr("concat('in ', id) AS term")
+    rows = spark.range(60000).selectExpr("id % 7 AS doc_id", "concat(if(id < 3000, 'in ', 'out '), id) AS term")
+    kept = [(r.doc_id, r.term) for r in TF.sifted(rows, vocab).collect()]
+    inside = [k for k in kept if k[1].startswith("in ")]
+    assert len(inside) == len(set(inside)) == 3000 and all(d == int(t[3:]) % 7 for d, t in kept if t.startswith("in "))
+    assert len(kept) - 3000 < 57000 / 8
+    assert TF.sifted(rows, vocab.limit(0)).count() == 0
+    terms = rows.groupBy("doc_id").agg(F.collect_list("term").alias("terms"))
+    assert {(r.doc_id, r.term) for r in TF.tfidf_weights(terms, vocab.withColumn("idf", F.lit(1.0))).collect()} == set(inside)
+
+
+def test_documents_are_weighed_in_partitions_of_bounded_text(spark, monkeypatch):
+    """The text of a partition does not grow with the table, however few the shuffle partitions are."""
+    monkeypatch.setattr(TF, "PART_BYTES", 1000)
+    docs = spark.range(100).selectExpr("id AS doc_id", "repeat('aa bb cc dd ', 50) AS text")
+    assert TF.text_partitions(docs) == 60
+    model = TF.TfidfModel([], min_df=1, max_n=1).fit(docs)
+    seen = []
+    plain = TF.tfidf_weights
+    monkeypatch.setattr(TF, "tfidf_weights", lambda terms, idf: (seen.append(terms.rdd.getNumPartitions()), plain(terms, idf))[1])
+    assert model.transform(docs).count() == TF.TfidfModel([], min_df=1, max_n=1).fit_transform(docs).count() == 400
+    assert seen == [60, 60]
