@@ -91,7 +91,7 @@ def assembled(spark: SparkSession, sf_dir: str):
     model = tfidf_model()
     weights = model.fit_transform(fit_documents(spark, sf_dir))
     vectors, index, size = M.tfidf_blocks(weights, model.vocab)
-    out = checkpointed(M.assemble(wide, vectors, size).select(*PAIR, "label", "features", "n_features", "nnz"))
+    out = M.assemble(wide, vectors, size).select(*PAIR, "label", "features", "n_features", "nnz")
     return out, M.feature_names(index, size, dense_feature_names())
 
 

@@ -84,3 +84,20 @@ def test_vectors_in_stored_form(spark):
     full = spark.range(2).select(M.sparse(3, F.array(F.lit(2)), F.array(F.lit(4.0))).alias("v"), "id")
     assert [r.v for r in M.as_vectors(full, ["v"]).collect()] == [Vectors.sparse(3, [2], [4.0])] * 2
     assert M.as_vectors(spark.range(1).select(M.sparse(3, F.array(), F.array()).alias("v")), ["v"]).first().v == Vectors.sparse(3, [], [])
+
+
+def test_assembled_vectors_name_no_slot_in_the_schema(spark):
+    """The names of the slots are a table; in the column's metadata they would be objects on the driver and a part of each file."""
+    wide = spark.createDataFrame([(1, 1, 1, 2.0, 0.0), (1, 2, 0, None, float("nan")), (1, 2, 0, -1.0, 3.0)], "conv_id long, turn long, label int, a double, b double")
+    size = 50_000
+    docs = spark.createDataFrame([(((1, 1), 1), [0, 7], [0.5, 0.0]), (((1, 1), 2), [size - 1], [0.25]), (((1, 2), 2), [3], [1.0])],
+                                 "d struct<p:struct<conv_id:long,turn:long>,side:int>, i array<int>, v array<double>")
+    docs = docs.select(F.struct("d.p.conv_id", "d.p.turn", "d.side").alias("doc_id"), M.sparse(size, F.col("i"), F.col("v")).alias("tfidf"))
+    df = M.assemble(wide, docs, size)
+    assert len(df.schema.json()) < 5_000
+    got = sorted((r.conv_id, r.turn, r.label, r.n_features, r.nnz, r.features.size, sorted(zip(r.features.indices.tolist(), r.features.values.tolist()))) for r in df.collect())
+    n = 2 * size + 2
+    assert got == [(1, 1, 1, n, 3, n, [(0, 0.5), (2 * size - 1, 0.25), (2 * size, 2.0)]), (1, 2, 0, n, 1, n, [(size + 3, 1.0)]),
+                   (1, 2, 0, n, 3, n, [(size + 3, 1.0), (2 * size, -1.0), (2 * size + 1, 3.0)])]
+    alone = M.assemble(wide, None, 0).filter("turn = 1").first()
+    assert (alone.n_features, alone.nnz, alone.features.toArray().tolist()) == (2, 1, [2.0, 0.0])
