@@ -18,8 +18,14 @@ until none is left. In a tree the bound is met by the first word. Ties go to the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from pairgram.functions.safe import r6, safe_div
 from pairgram.joins import join_unique
@@ -64,10 +70,6 @@ def _bound(d1: Column, d2: Column, reach1: Column, reach2: Column) -> Column:
     return r6(F.exp(-W.ALPHA * (d1 + d2).cast("double")) * F.tanh(W.BETA * F.greatest(reach1, reach2).cast("double")))
 
 
-def _sides() -> Column:
-    return F.array(*[F.struct(F.lit(k).alias("side"), F.col(f"at_{k}").isNotNull().alias("has"), F.col(f"first_{k}").alias("first")) for k in (1, 2)])
-
-
 #: Joint words in a partition of pairs. A joint word makes a row per side and ancestor of its senses.
 PART_WORDS = 50_000
 #: Largest distance and reach that a packed row holds: beyond it exp(-ALPHA d) rounds to 0 and tanh(BETA reach) is 1, so no bound changes.
@@ -93,26 +95,120 @@ def _unpacked(rows: DataFrame, *names: str) -> DataFrame:
     return rows.select(*names, F.shiftright(code, 16).alias("a"), low(8).alias("d"), low(0).alias("reach"))
 
 
+#: Bounds of a group for an asking group that are looked at once.
+BOUNDS = 1 << 20
+
+
+def _bounds(spark) -> np.ndarray:
+    """Spark's own ``_bound`` by d1 + d2 and the larger reach."""
+    at = [(F.col("id") / (FAR + 1)).cast("int"), (F.col("id") % (FAR + 1)).cast("int")]
+    zero = F.lit(0)
+    table = spark.range((2 * FAR + 1) * (FAR + 1)).select("id", _bound(at[0], zero, at[1], zero).alias("b")).toArrow()
+    out = np.empty(table.num_rows)
+    out[table["id"].to_numpy()] = table["b"].to_numpy()
+    return out.reshape(2 * FAR + 1, FAR + 1)
+
+
+def _spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``start, start + 1, ...`` of each start, ``count`` numbers each."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _best_groups(bounds: np.ndarray, code: np.ndarray, group: np.ndarray, head: np.ndarray, asks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best bound and its word (least of equal ones) of each group that asks, among the groups under its ancestor that have a head.
+
+    A group is one (pair, ancestor, d, reach); ``group`` numbers its pair and ancestor, ascending; ``head`` is -1 without a word. Others get -1.
+    """
+    best, word = np.full(len(code), -1.0), np.full(len(code), -1, np.int64)
+    heads, askers = np.flatnonzero(head >= 0), np.flatnonzero(asks)
+    low, high = (np.searchsorted(group[heads], group[askers], side) for side in ("left", "right"))
+    some = high > low
+    askers, low, n = askers[some], low[some], (high - low)[some]
+    d, reach = (code >> 8) & FAR, code & FAR
+    ends = np.searchsorted(np.cumsum(n), np.arange(BOUNDS, n.sum() + BOUNDS, BOUNDS), "right") if len(n) else []
+    for lo, hi in zip([0, *ends], [*ends, len(n)]):
+        if lo == hi:
+            continue
+        m = n[lo:hi]
+        other, own = heads[_spans(low[lo:hi], m)], np.repeat(askers[lo:hi], m)
+        b = bounds[d[own] + d[other], np.maximum(reach[own], reach[other])]
+        first = np.cumsum(m) - m
+        top = np.maximum.reduceat(b, first)
+        best[askers[lo:hi]] = top
+        word[askers[lo:hi]] = np.minimum.reduceat(np.where(b == np.repeat(top, m), head[other], np.iinfo(np.int64).max), first)
+    return best, word
+
+
+def _lead_rows(bounds: np.ndarray, schema: pa.Schema):
+    """Makes a partition of ``conv_id, turn, word, has_1, has_2, rows``, whole pairs, the rows of ``_leads``."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches).combine_chunks()
+        conv, turn = (table[c].to_numpy() for c in PAIR)
+        at = np.lexsort((turn, conv))
+        table = table.take(pa.array(at))
+        conv, turn = conv[at], turn[at]
+        pair = np.cumsum(np.r_[0, (conv[1:] != conv[:-1]) | (turn[1:] != turn[:-1])])
+        # words as their rank by spelling (by bytes, as Spark compares them)
+        words = pc.dictionary_encode(table["word"].combine_chunks())
+        spelling = pc.sort_indices(words.dictionary).to_numpy()
+        rank = np.argsort(spelling)[words.indices.to_numpy()].astype(np.int64)
+        by_rank = words.dictionary.take(pa.array(spelling))
+        lists = table["rows"].combine_chunks()
+        n_rows = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = pc.list_flatten(lists).to_numpy()
+        word = np.repeat(np.arange(len(rank)), n_rows)
+        order = np.lexsort((codes, pair[word]))
+        code, of, place = codes[order], word[order], pair[word][order]
+        new = np.r_[True, (place[1:] != place[:-1]) | (code[1:] != code[:-1])][:len(code)]
+        start, mine = np.flatnonzero(new), np.cumsum(new) - 1
+        under = place[start], code[start] >> 16
+        group = np.cumsum(np.r_[0, (under[0][1:] != under[0][:-1]) | (under[1][1:] != under[1][:-1])])[:len(start)]
+        pairs = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        filled = np.flatnonzero(n_rows)
+        none = np.iinfo(np.int64).max
+        for side in (1, 2):
+            has = table[f"has_{side}"].combine_chunks().to_numpy(zero_copy_only=False)
+            first = np.minimum.reduceat(np.where(has, rank, none), pairs)[pair]
+            bound, v = np.full(len(rank), -1.0), np.full(len(rank), -1, np.int64)
+            if len(code):
+                head = np.minimum.reduceat(np.where(has[of], rank[of], none), start)
+                best, best_word = _best_groups(bounds, code[start], group, np.where(head == none, -1, head), np.logical_or.reduceat(~has[of], start))
+                # back to the words' own order, in which a word's rows are together
+                each, each_word = np.empty(len(code)), np.empty(len(code), np.int64)
+                each[order], each_word[order] = best[mine], best_word[mine]
+                begin = (np.cumsum(n_rows) - n_rows)[filled]
+                top = np.maximum.reduceat(each, begin)
+                bound[filled] = top
+                v[filled] = np.minimum.reduceat(np.where(each == np.repeat(top, n_rows[filled]), each_word, none), begin)
+            asks = np.flatnonzero(~has)
+            first, v, bound = first[asks], v[asks], bound[asks]
+            spelled = lambda r, missing: by_rank.take(pa.array(np.where(missing, 0, r), mask=missing))
+            yield pa.RecordBatch.from_arrays([*[table[c].combine_chunks().take(pa.array(asks)).cast(schema.field(c).type) for c in PAIR],
+                                              pa.array(np.full(len(asks), side, np.int32)), table["word"].combine_chunks().take(pa.array(asks)),
+                                              spelled(first, first == none), spelled(v, v < 0), pa.array(bound, mask=v < 0)], schema=schema)
+    return make
+
+
 def _leads(joint: DataFrame, packed: DataFrame) -> DataFrame:
     """``conv_id, turn, side, word, first, v, bound`` of every joint word that a side lacks: the first word of the group with the best bound
     (null if none meets), and the side's first word by spelling.
 
-    A joint word meets its sense rows as one row, which is brought to its pair; groups and bounds are windows over what a partition of
-    pairs holds, so that no row of a word and an ancestor is exchanged or written.
+    A joint word meets its sense rows as one row, which is brought to its pair; a partition of pairs finds its groups and bounds by sorting
+    numbers, so that no row of a word and an ancestor is made, exchanged or written.
     """
     words = joint.select(*PAIR, "word", "at_1", "at_2")
     n = words.count()
     met = join_unique(words, packed, ["word"], "left", rows=n).repartition(_pair_partitions(joint, n), *PAIR)
-    own = Window.partitionBy(*PAIR)
-    met = met.select("*", *[F.min(F.when(F.col(f"at_{k}").isNotNull(), F.col("word"))).over(own).alias(f"first_{k}") for k in (1, 2)])
-    under = met.select(*PAIR, "word", "rows", F.inline(_sides())).select(*ASK, "has", "first", F.explode_outer("rows").alias("code"))
-    under = _unpacked(under, *ASK, "has", "first")
-    head = F.min(F.when(F.col("has") & F.col("a").isNotNull(), F.col("word"))).over(Window.partitionBy(*PAIR, "side", "a", "d", "reach"))
-    heads = F.collect_set(F.when(F.col("v").isNotNull(), F.struct("d", "reach", "v"))).over(Window.partitionBy(*PAIR, "side", "a"))
-    asked = under.withColumn("v", head).withColumn("heads", heads).filter(~F.col("has"))
-    lead = F.array_min(F.transform("heads", lambda h: F.struct((-_bound(F.col("d"), h["d"], F.col("reach"), h["reach"])).alias("b"), h["v"].alias("v"))))
-    best = asked.select(*ASK, "first", lead.alias("m")).groupBy(*ASK).agg(F.min("first").alias("first"), F.min("m").alias("m"))
-    return best.select(*ASK, "first", F.col("m.v").alias("v"), (-F.col("m.b")).alias("bound"))
+    types = {f.name: f.dataType for f in words.schema.fields}
+    out = StructType([*[StructField(c, types[c]) for c in PAIR], StructField("side", IntegerType()), StructField("word", StringType()),
+                      StructField("first", StringType()), StructField("v", StringType()), StructField("bound", DoubleType())])
+    schema = pa.schema([*[(c, pa.int64() if isinstance(types[c], LongType) else pa.int32()) for c in PAIR], ("side", pa.int32()), ("word", pa.string()),
+                        ("first", pa.string()), ("v", pa.string()), ("bound", pa.float64())])
+    rows = met.select(*PAIR, "word", *[F.col(f"at_{k}").isNotNull().alias(f"has_{k}") for k in (1, 2)], "rows")
+    return rows.mapInArrow(_lead_rows(_bounds(joint.sparkSession), schema), out)
 
 
 def most_similar_word(joint: DataFrame, lemmas: DataFrame, closure: DataFrame) -> DataFrame:

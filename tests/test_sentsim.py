@@ -194,3 +194,33 @@ def test_far_ancestors_pack_to_the_same_bounds(spark):
     bound = lambda t: sorted(r[0] for r in t.selectExpr("d AS d1", "d AS d2", "reach AS r").select(SS._bound(*[SS.F.col(c) for c in ("d1", "d2", "r", "r")])).collect())
     assert bound(rows) == bound(got)
     assert [tuple(r) for r in SS._unpacked(spark.sql("SELECT CAST(NULL AS bigint) AS code")).collect()] == [(None, None, None)]
+
+
+def test_leads_are_found_without_rows_of_words_and_ancestors(spark, monkeypatch):
+    """Each asker's lead is the first word of the best group by a search over all groups, in slices of any size; nothing is exploded or windowed."""
+    draw = random.Random(8)
+    names = [f"w{i}" for i in range(14)] + ["é", "Z", "zz"]
+    sense = {w: [(f"a{draw.randrange(4)}", draw.randrange(4), draw.randrange(1, 4)) for _ in range(draw.randrange(1, 4))] for w in names[:-2]}
+    sense = {w: sorted(set(r)) for w, r in sense.items()}
+    joint = []
+    for conv in range(6):
+        for i, w in enumerate(draw.sample(names, 12)):
+            side = draw.choice([1, 2, 3]) if conv else 1
+            joint.append((conv, 1 << 40, w, i if side & 1 else None, i if side & 2 else None, i))
+    df = spark.createDataFrame(joint, "conv_id long, turn long, word string, at_1 int, at_2 int, idx int").repartition(3)
+    packed = SS.packed_rows(spark.createDataFrame([(w, *r) for w, rows in sense.items() for r in rows], "word string, a string, d int, reach int"))
+    bound = lambda x, y: round(math.exp(-W.ALPHA * (x[1] + y[1])) * math.tanh(W.BETA * max(x[2], y[2])), 6)
+    want = set()
+    for conv, turn, word, at_1, at_2, _ in joint:
+        for side in (1, 2):
+            if (at_1, at_2)[side - 1] is None:
+                there = sorted((r[2] for r in joint if r[0] == conv and r[2 + side] is not None), key=str.encode)
+                met = [(-bound(x, y), v) for v in there for x in sense.get(word, []) for y in sense.get(v, []) if x[0] == y[0]]
+                b, v = min(met, key=lambda m: (m[0], m[1].encode())) if met else (None, None)
+                want.add((conv, turn, side, word, there[0] if there else None, v, None if b is None else -b))
+    for most in (SS.BOUNDS, 3):
+        monkeypatch.setattr(SS, "BOUNDS", most)
+        leads = SS._leads(df, packed)
+        assert {tuple(r) for r in leads.collect()} == want and leads.count() == len(want)
+    plan = leads._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
